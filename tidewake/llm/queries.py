@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewake.llm import quality
-from tidewake.llm.shared import table
+from tidewake.llm import chat, codec, media, quality
+from tidewake.llm.shared import small_batches, table
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +24,44 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.stored(table(spark, sf_dir, "documents")))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array(map(len, ids), pa.int64()),
+                pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()], pa.string()),
+            ],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    small_batches(spark)
+    encoded = codec.encode(table(spark, sf_dir, "documents"), path)
+    return codec.decode(encoded, path).mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.formatted(rows, path), path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_media_columns": op7_media_columns,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 SQL: dict[str, str] = {}
