@@ -12,10 +12,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import chat, codec, media, quality
+from tidewake.llm import chat, codec, jaccard, lines, media, quality, substring
 from tidewake.llm.shared import small_batches, table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -58,10 +72,36 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_media_columns": op7_media_columns,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_line_dedup": r"""
+        WITH pieces AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k
+            FROM documents),
+        solid AS (
+            SELECT doc_id, line, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n
+            FROM pieces WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        runs AS (
+            SELECT doc_id, n, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS run
+            FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+        late AS (
+            SELECT doc_id, n FROM (
+                SELECT doc_id, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, n) AS nth FROM runs WHERE run IS NOT NULL)
+            WHERE nth > 1),
+        gone AS (SELECT DISTINCT doc_id, n + j AS n FROM late, range(3) AS t(j)),
+        marked AS (
+            SELECT p.doc_id, p.k, p.line, s.n IS NOT NULL AS is_solid, g.n IS NOT NULL AS is_gone
+            FROM pieces p LEFT JOIN solid s USING (doc_id, k) LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.n = s.n)
+        SELECT doc_id, count(*) FILTER (WHERE is_solid) AS n_lines, count(*) FILTER (WHERE is_gone) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT is_gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
+}
