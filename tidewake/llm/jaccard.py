@@ -86,8 +86,8 @@ def _sets(words: Units, threshold: Threshold) -> Iterator[np.ndarray]:
 
 
 def _print(hashes: np.ndarray) -> int:
-    total = mixed(np.array([np.sum(mixed(hashes ^ MIX_1), dtype=np.uint64) + np.uint64(len(hashes)) * MIX_2], np.uint64))
-    return int(total.view(np.int64)[0])
+    total = np.sum(mixed(hashes ^ MIX_1), dtype=np.uint64, keepdims=True)
+    return int(mixed(total + MIX_2 * np.array([len(hashes)], np.uint64)).view(np.int64)[0])
 
 
 def _lowered(data: np.ndarray, lower: bool) -> np.ndarray:
