@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import chat, codec, idfile, jaccard, lines, media, quality, substring, toxicity
+from tidewake.llm import chat, codec, idfile, jaccard, lines, media, packing, quality, substring, toxicity
 from tidewake.llm.shared import small_batches, table
 
 
@@ -26,6 +26,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read(idfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
 
@@ -83,6 +87,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_packing": op3_packing,
     "op4_token_ids": op4_token_ids,
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
