@@ -1,7 +1,7 @@
 """Registered queries over the shared tables, each with its SQL twin."""
 
-from tidewake.plans import contrast, time
+from tidewake.plans import contrast, frame, time
 
-MODULES = [time, contrast]
+MODULES = [time, contrast, frame]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
