@@ -217,6 +217,7 @@ def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, lower
 
     bands = texts.mapInArrow(partial(_bands, threshold=threshold), BANDS)
     least = bands.groupBy("band").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low < high").select("band", "low")
+    least = written(least, "jaccard-bands")  # so that the join's sides are plain shuffles, whose hot keys Spark can split
     edges = bands.join(least, "band").where("print > low").select(F.col("low").alias("a"), F.col("print").alias("b")).distinct()
     blocks = propagated(edges, "jaccard-blocks").withColumnRenamed("label", "block")
 

@@ -72,10 +72,13 @@ def deletable(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE) -
     texts = docs.select(key().alias("id"), F.col("text").cast("string").alias("text"))
     prints = written(texts.mapInArrow(partial(_prints, noise=noise, guarantee=guarantee), PRINTS), "line-prints")
     places = prints.select("print", F.struct("id", "part", F.col("runs")[0]["at"].alias("at")).alias("place"))
+    # Written, so that the join's sides are plain shuffles, of which Spark can split a hot key's rows.
     again = places.groupBy("print").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high").select("print")
+    again = written(again, "line-repeated")
     runs = prints.join(again, "print", "left_semi").select("id", "part", F.inline("runs"))
     place = F.struct("id", "at", "part")
     first = runs.groupBy("x1", "x2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("x1", "x2", "low")
+    first = written(first, "line-first")
     late = runs.join(first, ["x1", "x2"]).where("struct(id, at) > struct(low.id, low.at)")
     return late.groupBy("id").agg(F.collect_set(F.struct("part", "at")).alias("late"))
 
