@@ -1,7 +1,7 @@
 """Registered queries over the shared tables, each with its SQL twin."""
 
-from tidewake.plans import contrast, frame, time
+from tidewake.plans import agreement, contrast, frame, text, time
 
-MODULES = [time, contrast, frame]
+MODULES = [time, contrast, frame, text, agreement]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
