@@ -31,7 +31,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.llm.shared import small_batches, written
@@ -216,9 +216,9 @@ def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, lower
     rows = sets.where("print IS NOT NULL").groupBy("print").agg(F.min("id").alias("first"))
 
     bands = texts.mapInArrow(partial(_bands, threshold=threshold), BANDS)
-    least = bands.groupBy("band").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low < high").select("band", "low")
-    least = written(least, "jaccard-bands")  # so that the join's sides are plain shuffles, whose hot keys Spark can split
-    edges = bands.join(least, "band").where("print > low").select(F.col("low").alias("a"), F.col("print").alias("b")).distinct()
+    # One shuffle of the bands: within a band each row meets the least one, in a window that spills.
+    low = F.first("print").over(Window.partitionBy("band").orderBy("print"))
+    edges = bands.withColumn("low", low).where("low < print").select(F.col("low").alias("a"), F.col("print").alias("b")).distinct()
     blocks = propagated(edges, "jaccard-blocks").withColumnRenamed("label", "block")
 
     held = written(blocks.withColumnRenamed("node", "print").join(rows, "print").select("print", "block", F.col("first").alias("id")), "jaccard-rows")
