@@ -1,5 +1,8 @@
+import math
 import zlib
 
+import pytest
+
 from tests.llm.helpers import clashing, docs, labels
 from tidewake.llm import toxicity
 from tidewake.llm.queries import QUERIES
@@ -24,7 +27,7 @@ def few(spark):
 def test_odd_rows(spark):
     train, known = few(spark)
     model = toxicity.fit(clashing(train), clashing(known.union(labels(spark, [(None, 1, 1), (5, 1, None), (99_999, 0, 1)]))))
-    rows = [(1, None), (2, ""), (3, "such a nitwit"), (3, "such a nitwit"), (None, "good day"), (6, "good day " * 150_000 + "nitwit")]
+    rows = [(1, None), (2, ""), (3, "you utter nitwit"), (3, "you utter nitwit"), (None, "good day"), (6, "good day " * 150_000 + "nitwit")]
     out = toxicity.scored(clashing(docs(spark, rows)), model).collect()
     assert len(out) == len(rows)
     by = {r.doc_id: r for r in out}
@@ -37,7 +40,8 @@ def test_labels_of_one_class_or_none(spark):
     for some in (known.where("toxic = 0"), known.limit(0)):
         model = toxicity.fit(train, some)
         assert not model.buckets
-        assert {r.score for r in toxicity.scored(train, model).collect()} == {1 / (1 + 2.718281828459045 ** -model.intercept)}
+        (score,) = {r.score for r in toxicity.scored(train, model).collect()}
+        assert score == pytest.approx(1 / (1 + math.exp(-model.intercept)))
 
 
 def test_held_out_labels_change_nothing(spark):

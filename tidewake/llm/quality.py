@@ -138,6 +138,7 @@ def learn(
     the rows that it covers in the pruning third.
     """
     picked = labelled_sample(labels, label, labelled_rows)
+    docs = docs.select("doc_id", "text")
     known = docs.join(F.broadcast(picked), docs["doc_id"] == picked["_id"], "inner").select(docs["doc_id"], docs["text"], "_label")
     stats = statistics(known.select(F.struct("doc_id", "_label").alias("doc_id"), "text"))
     stats = stats.where(~base_failed()).select(

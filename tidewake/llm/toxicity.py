@@ -95,6 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, feature
     spark = docs.sparkSession
     small_batches(spark)
     picked = labelled_sample(labels.where(~held_out()), "toxic", labelled_rows)
+    docs = docs.select("doc_id", "text")
     known = docs.join(F.broadcast(picked), docs["doc_id"] == picked["_id"]).select(docs["text"], F.when(F.col("_label") > 0, 1).otherwise(0).alias("_label"))
     known = written(known, "toxic-labelled")
     sizes = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
