@@ -103,3 +103,23 @@ def test_query_equals_all_pairs(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op6_ngram_jaccard"](spark, sf).collect())) == expected(rows)
+
+
+def test_classes_of_paths_stars_and_single_edges(spark):
+    rng = random.Random(6)
+    names = rng.sample(range(10_000), 400)
+    edges = [(names[k], names[k + 1]) for k in range(150)] + [(names[200], names[k]) for k in range(201, 300)] + [(names[300], names[301]), (names[301], names[300])]
+    for a in range(0, 60, 3):
+        edges.append((names[310 + a], names[311 + a]))
+    root = {n: n for e in edges for n in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = jaccard.propagated(spark.createDataFrame(edges, "a long, b long"), "test").collect()
+    assert sorted(map(tuple, got)) == sorted((n, find(n)) for n in root)

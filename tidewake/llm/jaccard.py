@@ -15,7 +15,7 @@ taken in blocks only:
    product is computed row by row over an inverted index: the overlap of a row with all others is
    accumulated column by column. Rows that are reached already aren't searched again, and pairs outside
    the size bound are discarded. A block of many rows is cut into tiles, and each pair of tiles is a task.
-4. Links found become classes by repeated propagation of the least label, in tables.
+4. Links found become classes by rounds of contraction: nodes go over to their least neighbours, in tables.
 
 Cases: a null or empty text, or one without words, has no set and stands alone; with fewer words than n
 the whole sequence is one n-gram; repeated rows are equal sets; a null doc_id counts as the largest one;
@@ -190,20 +190,30 @@ def _multiplied(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
 
 
 def propagated(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
-    """node and label: the least node that edges (a, b) lead to. Labels are handed on along edges and
-    then looked up once more by label, until nothing changes."""
-    both = written(edges.union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), f"{name}-labels")
+    """node and label: the least node that edges (a, b) lead to. In each round a node goes over to its least
+    neighbour, and to where that one goes; edges are then drawn between the nodes that are left, so they
+    become few at once."""
+
+    def drawn(df: DataFrame) -> DataFrame:
+        ordered = df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+        return written(ordered.distinct(), f"{name}-edges")
+
+    left, labels = drawn(edges), None
     for _ in range(most):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        step = written(step.join(jump, "new", "left").select("node", "label", F.least("new", "far").alias("new")), f"{name}-labels")
-        moved = step.where("new != label").limit(1).count()
-        labels = step.select("node", F.col("new").alias("label"))
-        if not moved:
+        both = left.unionAll(left.select("b", "a"))
+        near = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("near")), f"{name}-near")
+        far = near.select(F.col("a").alias("near"), F.col("near").alias("far"))
+        step = written(near.join(far, "near").select(F.col("a").alias("node"), F.col("far").alias("to")), f"{name}-steps")
+        if labels is None:
+            labels = step.withColumnRenamed("to", "label")
+        else:
+            moved = labels.join(step.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+            labels = written(moved, f"{name}-labels")
+        ends = left.join(step.select(F.col("node").alias("a"), F.col("to").alias("to_a")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("to_b")), "b")
+        left = drawn(ends.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")))
+        if left.isEmpty():
             return labels
-    raise RuntimeError(f"labels still move after {most} rounds")
+    raise RuntimeError(f"edges are left after {most} rounds")
 
 
 def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, lower: bool = True, tile: int = TILE) -> DataFrame:
@@ -222,7 +232,8 @@ def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, lower
     blocks = propagated(edges, "jaccard-blocks").withColumnRenamed("label", "block")
 
     held = written(blocks.withColumnRenamed("node", "print").join(rows, "print").select("print", "block", F.col("first").alias("id")), "jaccard-rows")
-    full = texts.join(held, "id").select("print", "block", "text").mapInArrow(partial(_full_sets, threshold=threshold), "print long, block long, set binary")
+    # Always by a sorted merge: a broadcast would hold for small inputs alone.
+    full = texts.join(held.hint("merge"), "id").select("print", "block", "text").mapInArrow(partial(_full_sets, threshold=threshold), "print long, block long, set binary")
     # Rows of one id with other texts have come along; a set is what its print says, or goes.
     full = full.dropDuplicates(["print", "block"])
     tiles = held.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
