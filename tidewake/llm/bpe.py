@@ -3,7 +3,7 @@
 The pre-tokeniser works on the code points of many texts at once. Each gets a symbol (letter, number,
 other, space that joins what follows, last or inner white space, apostrophe of a contraction). An
 automaton of eight states then says where tokens begin. Its transition functions compose
-associatively, so blocks are reduced to functions side by side, the block functions are combined by a
+associatively, so blocks are reduced to functions side by side (numbers of a small monoid), the block functions are combined by a
 doubling scan, and each block is run again from its known first state. No regular expression is used.
 
 Slices between boundaries go through a bounded cache to pair merging, either by a rank table
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, JOINED, IN_WHITE, ONE_LEFT, TWO_LEFT =
 STATES, SYMBOLS = 8, 9
 BLOCK = 256
 #: Code points of one round of the scan; a longer text makes a round of its own.
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +53,24 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
 STEP, STARTS = _automaton()
 
 
+def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All functions of states that strings of symbols make (there are few), as numbers: the number of each
+    function and symbol after it, the number of two functions one after the other, and what each makes of FRESH."""
+    symbols = [tuple(STEP[k * STATES : (k + 1) * STATES].tolist()) for k in range(SYMBOLS)]
+    found = [tuple(range(STATES))]
+    for f in found:  # grows as it goes
+        for g in symbols:
+            if (h := tuple(g[x] for x in f)) not in found:
+                found.append(h)
+    number = {f: k for k, f in enumerate(found)}
+    then = [[number[tuple(g[x] for x in f)] for g in symbols] for f in found]
+    both = [[number[tuple(g[x] for x in f)] for g in found] for f in found]
+    return np.array(then, np.uint8).ravel(), np.array(both, np.uint8), np.array([f[FRESH] for f in found], np.uint8)
+
+
+THEN, BOTH, FROM_FRESH = _monoid()
+
+
 @functools.cache
 def _classes() -> np.ndarray:
     """LETTER, NUMBER, OTHER or WHITE_RUN by code point."""
@@ -85,21 +104,21 @@ def _scan(symbols: np.ndarray) -> np.ndarray:
     blocks = -(-len(symbols) // BLOCK)
     padded = np.full(blocks * BLOCK, END, np.uint8)
     padded[: len(symbols)] = symbols
-    lanes = np.ascontiguousarray(padded.reshape(blocks, BLOCK).T).astype(np.uint8) * STATES
-    whole = np.broadcast_to(np.arange(STATES, dtype=np.uint8), (blocks, STATES)).copy()
+    lanes = np.ascontiguousarray(padded.reshape(blocks, BLOCK).T)
+    whole = np.zeros(blocks, np.uint8)  # the function of each block, from the identity on
     for lane in lanes:
-        whole = STEP[lane[:, None] + whole]
+        whole = THEN.take(whole * np.uint8(SYMBOLS) + lane)
     span = 1  # whole[i] becomes the composition of all functions up to block i
     while span < blocks:
-        whole[span:] = np.take_along_axis(whole[span:], whole[:-span].astype(np.intp), 1)
+        whole[span:] = BOTH[whole[:-span], whole[span:]]
         span *= 2
     state = np.zeros(blocks, np.uint8)
-    state[1:] = whole[:-1, FRESH]
+    state[1:] = FROM_FRESH[whole[:-1]]
     begins = np.empty((BLOCK, blocks), bool)
     for k, lane in enumerate(lanes):
-        at = lane + state
-        begins[k] = STARTS[at]
-        state = STEP[at]
+        at = lane * np.uint8(STATES) + state
+        STARTS.take(at, out=begins[k])
+        state = STEP.take(at)
     return begins.T.ravel()[: len(symbols)]
 
 
@@ -124,7 +143,7 @@ def pre_tokens(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndar
 class _Cache(dict):
     """Slice -> its ids as little-endian unsigned 32-bit bytes; emptied when it is full."""
 
-    most = 400_000
+    most = 700_000
 
     def room(self) -> None:
         if len(self) > self.most:
@@ -145,13 +164,14 @@ class Encoder:
         out: list[bytes] = []
         for part in _rounds(texts):
             data, first, after, before = pre_tokens(part)
-            slices = [data[a:b] for a, b in zip(first.tolist(), after.tolist(), strict=True)]
             self.cache.room()
-            found = list(map(self.cache.get, slices))
-            if None in found:
-                new = {s for s, f in zip(slices, found, strict=True) if f is None}
-                self._fill(new)
-                found = [self.cache[s] if f is None else f for s, f in zip(slices, found, strict=True)]
+            known = self.cache.get
+            found = [known(data[a:b]) for a, b in zip(first.tolist(), after.tolist(), strict=True)]
+            if missing := [k for k, f in enumerate(found) if f is None]:
+                slices = [data[first[k] : after[k]] for k in missing]
+                self._fill(set(slices))
+                for k, piece in zip(missing, slices, strict=True):
+                    found[k] = self.cache[piece]
             out += [b"".join(found[a:b]) for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
         return out
 
@@ -259,6 +279,7 @@ class LibraryEncoder(Encoder):
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -281,16 +302,17 @@ class LibraryEncoder(Encoder):
         for piece in slices:
             text = piece.decode()
             (words if text[0] == " " and text[1:].isalpha() else rest).append((piece, text))
-        for k in range(0, len(words), self.strung):
-            part = words[k : k + self.strung]
-            ids = np.array(self.model.encode("".join(t for _, t in part), add_special_tokens=False).ids, "<u4")
+        parts = [words[k : k + self.strung] for k in range(0, len(words), self.strung)]
+        strung = self.model.encode_batch_fast(["".join(t for _, t in part) for part in parts], add_special_tokens=False)
+        for part, got in zip(parts, strung, strict=True):
+            ids = np.array(got.ids, "<u4")
             stops = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(p) for p, _ in part])) + 1
             data, a = ids.tobytes(), 0
             for (piece, _), b in zip(part, (4 * stops).tolist(), strict=True):
                 self.cache[piece] = data[a:b]
                 a = b
         if rest:
-            for (piece, _), got in zip(rest, self.model.encode_batch([t for _, t in rest], add_special_tokens=False), strict=True):
+            for (piece, _), got in zip(rest, self.model.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
                 self.cache[piece] = np.array(got.ids, "<u4").tobytes()
 
 

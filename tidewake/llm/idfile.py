@@ -30,7 +30,7 @@ from tidewake.llm.shared import small_batches, written
 from tidewake.llm.substring import LAST_ID, key
 
 #: Ids of one shard, rounds of replacing, pairs replaced in a round, and times that a pair must occur.
-SHARD, ROUNDS, PAIRS, LEAST = 1 << 18, 4, 1 << 10, 8
+SHARD, ROUNDS, PAIRS, LEAST = 1 << 18, 3, 1 << 11, 8
 MAGIC = b"RPAIR\0\1\0"
 SHARDS = "part int, nth int, first_id long, n_tokens long, data binary"
 ROWS = "part int, nth int, doc_id long, inner long, n_tokens long, ids_crc32 long"
