@@ -132,6 +132,8 @@ def removable(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # Level one.
     anchors = texts.mapInArrow(partial(_anchors, window=window), ANCHORS)
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
+    # Written, so that the join's sides are plain shuffles, of which Spark can split a hot key's rows.
+    shared = written(shared, "substring-shared")
     left = written(anchors.join(shared, "anchor", "left_semi"), "substring-anchors")
     # Level two.
     spans = left.groupBy("anchor", "span").agg(F.min(F.struct("id", "part", "start", "length")).alias("first"))
@@ -139,10 +141,12 @@ def removable(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     whole = left.join(spans, ["anchor", "span"]).where("id > first.id").select("id", "part", "start", "length")
     # Level three.
     several = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    several = written(several, "substring-several")
     open_ = spans.join(several, "anchor", "left_semi").select("first.*")
     open_ = open_.groupBy("id").agg(F.collect_list(F.struct("part", "start", "length")).alias("spans"))
     windows = written(texts.join(open_, "id").mapInArrow(partial(_windows, window=window), WINDOWS), "substring-windows")
     early = windows.groupBy("x1", "x2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("x1", "x2", "low")
+    early = written(early, "substring-early")
     single = windows.join(early, ["x1", "x2"]).where("id > low").select("id", "part", "start", F.lit(window).alias("length"))
     return whole.unionByName(single).groupBy("id").agg(F.collect_set(F.struct("part", "start", "length")).alias("spans"))
 
