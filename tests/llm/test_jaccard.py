@@ -83,6 +83,12 @@ def test_odd_rows(spark):
     assert found(docs(spark, [])) == []
 
 
+def test_rows_of_one_id_with_other_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(200)) for c in "ab")
+    rows = [(1, a), (1, b), (1, b), (5, a + " x"), (6, b + " y"), (2, b + " z")]
+    assert found(docs(spark, rows)) == expected(rows)
+
+
 def test_bands_leave_out_no_close_pair():
     import numpy as np
 

@@ -140,9 +140,15 @@ def _bands(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
+    """The set of each row, where it is the one that the row's print stands for."""
     for batch in batches:
-        sets = [s.astype("<u8").tobytes() for _, _, data, offsets in rounds(batch) for s in _sets(Units(_lowered(data, threshold.lower), offsets), threshold)]
-        yield pa.RecordBatch.from_arrays([batch.column("print"), batch.column("block"), pa.array(sets, pa.binary())], ["print", "block", "set"])
+        sets, wanted = [], batch.column("print").to_pylist()
+        for _, _, data, offsets in rounds(batch):
+            for s in _sets(Units(_lowered(data, threshold.lower), offsets), threshold):
+                own = len(s) > 0 and _print(s) == wanted[len(sets)]
+                sets.append(s.astype("<u8").tobytes() if own else None)
+        found = pa.RecordBatch.from_arrays([batch.column("print"), batch.column("block"), pa.array(sets, pa.binary())], ["print", "block", "set"])
+        yield found.filter(found.column("set").is_valid())
 
 
 def _multiplied(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
@@ -234,7 +240,7 @@ def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, lower
     held = written(blocks.withColumnRenamed("node", "print").join(rows, "print").select("print", "block", F.col("first").alias("id")), "jaccard-rows")
     # Always by a sorted merge: a broadcast would hold for small inputs alone.
     full = texts.join(held.hint("merge"), "id").select("print", "block", "text").mapInArrow(partial(_full_sets, threshold=threshold), "print long, block long, set binary")
-    # Rows of one id with other texts have come along; a set is what its print says, or goes.
+    # Repeated rows of one id have given a set more than once.
     full = full.dropDuplicates(["print", "block"])
     tiles = held.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     dealt = full.join(tiles, "block").withColumn("own", F.pmod(F.xxhash64("print"), F.col("tiles")).cast("int"))
