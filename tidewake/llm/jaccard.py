@@ -139,25 +139,24 @@ def _bands(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[
                 yield pa.RecordBatch.from_arrays([signed(np.concatenate(bands)), pa.array(np.concatenate(prints))], ["band", "print"])
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
-    """The set of each row, where it is the one that the row's print stands for."""
-    for batch in batches:
-        sets, wanted = [], batch.column("print").to_pylist()
-        for _, _, data, offsets in rounds(batch):
-            for s in _sets(Units(_lowered(data, threshold.lower), offsets), threshold):
-                own = len(s) > 0 and _print(s) == wanted[len(sets)]
-                sets.append(s.astype("<u8").tobytes() if own else None)
-        found = pa.RecordBatch.from_arrays([batch.column("print"), batch.column("block"), pa.array(sets, pa.binary())], ["print", "block", "set"])
-        yield found.filter(found.column("set").is_valid())
+def _block_sets(rows: pd.DataFrame, threshold: Threshold) -> dict[int, np.ndarray]:
+    """The sets of a block by print; rows whose text is another one's of the same id are left out."""
+    out: dict[int, np.ndarray] = {}
+    for print_, text in zip(rows["print"], rows["text"], strict=True):
+        data = np.frombuffer(text.encode(), np.uint8)
+        own = next(_sets(Units(_lowered(data, threshold.lower), np.array([0, len(data)])), threshold))
+        if print_ not in out and _print(own) == print_:
+            out[print_] = own
+    return out
 
 
-def _multiplied(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+def _multiplied(rows: pd.DataFrame, threshold: Threshold) -> pd.DataFrame:
     """Links that connect all linked rows of the block: a search over rows of the product."""
     none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    if len(rows) < 2:
+    by_print, num, den = _block_sets(rows, threshold), threshold.num, threshold.den
+    if len(by_print) < 2:
         return none
-    prints = rows["print"].to_numpy()
-    sets = [np.frombuffer(x, "<u8") for x in rows["set"]]
+    prints, sets = np.array(list(by_print)), list(by_print.values())
     sizes = np.array([len(s) for s in sets])
     columns, column = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.append(0, np.cumsum(sizes))
@@ -238,15 +237,13 @@ def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, lower
     blocks = propagated(edges, "jaccard-blocks").withColumnRenamed("label", "block")
 
     held = written(blocks.withColumnRenamed("node", "print").join(rows, "print").select("print", "block", F.col("first").alias("id")), "jaccard-rows")
-    # Always by a sorted merge: a broadcast would hold for small inputs alone.
-    full = texts.join(held.hint("merge"), "id").select("print", "block", "text").mapInArrow(partial(_full_sets, threshold=threshold), "print long, block long, set binary")
-    # Repeated rows of one id have given a set more than once.
-    full = full.dropDuplicates(["print", "block"])
+    # Always by a sorted merge: a broadcast would hold for small inputs alone. Texts travel, as their sets are larger.
+    full = texts.join(held.hint("merge"), "id").select("print", "block", "text")
     tiles = held.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     dealt = full.join(tiles, "block").withColumn("own", F.pmod(F.xxhash64("print"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "print", "set")
-    links = dealt.groupBy("block", "i", "j").applyInPandas(lambda x: _multiplied(x, num, den), LINKS)
+    dealt = dealt.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "print", "text")
+    links = dealt.groupBy("block", "i", "j").applyInPandas(lambda x: _multiplied(x, threshold), LINKS)
     found = propagated(written(links, "jaccard-links"), "jaccard-classes")
 
     classes = rows.join(found.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("label", "print").alias("label"))
