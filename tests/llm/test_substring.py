@@ -71,6 +71,17 @@ def test_rows_of_one_id_are_judged_by_their_own_text(spark):
     assert found(docs(spark, rows)) == expected(rows, 50)
 
 
+def test_a_document_that_repeats_what_embeds_an_earlier_passage(spark):
+    for seed in range(4):
+        rng = random.Random(seed)
+        say = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+        passage = say(60)
+        paragraph = say(rng.randint(20, 60)) + passage + say(rng.randint(20, 60))
+        rows = [(1, " ".join(say(40) + passage + say(40))), (2, " ".join(paragraph + say(80) + paragraph + say(9) + paragraph))]
+        want = expected(rows, 50)
+        assert want[1][2] == 180 and found(docs(spark, rows)) == want
+
+
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

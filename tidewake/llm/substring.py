@@ -5,7 +5,7 @@ window, only the one of least hash is an anchor: equal full windows have equal a
 lost, and about one place in thirteen is an anchor. Anchors that only one document has are done.
 Level two doubles what is left: each anchor is extended to its span, all full windows that it stands
 for. Equal spans settle every document but the first at once. Level three compares single full windows,
-for the first documents of those spans alone whose anchor other spans share. Longer repeats are unions
+for the first documents of those spans alone whose anchor other spans share, at all places where they have them. Longer repeats are unions
 of full windows, so the doubling ends there, and it ends before wherever no candidate is left.
 
 Cases: a null text has no words; a null doc_id counts as the largest one; rows of one doc_id are judged
@@ -136,14 +136,16 @@ def removable(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = written(shared, "substring-shared")
     left = written(anchors.join(shared, "anchor", "left_semi"), "substring-anchors")
     # Level two.
-    spans = left.groupBy("anchor", "span").agg(F.min(F.struct("id", "part", "start", "length")).alias("first"))
+    spans = left.groupBy("anchor", "span").agg(F.min("id").alias("first"))
     spans = written(spans, "substring-spans")
-    whole = left.join(spans, ["anchor", "span"]).where("id > first.id").select("id", "part", "start", "length")
+    whole = left.join(spans, ["anchor", "span"]).where("id > first").select("id", "part", "start", "length")
     # Level three.
     several = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     several = written(several, "substring-several")
-    open_ = spans.join(several, "anchor", "left_semi").select("first.*")
-    open_ = open_.groupBy("id").agg(F.collect_list(F.struct("part", "start", "length")).alias("spans"))
+    opened = written(spans.join(several, "anchor", "left_semi").withColumnRenamed("first", "id"), "substring-opened")
+    # A document can have a span at several places, and no earlier one has settled any of them.
+    open_ = left.join(opened, ["anchor", "span", "id"], "left_semi")
+    open_ = open_.groupBy("id").agg(F.collect_set(F.struct("part", "start", "length")).alias("spans"))
     windows = written(texts.join(open_, "id").mapInArrow(partial(_windows, window=window), WINDOWS), "substring-windows")
     early = windows.groupBy("x1", "x2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("x1", "x2", "low")
     early = written(early, "substring-early")
