@@ -1,6 +1,7 @@
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from tests.llm.helpers import clashing, crc, docs
 from tidewake.llm import idfile
@@ -53,3 +54,15 @@ def test_odd_rows(spark, monkeypatch):
     got = idfile.read(idfile.write(clashing(docs(spark, rows)), PATH, 2)).collect()
     assert sorted(map(tuple, got), key=str) == expected(rows)
     assert idfile.read(idfile.write(docs(spark, []), PATH, 2)).count() == 0
+
+
+def test_added_tokens_get_the_ids_of_a_fresh_library_model(spark):
+    fresh = Tokenizer.from_file(PATH)
+    mark = "<|endoftext|>"
+    rows = [(1, f"a {mark} b"), (2, mark), (3, f"{mark}{mark} it's\n {mark}x"), (4, "plain text"), (5, "<|endoftext|"), (6, f"<|endof{mark}text|>")]
+    want, start = [], 0
+    for i, t in rows:
+        ids = np.array([*fresh.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, start, len(ids), crc(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, idfile.read(idfile.write(docs(spark, rows), PATH, 2)).collect())) == want

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+from tokenizers import Tokenizer
 
 from tests.llm.helpers import clashing, crc, docs
 from tidewake.llm import packing
@@ -82,3 +83,13 @@ def test_odd_rows(spark):
 def test_one_length_for_all(spark):
     rows = [(i, "word " * 599) for i in range(300)]
     assert check(rows, packing.packed(docs(spark, rows), PATH).collect()) < 0.01
+
+
+def test_added_tokens_get_the_ids_of_a_fresh_library_model(spark):
+    fresh = Tokenizer.from_file(PATH)
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "plain")]
+    got = {p.doc_id: (p.doc_tokens, p.ids_crc32) for p in packing.packed(docs(spark, rows), PATH).collect() if p.length == p.doc_tokens}
+    for i, t in rows:
+        ids = np.array([*fresh.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert got.get(i, (len(ids), crc(ids.tobytes()))) == (len(ids), crc(ids.tobytes()))
+    assert sum(p.length for p in packing.packed(docs(spark, rows), PATH).collect()) == sum(len(fresh.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)

@@ -16,6 +16,7 @@ import base64
 import functools
 import heapq
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -289,11 +290,28 @@ class LibraryEncoder(Encoder):
         self.widths = np.zeros(self.size, np.int64)
         for token, i in vocab.items():
             self.widths[i] = len(token)
+        self.added = {t.content: i for i, t in self.model.get_added_tokens_decoder().items()}
+        if any(t.single_word or t.lstrip or t.rstrip for t in self.model.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that take what is around them are not supported")
         self.tokens = [b""] * self.size
         letters = _byte_letters()
         for token, i in vocab.items():
             self.tokens[i] = bytes(map(letters.__getitem__, token))
 
+    @functools.cached_property
+    def _cuts(self) -> re.Pattern[str]:
+        """Added tokens, the longest first where several begin at one place."""
+        return re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+
+    def encode_added(self, texts: list[str]) -> list[bytes]:
+        """As ``encode``, but added tokens within a text get their own ids, as by the library's plain call."""
+        if not self.added or not any(token in text for text in texts for token in self.added):
+            return self.encode(texts)
+        pieces = list(map(self._cuts.split, texts))  # what is between added tokens, and those at odd places
+        ids = iter(self.encode([x for own in pieces for x in own[::2]]))
+        own_ids = {t: np.array([i], "<u4").tobytes() for t, i in self.added.items()}
+        return [b"".join(own_ids[x] if k % 2 else next(ids) for k, x in enumerate(own)) for own in pieces]
+
     def text(self, ids: np.ndarray) -> str:
         return b"".join(map(self.tokens.__getitem__, ids.tolist())).decode()
 

@@ -147,7 +147,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
 
     for batch in batches:
         texts = [x or "" for x in batch.column("text").to_pylist()]
-        for i, ids in zip(batch.column("id").to_pylist(), encoder.encode(texts), strict=True):
+        for i, ids in zip(batch.column("id").to_pylist(), encoder.encode_added(texts), strict=True):
             if held and total + len(ids) // 4 + 1 > SHARD:
                 yield out()
                 nth, held_ids, held, total = nth + 1, [], [], 0

@@ -43,7 +43,7 @@ def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window
     end, narrow = np.array([end_id], "<u4").tobytes(), encoder.size <= 1 << 16
     for batch in batches:
         rows = []
-        for ids in encoder.encode([x or "" for x in batch.column("text").to_pylist()]):
+        for ids in encoder.encode_added([x or "" for x in batch.column("text").to_pylist()]):
             data, step = ids + end, 4 * window
             cut = len(data) // step * step
             tail = data[cut:]
