@@ -1,7 +1,7 @@
 """A corpus pipeline of five operators, each stage over all rows that the one before kept.
 
 Quality rules reject documents; line dedup and substring dedup shorten texts, and drop documents that they leave
-without a word; of each class of near duplicates the document of least doc_id stays; packing
+without a word; of each class of near duplicates one row of least doc_id stays; packing
 turns what is left into token sequences. Every stage is written as Parquet and read again.
 """
 
@@ -42,9 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard.linked(docs, SHINGLE, *SHARE)
-    heads = classes.where("id = component_id").select("id").distinct()
-    return docs.withColumn("_key", substring.key()).join(heads.withColumnRenamed("id", "_key"), "_key", "left_semi").select(*docs.columns)
+    return jaccard.heads(docs, SHINGLE, *SHARE)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

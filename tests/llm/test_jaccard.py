@@ -129,3 +129,18 @@ def test_classes_of_paths_stars_and_single_edges(spark):
         root[y] = x
     got = jaccard.propagated(spark.createDataFrame(edges, "a long, b long"), "test").collect()
     assert sorted(map(tuple, got)) == sorted((n, find(n)) for n in root)
+
+
+def test_a_null_text_under_an_id_that_is_in_a_block(spark):
+    a = " ".join(f"a{k}" for k in range(200))
+    rows = [(None, a), (None, None), (1, a + " x"), (2, a + " y"), (2, None)]
+    assert found(docs(spark, rows)) == expected(rows)
+
+
+def test_exactly_one_row_of_each_class_stays(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(200)) for x in "abc")
+    rows = [(None, a), (None, a + " x"), (None, a), (None, b), (None, None), (None, ""), (3, c), (3, c), (3, c + " z"), (3, None), (4, c + " y"), (5, b)]
+    got = [(r.doc_id, r.text) for r in jaccard.heads(docs(spark, rows)).collect()]
+    assert sum((t or "").startswith("a") for _, t in got) == 1 and [i for i, t in got if (t or "").startswith("a")] == [None]
+    assert [i for i, t in got if (t or "").startswith("b")] == [5] and [i for i, t in got if (t or "").startswith("c")] == [3]
+    assert sorted((str(i), t or "") for i, t in got if not t) == [("3", ""), ("None", ""), ("None", "")] and len(got) == 6

@@ -1,5 +1,6 @@
 import corpus_pipeline as pipeline
 from tests.llm import test_jaccard, test_lines, test_packing, test_substring
+from tests.llm.helpers import docs as documents
 from tests.llm.helpers import words
 from tidewake.llm import quality
 from tidewake.llm.shared import written
@@ -39,3 +40,10 @@ def test_each_stage_against_brute_force(spark):
 def test_run_gives_the_last_stage(spark):
     out = pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 100
+
+
+def test_near_duplicates_keep_one_row_of_null_and_repeated_ids(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(200)) for x in "ab")
+    rows = [(None, a), (None, a), (None, a + " x"), (7, b), (7, b)]
+    left = pipeline.near_duplicates(spark, documents(spark, rows), "").collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in left) == [("7", "b"), ("None", "a")]

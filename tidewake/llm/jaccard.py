@@ -33,7 +33,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
+from tidewake.llm.quality import SPACES
 from tidewake.llm.shared import small_batches, written
 from tidewake.llm.substring import key
 from tidewake.llm.words import UNIT_BASES, MIX_1, MIX_2, Spans, Units, mixed, rounds, signed
@@ -94,6 +96,15 @@ def _lowered(data: np.ndarray, lower: bool) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8) if lower else data
 
 
+def _row_prints(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
+    """The rows with the print of each set; a text without a word has none."""
+    for batch in batches:
+        prints = []
+        for _, _, data, offsets in rounds(batch):
+            prints += [_print(s) if len(s) else None for s in _sets(Units(_lowered(data, threshold.lower), offsets), threshold)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], [*batch.schema.names, "_print"])
+
+
 def _prints(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, prints = [], []
@@ -221,9 +232,8 @@ def propagated(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
     raise RuntimeError(f"edges are left after {most} rounds")
 
 
-def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, lower: bool = True, tile: int = TILE) -> DataFrame:
-    """id (doc_id, a null one as the largest long), n_shingles and component_id, one row per input row."""
-    threshold = Threshold(words, num, den, lower)
+def _classes(docs: DataFrame, threshold: Threshold, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Sets (id, n, print; one row per input row), and of each distinct one print, first (its least id) and label (its class)."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(key().alias("id"), F.col("text").cast("string").alias("text"))
@@ -238,7 +248,8 @@ def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, lower
 
     held = written(blocks.withColumnRenamed("node", "print").join(rows, "print").select("print", "block", F.col("first").alias("id")), "jaccard-rows")
     # Always by a sorted merge: a broadcast would hold for small inputs alone. Texts travel, as their sets are larger.
-    full = texts.join(held.hint("merge"), "id").select("print", "block", "text")
+    # A null text has no set, though another row of its id can be in a block.
+    full = texts.where("text IS NOT NULL").join(held.hint("merge"), "id").select("print", "block", "text")
     tiles = held.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     dealt = full.join(tiles, "block").withColumn("own", F.pmod(F.xxhash64("print"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -246,7 +257,26 @@ def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, lower
     links = dealt.groupBy("block", "i", "j").applyInPandas(lambda x: _multiplied(x, threshold), LINKS)
     found = propagated(written(links, "jaccard-links"), "jaccard-classes")
 
-    classes = rows.join(found.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("label", "print").alias("label"))
+    return sets, rows.join(found.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("label", "print").alias("label"))
+
+
+def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, lower: bool = True, tile: int = TILE) -> DataFrame:
+    """id (doc_id, a null one as the largest long), n_shingles and component_id, one row per input row."""
+    sets, classes = _classes(docs, Threshold(words, num, den, lower), tile)
     heads = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = classes.join(heads, "label").select("print", "component_id")
     return sets.join(classes, "print", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def heads(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, lower: bool = True, tile: int = TILE) -> DataFrame:
+    """Exactly one row of ``docs`` of each class, one of least doc_id; rows whose text has no word all stay."""
+    threshold = Threshold(words, num, den, lower)
+    _, classes = _classes(docs, threshold, tile)
+    first = classes.groupBy("label").agg(F.min(F.struct("first", "print")).alias("head")).select(F.col("head.first").alias("_key"), F.col("head.print").alias("_print"))
+    schema = StructType([*docs.schema.fields]).add("_print", LongType())
+    rows = docs.mapInArrow(partial(_row_prints, threshold=threshold), schema).withColumn("_key", key())
+    # Rows of one doc_id can have equal sets: the one of least text stays.
+    nth = F.row_number().over(Window.partitionBy("_key", "_print").orderBy("text", F.xxhash64(*docs.columns)))
+    one = rows.join(first, ["_key", "_print"], "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    wordless = F.coalesce(F.btrim("text", F.lit(SPACES)), F.lit("")) == ""
+    return one.unionByName(docs.where(wordless))
