@@ -37,6 +37,13 @@ def test_grammars_give_back_every_document_and_range(alphabet, monkeypatch):
         assert len(block.symbols) < len(whole) / 2
 
 
+def test_copies_become_one_symbol_each():
+    ids = [np.random.default_rng(5).integers(0, 40_000, 400).astype("<u4")] * 64
+    block = idfile.Shard(idfile.shard(list(range(64)), [x.tobytes() for x in ids], 50_000))
+    assert len(block.symbols) == 64 and block.lengths.max() == 400
+    assert all(block.ids(d).tolist() == ids[0].tolist() for d in range(64))
+
+
 def test_what_is_no_shard_is_refused():
     with pytest.raises(ValueError):
         idfile.Shard(b"something else" * 9)

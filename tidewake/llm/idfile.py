@@ -2,9 +2,9 @@
 
 Documents are sorted by doc_id over range partitions, encoded, closed with an end id and collected into
 shards of bounded size. In each shard frequent adjacent pairs of ids are replaced by nonterminals, round after
-round; pairs never span two documents. A shard holds, little-endian: a magic word, the counts, the doc_ids, the
-number of symbols before each document, the two sides of each rule, the length of each rule's expansion, and
-the symbols. Expansion lengths say which symbols hold a range of ids, so any range is decoded alone.
+round, until no pair is frequent; pairs never span two documents. A shard holds, little-endian: a magic word,
+the counts, the doc_ids, the number of symbols before each document, the two sides of each rule, the length of each
+rule's expansion, and the symbols. Expansion lengths say which symbols hold a range of ids, so any range is decoded alone.
 
 Shards are rows of a Parquet table in a shared folder, which Spark writes and reads wherever it lies.
 
@@ -29,8 +29,8 @@ from tidewake.llm.bpe import library_encoder
 from tidewake.llm.shared import small_batches, written
 from tidewake.llm.substring import LAST_ID, key
 
-#: Ids of one shard, rounds of replacing, pairs replaced in a round, and times that a pair must occur.
-SHARD, ROUNDS, PAIRS, LEAST = 1 << 18, 3, 1 << 11, 8
+#: Ids of one shard, pairs replaced in a round, and times that a pair must occur.
+SHARD, PAIRS, LEAST = 1 << 18, 1 << 11, 8
 MAGIC = b"RPAIR\0\1\0"
 SHARDS = "part int, nth int, first_id long, n_tokens long, data binary"
 ROWS = "part int, nth int, doc_id long, inner long, n_tokens long, ids_crc32 long"
@@ -42,9 +42,7 @@ def compressed(ids: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray
     last[ends - 1] = True
     rules: list[np.ndarray] = []
     free = size
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:  # a round shortens them, or is the last
         pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
         # A table of counts by hash tells which pairs can be frequent; only those are sorted.
         slot = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
