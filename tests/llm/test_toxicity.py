@@ -1,6 +1,7 @@
 import math
 import zlib
 
+import numpy as np
 import pytest
 
 from tests.llm.helpers import clashing, docs, labels
@@ -48,3 +49,13 @@ def test_held_out_labels_change_nothing(spark):
     train, known = few(spark)
     flipped = known.selectExpr("doc_id", "quality", "IF(pmod(crc32(string(doc_id)), 4) = 2, 1 - toxic, toxic) AS toxic")
     assert toxicity.fit(train, known) == toxicity.fit(train, flipped)
+
+
+def test_equal_texts_have_equal_grams_at_any_place():
+    every = np.ones(1 << toxicity.BUCKET_BITS, bool)
+    texts = ["same text", "same text", "", "ab", "same text"]
+    got = [set() for _ in texts]
+    for owner, bucket in toxicity._grams(texts, every):
+        for d, k in zip(owner.tolist(), bucket.tolist(), strict=True):
+            got[d].add(k)
+    assert got[0] == got[1] == got[4] and got[0] and not got[2] and not got[3]

@@ -60,6 +60,7 @@ def _grams(texts: list[str], wanted: np.ndarray) -> Iterator[tuple[np.ndarray, n
         part = [t.lower() for t in texts[a:b]]
         points = np.frombuffer("\0".join(part).encode("utf-32-le"), np.uint32).astype(np.uint64)
         ends = np.cumsum([len(t) + 1 for t in part]) - 1
+        starts = np.append(0, ends[:-1] + 1)
         pairs, rolled = [], points * MIX_1
         for n in range(2, SIZES[-1] + 1):
             rolled = (rolled[:-1] ^ (rolled[:-1] >> np.uint64(29))) * MIX_1 + points[n - 1 :]
@@ -67,7 +68,8 @@ def _grams(texts: list[str], wanted: np.ndarray) -> Iterator[tuple[np.ndarray, n
                 bucket = (mixed(rolled) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
                 at = np.flatnonzero(wanted[bucket])
                 owner = np.searchsorted(ends, at, "right")
-                inside = at + n <= ends[np.minimum(owner, len(ends) - 1)]
+                own = np.minimum(owner, len(ends) - 1)
+                inside = (at >= starts[own]) & (at + n <= ends[own])  # a separator is in no n-gram
                 pairs.append(owner[inside] << BUCKET_BITS | bucket[at[inside]])
         pair = np.unique(np.concatenate(pairs))
         yield a + (pair >> BUCKET_BITS), pair & ((1 << BUCKET_BITS) - 1)
