@@ -9,17 +9,26 @@ taken in blocks only:
    share of both sizes, at most D elements. Columns are dealt by hash into more than D bands, so a linked pair
    is equal in at least one band. Sizes are cut into classes so that a pair lies in one or in two adjacent
    ones, and each row gives a hash of each of its bands for both. A band in which a row has no
-   column says nothing and is left out; that is safe while at least D + 1 bands of the row are in use. A row with
+   column says nothing and is left out; that is safe while at least D + 1 bands of the row are in use. The number of
+   bands is chosen so that the smallest sets of a class nearly always use enough; a row with
    fewer uses the next of several dealings too, and after the last its empty bands count.
-3. Rows with equal bands are joined to blocks (connected through equal bands). Of each block the sparse
-   product is computed row by row over an inverted index: the overlap of a row with all others is
-   accumulated column by column. Rows that are reached already aren't searched again, and pairs outside
-   the size bound are discarded. A block of many rows is cut into tiles, and each pair of tiles is a task.
-4. Links found become classes by rounds of contraction: nodes go over to their least neighbours, in tables.
+   Rows of one Arrow batch that meet in a band are combined before the shuffle, so a band that very many
+   rows have brings one row a batch.
+3. Rows with equal bands are joined to blocks (connected through equal bands), and blocks are dealt into tiles of
+   bounded rows and columns. In each tile the sparse product is computed row by row over an inverted
+   index: the overlap of a row with all others is accumulated column by column, and pairs outside the size bound
+   are discarded. Rows that are known to be connected aren't compared again.
+4. Blocks of one tile are done then. Of others the least row of each class found so far is multiplied with
+   those of the other tiles; what is still apart after that, all rows but those of the block's largest class, is
+   multiplied with all rows of the block, tile by tile. A large group of near copies thus costs each row one or two
+   products, and no pair of rows of two classes is left uncompared.
+5. Links found become classes by rounds of contraction: nodes go over to their least neighbours, in tables.
 
 Cases: a null or empty text, or one without words, has no set and stands alone; with fewer words than n
-the whole sequence is one n-gram; repeated rows are equal sets; a null doc_id counts as the largest one;
-other columns never enter; an empty table gives an empty result.
+the whole sequence is one n-gram; a very long text is a round of its own; repeated rows are equal sets, and rows are
+told apart by doc_id and a hash of the text, so null or repeated doc_ids with different texts don't meet; a null
+doc_id stays null and counts as the largest one; other columns never enter, whatever their names; an empty table gives
+an empty result. The parameter ``most`` of ``propagated`` ends a run with an error, never with part of the result.
 """
 
 from __future__ import annotations
@@ -31,21 +40,19 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
 
 from tidewake.llm.quality import SPACES
 from tidewake.llm.shared import small_batches, written
-from tidewake.llm.substring import key
 from tidewake.llm.words import UNIT_BASES, MIX_1, MIX_2, Spans, Units, mixed, rounds, signed
 
 #: Dealings of columns into bands that are tried before empty bands count.
 DEALINGS = 3
-#: Rows of a block that are multiplied in one task.
-TILE = 2_000
+#: Rows, and entries of the matrix, that a tile holds on average.
+TILE, ENTRIES = 512, 1 << 19
 
-SETS = "id long, n long, print long"
+SETS = "id long, th long, n long, print long"
 BANDS = "band long, print long"
 LINKS = "a long, b long"
 
@@ -57,152 +64,177 @@ class Threshold:
         self.words, self.num, self.den, self.lower = words, num, den, lower
 
     @functools.cached_property
-    def _edges(self) -> list[int]:
+    def edges(self) -> np.ndarray:
         edges = [1]
         while edges[-1] < 1 << 40:  # the largest size that can link to the class's least, and one
             edges.append(edges[-1] * self.den // self.num + 1)
-        return edges
+        return np.array(edges)
 
-    def size_class(self, n: int) -> int:
-        return int(np.searchsorted(self._edges, n, "right")) - 1
+    def size_class(self, n: int | np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edges, n, "right") - 1
 
     def differing(self, of: int) -> int:
         """The most elements in which linked sets differ whose larger one is of this class."""
-        most = self._edges[of + 1] - 1
+        most = int(self.edges[of + 1]) - 1
         return 2 * most * (self.den - self.num) // (self.den + self.num)
 
-    def bands(self, of: int) -> int:
-        d = self.differing(of)
-        return d + 2 + d // 20 if d else 0
-
+    @functools.cached_property
+    def _bands(self) -> dict[int, int]:
+        return {}
 
-def _sets(words: Units, threshold: Threshold) -> Iterator[np.ndarray]:
+    def bands(self, of: int) -> int:
+        """Bands of this class: more than ``differing``, and as many as its smallest sets need to use that many."""
+        if of not in self._bands:
+            d, least = self.differing(of), int(self.edges[max(0, of - 1)])
+            m = np.arange(d + 2, max(d + 3, 2 * least))
+            empty = (1 - 1 / m) ** least
+            spread = m * empty * (1 - (1 + least / m) * empty)
+            enough = m * (1 - empty) - 2 * np.sqrt(np.maximum(spread, 0)) >= d + 1
+            self._bands[of] = int(m[np.argmax(enough)] if enough.any() else m[0]) if d else 0
+        return self._bands[of]
+
+
+def _sets(words: Units, threshold: Threshold) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
     spans, k = Spans(words.hashes(0), UNIT_BASES[0]), threshold.words
     first = np.arange(max(0, len(words.first) - k + 1))
     grams = spans.hashes(first, first + k)
     short = spans.hashes(words.before[:-1], words.before[1:])
+    out = []
     for d, n in enumerate(np.diff(words.before).tolist()):
         low = words.before[d]
-        yield np.unique(grams[low : low + n - k + 1]) if n >= k else short[d : d + 1] if n else short[:0]
-
-
-def _print(hashes: np.ndarray) -> int:
-    total = np.sum(mixed(hashes ^ MIX_1), dtype=np.uint64, keepdims=True)
-    return int(mixed(total + MIX_2 * np.array([len(hashes)], np.uint64)).view(np.int64)[0])
+        out.append(np.unique(grams[low : low + n - k + 1]) if n >= k else short[d : d + 1] if n else short[:0])
+    return out
 
 
-def _lowered(data: np.ndarray, lower: bool) -> np.ndarray:
-    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8) if lower else data
+def _prints_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and prints of sets; the print of an empty one means nothing."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    sums = np.zeros(sizes.sum() + 1, np.uint64)
+    np.cumsum(mixed(np.concatenate(sets) ^ MIX_1), dtype=np.uint64, out=sums[1:])
+    after = np.cumsum(sizes)
+    total = sums[after] - sums[after - sizes]
+    return sizes, mixed(total + MIX_2 * sizes.astype(np.uint64)).view(np.int64)
 
 
-def _row_prints(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
-    """The rows with the print of each set; a text without a word has none."""
-    for batch in batches:
-        prints = []
-        for _, _, data, offsets in rounds(batch):
-            prints += [_print(s) if len(s) else None for s in _sets(Units(_lowered(data, threshold.lower), offsets), threshold)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], [*batch.schema.names, "_print"])
+def _round_sets(data: np.ndarray, offsets: np.ndarray, threshold: Threshold) -> list[np.ndarray]:
+    if threshold.lower:
+        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    return _sets(Units(data, offsets), threshold)
 
 
 def _prints(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, prints = [], []
-        for _, _, data, offsets in rounds(batch):
-            for s in _sets(Units(_lowered(data, threshold.lower), offsets), threshold):
-                sizes.append(len(s))
-                prints.append(_print(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())], ["id", "n", "print"])
-
-
-def _band_hashes(hashes: np.ndarray, threshold: Threshold) -> list[np.ndarray]:
-    own, out = threshold.size_class(len(hashes)), []
-    for of in (own, own + 1):
-        bands, differing = threshold.bands(of), threshold.differing(of)
-        for dealing in range(DEALINGS) if bands else ():
-            salt = np.uint64(((of << 8) + dealing + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-            dealt = mixed(hashes ^ salt)
-            band = ((dealt >> np.uint64(32)) * np.uint64(bands) >> np.uint64(32)).astype(np.int64)
-            total = np.zeros(bands, np.uint64)
-            np.add.at(total, band, mixed(dealt ^ MIX_2))
-            used = np.bincount(band, minlength=bands) > 0
-            enough = int(used.sum()) > differing
-            rows = np.flatnonzero(used) if enough or dealing < DEALINGS - 1 else np.arange(bands)
-            out.append(mixed(total[rows] ^ mixed(rows.astype(np.uint64) * MIX_1 + salt)))
-            if enough:
+        for a, b, data, offsets in rounds(batch):
+            sizes, prints = _prints_of(_round_sets(data, offsets, threshold))
+            own = batch.slice(a, b - a)
+            print_ = pa.array(prints, mask=sizes == 0)
+            yield pa.RecordBatch.from_arrays([own.column("id"), own.column("th"), pa.array(sizes), print_], ["id", "th", "n", "print"])
+
+
+def _band_hashes(sets: list[np.ndarray], threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """The set (its place) and the hash of each band that is given out."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    all_hashes, stop = np.concatenate(sets), np.cumsum(sizes)
+    place, out = [], []
+    own = threshold.size_class(sizes)
+    for of in np.unique(np.concatenate([own, own + 1])).tolist():
+        m, d = threshold.bands(of), threshold.differing(of)
+        which = np.flatnonzero((own == of) | (own == of - 1)) if m else np.zeros(0, np.int64)
+        for dealing in range(DEALINGS):
+            if not len(which):
                 break
-    return out
+            salt = np.uint64(((of << 8) + dealing + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+            n = sizes[which]
+            before = np.cumsum(n) - n
+            dealt = mixed(all_hashes[np.repeat(stop[which] - n - before, n) + np.arange(n.sum())] ^ salt)
+            band = ((dealt >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+            slot = np.repeat(np.arange(len(which)) * m, n) + band
+            total = np.zeros(len(which) * m, np.uint64)
+            np.add.at(total, slot, mixed(dealt ^ MIX_2))
+            used = (np.bincount(slot, minlength=len(which) * m) > 0).reshape(-1, m)
+            enough = used.sum(1) > d
+            if dealing == DEALINGS - 1:
+                used[~enough] = True
+            row, band = np.nonzero(used)
+            out.append(mixed(total.reshape(-1, m)[row, band] ^ mixed(band.astype(np.uint64) * MIX_1 + salt)))
+            place.append(which[row])
+            which = which[~enough]
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(place), np.concatenate(out)
 
 
 def _bands(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
+    """band and print; sets that meet in a band here are rows of a band of their own, and one of them stands for all."""
     seen: set[int] = set()  # a set that this task has given already; bounded, as it only saves work
     for batch in batches:
         for _, _, data, offsets in rounds(batch):
-            bands, prints = [], []
-            for s in _sets(Units(_lowered(data, threshold.lower), offsets), threshold):
-                if len(s) and (p := _print(s)) not in seen:
-                    if len(seen) < 200_000:
-                        seen.add(p)
-                    for h in _band_hashes(s, threshold):
-                        bands.append(h)
-                        prints.append(np.full(len(h), p))
-            if bands:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(bands)), pa.array(np.concatenate(prints))], ["band", "print"])
-
-
-def _block_sets(rows: pd.DataFrame, threshold: Threshold) -> dict[int, np.ndarray]:
-    """The sets of a block by print; rows whose text is another one's of the same id are left out."""
-    out: dict[int, np.ndarray] = {}
-    for print_, text in zip(rows["print"], rows["text"], strict=True):
-        data = np.frombuffer(text.encode(), np.uint8)
-        own = next(_sets(Units(_lowered(data, threshold.lower), np.array([0, len(data)])), threshold))
-        if print_ not in out and _print(own) == print_:
-            out[print_] = own
-    return out
+            sets = _round_sets(data, offsets, threshold)
+            sizes, prints = _prints_of(sets)
+            new = {p: d for d, p in enumerate(prints.tolist()) if sizes[d] and p not in seen}
+            if len(seen) < 200_000:
+                seen.update(new)
+            if not new:
+                continue
+            place, bands = _band_hashes([sets[d] for d in new.values()], threshold)
+            owner = np.array(list(new), np.int64)[place]
+            order = np.argsort(bands, kind="stable")
+            bands, owner = bands[order], owner[order]
+            fresh = np.append(True, bands[1:] != bands[:-1])[: len(bands)]
+            stands = owner[fresh][np.cumsum(fresh) - 1]
+            met = np.unique(np.stack([stands, owner])[:, ~fresh], axis=1)
+            met = met[:, met[0] != met[1]]
+            pair = mixed(met[0].view(np.uint64) * MIX_1 ^ mixed(met[1].view(np.uint64) ^ MIX_2))
+            band = np.concatenate([bands[fresh], pair, pair])
+            if len(band):
+                yield pa.RecordBatch.from_arrays([signed(band), pa.array(np.concatenate([owner[fresh], met[0], met[1]]))], ["band", "print"])
+
+
+def _gathered(columns: np.ndarray, index: np.ndarray, holder: np.ndarray) -> np.ndarray:
+    """The rows that hold each of these columns, one after the other."""
+    n = index[columns + 1] - index[columns]
+    before = np.cumsum(n) - n
+    return holder[np.repeat(index[columns] - before, n) + np.arange(n.sum())]
 
 
 def _multiplied(rows: pd.DataFrame, threshold: Threshold) -> pd.DataFrame:
-    """Links that connect all linked rows of the block: a search over rows of the product."""
-    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    by_print, num, den = _block_sets(rows, threshold), threshold.num, threshold.den
-    if len(by_print) < 2:
-        return none
-    prints, sets = np.array(list(by_print)), list(by_print.values())
+    """Links between rows of different ``label`` that connect all such rows which link; those with ``search`` are
+    compared with all rows, and others with them alone."""
+    num, den = threshold.num, threshold.den
+    data = [t.encode() for t in rows["text"]]
+    offsets = np.append(0, np.cumsum([len(x) for x in data]))
+    sets = _round_sets(np.frombuffer(b"".join(data), np.uint8), offsets, threshold)
+    prints, search = rows["print"].to_numpy(), rows["search"].to_numpy(bool)
     sizes = np.array([len(s) for s in sets])
     columns, column = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.append(0, np.cumsum(sizes))
     holder = np.repeat(np.arange(len(sets)), sizes)[np.argsort(column, kind="stable")]
-    index = np.append(0, np.cumsum(np.bincount(column, minlength=len(columns))))
-    height = np.diff(index)
-    waiting = np.ones(len(sets), bool)
+    height = np.bincount(column, minlength=len(columns))
+    index = np.append(0, np.cumsum(height))
+    _, label = np.unique(rows["label"].to_numpy(), return_inverse=True)
+    waiting = np.ones(len(sets), bool)  # not searched itself yet
     a, b = [], []
-    for root in range(len(sets)):
-        if not waiting[root]:
+    for row in np.flatnonzero(search).tolist():
+        waiting[row] = False
+        n, own = sizes[row], column[starts[row] : starts[row + 1]]
+        may = waiting & (label != label[row]) & (sizes * den >= n * num) & (sizes * num <= n * den)
+        if not may.any():
             continue
-        waiting[root] = False
-        todo = [root]
-        while todo and waiting.any():
-            row = todo.pop()
-            n = sizes[row]
-            own = column[starts[row] : starts[row + 1]]
-            # A linked row has one of these columns: all but so many as the overlap needs, the rarest first.
-            own = own[np.argsort(height[own], kind="stable")]
-            need = -(-num * n // den)
-            lead, rest = own[: n - need + 1], own[n - need + 1 :]
-            near = np.unique(np.concatenate([holder[index[c] : index[c + 1]] for c in lead]))
-            near = near[waiting[near]]
-            near = near[(sizes[near] * den >= n * num) & (sizes[near] * num <= n * den)]
-            if not len(near):
-                continue
-            overlap = np.zeros(len(sets), np.int64)
-            for c in (*lead, *rest):
-                overlap[holder[index[c] : index[c + 1]]] += 1
-            near = near[den * overlap[near] >= num * (n + sizes[near] - overlap[near])]
-            waiting[near] = False
-            todo += near.tolist()
-            a += [prints[row]] * len(near)
-            b += prints[near].tolist()
-    return pd.DataFrame({"a": a, "b": b}) if a else none
+        # A linked row has one of these columns: all but so many as the overlap needs, the rarest first.
+        lead = own[np.argsort(height[own], kind="stable")[: n - -(-num * n // den) + 1]]
+        near = np.unique(_gathered(lead, index, holder))
+        near = near[may[near]]
+        if not len(near):
+            continue
+        overlap = np.bincount(_gathered(own, index, holder), minlength=len(sets))[near]
+        near = near[den * overlap >= num * (n + sizes[near] - overlap)]
+        _, one = np.unique(label[near], return_index=True)
+        near = near[one]
+        label[np.isin(label, label[near])] = label[row]
+        a += [prints[row]] * len(near)
+        b += prints[near].tolist()
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
 def propagated(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
@@ -232,51 +264,115 @@ def propagated(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
     raise RuntimeError(f"edges are left after {most} rounds")
 
 
+def _tiles(rows: DataFrame, tile: int) -> DataFrame:
+    """The number of tiles of each block, from its rows and their sizes."""
+    rows_, entries = F.count(F.lit(1)) / tile, F.sum("n") / ENTRIES
+    return rows.groupBy("block").agg(F.ceil(F.greatest(rows_, entries)).cast("int").alias("tiles"))
+
+
+def _own(tiles: str = "tiles") -> Column:
+    return F.pmod(F.xxhash64("print"), F.col(tiles)).cast("int")
+
+
+def _links(rows: DataFrame, by: list[str], threshold: Threshold) -> DataFrame:
+    return rows.select(*by, "print", "text", "label", "search").groupBy(*by).applyInPandas(lambda x: _multiplied(x, threshold), LINKS)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows with the least print of their class so far."""
+    known = labels.select(F.col("node").alias("print"), F.col("label").alias("to"))
+    return rows.drop("label").join(known, "print", "left").withColumn("label", F.coalesce("to", "print")).drop("to")
+
+
+def _found(full: DataFrame, threshold: Threshold, tile: int) -> DataFrame:
+    """node and label of all rows (block, print, n, text) that link to others."""
+    dealt = full.join(_tiles(full, tile), "block").withColumns({"own": _own(), "label": F.col("print"), "search": F.lit(True)})
+    links = written(_links(dealt, ["block", "own"], threshold), "jaccard-links")
+    labels = propagated(links, "jaccard-classes")
+    wide = dealt.where("tiles > 1")
+    if wide.isEmpty():
+        return labels
+    # The least row of each class of each tile against those of the other tiles.
+    heads_ = _labelled(wide, labels).where("label = print")
+    pairs = _paired(heads_.drop("tiles").join(_tiles(heads_, tile), "block"))
+    links = links.unionByName(written(_links(pairs, ["block", "i", "j"], threshold), "jaccard-heads"))
+    labels = propagated(links, "jaccard-classes")
+    # What is apart still: all rows but those of the largest class, against all rows.
+    wide = _labelled(wide, labels)
+    counts = written(wide.groupBy("block", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")), "jaccard-counts")
+    largest = counts.groupBy("block").agg(F.max(F.struct("rows", "label"))["label"].alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    apart = counts.join(largest, "block").where("label != largest").groupBy("block").agg(
+        F.first("largest").alias("largest"), F.ceil(F.greatest(F.sum("rows") / tile, F.sum("n") / ENTRIES)).cast("int").alias("parts")
+    )
+    wide = written(wide.join(apart, "block").withColumn("search", F.col("label") != F.col("largest")), "jaccard-apart")
+    if wide.isEmpty():
+        return labels
+    searched = wide.where("search").select("block", _own("parts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j"), "print", "text", "label", "search", "own")
+    others = wide.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("own").alias("j"), "print", "text", "label", F.lit(False).alias("search"), _own("parts").alias("part"), F.col("search").alias("both"))
+    # A row that is searched in this part already is not there twice.
+    others = others.where("NOT (both AND part = i)").drop("part", "both")
+    links = links.unionByName(written(_links(searched.drop("own").unionByName(others), ["block", "i", "j"], threshold), "jaccard-rest"))
+    return propagated(links, "jaccard-classes")
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """The rows in each pair of tiles that their own one is part of."""
+    rows = rows.withColumn("own", _own()).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
 def _classes(docs: DataFrame, threshold: Threshold, tile: int) -> tuple[DataFrame, DataFrame]:
-    """Sets (id, n, print; one row per input row), and of each distinct one print, first (its least id) and label (its class)."""
+    """Sets (id, th, n, print; one row per input row), and of each distinct one print, first (its least row: late,
+    id and th) and label (its class)."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(key().alias("id"), F.col("text").cast("string").alias("text"))
+    texts = _texts(docs)
     sets = written(texts.mapInArrow(partial(_prints, threshold=threshold), SETS), "jaccard-sets")
-    rows = sets.where("print IS NOT NULL").groupBy("print").agg(F.min("id").alias("first"))
+    row = F.struct(F.isnull("id").alias("late"), "id", "th")
+    rows = sets.where("print IS NOT NULL").groupBy("print").agg(F.min(row).alias("first"), F.min("n").alias("n"))
 
-    bands = texts.mapInArrow(partial(_bands, threshold=threshold), BANDS)
+    bands = texts.select("text").mapInArrow(partial(_bands, threshold=threshold), BANDS)
     # One shuffle of the bands: within a band each row meets the least one, in a window that spills.
     low = F.first("print").over(Window.partitionBy("band").orderBy("print"))
     edges = bands.withColumn("low", low).where("low < print").select(F.col("low").alias("a"), F.col("print").alias("b")).distinct()
-    blocks = propagated(edges, "jaccard-blocks").withColumnRenamed("label", "block")
+    blocks = propagated(edges, "jaccard-blocks").select(F.col("node").alias("print"), F.col("label").alias("block"))
 
-    held = written(blocks.withColumnRenamed("node", "print").join(rows, "print").select("print", "block", F.col("first").alias("id")), "jaccard-rows")
+    held = written(blocks.join(rows, "print").select("print", "block", "n", F.col("first.id").alias("own_id"), F.col("first.th").alias("own_th")), "jaccard-rows")
     # Always by a sorted merge: a broadcast would hold for small inputs alone. Texts travel, as their sets are larger.
-    # A null text has no set, though another row of its id can be in a block.
-    full = texts.where("text IS NOT NULL").join(held.hint("merge"), "id").select("print", "block", "text")
-    tiles = held.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    dealt = full.join(tiles, "block").withColumn("own", F.pmod(F.xxhash64("print"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "print", "text")
-    links = dealt.groupBy("block", "i", "j").applyInPandas(lambda x: _multiplied(x, threshold), LINKS)
-    found = propagated(written(links, "jaccard-links"), "jaccard-classes")
-
+    met = (F.col("th") == F.col("own_th")) & F.col("id").eqNullSafe(F.col("own_id"))
+    full = texts.where("text IS NOT NULL").join(held.hint("merge"), met).select("block", "print", "n", "text")
+    full = written(full.dropDuplicates(["print"]), "jaccard-texts")  # a row may be there many times
+    found = _found(full, threshold, tile)
     return sets, rows.join(found.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("label", "print").alias("label"))
 
 
 def linked(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, lower: bool = True, tile: int = TILE) -> DataFrame:
-    """id (doc_id, a null one as the largest long), n_shingles and component_id, one row per input row."""
+    """id (doc_id), n_shingles and component_id, one row per input row; null where a class has null ids alone."""
     sets, classes = _classes(docs, Threshold(words, num, den, lower), tile)
-    heads = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = classes.join(heads, "label").select("print", "component_id")
-    return sets.join(classes, "print", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    heads_ = classes.groupBy("label").agg(F.min("first").alias("head"))
+    classes = classes.join(heads_, "label").select("print", F.col("head.id").alias("component_id"))
+    component = F.when(F.isnull("print"), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+    return sets.join(classes, "print", "left").select("id", F.col("n").alias("n_shingles"), component)
 
 
 def heads(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, lower: bool = True, tile: int = TILE) -> DataFrame:
-    """Exactly one row of ``docs`` of each class, one of least doc_id; rows whose text has no word all stay."""
-    threshold = Threshold(words, num, den, lower)
-    _, classes = _classes(docs, threshold, tile)
-    first = classes.groupBy("label").agg(F.min(F.struct("first", "print")).alias("head")).select(F.col("head.first").alias("_key"), F.col("head.print").alias("_print"))
-    schema = StructType([*docs.schema.fields]).add("_print", LongType())
-    rows = docs.mapInArrow(partial(_row_prints, threshold=threshold), schema).withColumn("_key", key())
-    # Rows of one doc_id can have equal sets: the one of least text stays.
-    nth = F.row_number().over(Window.partitionBy("_key", "_print").orderBy("text", F.xxhash64(*docs.columns)))
-    one = rows.join(first, ["_key", "_print"], "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
-    wordless = F.coalesce(F.btrim("text", F.lit(SPACES)), F.lit("")) == ""
-    return one.unionByName(docs.where(wordless))
+    """Exactly one row of ``docs`` of each class, one of least doc_id (of several the one whose text has the least
+    hash, and of repeated ones one); rows whose text has no word all stay."""
+    _, classes = _classes(docs, Threshold(words, num, den, lower), tile)
+    first = written(classes.groupBy("label").agg(F.min("first").alias("head")).select("head.id", "head.th"), "jaccard-kept")
+    text = F.col("text").cast("string")
+    # Names of the input stay within a struct, so that none can clash with these.
+    rows = docs.select(F.struct(*[docs[_quoted(c)] for c in docs.columns]).alias("row"), F.xxhash64(text).alias("row_th"), F.col("doc_id").cast("long").alias("row_id"), F.coalesce(F.btrim(text, F.lit(SPACES)), F.lit("")).alias("words"))
+    met = (F.col("row_th") == F.col("th")) & F.col("row_id").eqNullSafe(F.col("id"))
+    one = rows.where("words != ''").drop("words").join(first.hint("merge"), met, "left_semi")
+    one = one.groupBy("row_id", "row_th").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return one.unionByName(rows.where("words = ''").select("row")).select("row.*")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
