@@ -275,7 +275,10 @@ def _own(tiles: str = "tiles") -> Column:
 
 
 def _links(rows: DataFrame, by: list[str], threshold: Threshold) -> DataFrame:
-    return rows.select(*by, "print", "text", "label", "search").groupBy(*by).applyInPandas(lambda x: _multiplied(x, threshold), LINKS)
+    """Products of the groups of rows that agree in ``by``. They are grouped by a hash of it: rows that lie by block
+    already would otherwise stay so, and all tiles of a block be worked on by one task. Groups of equal hash are one."""
+    rows = rows.select(F.xxhash64(*by).alias("group"), "print", "text", "label", "search")
+    return rows.groupBy("group").applyInPandas(lambda x: _multiplied(x, threshold), LINKS)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
