@@ -75,6 +75,22 @@ def test_equals_all_pairs(spark):
         assert len({r[2] for r in want}) < len(rows)
 
 
+def test_columns_of_many_rows_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    for seed, more in ((11, {}), (12, {"words": 5, "num": 80, "den": 100})):
+        rows = near_copies(random.Random(seed), 150, 120, [f"w{k}" for k in range(300)])
+        assert found(docs(spark, rows), **more) == expected(rows, more.get("words", 3), more.get("num", 90), more.get("den", 100))
+
+
+def test_leading_columns_are_shared_by_all_that_link():
+    import numpy as np
+
+    for num in (90, 80, 67):
+        t = jaccard.Threshold(3, num, 100, True)
+        n = np.arange(1, 3000)
+        assert (t.lead(n) == n - np.ceil(n * num / 100 - 1e-9) + 1).all() and (t.lead(n) >= 1).all()
+
+
 def test_tiles_lose_no_link(spark):
     rows = near_copies(random.Random(9), 120, 60, [f"w{k}" for k in range(500)])
     assert found(docs(spark, rows), tile=3) == expected(rows)

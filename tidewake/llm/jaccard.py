@@ -5,24 +5,30 @@ of A times its transpose, their overlap, reaches the threshold's share of their
 taken in blocks only:
 
 1. Documents of equal sets become one row (a 64-bit fingerprint with the size). Only distinct rows go on.
-2. Size-derived bounds: a linked pair's sizes differ by the threshold at most, and so do its sets by a
-   share of both sizes, at most D elements. Columns are dealt by hash into more than D bands, so a linked pair
-   is equal in at least one band. Sizes are cut into classes so that a pair lies in one or in two adjacent
-   ones, and each row gives a hash of each of its bands for both. A band in which a row has no
-   column says nothing and is left out; that is safe while at least D + 1 bands of the row are in use. The number of
-   bands is chosen so that the smallest sets of a class nearly always use enough; a row with
-   fewer uses the next of several dealings too, and after the last its empty bands count.
-   Rows of one Arrow batch that meet in a band are combined before the shuffle, so a band that very many
-   rows have brings one row a batch.
-3. Rows with equal bands are joined to blocks (connected through equal bands), and blocks are dealt into tiles of
+2. Columns are put in an order, rare ones first: a table of counts by the leading bits of the column's hash, of fixed
+   size and summed over all documents, says how common a column can be. (The order decides the work alone; results are
+   the same with any.) Of each row so many leading columns are given out that two linked rows have one of them in
+   common: all but as many as their overlap needs.
+3. The product of these leading parts: in each column the rows are paired, and each pair's columns in common are
+   summed. From both sizes follows how much of its leading part a row can miss; pairs below that bound, or of too
+   different sizes, are discarded. A column of more than ``HOT`` rows isn't paired; its rows are left over.
+   As a linked pair with a row that isn't left over has a leading column of that row in common, only links between two
+   rows that are left over are open.
+4. Those come from bands: a linked pair's sets differ by a share of both sizes, at most D elements. Columns are dealt by
+   hash into more than D bands, so the pair is equal in at least one. Sizes are cut into classes so that a pair lies in one
+   or in two adjacent ones, and each row gives a hash of each of its bands for both. A band in which a row has no
+   column says nothing and is left out; that is safe while at least D + 1 bands of the row are in use. A row with
+   fewer uses the next of several dealings too, and after the last its empty bands count. Rows of one Arrow batch
+   that meet in a band are combined before the shuffle, so a band that very many rows have brings one row a batch.
+5. Rows that are paired or have equal bands are joined to blocks, and blocks are dealt into tiles of
    bounded rows and columns. In each tile the sparse product is computed row by row over an inverted
    index: the overlap of a row with all others is accumulated column by column, and pairs outside the size bound
    are discarded. Rows that are known to be connected aren't compared again.
-4. Blocks of one tile are done then. Of others the least row of each class found so far is multiplied with
+6. Blocks of one tile are done then. Of others the least row of each class found so far is multiplied with
    those of the other tiles; what is still apart after that, all rows but those of the block's largest class, is
    multiplied with all rows of the block, tile by tile. A large group of near copies thus costs each row one or two
    products, and no pair of rows of two classes is left uncompared.
-5. Links found become classes by rounds of contraction: nodes go over to their least neighbours, in tables.
+7. Links found become classes by rounds of contraction: nodes go over to their least neighbours, in tables.
 
 Cases: a null or empty text, or one without words, has no set and stands alone; with fewer words than n
 the whole sequence is one n-gram; a very long text is a round of its own; repeated rows are equal sets, and rows are
@@ -34,6 +40,7 @@ an empty result. The parameter ``most`` of ``propagated`` ends a run with an err
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -52,7 +59,11 @@ DEALINGS = 3
 #: Rows, and entries of the matrix, that a tile holds on average.
 TILE, ENTRIES = 512, 1 << 19
 
-SETS = "id long, th long, n long, print long"
+#: Cells of the table of counts (2 ** CELL_BITS), how many of them make a row of it, and rows of a column that are still paired.
+CELL_BITS, CHUNK, HOT = 20, 1 << 16, 32
+
+SETS = "id long, th long, n long, print long, chunk int, cells binary"
+COLUMNS = "column long, print long, n int"
 BANDS = "band long, print long"
 LINKS = "a long, b long"
 
@@ -78,6 +89,10 @@ class Threshold:
         most = int(self.edges[of + 1]) - 1
         return 2 * most * (self.den - self.num) // (self.den + self.num)
 
+    def lead(self, n: np.ndarray) -> np.ndarray:
+        """Columns of which a row of this size shares one with each that it links to: all but the overlap, and one."""
+        return n + (-n * self.num) // self.den + 1
+
     @functools.cached_property
     def _bands(self) -> dict[int, int]:
         return {}
@@ -123,13 +138,62 @@ def _round_sets(data: np.ndarray, offsets: np.ndarray, threshold: Threshold) ->
     return _sets(Units(data, offsets), threshold)
 
 
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
 def _prints(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and at the end the task's counts of columns by cell, in chunks."""
+    names, counts = [x.split()[0] for x in SETS.split(", ")], np.zeros(1 << CELL_BITS, np.uint32)
     for batch in batches:
         for a, b, data, offsets in rounds(batch):
-            sizes, prints = _prints_of(_round_sets(data, offsets, threshold))
+            sets = _round_sets(data, offsets, threshold)
+            sizes, prints = _prints_of(sets)
+            counts += np.bincount(_cells(np.concatenate(sets)), minlength=len(counts)).astype(np.uint32)
             own = batch.slice(a, b - a)
-            print_ = pa.array(prints, mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([own.column("id"), own.column("th"), pa.array(sizes), print_], ["id", "th", "n", "print"])
+            none = [pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())]
+            yield pa.RecordBatch.from_arrays([own.column("id"), own.column("th"), pa.array(sizes), pa.array(prints, mask=sizes == 0), *none], names)
+    chunks = counts.reshape(-1, CHUNK)
+    some = np.flatnonzero(chunks.any(1))
+    none = [pa.nulls(len(some), pa.int64())] * 4
+    packed = pa.array([zlib.compress(chunks[k].tobytes(), 1) for k in some], pa.binary())
+    yield pa.RecordBatch.from_arrays([*none, pa.array(some.astype(np.int32)), packed], names)
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in rows["cells"])
+    return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "cells": [zlib.compress(total.astype("<u8").tobytes(), 1)]})
+
+
+def _cell_ranks(sets: DataFrame) -> bytes:
+    """The place of each cell in the order of their counts; of a fixed size, whatever the input's."""
+    # A task's chunk counts occurrences in fewer than 2 ** 32 documents; sums are wider.
+    summed = sets.where("chunk IS NOT NULL").select("chunk", "cells").groupBy("chunk").applyInPandas(_summed, "chunk int, cells binary")
+    counts = np.zeros((1 << CELL_BITS) // CHUNK * CHUNK, np.uint64).reshape(-1, CHUNK)
+    for row in summed.collect():  # one for each chunk
+        counts[row["chunk"]] = np.frombuffer(zlib.decompress(row["cells"]), "<u8")
+    ranks = np.empty(1 << CELL_BITS, np.uint32)
+    ranks[np.argsort(counts.ravel(), kind="stable")] = np.arange(1 << CELL_BITS, dtype=np.uint32)
+    return ranks.tobytes()
+
+
+def _leading(batches: Iterator[pa.RecordBatch], threshold: Threshold, ranks: bytes) -> Iterator[pa.RecordBatch]:
+    """The leading columns of each distinct set."""
+    rank, seen = np.frombuffer(ranks, np.uint32), set()  # bounded, as it only saves work
+    for batch in batches:
+        for _, _, data, offsets in rounds(batch):
+            sets = _round_sets(data, offsets, threshold)
+            sizes, prints = _prints_of(sets)
+            new = {p: d for d, p in enumerate(prints.tolist()) if sizes[d] and p not in seen}
+            if len(seen) < 200_000:
+                seen.update(new)
+            if not new:
+                continue
+            own = np.array(list(new.values()))
+            n = sizes[own]
+            lead = threshold.lead(n)
+            first = [sets[d][np.argsort(rank[_cells(sets[d])], kind="stable")[:q]] for d, q in zip(own.tolist(), lead.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate(first)), pa.array(np.repeat(prints[own], lead)), pa.array(np.repeat(n, lead).astype(np.int32))], ["column", "print", "n"])
 
 
 def _band_hashes(sets: list[np.ndarray], threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
@@ -329,27 +393,59 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+def _paired_columns(leading: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of rows that can link by what their leading columns say, and the rows (print) that are left over."""
+    num, den = threshold.num, threshold.den
+    nth = F.row_number().over(Window.partitionBy("column").orderBy("print"))
+    # Members of a column stand in parts of bounded size: the first holds all of them, unless the column is hot.
+    parts = leading.repartition("column").dropDuplicates(["column", "print"]).withColumn("part", F.floor((nth - 1) / (HOT + 1)))
+    parts = parts.groupBy("column", "part").agg(F.sort_array(F.collect_list(F.struct("print", "n"))).alias("rows"))
+    parts = written(parts.where("part > 0 OR size(rows) > 1").drop("column"), "jaccard-columns")
+    hot = F.expr(f"part > 0 OR size(rows) > {HOT}")
+    over = written(parts.where(hot).select(F.explode("rows.print").alias("print")).distinct(), "jaccard-over")
+    one = parts.where(~hot).select("rows", F.posexplode("rows").alias("k", "x"))
+    two = one.select("x", F.explode(F.slice("rows", F.col("k") + 2, F.lit(HOT))).alias("y")).select(F.col("x.print").alias("a"), F.col("y.print").alias("b"), F.col("x.n").cast("long").alias("na"), F.col("y.n").cast("long").alias("nb"))
+    near = two.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
+    met = near.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
+    overlap = F.expr(f"({num} * (na + nb) + {num + den - 1}) div {num + den}")
+
+    def least(n: str) -> Column:
+        """How many columns of its leading part a row must share: it can miss no more than its size less the overlap."""
+        return F.expr(f"{n} - ({num} * {n} + {den - 1}) div {den} + 1") - (F.col(n) - overlap)
+
+    return met.where(F.col("both") >= F.least(least("na"), least("nb"))).select("a", "b"), over
+
+
+def _own_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows (print, first and more) with the texts that they stand for, once each."""
+    held = rows.withColumns({"own_id": F.col("first.id"), "own_th": F.col("first.th")}).drop("first")
+    # Always by a sorted merge: a broadcast would hold for small inputs alone. Texts travel, as their sets are larger.
+    met = (F.col("th") == F.col("own_th")) & F.col("id").eqNullSafe(F.col("own_id"))
+    found = texts.where("text IS NOT NULL").join(held.hint("merge"), met).drop("id", "th", "own_id", "own_th")
+    return found.dropDuplicates(["print"])  # a row may be there many times
+
+
 def _classes(docs: DataFrame, threshold: Threshold, tile: int) -> tuple[DataFrame, DataFrame]:
     """Sets (id, th, n, print; one row per input row), and of each distinct one print, first (its least row: late,
     id and th) and label (its class)."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = _texts(docs)
-    sets = written(texts.mapInArrow(partial(_prints, threshold=threshold), SETS), "jaccard-sets")
+    all_ = written(texts.mapInArrow(partial(_prints, threshold=threshold), SETS), "jaccard-sets")
+    sets = all_.where("chunk IS NULL").select("id", "th", "n", "print")
     row = F.struct(F.isnull("id").alias("late"), "id", "th")
     rows = sets.where("print IS NOT NULL").groupBy("print").agg(F.min(row).alias("first"), F.min("n").alias("n"))
 
-    bands = texts.select("text").mapInArrow(partial(_bands, threshold=threshold), BANDS)
+    leading = texts.select("text").mapInArrow(partial(_leading, threshold=threshold, ranks=_cell_ranks(all_)), COLUMNS)
+    pairs, over = _paired_columns(leading, threshold)
+    left = written(_own_texts(texts, rows.join(over, "print", "left_semi")).select("text"), "jaccard-left-over")
+    bands = left.mapInArrow(partial(_bands, threshold=threshold), BANDS)
     # One shuffle of the bands: within a band each row meets the least one, in a window that spills.
     low = F.first("print").over(Window.partitionBy("band").orderBy("print"))
     edges = bands.withColumn("low", low).where("low < print").select(F.col("low").alias("a"), F.col("print").alias("b")).distinct()
-    blocks = propagated(edges, "jaccard-blocks").select(F.col("node").alias("print"), F.col("label").alias("block"))
+    blocks = propagated(pairs.unionByName(edges), "jaccard-blocks").select(F.col("node").alias("print"), F.col("label").alias("block"))
 
-    held = written(blocks.join(rows, "print").select("print", "block", "n", F.col("first.id").alias("own_id"), F.col("first.th").alias("own_th")), "jaccard-rows")
-    # Always by a sorted merge: a broadcast would hold for small inputs alone. Texts travel, as their sets are larger.
-    met = (F.col("th") == F.col("own_th")) & F.col("id").eqNullSafe(F.col("own_id"))
-    full = texts.where("text IS NOT NULL").join(held.hint("merge"), met).select("block", "print", "n", "text")
-    full = written(full.dropDuplicates(["print"]), "jaccard-texts")  # a row may be there many times
+    full = written(_own_texts(texts, rows.join(blocks, "print")).select("block", "print", "n", "text"), "jaccard-texts")
     found = _found(full, threshold, tile)
     return sets, rows.join(found.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("label", "print").alias("label"))
 
