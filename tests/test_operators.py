@@ -196,3 +196,38 @@ def test_record_files(spark):
     assert spark.read.parquet(path).count() == 5
     records.write_batches(spark.range(5).withColumn("nth", F.col("id")), f"{folder}/batches", 2)
     assert spark.read.json(f"{folder}/batches").groupBy("batch").count().count() == 3
+
+
+def test_the_normal_tail_equals_erfc_far_out(spark):
+    import math
+
+    from tidewake.functions.stats import normal_tail
+
+    zs = [0.0, 0.1, 0.5, 0.66, 0.67, 1.0, 1.96, 3.0, 5.0, 5.7, 6.0, 8.0, 12.0, -2.5, 30.0]
+    df = spark.createDataFrame([(z,) for z in zs], "z double").select("z", normal_tail(F.col("z")).alias("p"))
+    for r in df.collect():
+        assert math.isclose(r.p, math.erfc(abs(r.z) / math.sqrt(2)), rel_tol=1e-11)
+
+
+def test_chunks_never_exceed_their_cap(spark):
+    rng = np.random.default_rng(3)
+    days = rng.integers(0, 400, 3000).tolist() + [77] * 90
+    df = spark.createDataFrame([(1, d) for d in days], "p int, d int")
+    got = sorted((r.low, r.high, r.n) for r in fr.range_chunks(df, F.col("d"), F.col("p"), 60).collect())
+    assert sum(n for _, _, n in got) == len(days) and all(a[1] < b[0] for a, b in zip(got, got[1:], strict=False))
+    assert all(n <= 60 or low == high == 77 for low, high, n in got)
+    assert all(n == sum(low <= d <= high for d in days) for low, high, n in got)
+
+
+def test_repeated_keys_on_the_right_are_refused(spark):
+    left = spark.createDataFrame([(1, 2)], "id int, a int")
+    assert fr.without_clash(left, spark.createDataFrame([(1, 5), (2, 6)], "id int, b int"), ["id"]).collect()[0].b == 5
+    with pytest.raises(Exception, match="repeats on the right"):
+        fr.without_clash(left, spark.createDataFrame([(1, 5), (1, 5)], "id int, b int"), ["id"]).collect()
+
+
+def test_dealing_anew_keeps_each_groups_outcomes(spark):
+    df = spark.createDataFrame([(k, k % 3, k % 2) for k in range(60)], "event_id long, sender int, y int")
+    out = con.permuted(df, "s").collect()
+    assert len(out) == 60 and sorted((r.sender, r.y) for r in out) == sorted((k % 3, k % 2) for k in range(60))
+    assert [r.y for r in sorted(out, key=lambda r: r.event_id)] != [k % 2 for k in range(60)]

@@ -39,13 +39,13 @@ def hold(checks: DataFrame) -> None:
         raise ValueError(f"invariants are broken: {bad}")
 
 
-def overlaid(parts: list[DataFrame], key: str = "id") -> DataFrame:
-    """Result sets one over the other: of an id in several, the last set's row."""
+def overlaid(parts: list[DataFrame], key: str = "id", first_wins: bool = False) -> DataFrame:
+    """Result sets one over the other: of an id in several, the last set's row, or the first's."""
     both = None
     for k, part in enumerate(parts):
         one = part.withColumn("_set", F.lit(k))
         both = one if both is None else both.unionByName(one)
-    last = Window.partitionBy(key).orderBy(F.desc("_set"))
+    last = Window.partitionBy(key).orderBy("_set" if first_wins else F.desc("_set"))
     return both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_set")
 
 
@@ -70,6 +70,62 @@ def kappas(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
     )
 
 
+def rating_agreement(a: DataFrame, b: DataFrame, key: str, scales: list[str], flags: list[str] = (), top: int = 4) -> DataFrame:
+    """Two passes over the same items, by dimension: exact, within one and top-box agreement, kappa of the top box, its
+    rate in each pass, r, and a verdict on kappa. Flags have no within-one and no r."""
+    both = a.select(key, *[F.col(c).alias(f"{c}_a") for c in (*scales, *flags)]).join(b.select(key, *[F.col(c).alias(f"{c}_b") for c in (*scales, *flags)]), key)
+    scale = lambda c, k: F.col(f"{c}_{k}").cast("double").alias(k)
+    rows = [F.struct(F.lit(c).alias("dimension"), F.lit(True).alias("scaled"), scale(c, "a"), scale(c, "b"), (F.col(f"{c}_a") >= top).alias("top_a"), (F.col(f"{c}_b") >= top).alias("top_b")) for c in scales]
+    rows += [F.struct(F.lit(c).alias("dimension"), F.lit(False).alias("scaled"), scale(c, "a"), scale(c, "b"), F.col(f"{c}_a").cast("boolean").alias("top_a"), F.col(f"{c}_b").cast("boolean").alias("top_b")) for c in flags]
+    known = both.select(F.inline(F.array(*rows))).where("a IS NOT NULL AND b IS NOT NULL")
+    x, y, share = F.col("a"), F.col("b"), lambda c: F.avg(c.cast("int"))
+    out = known.groupBy("dimension").agg(
+        F.count(F.lit(1)).alias("n"), share(x == y).alias("exact"), F.avg(F.when(F.col("scaled"), (F.abs(x - y) <= 1).cast("int"))).alias("within_one"),
+        share(F.col("top_a") == F.col("top_b")).alias("top_agree"), F.count_if(F.col("top_a") & F.col("top_b")).alias("_yy"), F.count_if("top_a").alias("_na"), F.count_if("top_b").alias("_nb"),
+        F.corr(F.when(F.col("scaled"), x), F.when(F.col("scaled"), y)).alias("r"),
+    )
+    out = out.withColumn("kappa", kappa(F.col("_yy"), F.col("_na"), F.col("_nb"), F.col("n")))
+    verdict = F.when(F.col("kappa").isNull(), "unknown").when(F.col("kappa") < 0.4, "flagged").when(F.col("kappa") < 0.6, "moderate").otherwise("good")
+    return out.select("dimension", "n", "exact", "within_one", "top_agree", "kappa", (F.col("_na") / F.col("n")).alias("rate_a"), (F.col("_nb") / F.col("n")).alias("rate_b"), "r", verdict.alias("verdict"))
+
+
+def self_against_cross(self_: DataFrame, cross: DataFrame) -> DataFrame:
+    """Kappa of a rater with itself and with another, and what is lost between them."""
+    a, b = self_.select("dimension", F.col("kappa").alias("kappa_self")), cross.select("dimension", F.col("kappa").alias("kappa_cross"))
+    return a.join(b, "dimension").withColumn("lost", F.col("kappa_self") - F.col("kappa_cross"))
+
+
+def mapped(labels: DataFrame, column: str, meaning: dict[str, bool | None]) -> DataFrame:
+    """``mapped``: what a category of one pass means in terms of another; null where it can't tell, and where unknown."""
+    pairs = [x for k, v in meaning.items() if v is not None for x in (F.lit(k), F.lit(v))]
+    return labels.withColumn("mapped", F.try_element_at(F.create_map(*pairs), F.col(column)))
+
+
+def levels(rows: DataFrame, by: str, score: str) -> DataFrame:
+    """Counts, shares and the mean of a score by class."""
+    counts = rows.where(F.col(score).isNotNull()).groupBy(by, score).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(by)  # over levels, not rows
+    n = F.sum("n").over(whole)
+    return counts.select(by, score, "n", (F.col("n") / n).alias("share"), (F.sum(F.col(score) * F.col("n")).over(whole) / n).alias("mean"))
+
+
+def aligned(parts: dict[str, DataFrame], key: str) -> DataFrame:
+    """Several one-column series (key, value) side by side; keys that any of them lacks are left out."""
+    long = None
+    for name, part in parts.items():
+        one = part.select(key, F.lit(name).alias("_name"), F.col([c for c in part.columns if c != key][0]).cast("double").alias("_value"))
+        long = one if long is None else long.unionByName(one)
+    out = long.groupBy(key).agg(*[F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in parts])
+    return out.dropna()
+
+
+def manifest(df: DataFrame, key: str, expected: DataFrame, **run: str) -> DataFrame:
+    """One row on a result: the run's parameters, rows, distinct keys and how many of the expected keys are not there."""
+    gaps = expected.select(key).distinct().join(df.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("n_gaps"))
+    one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_keys"))
+    return one.join(gaps).select(*[F.lit(v).alias(k) for k, v in run.items()], "n_rows", "n_keys", "n_gaps")  # one row each
+
+
 def weighted_kappa(rows: DataFrame, a: str, b: str, levels: int) -> DataFrame:
     """Quadratic-weighted kappa of two ratings from 0 to levels - 1, with agreement within one and the mean signed difference."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")

@@ -27,11 +27,22 @@ def subjects_match(reply: Column, touches: Column) -> Column:
     return F.coalesce((reply != "") & F.exists(touches, tied), F.lit(False))
 
 
+def _near(heads: DataFrame, responses: DataFrame, width_us: int) -> DataFrame:
+    """(head, response) rows with equal ``_on`` whose times can be within a range of ``width_us``.
+
+    Time is cut into stretches of that width, so a head's range touches two of them: the join's key is (_on, stretch),
+    and an entity of very many events never meets itself as a whole."""
+    stretch = F.floor(F.col("_low") / width_us)
+    h = heads.where("_on IS NOT NULL").withColumn("_stretch", F.explode(F.array(stretch, stretch + 1)))
+    r = responses.withColumn("_stretch", F.floor(F.col("response_us") / width_us))
+    return h.join(r, ["_on", "_stretch"]).drop("_stretch")
+
+
 def candidates(heads: DataFrame, responses: DataFrame, window_us: int, on: str, route: str, rank: int) -> DataFrame:
     """(head, response) pairs by one route: equal ``on`` and after the head up to its deadline."""
-    h = heads.select(*KEY, F.col(on).alias("_on"), F.unix_micros("ts").alias("_start"), deadline(window_us).alias("_end"))
+    h = heads.select(*KEY, F.col(on).alias("_on"), F.unix_micros("ts").alias("_low"), deadline(window_us).alias("_end"))
     r = responses.select(F.col(on).alias("_on"), F.col("event_id").alias("response_id"), F.unix_micros("ts").alias("response_us"))
-    found = h.where("_on IS NOT NULL").join(r, "_on").where("response_us > _start AND response_us <= _end")
+    found = _near(h, r, window_us).where("response_us > _low AND response_us <= _end")
     return found.select(*KEY, "response_id", "response_us", F.lit(route).alias("route"), F.lit(rank).alias("rank"))
 
 
@@ -53,12 +64,24 @@ def attributed(heads: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def looked_back(heads: DataFrame, responses: DataFrame, back_us: int) -> DataFrame:
     """Heads with a response of the entity from ``back_us`` before them up to, but not at, their time."""
-    h = heads.select(*KEY, F.unix_micros("ts").alias("_start"))
-    r = responses.select("entity", F.unix_micros("ts").alias("_at"))
-    near = h.join(r, "entity").where(f"_at >= _start - {back_us} AND _at < _start").select(*KEY).distinct()
+    h = heads.select(*KEY, F.col("entity").alias("_on"), F.unix_micros("ts").alias("_start"), (F.unix_micros("ts") - back_us).alias("_low"))
+    r = responses.select(F.col("entity").alias("_on"), F.unix_micros("ts").alias("response_us")).distinct()
+    near = _near(h, r, back_us).where("response_us >= _low AND response_us < _start").select(*KEY).distinct()
     return near.withColumn("looked_back", F.lit(True))
 
 
+def outcomes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of each head with candidates: how many, how many are labelled, whether any is by a person, whether any of those
+    shows interest, and the first time of one by a person. ``labels`` has response_id, human, interested; a candidate
+    without a label counts as no reply."""
+    found = pairs.join(labels, "response_id", "left")
+    human = F.coalesce("human", F.lit(False))
+    return found.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n_candidates"), F.count("human").alias("n_labelled"), F.bool_or(human).alias("replied"),
+        F.bool_or(human & F.coalesce("interested", F.lit(False))).alias("interested"), F.min(F.when(human, F.col("response_us"))).alias("reply_us"),
+    )
+
+
 def thread_earliest(events: DataFrame) -> DataFrame:
     """The first time of each thread, and the first known channel in it."""
     order = F.struct("ts", "event_id")

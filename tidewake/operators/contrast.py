@@ -10,10 +10,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.functions.stats import newcombe, share
+from tidewake.operators.frame import hash_part, hashed, ranked
 
 
 def long_form(frame: DataFrame, features: dict[str, str], keep: list[str]) -> DataFrame:
@@ -37,57 +38,77 @@ def two_arms(rows: DataFrame, *by: str) -> DataFrame:
 def fixed_effect(rows: DataFrame, *by: str, group: str = "sender", cluster: str = "sender", x: str = "x", y: str = "y") -> DataFrame:
     """b, se and z of x in a linear model of y with an effect for each group, errors clustered.
 
-    Both are demeaned within groups; one sum gives b and one sum over clusters its error. Null where x does not
-    vary, or where there are fewer than two groups or clusters.
+    Sums of x, y and their products by group and cluster are all that is needed: what demeaning within groups takes
+    off each product sum follows from the groups' own sums. So rows are summed before they are shuffled, and no group
+    meets in one task. Null where x does not vary, or where there are fewer than two groups or clusters.
     """
     by = by or ("feature",)
-    mean = Window.partitionBy(*by, group)
-    d = rows.select(*by, F.col(group).alias("_g"), F.col(cluster).alias("_c"),
-                    (F.col(x) - F.avg(x).over(mean)).alias("_x"), (F.col(y) - F.avg(y).over(mean)).alias("_y"))
-    # Sums over a cluster's rows are enough: the error's share of it is sum(xy) - b * sum(xx).
-    per = d.groupBy(*by, "_c").agg(
-        F.sum(F.col("_x") * F.col("_y")).alias("xy"), F.sum(F.col("_x") * F.col("_x")).alias("xx"), F.count(F.lit(1)).alias("n")
+    cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
+    cells = rows.groupBy(*by, F.col(group).alias("_g"), F.col(cluster).alias("_c")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(cx).alias("x"), F.sum(cy).alias("y"), F.sum(cx * cx).alias("xx"), F.sum(cx * cy).alias("xy")
     )
-    groups = d.groupBy(*by).agg(F.countDistinct("_g").alias("groups"))
-    whole = Window.partitionBy(*by)
-    per = per.withColumns({"b": F.sum("xy").over(whole) / F.nullif(F.sum("xx").over(whole), F.lit(0.0)), "sxx": F.sum("xx").over(whole)})
-    u = F.col("xy") - F.col("b") * F.col("xx")
-    out = per.groupBy(*by).agg(F.first("b").alias("b"), F.first("sxx").alias("sxx"), F.sum(u * u).alias("uu"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"))
-    out = out.join(groups, list(by))
+    if group == cluster:
+        cells = cells.withColumns({"mx": F.col("x") / F.col("n"), "my": F.col("y") / F.col("n")})
+    else:
+        means = cells.groupBy(*by, "_g").agg((F.sum("x") / F.sum("n")).alias("mx"), (F.sum("y") / F.sum("n")).alias("my"))
+        cells = cells.join(means, [*by, "_g"])
+    x_, y_, n_, mx, my = (F.col(c) for c in ("x", "y", "n", "mx", "my"))
+    per = cells.groupBy(*by, "_c").agg(
+        F.sum(F.col("xy") - mx * y_ - my * x_ + n_ * mx * my).alias("xy"), F.sum(F.col("xx") - 2 * mx * x_ + n_ * mx * mx).alias("xx"), F.sum("n").alias("n")
+    )
+    # A cluster's share of the error is sum(xy) - b * sum(xx); its square needs no b before the end.
+    out = per.groupBy(*by).agg(
+        F.sum("xy").alias("sxy"), F.sum("xx").alias("sxx"), F.sum(F.col("xy") * F.col("xy")).alias("uu"), F.sum(F.col("xy") * F.col("xx")).alias("uv"),
+        F.sum(F.col("xx") * F.col("xx")).alias("vv"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"),
+    )
+    out = out.join(cells.groupBy(*by).agg(F.countDistinct("_g").alias("groups")), list(by))
     g, n = F.col("clusters"), F.col("n")
     k = 1 + F.col("groups")
     fits = (g > 1) & (F.col("groups") > 1) & (F.col("sxx") > 1e-12) & (n > k)
-    se = F.sqrt(g / (g - 1) * ((n - 1) / (n - k)) * F.col("uu")) / F.col("sxx")
-    return out.select(*by, F.when(fits, F.col("b")).alias("b"), F.when(fits, se).alias("se"), F.when(fits & (se > 0), F.col("b") / se).alias("z"))
+    b = F.col("sxy") / F.nullif(F.col("sxx"), F.lit(0.0))
+    meat = F.greatest(F.lit(0.0), F.col("uu") - 2 * b * F.col("uv") + b * b * F.col("vv"))
+    se = F.sqrt(g / (g - 1) * ((n - 1) / (n - k)) * meat) / F.col("sxx")
+    return out.select(*by, F.when(fits, b).alias("b"), F.when(fits, se).alias("se"), F.when(fits & (se > 0), b / se).alias("z"))
 
 
 def fixed_effects(frame: DataFrame, columns: list[str], group: str = "sender", cluster: str = "sender", y: str = "y") -> list[tuple[str, float, float]]:
     """(column, b, se) of several regressors in one model; products of columns are made before the call.
 
-    All sums come from two aggregates (one row, and a row for each cluster of at most k values); only a
-    k x k system is solved on the driver.
+    The frame is read once, into sums of products by group and cluster, which are kept while both the coefficients
+    and their errors are worked out; only k x k numbers reach the driver.
     """
-    mean = Window.partitionBy(group)
-    d = frame.select(F.col(group).alias("_g"), F.col(cluster).alias("_c"), *[(F.col(c) - F.avg(c).over(mean)).alias(f"d{i}") for i, c in enumerate([*columns, y])])
-    k = len(columns)
+    names, k = [*columns, y], len(columns)
     pairs = [(i, j) for i in range(k) for j in range(i, k + 1)]
-    row = d.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_g").alias("s"), F.countDistinct("_c").alias("c"), *[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    gram, right = np.zeros((k, k)), np.zeros(k)
-    for i, j in pairs:
-        v = row[f"s{i}_{j}"] or 0.0
-        if j == k:
-            right[i] = v
-        else:
-            gram[i, j] = gram[j, i] = v
-    inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
-    b = inverse @ right
-    error = F.col(f"d{k}") - reduce(lambda a, c: a + c, [F.lit(float(v)) * F.col(f"d{i}") for i, v in enumerate(b)])
-    scores = d.groupBy("_c").agg(*[F.sum(F.col(f"d{i}") * error).alias(f"u{i}") for i in range(k)])
-    meat = scores.agg(*[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
-    m = np.array([[meat[f"m{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-    free = row["n"] - k - row["s"]
+    v = [F.col(c).cast("double") for c in names]
+    cells = frame.groupBy(F.col(group).alias("_g"), F.col(cluster).alias("_c")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(v[i]).alias(f"s{i}") for i in range(k + 1)], *[F.sum(v[i] * v[j]).alias(f"p{i}_{j}") for i, j in pairs]
+    )
+    cells = cells.persist()
+    means = cells.groupBy("_g").agg(*[(F.sum(f"s{i}") / F.sum("n")).alias(f"m{i}") for i in range(k + 1)])
+    m, s = ([F.col(f"{c}{i}") for i in range(k + 1)] for c in "ms")
+    demeaned = [F.sum(F.col(f"p{i}_{j}") - m[i] * s[j] - m[j] * s[i] + F.col("n") * m[i] * m[j]).alias(f"d{i}_{j}") for i, j in pairs]
+    per = cells.join(means, "_g").groupBy("_c").agg(F.sum("n").alias("n"), *demeaned)
+    try:
+        n_groups = cells.agg(F.countDistinct("_g")).first()[0]
+        row = per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"), *[F.sum(f"d{i}_{j}").alias(f"d{i}_{j}") for i, j in pairs]).first()
+        gram, right = np.zeros((k, k)), np.zeros(k)
+        for i, j in pairs:
+            value = row[f"d{i}_{j}"] or 0.0
+            if j == k:
+                right[i] = value
+            else:
+                gram[i, j] = gram[j, i] = value
+        inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
+        b = inverse @ right
+        of = lambda i, j: F.col(f"d{min(i, j)}_{max(i, j)}")
+        score = [of(i, k) - reduce(lambda a, c: a + c, [F.lit(float(b[j])) * of(i, j) for j in range(k)]) for i in range(k)]
+        found = per.agg(*[F.sum(score[i] * score[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    finally:
+        cells.unpersist()
+    meat = np.array([[found[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+    free = row["n"] - k - n_groups
     scale = row["c"] / (row["c"] - 1) * (row["n"] - 1) / free if row["c"] > 1 and free > 0 else float("nan")
-    se = np.sqrt(np.maximum(np.diag(scale * inverse @ m @ inverse), 0))
+    se = np.sqrt(np.maximum(np.diag(scale * inverse @ meat @ inverse), 0))
     return [(c, float(b[i]), float(se[i])) for i, c in enumerate(columns)]
 
 
@@ -97,12 +118,6 @@ def sign_panel(rows: DataFrame, least: int, group: str = "sender") -> DataFrame:
     return arms.groupBy("feature").agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("gap") > 0).alias("positive"))
 
 
-def normal_tail(z: Column) -> Column:
-    """Two-sided p of a standard normal, by a logistic approximation (error below 0.0002)."""
-    a = F.abs(z)
-    return 2 / (1 + F.exp(1.5976 * a + 0.070565988 * a * a * a))
-
-
 def bucket_rates(frame: DataFrame, value: str, edges: list[float], labels: list[str]) -> DataFrame:
     """Rates of y in buckets that include their upper edge; empty ones stay, values outside are left out."""
     spark = frame.sparkSession
@@ -114,11 +129,23 @@ def bucket_rates(frame: DataFrame, value: str, edges: list[float], labels: list[
     return names.join(got, "bucket", "left").select("bucket", "label", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).cast("long").alias("k"), share(F.col("k"), F.col("n")).alias("rate"))
 
 
+def bucket_tables(frame: DataFrame, tables: dict[str, list[float]]) -> DataFrame:
+    """``bucket_rates`` of several columns from one pass; a bucket has its edges in place of a label."""
+    spark = frame.sparkSession
+    pairs = F.array(*[F.struct(F.lit(c).alias("table"), F.col(c).cast("double").alias("value")) for c in tables])
+    names = spark.createDataFrame([(c, i, float(a), float(b)) for c, e in tables.items() for i, (a, b) in enumerate(zip(e, e[1:], strict=False))], "table string, bucket int, low double, high double")
+    # Values are counted before they meet the buckets, of which there are as many as were given.
+    counts = frame.select("y", F.inline(pairs)).groupBy("table", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
+    met = names.join(counts.withColumnRenamed("table", "of"), (F.col("table") == F.col("of")) & (F.col("value") > F.col("low")) & (F.col("value") <= F.col("high")), "left")
+    out = met.groupBy("table", "bucket", "low", "high").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
+    return out.withColumn("rate", share(F.col("k"), F.col("n")))
+
+
 def overdispersion(frame: DataFrame, group: str, least: int) -> DataFrame:
     """Groups of enough rows: zero share seen and expected, chi-square, degrees of freedom, variance ratio."""
     g = frame.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).where(F.col("n") >= least)
-    p = F.sum("k").over(Window.partitionBy(F.lit(1))) / F.sum("n").over(Window.partitionBy(F.lit(1)))
-    g = g.withColumn("p", p)
+    overall = g.agg((F.sum("k") / F.sum("n")).alias("p"))
+    g = g.join(F.broadcast(overall))  # one row
     expected = F.col("n") * F.col("p")
     return g.agg(
         F.count(F.lit(1)).alias("groups"), F.avg((F.col("k") == 0).cast("int")).alias("zero_seen"), F.avg(F.pow(1 - F.col("p"), F.col("n"))).alias("zero_expected"),
@@ -127,11 +154,14 @@ def overdispersion(frame: DataFrame, group: str, least: int) -> DataFrame:
     )
 
 
-def permuted(frame: DataFrame, seed: int, group: str = "sender") -> DataFrame:
-    """The frame with y dealt anew within each group: ranks by id meet ranks by a seeded hash."""
-    by_id, by_hash = (Window.partitionBy(group).orderBy(*o) for o in (["event_id"], [F.xxhash64("event_id", F.lit(seed)), F.col("event_id")]))
-    left = frame.drop("y").withColumn("_r", F.row_number().over(by_id))
-    right = frame.select(group, "y", F.row_number().over(by_hash).alias("_r"))
+def permuted(frame: DataFrame, seed: str, group: str = "sender", key: str = "event_id") -> DataFrame:
+    """The frame with y dealt anew within each group: ranks by key meet ranks by a seeded hash of it.
+
+    Ranks are taken in parts of a group, so that a group of very many rows is not one task."""
+    own = hashed(key, "own")
+    new = hashed(key, seed)
+    left = ranked(frame.drop("y"), [group], hash_part(own), [own, F.col(key)], "_r")
+    right = ranked(frame.select(group, key, "y"), [group], hash_part(new), [new, F.col(key)], "_r").select(group, "_r", "y")
     return left.join(right, [group, "_r"]).drop("_r")
 
 

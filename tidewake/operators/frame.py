@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_SECONDS = 7200
+#: Doublings of a bucket's width that range_chunks looks at.
+LEVELS = 20
 
 
 def time_bucket(ts: Column | str, seconds: int = BUCKET_SECONDS) -> Column:
@@ -72,7 +74,11 @@ def ranked_lookup(left: DataFrame, offered: DataFrame, key: str, matches: Column
 
 
 def first_filled(*columns: str) -> Column:
-    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
+    return first_filled_of(*map(F.col, columns))
+
+
+def first_filled_of(*values: Column) -> Column:
+    return F.coalesce(*[F.nullif(F.trim(v), F.lit("")) for v in values])
 
 
 def without_clash(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
@@ -80,7 +86,13 @@ def without_clash(left: DataFrame, right: DataFrame, on: list[str], how: str = "
     clash = (set(left.columns) & set(right.columns)) - set(on)
     if clash:
         raise ValueError(f"both sides have {sorted(clash)}")
-    return left.join(right, on, how)
+    # A repeated key ends the query where it is read; with partial counts it costs one grouping of the right side.
+    others = [c for c in right.columns if c not in on]
+    one = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"), F.first(F.struct(*others) if others else F.lit(1)).alias("_first"))
+    failed = F.raise_error(F.concat(F.lit("a key repeats on the right: "), F.to_json(F.struct(*on)))).cast("int")
+    one = one.withColumn("_rows", F.when(F.col("_rows") > 1, failed).otherwise(1)).where("_rows = 1")
+    one = one.select(*on, *([F.col(f"_first.`{c}`").alias(c) for c in others]))
+    return left.join(one, on, how)
 
 
 def optional(left: DataFrame, right: DataFrame | None, on: list[str]) -> DataFrame:
@@ -100,26 +112,55 @@ def visible_months(out: DataFrame, addressed: DataFrame, threaded: DataFrame) ->
 
 
 def range_chunks(df: DataFrame, bucket: Column, period: Column, most: int) -> DataFrame:
-    """Ranges of buckets within a period that hold about ``most`` rows: counts by bucket, then a running sum."""
-    fine = df.groupBy(period.alias("period"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("period").orderBy("bucket")) - F.col("n")
-    cut = fine.withColumn("chunk", F.floor(before / most))
-    return cut.groupBy("period", "chunk").agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"), F.sum("n").alias("n"))
+    """Ranges of buckets within a period that never hold more than ``most`` rows, unless one bucket alone does: periods
+    are halved, and halves again, until each part is small enough or one bucket wide.
+
+    Counts by bucket come first; the halving looks at them alone, level by level, as sums over aligned ranges of
+    2 ** level buckets, and a range stays where it is small enough and its double is not.
+    """
+    fine = df.groupBy(period.alias("period"), bucket.cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
+    sums = fine.select("period", "bucket", "n", levels.alias("level")).withColumn("part", F.expr("shiftright(bucket, level)"))
+    sums = sums.groupBy("period", "level", "part").agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"), F.sum("n").alias("n"))
+    fits = (F.col("n") <= most) | (F.col("level") == 0)
+    above = sums.select("period", (F.col("level") - 1).alias("level"), F.col("part").alias("whole"), (F.col("n") <= most).alias("covered"))
+    found = sums.where(fits).withColumn("whole", F.expr("shiftright(part, 1)")).join(above, ["period", "level", "whole"], "left")
+    return found.where(~F.coalesce("covered", F.lit(False))).select("period", "low", "high", "n")
+
+
+def ranked(df: DataFrame, by: list[str], part: Column, order: list[Column], name: str) -> DataFrame:
+    """``name``: the place (from 0) of each row among those that agree in ``by``.
+
+    ``part`` is a number that never falls along the order. Rows are counted by part first, and only those of a part
+    are sorted together, so no group has to fit into one task.
+    """
+    parted = df.withColumn("_part", part)
+    sizes = parted.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    running = F.sum("_size").over(Window.partitionBy(*by).orderBy("_part") if by else Window.orderBy("_part"))
+    before = sizes.select(*by, "_part", (running - F.col("_size")).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1 + F.col("_before")
+    return parted.join(before, [*by, "_part"]).withColumn(name, nth).drop("_part", "_before")
 
 
-def numbered(df: DataFrame, key: str, width: int) -> DataFrame:
-    """``nth`` (from 0) in order of a numeric key, without one sort of all rows: counts by ranges of the key
-    come first, and only the rows of a range are sorted together."""
-    ranged = df.withColumn("_range", F.floor(F.col(key) / width))
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1 + F.col("_before")
-    return ranged.join(before, "_range").withColumn("nth", nth).drop("_range", "_before")
+def numbered(df: DataFrame, key: str, parts: int = 4096) -> DataFrame:
+    """``nth`` (from 0) in order of a numeric key: its span is cut into that many ranges, which are counted first."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    width = max(1, ((high or 0) - (low or 0)) // parts + 1)
+    return ranked(df, [], F.floor((F.col(key) - F.lit(low or 0)) / width), [F.col(key)], "nth")
+
+
+def hashed(key: str, seed: str) -> Column:
+    return F.md5(F.concat_ws("#", F.col(key).cast("string"), F.lit(seed)))
+
+
+def hash_part(hash_: Column) -> Column:
+    """One of 4,096 ranges of a hash."""
+    return F.conv(F.substring(hash_, 1, 3), 16, 10).cast("int")
 
 
 def hashed_order(key: str, seed: str) -> list[Column]:
     """An order that depends on key and seed alone, not on where rows lie."""
-    return [F.md5(F.concat_ws("#", F.col(key).cast("string"), F.lit(seed))), F.col(key)]
+    return [hashed(key, seed), F.col(key)]
 
 
 def sampled(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
@@ -130,3 +171,44 @@ def booster(df: DataFrame, primary: DataFrame, key: str, klass: str, seed: str,
     """Up to n more rows of each class, none of them in the primary sample."""
     rest = df.join(primary.select(key), key, "left_anti")
     return rest.withColumn("_n", F.row_number().over(Window.partitionBy(klass).orderBy(*hashed_order(key, seed)))).where(F.col("_n") <= n).drop("_n")
+
+
+def share_of(df: DataFrame, key: str, seed: str, share: float) -> DataFrame:
+    """About that share of the rows, by a seeded hash of the key: the same rows whatever else is in the table."""
+    return df.where(F.substring(hashed(key, seed), 1, 7) < f"{int(share * 16**7):07x}")
+
+
+def examples(df: DataFrame, key: str, klass: str, seed: str, n: int) -> DataFrame:
+    """n rows of each class in a seeded order."""
+    ranked_ = ranked(df, [klass], hash_part(hashed(key, seed)), hashed_order(key, seed), "_n")
+    return ranked_.where(F.col("_n") < n).drop("_n")
+
+
+def content_identity(subset: DataFrame, source: DataFrame, key: str, columns: list[str], by: str) -> DataFrame:
+    """By class of ``by``: rows of the subset, those whose content differs from the source's, and those it doesn't have."""
+    digest = F.sha2(F.to_json(F.struct(*columns)), 256)
+    a, b = subset.select(key, by, digest.alias("_a")), source.select(key, digest.alias("_b"))
+    out = a.join(b, key, "left").groupBy(by)
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_a") != F.col("_b")).alias("changed"), F.count_if(F.col("_b").isNull()).alias("unknown"))
+
+
+def common(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """How many distinct keys two tables share."""
+    return left.select(key).intersect(right.select(key)).agg(F.count(F.lit(1)).alias("n_common"))
+
+
+def distinct_union(parts: list[DataFrame], key: str) -> DataFrame:
+    """Rows of several frames, one for each key: that of the first frame that has it."""
+    both = None
+    for k, part in enumerate(parts):
+        one = part.withColumn("_set", F.lit(k))
+        both = one if both is None else both.unionByName(one)
+    return both.groupBy(key).agg(F.min_by(F.struct(*[c for c in parts[0].columns if c != key]), "_set").alias("_r"), F.count(F.lit(1)).alias("n_frames")).select(key, "_r.*", "n_frames")
+
+
+def top_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """The k most frequent values of each column, ties by value."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])))
+    counts = long.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

@@ -32,3 +32,19 @@ def over_redaction(docs: DataFrame, key: str, text: str, most: float = 0.15) ->
     holes, all_ = F.regexp_count(F.col(text), F.lit(tx.PLACEHOLDER)), tx.n_tokens(F.col(text))
     share = F.when(all_ > 0, holes / all_)
     return docs.select(key, holes.alias("placeholders"), all_.alias("tokens"), share.alias("share"), F.coalesce(share > most, F.lit(False)).alias("too_many"))
+
+
+def forbidden(docs: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+    """Rows in which each pattern stands, all in one pass."""
+    one = docs.agg(*[F.count_if(F.rlike(F.col(text), F.lit(p))).alias(n) for n, p in patterns.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("pattern"), F.col(n).alias("n_rows")) for n in patterns])))
+
+
+def worst(measured: DataFrame, key: str, k: int) -> DataFrame:
+    """The k rows of the greatest share; those without a token have none."""
+    return measured.where("share IS NOT NULL").orderBy(F.desc("share"), key).limit(k)
+
+
+def summary(measured: DataFrame) -> DataFrame:
+    """All rows, those with too many placeholders, and those with nothing left."""
+    return measured.agg(F.count(F.lit(1)).alias("n"), F.count_if("too_many").alias("too_many"), F.count_if(F.col("tokens") == 0).alias("empty"))

@@ -53,8 +53,8 @@ def pc1_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    sent = load(spark, sf, "documents").where("doc_id % 3 = 0").select(F.floor(F.col("doc_id") / 120).alias("batch"), F.col("doc_id").alias("id"))
-    got = load(spark, sf, "labels").where("doc_id % 3 < 2").select(F.floor(F.col("doc_id") / 120).alias("batch"), F.col("doc_id").alias("id"), "quality", "toxic")
+    sent = load(spark, sf, "documents").select(F.floor(F.col("doc_id") / 120).alias("batch"), F.col("doc_id").alias("id"))
+    got = load(spark, sf, "labels").select(F.floor(F.col("doc_id") / 120).alias("batch"), F.col("doc_id").alias("id"), "quality", "toxic")
     return sent, got
 
 
@@ -110,8 +110,8 @@ _COUNTS = """count(*) FILTER (WHERE a IS NOT NULL) AS n, count(*) FILTER (WHERE
     count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE a IS NOT NULL AND b) AS nb, count(*) FILTER (WHERE a = b) AS same"""
 _KAPPA = """CASE WHEN (na / n) * (nb / n) + (1 - na / n) * (1 - nb / n) < 1 THEN
     ((n - na - nb + 2 * yy) / n - ((na / n) * (nb / n) + (1 - na / n) * (1 - nb / n))) / (1 - ((na / n) * (nb / n) + (1 - na / n) * (1 - nb / n))) END"""
-_BATCHES = """WITH sent AS (SELECT doc_id // 120 AS batch, doc_id AS id FROM documents WHERE doc_id % 3 = 0),
-    got AS (SELECT doc_id // 120 AS batch, doc_id AS id, quality, toxic FROM labels WHERE doc_id % 3 < 2)"""
+_BATCHES = """WITH sent AS (SELECT doc_id // 120 AS batch, doc_id AS id FROM documents),
+    got AS (SELECT doc_id // 120 AS batch, doc_id AS id, quality, toxic FROM labels)"""
 _CONDITIONAL = "SELECT doc_id AS id, CASE WHEN quality * 2 + toxic = 2 AND doc_id % 2 = 0 THEN 9 ELSE quality * 2 + toxic END AS label, quality * 2 + toxic AS label_first FROM labels"
 
 

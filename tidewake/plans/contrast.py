@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewake.functions.stats import benjamini_hochberg, detectable
+from tidewake.functions import stats
+from tidewake.functions.stats import benjamini_hochberg, detectable, normal_tail
 from tidewake.operators import contrast as con
 from tidewake.operators import sessions as ses
 from tidewake.plans import time
@@ -85,7 +86,7 @@ def bh_families(spark: SparkSession, sf: str) -> DataFrame:
     family = F.lit("time")
     for name, kind in FAMILY.items():
         family = F.when(F.col("feature") == name, kind).otherwise(family)
-    tested = fitted.select("feature", family.alias("family"), con.normal_tail(F.col("z")).alias("p"))
+    tested = fitted.select("feature", family.alias("family"), normal_tail(F.col("z")).alias("p"))
     out = benjamini_hochberg(tested, "p", "family")
     return out.select("feature", "family", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"), (F.col("q") < 0.05).alias("significant"))
 
@@ -104,7 +105,7 @@ def placebo_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Share of features that look significant when outcomes are dealt anew within senders, over five seeds."""
     f, out = frame(spark, sf), None
     for seed in range(5):
-        rows = con.long_form(con.permuted(f, seed), FEATURES, ["sender", "y"])
+        rows = con.long_form(con.permuted(f, str(seed)), FEATURES, ["sender", "y"])
         one = con.fixed_effect(rows).select(F.lit(seed).alias("seed"), "feature", (F.abs("z") >= 1.96).alias("hit"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("seed").agg(F.count("hit").alias("tests"), F.count_if("hit").alias("hits"))
@@ -237,6 +238,20 @@ def _fe(rows: str, tag: str, by: str = "feature", cluster: str = "sender") -> st
         SELECT {by}, CASE WHEN ok THEN b END AS b, CASE WHEN ok THEN sqrt(cl / (cl - 1) * ((n - 1) / (n - 1 - s)) * uu) / sxx END AS se FROM {tag}_e)"""
 
 
+def _sql_ratio(t: str, tables: tuple[tuple[float, ...], tuple[float, ...]]) -> str:
+    above, below = tables
+    powers = [f"pow({t}, {k})" for k in range(len(below) + 1)]
+    numerator = [above[-2], *reversed(above[:-2]), above[-1]]
+    denominator = [*reversed(below), 1.0]
+    sums = [" + ".join(f"{c!r}::DOUBLE * {p}" for c, p in zip(cs, powers, strict=True)) for cs in (numerator, denominator)]
+    return f"(({sums[0]}) / ({sums[1]}))"
+
+
+def _sql_erfc() -> str:
+    far = f"exp(-x * x) / x * (1 / sqrt(pi()) - {_sql_ratio('(1 / (x * x))', stats.ERFC_LARGE)} / (x * x))"
+    return f"CASE WHEN x <= 0.46875 THEN 1 - x * {_sql_ratio('(x * x)', stats.ERF_SMALL)} WHEN x <= 4 THEN exp(-x * x) * {_sql_ratio('x', stats.ERFC_MIDDLE)} ELSE {far} END"
+
+
 _FAMILY = "CASE WHEN feature IN ('is view', 'high value', 'low value', 'very high value') THEN 'content' ELSE 'time' END"
 
 
@@ -290,7 +305,7 @@ SQL = {
     + f", long AS ({_sql_long()}),"
     + _fe("long", "fit")
     + f""", tested AS (
-            SELECT feature, {_FAMILY} AS family, 2 / (1 + exp(1.5976 * abs(b / se) + 0.070565988 * abs(b / se) * abs(b / se) * abs(b / se))) AS p FROM fit),
+            SELECT feature, {_FAMILY} AS family, {_sql_erfc()} AS p FROM (SELECT feature, abs(b / se) / sqrt(2) AS x FROM fit)),
           ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, feature) AS r, count(*) OVER (PARTITION BY family) AS m FROM tested WHERE p IS NOT NULL),
           done AS (SELECT feature, family, p, least(1.0, min(p * m / r) OVER (PARTITION BY family ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM ranked)
           SELECT t.feature, t.family, round(t.p, 6) AS p, round(q, 6) AS q, q < 0.05 AS significant FROM tested t LEFT JOIN done USING (feature)""",
@@ -300,6 +315,35 @@ SQL = {
           SELECT bucket, label, count(event_id) AS n, CAST(coalesce(sum(y), 0) AS BIGINT) AS k, round(avg(y), 6) AS rate
           FROM names LEFT JOIN frame ON value > low AND value <= high GROUP BY 1, 2""",
     "burst_volume": _FRAME + " SELECT same_day, count(*) AS n, round(avg(y), 6) AS rate, round(avg(ln(same_day)), 6) AS log_volume FROM frame GROUP BY 1",
+    "placebo_rate": _FRAME
+    + ", "
+    + ",".join(
+        f"""
+          d{k} AS (
+            SELECT a.* EXCLUDE (y, r), b.y FROM (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY md5(event_id || '#own'), event_id) AS r FROM frame) a
+            JOIN (SELECT sender, y, row_number() OVER (PARTITION BY sender ORDER BY md5(event_id || '#{k}'), event_id) AS r FROM frame) b USING (sender, r)),
+          l{k} AS ({_sql_long(f"d{k}")}),"""
+        + _fe(f"l{k}", f"p{k}")
+        for k in range(5)
+    )
+    + " UNION ALL ".join(
+        f" SELECT CAST({k} AS INTEGER) AS seed, count(CASE WHEN se > 0 THEN b / se END) AS tests, count(*) FILTER (WHERE se > 0 AND abs(b / se) >= 1.96) AS hits FROM p{k}" for k in range(5)
+    ),
+    "fe_interaction": _FRAME
+    + """, v AS (
+            SELECT sender, CAST(y AS DOUBLE) AS y, CAST(channel = 'view' AS DOUBLE) AS p, CAST(hour < 12 AS DOUBLE) AS q, CAST(channel = 'view' AND hour < 12 AS DOUBLE) AS r FROM frame),
+          d AS (SELECT sender, y - avg(y) OVER w AS y, p - avg(p) OVER w AS p, q - avg(q) OVER w AS q, r - avg(r) OVER w AS r FROM v WINDOW w AS (PARTITION BY sender)),
+          s AS (SELECT sum(p * p) AS pp, sum(p * q) AS pq, sum(p * r) AS pr, sum(q * q) AS qq, sum(q * r) AS qr, sum(r * r) AS rr,
+                       sum(p * y) AS py, sum(q * y) AS qy, sum(r * y) AS ry, count(*) AS n, count(DISTINCT sender) AS g FROM d),
+          c AS (SELECT *, qq * rr - qr * qr AS c11, pr * qr - pq * rr AS c12, pq * qr - pr * qq AS c13, pp * rr - pr * pr AS c22, pq * pr - pp * qr AS c23, pp * qq - pq * pq AS c33 FROM s),
+          i AS (SELECT *, pp * c11 + pq * c12 + pr * c13 AS det FROM c),
+          b AS (SELECT *, (c11 * py + c12 * qy + c13 * ry) / det AS b1, (c12 * py + c22 * qy + c23 * ry) / det AS b2, (c13 * py + c23 * qy + c33 * ry) / det AS b3 FROM i),
+          u AS (SELECT sender, sum(p * e) AS u1, sum(q * e) AS u2, sum(r * e) AS u3 FROM (SELECT d.*, d.y - b1 * p - b2 * q - b3 * r AS e FROM d, b) GROUP BY 1),
+          t AS (SELECT sum((c11 * u1 + c12 * u2 + c13 * u3) ** 2) AS t1, sum((c12 * u1 + c22 * u2 + c23 * u3) ** 2) AS t2, sum((c13 * u1 + c23 * u2 + c33 * u3) ** 2) AS t3 FROM u, b),
+          o AS (SELECT *, g / (g - 1) * (n - 1) / (n - 3 - g) AS k FROM b, t)
+          SELECT 'is_view' AS term, round(b1, 6) AS b, round(sqrt(k * t1) / abs(det), 6) AS se FROM o
+          UNION ALL SELECT 'morning', round(b2, 6), round(sqrt(k * t2) / abs(det), 6) FROM o
+          UNION ALL SELECT 'both', round(b3, 6), round(sqrt(k * t3) / abs(det), 6) FROM o""",
     "overdispersion": _FRAME
     + """, g AS (SELECT entity, count(*) AS n, sum(y) AS k FROM frame GROUP BY 1 HAVING count(*) >= 5),
           t AS (SELECT sum(k) / sum(n) AS p FROM g)

@@ -33,8 +33,9 @@ def route_twin(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resumable_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Touches that are not there yet when all clicks of the first half of the month are."""
     t = touches(spark, sf)
-    return fr.missing(t, t.where("event_id % 4 < 3"), "event_id").groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+    return fr.missing(t, t.where((F.col("channel") == "click") & (F.dayofmonth("ts") <= 15)), "event_id").groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
 def foreign_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,7 +112,7 @@ def time_range_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    out = fr.numbered(load(spark, sf, "documents").select("doc_id"), "doc_id", 4096)
+    out = fr.numbered(load(spark, sf, "documents").select("doc_id"), "doc_id")
     return out.groupBy(F.floor(F.col("nth") / 40).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
@@ -128,10 +129,8 @@ def equal_size_repeats(spark: SparkSession, sf: str) -> DataFrame:
     """Repeat share of texts by language after cutting all languages to the size of the smallest."""
     docs = load(spark, sf, "documents").select("doc_id", "lang", F.md5("text").alias("hash"))
     least = docs.groupBy("lang").count().agg(F.min("count").alias("least"))
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(*fr.hashed_order("doc_id", "cut")))
-    cut = docs.withColumn("nth", nth).join(F.broadcast(least), how="cross").where("nth <= least")
+    order = fr.hashed("doc_id", "cut")
+    cut = fr.ranked(docs, ["lang"], fr.hash_part(order), [order, F.col("doc_id")], "nth").join(F.broadcast(least)).where("nth < least")
     per = cut.groupBy("lang", "hash").count()
     out = per.groupBy("lang").agg(F.sum("count").alias("n"), F.sum(F.when(F.col("count") > 1, F.col("count")).otherwise(0)).alias("repeated"))
     return out.withColumn("share", F.round(F.col("repeated") / F.col("n"), 6))
@@ -172,7 +171,7 @@ SQL = {
     + """, tools AS (SELECT entity, channel, bucket, arg_min(tool, (ts, event_id)) AS twin FROM keyed WHERE tool IS NOT NULL GROUP BY 1, 2, 3)
           SELECT event_id, twin FROM keyed LEFT JOIN tools USING (entity, channel, bucket) WHERE route = 'sync'""",
     "resumable_ingest": """SELECT event_type AS channel, count(*) AS n, min(event_id) AS first_id FROM events
-        WHERE event_type IN ('view', 'click') AND event_id % 4 = 3 GROUP BY 1""",
+        WHERE event_type = 'view' OR (event_type = 'click' AND day(ts) > 15) GROUP BY 1""",
     "foreign_ids": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)",
     "eligibility_waterfall": "WITH"
     + time._LOG
@@ -207,9 +206,10 @@ SQL = {
     "visibility_gate": _GATE + " SELECT * FROM gate",
     "gated_rows": _GATE + " SELECT sender, count(*) AS n FROM li WHERE EXISTS (SELECT 1 FROM gate g WHERE g.ok AND g.sender = li.sender AND g.month = li.month) GROUP BY 1",
     "time_range_chunks": """WITH fine AS (
-            SELECT CAST(year(o_orderdate) AS INTEGER) AS period, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS bucket, count(*) AS n FROM orders GROUP BY 1, 2),
-        cut AS (SELECT *, CAST(floor((sum(n) OVER (PARTITION BY period ORDER BY bucket) - n) / 500) AS BIGINT) AS chunk FROM fine)
-        SELECT period, chunk, min(bucket) AS low, max(bucket) AS high, CAST(sum(n) AS BIGINT) AS n FROM cut GROUP BY 1, 2""",
+            SELECT CAST(year(o_orderdate) AS INTEGER) AS period, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS bucket, count(*) AS n FROM orders GROUP BY 1, 2),
+        sums AS (SELECT period, level, bucket // (1 << level) AS part, min(bucket) AS low, max(bucket) AS high, sum(n) AS n FROM fine, range(0, 21) t(level) GROUP BY 1, 2, 3)
+        SELECT s.period, s.low, s.high, CAST(s.n AS BIGINT) AS n FROM sums s LEFT JOIN sums d ON d.period = s.period AND d.level = s.level + 1 AND d.part = s.part // 2
+        WHERE (s.n <= 500 OR s.level = 0) AND NOT coalesce(d.n <= 500, false)""",
     "batch_assignment": """SELECT nth // 40 AS batch, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id
         FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS nth FROM documents) GROUP BY 1""",
     "hash_sample": "SELECT doc_id, lang FROM documents ORDER BY md5(doc_id || '#first'), doc_id LIMIT 50",
