@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
 from tests.llm.helpers import clashing, docs, sha
 from tidewake.llm import bpe, codec
@@ -42,15 +43,40 @@ def test_cached_library_encoder_equals_plain_calls():
 
 def test_a_full_cache_changes_nothing():
     encoder = bpe.LibraryEncoder(FILE)
-    encoder.cache.most = 3
+    encoder.most = 3
     texts = mixed_texts()[:200]
     assert encoder.encode(texts) == bpe.LibraryEncoder(FILE).encode(texts)
 
 
 def test_every_code_point_is_cut_as_the_pattern_cuts_it(library):
-    texts = [f"a{chr(c)}1{chr(c)} b" for c in range(1, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}1{chr(c)} b" for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
     got = bpe.rank_encoder(RANKS).encode(texts)
     assert all(np.frombuffer(x, "<u4").tolist() == library.encode_ordinary(t) for x, t in zip(got, texts, strict=True))
+    fresh = Tokenizer.from_file(FILE)
+    got = bpe.LibraryEncoder(FILE).encode_added(texts)
+    assert all(np.frombuffer(x, "<u4").tolist() == y.ids for x, y in zip(got, fresh.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
+def test_slices_that_collide_are_told_apart(monkeypatch):
+    texts = mixed_texts()[:400] + [f" word{k} longerword{k % 90} averyverylongwordindeed{k % 70}" for k in range(300)]
+    want = bpe.LibraryEncoder(FILE).encode(texts)
+    whole = bpe._keys
+
+    def narrow(*args):
+        key, check = whole(*args)
+        return key % np.uint64(997), key ^ check
+
+    monkeypatch.setattr(bpe, "_keys", narrow)
+    assert bpe.LibraryEncoder(FILE).encode(texts) == want
+
+
+def test_keys_of_slices_agree_only_where_they_do():
+    pieces = [b"a" * k + c for k in range(40) for c in (b"", b"b", b"\0", b"bc")]
+    data = b"".join(pieces)
+    after = np.cumsum([len(p) for p in pieces])
+    first = after - [len(p) for p in pieces]
+    keys = list(zip(*(x.tolist() for x in bpe._keys(data, first, after)), strict=True))
+    assert all((keys[i] == keys[j]) == (pieces[i] == pieces[j]) for i in range(len(pieces)) for j in range(i))
 
 
 def test_decode_inverts_encode_with_offsets(spark):

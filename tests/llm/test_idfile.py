@@ -5,7 +5,6 @@ from tokenizers import Tokenizer
 
 from tests.llm.helpers import clashing, crc, docs
 from tidewake.llm import idfile
-from tidewake.llm.bpe import library_encoder
 from tidewake.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -13,8 +12,8 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def expected(rows, end_id=2):
     start, out = 0, []
-    model = library_encoder(PATH).model
-    for i, t in sorted(rows, key=lambda r: (idfile.LAST_ID if r[0] is None else r[0], r[1] or "")):
+    model = Tokenizer.from_file(PATH)
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
         ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, end_id], "<u4")
         out.append((i, start, len(ids), crc(ids.tobytes())))
         start += len(ids)
@@ -57,7 +56,7 @@ def test_query_equals_the_library(spark):
 
 
 def test_odd_rows(spark, monkeypatch):
-    rows = [(4, None), (2, ""), (9, "word " * 300_000), (9, "tie"), (9, "tie"), (None, "last"), (-1, "first")]
+    rows = [(4, None), (2, ""), (9, "word " * 300_000), (9, "tie"), (9, "tie"), (None, "last"), (None, None), (-1, "first"), ((1 << 63) - 1, "greatest")]
     got = idfile.read(idfile.write(clashing(docs(spark, rows)), PATH, 2)).collect()
     assert sorted(map(tuple, got), key=str) == expected(rows)
     assert idfile.read(idfile.write(docs(spark, []), PATH, 2)).count() == 0

@@ -7,7 +7,8 @@ associatively, so blocks are reduced to functions side by side (numbers of a sma
 doubling scan, and each block is run again from its known first state. No regular expression is used.
 
 Slices between boundaries go through a bounded cache to pair merging, either by a rank table
-(``RankEncoder``) or by the tokenizers library (``LibraryEncoder``), which sees each distinct slice.
+(``RankEncoder``) or by the tokenizers library (``LibraryEncoder``), which sees each distinct slice. Slices are looked up
+as numbers, and the ids of all are gathered in one step.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ import heapq
 import os
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 
@@ -123,9 +127,25 @@ def _scan(symbols: np.ndarray) -> np.ndarray:
     return begins.T.ravel()[: len(symbols)]
 
 
-def pre_tokens(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts as one UTF-8 string with a NUL after each; byte offsets of every slice's first and
-    following byte; and the number of slices before each text (one more than texts)."""
+@dataclass
+class Slices:
+    """All texts as one string with a NUL after each, and its pre-tokens: where they begin and end in code points and
+    in bytes, which of them are one space and letters, and how many come before each text (one more than texts)."""
+
+    joined: str
+    data: bytes
+    begin: np.ndarray
+    stop: np.ndarray
+    first: np.ndarray
+    after: np.ndarray
+    words: np.ndarray
+    before: np.ndarray
+
+    def texts(self, which: np.ndarray) -> list[str]:
+        return [self.joined[a:b] for a, b in zip(self.begin[which].tolist(), self.stop[which].tolist(), strict=True)]
+
+
+def pre_tokens(texts: list[str]) -> Slices:
     joined = "\0".join(texts) + "\0"
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -135,47 +155,128 @@ def pre_tokens(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndar
     width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
     offset = np.cumsum(width) - width
     real = np.flatnonzero(symbols[begins] != END)
-    first, after = offset[begins[real]], offset[begins[real + 1]]
+    begin, stop = begins[real], begins[real + 1]
     before = np.zeros(len(texts) + 1, np.int64)
-    before[1:] = np.searchsorted(begins[real], ends)
-    return joined.encode(), first, after, before
-
+    before[1:] = np.searchsorted(begin, ends)
+    words = (symbols[begin] == JOINING) & (symbols[np.minimum(begin + 1, len(symbols) - 1)] == LETTER)
+    return Slices(joined, joined.encode(), begin, stop, offset[begin], offset[stop], words, before)
+
+
+#: Odd multipliers by which slices are told apart (fixed values).
+MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+TOP = np.uint64(1 << 63)
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * MULTIPLIERS[0]
+    x = (x ^ (x >> np.uint64(29))) * MULTIPLIERS[1]
+    return x ^ (x >> np.uint64(32))
+
+
+def _keys(data: bytes, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each slice. Up to seven bytes the first holds the slice itself and its length; up to sixteen
+    both are hashes of its first and last eight bytes, beyond of the whole."""
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    at = np.ndarray(len(data), "<u8", padded, strides=(1,))
+    length = (after - first).astype(np.uint64)
+    head, short = at[first], length <= 7
+    mask = (np.uint64(1) << (np.minimum(length, 7) * np.uint64(8)).astype(np.uint64)) - np.uint64(1)
+    key = (head & mask) | (length << np.uint64(56))
+    check = length.copy()
+    far = np.flatnonzero(~short)
+    if len(far):
+        a, b, n = head[far], at[after[far] - 8], length[far]
+        key[far] = _scrambled(a * MULTIPLIERS[1] ^ _scrambled(b ^ n * MULTIPLIERS[2])) | TOP
+        check[far] = _scrambled(b * MULTIPLIERS[2] ^ _scrambled(a ^ n * MULTIPLIERS[0]))
+        for k in far[n > 16].tolist():
+            piece = data[first[k] : after[k]]
+            key[k] = np.uint64(hash(piece) & (1 << 64) - 1) | TOP
+            check[k] = zlib.crc32(piece) << 32 | zlib.adler32(piece)
+    return key, check
 
-class _Cache(dict):
-    """Slice -> its ids as little-endian unsigned 32-bit bytes; emptied when it is full."""
 
-    most = 700_000
-
-    def room(self) -> None:
-        if len(self) > self.most:
-            self.clear()
+class Encoder:
+    """Texts to ids, by whatever ``_fill`` says of each slice.
 
+    The cache has a number for each slice and a pool of ids: the distinct slices of a round are looked up, and all ids
+    are then gathered at once. Slices that disagree in the second number although they agree in the first (two
+    different ones that collide) make all slices of their round be merged anew. The cache starts anew when it is full.
+    """
 
-class Encoder:
-    """Texts to ids, by whatever ``_fill`` puts into the cache."""
+    most = 700_000
 
     def __init__(self) -> None:
-        self.cache = _Cache()
+        self._clear()
 
-    def _fill(self, slices: set[bytes]) -> None:
+    def _clear(self) -> None:
+        self.index: dict[int, int] = {}
+        self.checks, self.starts, self.counts = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.filled = np.zeros(1 << 18, np.uint32), 0
+
+    def _fill(self, slices: Slices, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these slices one after the other, and how many each has."""
         raise NotImplementedError
 
+    def _add(self, keys: np.ndarray, checks: np.ndarray, slices: Slices, which: np.ndarray) -> np.ndarray:
+        ids, counts = self._fill(slices, which)
+        n, more = len(self.index), len(which)
+        while n + more > len(self.checks):
+            self.checks, self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.checks, self.starts, self.counts))
+        while self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.checks[n : n + more], self.counts[n : n + more] = checks, counts
+        self.starts[n : n + more] = self.filled + np.cumsum(counts) - counts
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        self.filled += len(ids)
+        self.index.update(zip(keys.tolist(), range(n, n + more), strict=True))
+        return np.arange(n, n + more)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit bytes."""
-        out: list[bytes] = []
+        return [x for part in _rounds(texts) for x in self._encoded(pre_tokens(part))[0]]
+
+    def encode_with_offsets(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
+        """The ids of each text and the byte at which each id's part of the text's UTF-8 form begins."""
+        out = []
         for part in _rounds(texts):
-            data, first, after, before = pre_tokens(part)
-            self.cache.room()
-            known = self.cache.get
-            found = [known(data[a:b]) for a, b in zip(first.tolist(), after.tolist(), strict=True)]
-            if missing := [k for k, f in enumerate(found) if f is None]:
-                slices = [data[first[k] : after[k]] for k in missing]
-                self._fill(set(slices))
-                for k, piece in zip(missing, slices, strict=True):
-                    found[k] = self.cache[piece]
-            out += [b"".join(found[a:b]) for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+            slices = pre_tokens(part)
+            found, counts = self._encoded(slices)
+            ids = np.frombuffer(b"".join(found), "<u4").astype(np.int64)
+            # Within a slice, ids begin where those before them end; each slice begins where it stands.
+            width = self.id_widths[ids]
+            own = np.append(0, np.cumsum(width))
+            begins = own[:-1] + np.repeat(slices.first - own[np.cumsum(counts) - counts], counts)
+            texts_at = np.cumsum([0, *(len(x.encode()) + 1 for x in part)])
+            stops = np.append(0, np.cumsum(counts))[slices.before]
+            out += [(x, begins[a:b] - t) for x, a, b, t in zip(found, stops[:-1].tolist(), stops[1:].tolist(), texts_at[:-1].tolist(), strict=True)]
         return out
 
+    def _encoded(self, slices: Slices) -> tuple[list[bytes], np.ndarray]:
+        """The ids of each text, and how many each slice has."""
+        if len(self.index) > self.most:
+            self._clear()
+        keys, checks = _keys(slices.data, slices.first, slices.after)
+        distinct, place, which = np.unique(keys, return_index=True, return_inverse=True)
+        known = self.index.get
+        entry = np.array([known(k, -1) for k in distinct.tolist()], np.int64)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            entry[new] = self._add(distinct[new], checks[place[new]], slices, place[new])
+        entry = entry[which]
+        if np.array_equal(self.checks[entry], checks):
+            counts = self.counts[entry]
+            ids = _taken(self.pool, self.starts[entry], counts)
+        else:
+            ids, counts = self._fill(slices, np.arange(len(slices.begin)))
+        data, ends = ids.astype("<u4", copy=False).tobytes(), (4 * np.append(0, np.cumsum(counts))[slices.before]).tolist()
+        return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], counts
+
+
+def _taken(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Stretches of a pool, one after the other."""
+    before = np.cumsum(counts) - counts
+    return pool[np.repeat(starts - before, counts) + np.arange(counts.sum())]
+
 
 def _rounds(texts: list[str]) -> Iterator[list[str]]:
     part, size = [], 0
@@ -198,9 +299,13 @@ class RankEncoder(Encoder):
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {v: k for k, v in self.ranks.items()}
 
-    def _fill(self, slices: set[bytes]) -> None:
-        for piece in slices:
-            self.cache[piece] = np.array(self.merged(piece), "<u4").tobytes()
+    def _fill(self, slices: Slices, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.merged(slices.data[a:b]) for a, b in zip(slices.first[which].tolist(), slices.after[which].tolist(), strict=True)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    @functools.cached_property
+    def id_widths(self) -> np.ndarray:
+        return np.diff(self._bytes[1])
 
     def merged(self, piece: bytes) -> list[int]:
         """Merges the adjacent pair of lowest rank, the leftmost first, until no pair has a rank."""
@@ -315,23 +420,24 @@ class LibraryEncoder(Encoder):
     def text(self, ids: np.ndarray) -> str:
         return b"".join(map(self.tokens.__getitem__, ids.tolist())).decode()
 
-    def _fill(self, slices: set[bytes]) -> None:
-        words, rest = [], []
-        for piece in slices:
-            text = piece.decode()
-            (words if text[0] == " " and text[1:].isalpha() else rest).append((piece, text))
-        parts = [words[k : k + self.strung] for k in range(0, len(words), self.strung)]
-        strung = self.model.encode_batch_fast(["".join(t for _, t in part) for part in parts], add_special_tokens=False)
-        for part, got in zip(parts, strung, strict=True):
-            ids = np.array(got.ids, "<u4")
-            stops = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(p) for p, _ in part])) + 1
-            data, a = ids.tobytes(), 0
-            for (piece, _), b in zip(part, (4 * stops).tolist(), strict=True):
-                self.cache[piece] = data[a:b]
-                a = b
-        if rest:
-            for (piece, _), got in zip(rest, self.model.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(got.ids, "<u4").tobytes()
+    def _fill(self, slices: Slices, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words, rest = which[slices.words[which]], which[~slices.words[which]]
+        texts, width = slices.texts(words), slices.after - slices.first
+        parts = range(0, len(words), self.strung)
+        strung = self.model.encode_batch_fast(["".join(texts[k : k + self.strung]) for k in parts], add_special_tokens=False) if texts else []
+        ids = np.fromiter(chain.from_iterable(got.ids for got in strung), np.uint32)
+        stops = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum(width[words])) + 1
+        single = self.model.encode_batch_fast(slices.texts(rest), add_special_tokens=False) if len(rest) else []
+        more = [got.ids for got in single]
+        pool = np.concatenate([ids, np.fromiter(chain.from_iterable(more), np.uint32)])
+        # Words stand first in the pool, the others after them; both go back to their order.
+        counts = np.empty(len(which), np.int64)
+        is_word = slices.words[which]
+        counts[is_word], counts[~is_word] = np.diff(stops, prepend=0), list(map(len, more))
+        starts = np.empty(len(which), np.int64)
+        grouped = np.append(np.flatnonzero(is_word), np.flatnonzero(~is_word))
+        starts[grouped] = np.cumsum(counts[grouped]) - counts[grouped]
+        return _taken(pool, starts, counts), counts
 
 
 @functools.cache

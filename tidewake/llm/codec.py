@@ -5,7 +5,7 @@ and accepts ids in any order. Each match of the pattern is encoded apart, withou
 
 Cases: a null text is an empty one, which has no ids; texts of any length are encoded whole (a slice
 of more than 100 bytes is merged over a heap); repeated rows each get a row; the other columns of
-the input are left out.
+the input are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,22 +24,26 @@ from tidewake.llm.bpe import rank_encoder
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encoder = rank_encoder(path)
     for batch in batches:
-        ids = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        found = encoder.encode_with_offsets([x or "" for x in batch.column("text").to_pylist()])
+        places = [at.astype("<u4").tobytes() for _, at in found]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in found], pa.binary()), pa.array(places, pa.binary())], ["doc_id", "ids", "offsets"])
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit) of each text."""
+    """doc_id, ids and the byte offset of each id (both little-endian unsigned 32-bit) of each text."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(partial(_encode, path=path), "doc_id long, ids binary")
+    return rows.mapInArrow(partial(_encode, path=path), "doc_id long, ids binary, offsets binary")
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, offsets: bool) -> Iterator[pa.RecordBatch]:
     encoder = rank_encoder(path)
     for batch in batches:
-        texts, places = [], []
-        for x in batch.column("ids").to_pylist():
+        all_ids, texts, places = batch.column("ids").to_pylist(), [], []
+        kept = batch.column("offsets").to_pylist() if "offsets" in batch.schema.names else [None] * len(all_ids)
+        for x, own in zip(all_ids, kept, strict=True):
             text, at = encoder.decode(np.frombuffer(x, "<u4").astype(np.int64))
+            if own is not None and not np.array_equal(np.frombuffer(own, "<u4"), at[:-1]):
+                raise ValueError("offsets and ids are not of one text")
             texts.append(text)
             places.append(at[:-1].tolist() if offsets else None)
         columns = [batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())]
@@ -48,6 +52,7 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str, offsets: bool) -> Iter
 
 
 def decode(encoded: DataFrame, path: str, offsets: bool = False) -> DataFrame:
-    """doc_id, ids and the bytes that they stand for; with ``offsets`` also each id's first byte."""
+    """doc_id, ids and the bytes that they stand for; with ``offsets`` also each id's first byte. Offsets that came with
+    the ids have to agree with what is decoded."""
     kind = "doc_id long, ids binary, decoded binary" + ", offsets array<long>" * offsets
     return encoded.mapInArrow(partial(_decode, path=path, offsets=offsets), kind)

@@ -3,13 +3,13 @@
 Documents are sorted by doc_id over range partitions, encoded, closed with an end id and collected into
 shards of bounded size. In each shard frequent adjacent pairs of ids are replaced by nonterminals, round after
 round, until no pair is frequent; pairs never span two documents. A shard holds, little-endian: a magic word,
-the counts, the doc_ids, the number of symbols before each document, the two sides of each rule, the length of each
+the counts (of documents, of those that have a doc_id, of rules and symbols, and the ids below them), the doc_ids, the number of symbols before each document, the two sides of each rule, the length of each
 rule's expansion, and the symbols. Expansion lengths say which symbols hold a range of ids, so any range is decoded alone.
 
 Shards are rows of a Parquet table in a shared folder, which Spark writes and reads wherever it lies.
 
-Cases: a null text is an empty one and has the end id alone; a null doc_id counts as the largest one and comes
-last; rows of one doc_id follow each other in order of their texts; a document longer than a shard makes a shard
+Cases: a null text is an empty one and has the end id alone; a null doc_id comes last, stays null and is no other id;
+rows of one doc_id follow each other in order of their texts; a document longer than a shard makes a shard
 of its own; other columns never enter; an empty table gives no shard.
 """
 
@@ -27,35 +27,54 @@ from pyspark.sql import functions as F
 
 from tidewake.llm.bpe import library_encoder
 from tidewake.llm.shared import small_batches, written
-from tidewake.llm.substring import LAST_ID, key
 
 #: Ids of one shard, pairs replaced in a round, and times that a pair must occur.
 SHARD, PAIRS, LEAST = 1 << 18, 1 << 11, 8
 MAGIC = b"RPAIR\0\1\0"
-SHARDS = "part int, nth int, first_id long, n_tokens long, data binary"
+SHARDS = "part int, nth int, n_tokens long, data binary"
 ROWS = "part int, nth int, doc_id long, inner long, n_tokens long, ids_crc32 long"
+#: Letters of a text by which rows of one doc_id are dealt to ranges; their order within is by whole texts.
+DEALT = 64
 
 
 def compressed(ids: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, how many are before each document and in all, and rules (pairs of symbols; the first is ``size``)."""
+    """Symbols, how many are before each document and in all, and rules (pairs of symbols; the first is ``size``).
+
+    Only places that can hold a frequent pair are looked at: a pair of symbols that both were there before occurs no
+    oftener after a round, so beside those that were frequent already only the neighbours of new symbols are open.
+    """
     symbols, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
     free = size
-    while len(symbols) > 1:  # a round shortens them, or is the last
-        pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
+    open_ = ~last
+    open_[-1:] = False
+    while len(at := np.flatnonzero(open_)):  # a round shortens the symbols, or is the last
+        pairs = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
         # A table of counts by hash tells which pairs can be frequent; only those are sorted.
         slot = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
-        likely = (np.bincount(slot, minlength=1 << 18) >= LEAST)[slot] & ~last[:-1]
-        found, counts = np.unique(pairs[likely], return_counts=True)
-        found = found[counts >= LEAST]
-        counts = counts[counts >= LEAST]
-        if not len(found):
+        likely = (np.bincount(slot, minlength=1 << 18) >= LEAST)[slot]
+        open_[at[~likely]] = False
+        at, pairs = at[likely], pairs[likely]
+        order = np.argsort(pairs)
+        begins = np.flatnonzero(np.append(True, pairs[order[1:]] != pairs[order[:-1]])[: len(order)])
+        counts = np.diff(np.append(begins, len(order)))
+        found, frequent = pairs[order[begins]], counts >= LEAST
+        if not frequent.any():
             break
-        chosen = np.sort(found[np.lexsort((found, -counts))[:PAIRS]])
-        at = np.flatnonzero(likely)
-        rank = np.searchsorted(chosen, pairs[at])
-        hit = chosen[np.minimum(rank, len(chosen) - 1)] == pairs[at]
+        # The place of each pair among those replaced in this round, or -1.
+        best = np.flatnonzero(frequent)
+        best = np.sort(best[np.argsort(-counts[best], kind="stable")[:PAIRS]])
+        chosen = found[best]
+        number = np.full(len(found), -1)
+        number[best] = np.arange(len(best))
+        which = np.repeat(np.arange(len(found)), counts)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = number[which]
+        rare = np.empty(len(order), bool)
+        rare[order] = ~frequent[which]
+        open_[at[rare]] = False
+        hit = rank >= 0
         at, rank = at[hit], rank[hit]
         # Of places that overlap, every other one from the left is replaced.
         begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
@@ -65,7 +84,12 @@ def compressed(ids: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray
         last[at] |= last[at + 1]
         kept = np.ones(len(symbols), bool)
         kept[at + 1] = False
-        symbols, last = symbols[kept], last[kept]
+        now = np.cumsum(kept)[at] - 1
+        symbols, last, open_ = symbols[kept], last[kept], open_[kept]
+        open_[now] = True
+        open_[np.maximum(now - 1, 0)] = True
+        open_ &= ~last
+        open_[-1:] = False
         rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         free += len(chosen)
     return symbols, np.append(0, np.flatnonzero(last) + 1), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
@@ -83,13 +107,14 @@ def expansion_lengths(rules: np.ndarray, size: int) -> np.ndarray:
 
 
 class Shard:
-    """A shard that is read; ``ids`` decodes a document, ``range`` any ids of the shard."""
+    """A shard that is read; ``ids`` decodes a document, ``range`` any ids of the shard. The first ``known`` documents
+    have a doc_id, the others a null one."""
 
     def __init__(self, data: bytes) -> None:
         if data[:8] != MAGIC:
             raise ValueError("not a shard")
-        docs, rules, symbols, self.size = np.frombuffer(data, "<i8", 4, 8).tolist()
-        at = 40
+        docs, self.known, rules, symbols, self.size = np.frombuffer(data, "<i8", 5, 8).tolist()
+        at = 48
         self.doc_ids = np.frombuffer(data, "<i8", docs, at)
         self.before = np.frombuffer(data, "<i8", docs + 1, at := at + 8 * docs)
         self.rules = np.frombuffer(data, "<u4", 2 * rules, at := at + 8 * (docs + 1)).reshape(-1, 2)
@@ -123,25 +148,26 @@ class Shard:
         return self.expanded(self.symbols[low : high + 1])[start - skipped : stop - skipped]
 
 
-def shard(doc_ids: list[int], ids: list[bytes], size: int) -> bytes:
+def shard(doc_ids: list[int | None], ids: list[bytes], size: int) -> bytes:
     ends = np.cumsum([len(x) // 4 for x in ids])
     symbols, before, rules = compressed(np.frombuffer(b"".join(ids), "<u4"), ends, size)
-    counts = np.array([len(doc_ids), len(rules), len(symbols), size], "<i8")
-    parts = [counts, np.array(doc_ids, "<i8"), before.astype("<i8"), rules.astype("<u4"), expansion_lengths(rules, size).astype("<u4"), symbols.astype("<u4")]
+    known = [i for i in doc_ids if i is not None]
+    counts = np.array([len(doc_ids), len(known), len(rules), len(symbols), size], "<i8")
+    parts = [counts, np.array(known + [0] * (len(doc_ids) - len(known)), "<i8"), before.astype("<i8"), rules.astype("<u4"), expansion_lengths(rules, size).astype("<u4"), symbols.astype("<u4")]
     return MAGIC + b"".join(p.tobytes() for p in parts)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder, part, nth = library_encoder(path), TaskContext.get().partitionId(), 0
     end = np.array([end_id], "<u4").tobytes()
-    held_ids: list[int] = []
+    held_ids: list[int | None] = []
     held: list[bytes] = []
     total = 0
 
     def out() -> pa.RecordBatch:
-        values = [part, nth, held_ids[0], total, shard(held_ids, held, encoder.size)]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "nth", "first_id", "n_tokens", "data"])
+        values = [part, nth, total, shard(held_ids, held, encoder.size)]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "nth", "n_tokens", "data"])
 
     for batch in batches:
         texts = [x or "" for x in batch.column("text").to_pylist()]
@@ -159,8 +185,9 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
 def write(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """The shards of all documents, written as a table and read from it."""
     small_batches(docs.sparkSession)
-    texts = docs.select(key().alias("id"), F.col("text").cast("string").alias("text"))
-    ordered = texts.repartitionByRange("id").sortWithinPartitions("id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    order = [F.asc_nulls_last("id"), F.col("text")]
+    ordered = texts.repartitionByRange(order[0], F.substring("text", 1, DEALT)).sortWithinPartitions(*order)
     return written(ordered.mapInArrow(partial(_shards, path=path, end_id=end_id), SHARDS), "id-shards")
 
 
@@ -169,19 +196,22 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, nth, data in zip(*(batch.column(c).to_pylist() for c in ("part", "nth", "data")), strict=True):
             block = Shard(data)
             starts = block.starts()
-            sums = [zlib.crc32(block.ids(d).astype("<u4").tobytes()) for d in range(len(block.doc_ids))]
+            whole, ends = block.expanded(block.symbols).astype("<u4", copy=False).tobytes(), (4 * starts).tolist()
+            sums = [zlib.crc32(whole[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             n = len(sums)
-            columns = [np.full(n, part, np.int32), np.full(n, nth, np.int32), block.doc_ids, starts[:-1], np.diff(starts), np.array(sums, np.int64)]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [x.split()[0] for x in ROWS.split(", ")])
+            columns = [np.full(n, part, np.int32), np.full(n, nth, np.int32), starts[:-1], np.diff(starts), np.array(sums, np.int64)]
+            arrays = list(map(pa.array, columns))
+            arrays.insert(2, pa.array(block.doc_ids, mask=np.arange(n) >= block.known))
+            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in ROWS.split(", ")])
 
 
 def read(shards: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, from the shards."""
-    sums = shards.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.min("first_id").alias("first"))
-    sums = sums.select("part", (F.sum("tokens").over(Window.orderBy("first", "part")) - F.col("tokens")).alias("base"))
+    # Ranges are numbered in their order; there are as many as there were tasks.
+    sums = shards.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
+    sums = sums.select("part", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("base"))
     each = Window.partitionBy("part").orderBy("nth")
     before = shards.select("part", "nth", (F.sum("n_tokens").over(each) - F.col("n_tokens")).alias("within")).join(sums, "part")
     rows = shards.select("part", "nth", "data").mapInArrow(_read, ROWS)
     start = F.col("base") + F.col("within") + F.col("inner")
-    doc_id = F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")).alias("doc_id")
-    return rows.join(before, ["part", "nth"]).select(doc_id, start.alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(before, ["part", "nth"]).select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
