@@ -3,6 +3,12 @@
 Quality rules reject documents; line dedup and substring dedup shorten texts, and drop documents that they leave
 without a word; of each class of near duplicates one row of least doc_id stays; packing
 turns what is left into token sequences. Every stage is written as Parquet and read again.
+
+Cases: a null or empty text fails the quality rules, and is left as it is by the stages after (near duplicates keep all
+documents without a word, since those stand alone); a null doc_id counts as the largest one; repeated rows are judged
+alike by the stages on texts, and near duplicates keep one of them; ties go to the least doc_id, then to the text of least
+hash; texts of any length are taken whole; columns beyond those of documents ride along, whatever their names; an empty
+table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.llm import jaccard, lines, packing, quality, substring
-from tidewake.llm.shared import table, written
+from tidewake.llm.shared import quoted, table, written
 
 #: A word n-gram is five words here, and near duplicates share four fifths of theirs.
 SHINGLE, SHARE = 5, (80, 100)
@@ -25,7 +31,7 @@ def _shortened(found: DataFrame, columns: list[str]) -> DataFrame:
     changed = F.col("n_removed") > 0
 
     def column(name: str) -> Column:
-        old = F.col(f"row.{name}")
+        old = F.col(f"row.{quoted(name)}")
         new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}.get(name)
         return (old if new is None else F.when(changed, new).otherwise(old)).alias(name)
 

@@ -1,7 +1,7 @@
 """Chat formatting: token-level assembly of conversations with a loss mask.
 
 Each turn's role and text are encoded apart, wherever the row lies. Turns then meet in order, one
-conversation after the other, and are spliced with reserved ids that no text can produce. The loss
+conversation after the other (in one task for each conversation, as digests run over its turns in order), and are spliced with reserved ids that no text can produce. The loss
 mask is the prefix sum of +1 where an assistant's text begins and -1 where it ends. The rendering puts
 ``### `` before a role, ``:`` and a line end after it and ``</turn>`` after a text; inside texts a backslash
 goes before backslashes and before what would read as one of these marks, so that reading inverts it.
@@ -11,7 +11,7 @@ of any length takes bounded memory; the order is made by Spark's sort.
 
 Cases: null text and null role are empty; a null turn comes first; rows that repeat (conv_id, turn)
 are turns of their own, in order of role and text; a null conv_id is a conversation of its own; other
-columns are ignored.
+columns are ignored; texts of any length are encoded whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

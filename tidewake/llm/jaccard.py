@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.llm.quality import SPACES
-from tidewake.llm.shared import small_batches, written
+from tidewake.llm.shared import as_row, small_batches, written
 from tidewake.llm.words import UNIT_BASES, MIX_1, MIX_2, Spans, Units, mixed, rounds, signed
 
 #: Dealings of columns into bands that are tried before empty bands count.
@@ -466,12 +466,8 @@ def heads(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, lower:
     first = written(classes.groupBy("label").agg(F.min("first").alias("head")).select("head.id", "head.th"), "jaccard-kept")
     text = F.col("text").cast("string")
     # Names of the input stay within a struct, so that none can clash with these.
-    rows = docs.select(F.struct(*[docs[_quoted(c)] for c in docs.columns]).alias("row"), F.xxhash64(text).alias("row_th"), F.col("doc_id").cast("long").alias("row_id"), F.coalesce(F.btrim(text, F.lit(SPACES)), F.lit("")).alias("words"))
+    rows = docs.select(as_row(docs).alias("row"), F.xxhash64(text).alias("row_th"), F.col("doc_id").cast("long").alias("row_id"), F.coalesce(F.btrim(text, F.lit(SPACES)), F.lit("")).alias("words"))
     met = (F.col("row_th") == F.col("th")) & F.col("row_id").eqNullSafe(F.col("id"))
     one = rows.where("words != ''").drop("words").join(first.hint("merge"), met, "left_semi")
     one = one.groupBy("row_id", "row_th").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
     return one.unionByName(rows.where("words = ''").select("row")).select("row.*")
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

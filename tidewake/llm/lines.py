@@ -9,8 +9,8 @@ others are joined, each extended by the lines left and right of it that its runs
 that begin later than their first occurrence are deleted. Overlapping runs merge into maximal ones.
 
 Cases: a null text has no lines; a null doc_id counts as the largest one; repeated rows (same doc_id and
-text) are judged alike, so one never deletes the other; texts of fewer lines than a run stay; other columns
-never enter; an empty table gives an empty result.
+text) are judged alike, so one never deletes the other; texts of fewer lines than a run stay; texts of any length are read
+whole; other columns never enter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,23 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.llm.shared import small_batches, written
-from tidewake.llm.substring import _parts, key
+from tidewake.llm.substring import cut_schema, keyed
 from tidewake.llm.words import UNIT_BASES, Spans, Units, rounds
 
 NOISE, GUARANTEE = 2, 3
 
-PRINTS = "print long, id long, part int, runs array<struct<at: int, x1: long, x2: long>>"
+PRINTS = "print long, id long, th long, runs array<struct<at: int, x1: long, x2: long>>"
 
 
 def _prints(batches: Iterator[pa.RecordBatch], noise: int, guarantee: int) -> Iterator[pa.RecordBatch]:
     """The fingerprints of each text, with the runs around them that they stand for."""
     kind = pa.list_(pa.struct([("at", pa.int32()), ("x1", pa.int64()), ("x2", pa.int64())]))
     for batch in batches:
-        ids = batch.column("id").to_numpy()
+        ids, th = batch.column("id").to_numpy(), batch.column("th").to_numpy()
         for a, _, data, offsets in rounds(batch):
             lines = Units(data, offsets, lines=True)
             one, two = (Spans(lines.hashes(k), UNIT_BASES[k]) for k in (0, 1))
-            parts = _parts(lines, one, two)
             at = np.arange(max(0, len(lines.first) - noise + 1))
             grams = one.hashes(at, at + noise)
             owner, print_, place, base = [], [], [], []
@@ -62,25 +61,25 @@ def _prints(batches: Iterator[pa.RecordBatch], noise: int, guarantee: int) -> It
             runs = pa.StructArray.from_arrays([pa.array(at), pa.array(x1), pa.array(x2)], fields=list(kind.value_type))
             lists = pa.ListArray.from_arrays(pa.array(np.append(turn, len(g)).astype(np.int32)), runs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[g[turn]].view(np.int64)), pa.array(ids[a + d[turn]]), pa.array(parts[d[turn]]), lists], ["print", "id", "part", "runs"]
+                [pa.array(grams[g[turn]].view(np.int64)), pa.array(ids[a + d[turn]]), pa.array(th[a + d[turn]]), lists], ["print", "id", "th", "runs"]
             )
 
 
 def deletable(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
-    """id and runs (part, at; in lines that have a word) that occur earlier."""
+    """id, th and the places (in lines that have a word) of the runs that occur earlier."""
     small_batches(docs.sparkSession)
-    texts = docs.select(key().alias("id"), F.col("text").cast("string").alias("text"))
+    texts = keyed(docs)
     prints = written(texts.mapInArrow(partial(_prints, noise=noise, guarantee=guarantee), PRINTS), "line-prints")
-    places = prints.select("print", F.struct("id", "part", F.col("runs")[0]["at"].alias("at")).alias("place"))
+    places = prints.select("print", F.struct("id", "th", F.col("runs")[0]["at"].alias("at")).alias("place"))
     # Written, so that the join's sides are plain shuffles, of which Spark can split a hot key's rows.
     again = places.groupBy("print").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high").select("print")
     again = written(again, "line-repeated")
-    runs = prints.join(again, "print", "left_semi").select("id", "part", F.inline("runs"))
-    place = F.struct("id", "at", "part")
+    runs = prints.join(again, "print", "left_semi").select("id", "th", F.inline("runs"))
+    place = F.struct("id", "at", "th")
     first = runs.groupBy("x1", "x2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("x1", "x2", "low")
     first = written(first, "line-first")
     late = runs.join(first, ["x1", "x2"]).where("struct(id, at) > struct(low.id, low.at)")
-    return late.groupBy("id").agg(F.collect_set(F.struct("part", "at")).alias("late"))
+    return late.groupBy("id", "th").agg(F.collect_set("at").alias("late"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], guarantee: int) -> Iterator[pa.RecordBatch]:
@@ -88,15 +87,13 @@ def _cut(batches: Iterator[pa.RecordBatch], guarantee: int) -> Iterator[pa.Recor
         lists, found = batch.column("late").to_pylist(), []
         for a, b, data, offsets in rounds(batch):
             lines = Units(data, offsets, lines=True)
-            parts = _parts(lines, *(Spans(lines.hashes(k), UNIT_BASES[k]) for k in (0, 1))) if any(lists[a:b]) else None
             text, counts = data.tobytes(), np.diff(lines.before)
             for d in range(b - a):
                 own, low = text[offsets[d] : offsets[d + 1]], lines.before[d]
                 change = np.zeros(counts[d] + 1, np.int32)
-                for s in lists[a + d] or ():
-                    if s["part"] == parts[d]:
-                        change[s["at"]] += 1
-                        change[s["at"] + guarantee] -= 1
+                for at in lists[a + d] or ():
+                    change[at] += 1
+                    change[at + guarantee] -= 1
                 gone = np.flatnonzero(np.cumsum(change[:-1]) > 0)
                 if len(gone):
                     all_lines = own.split(b"\n")
@@ -113,7 +110,5 @@ def _cut(batches: Iterator[pa.RecordBatch], guarantee: int) -> Iterator[pa.Recor
 def deduplicated(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``), n_lines, n_removed and kept, the text without those lines."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key().alias("id"), F.col("text").cast("string").alias("text"))
-    cut = rows.join(deletable(docs, noise, guarantee), "id", "left").select("row", "text", "late")
-    kind = cut.schema["row"].dataType.simpleString()
-    return cut.mapInArrow(partial(_cut, guarantee=guarantee), f"row {kind}, n_lines long, n_removed long, kept string")
+    cut = keyed(docs, with_row=True).join(deletable(docs, noise, guarantee), ["id", "th"], "left").select("row", "text", "late")
+    return cut.mapInArrow(partial(_cut, guarantee=guarantee), cut_schema(cut, "n_lines"))

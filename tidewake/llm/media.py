@@ -6,7 +6,8 @@ averages exact areas by integral images; ``difference_hash`` compares neighbours
 the tile itself is kept as the bytes of an NPY file.
 
 Cases: a null text is stored as an empty one, which is 64 zero bytes; equal texts give equal values;
-repeated rows each get a row; an image that can't be decoded raises, as a stored image always can be.
+repeated rows each get a row; an image that can't be decoded raises, as a stored image always can be; texts of any
+length are one image; other columns never enter; an empty table gives an empty result.
 """
 
 from __future__ import annotations

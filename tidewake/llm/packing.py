@@ -32,8 +32,9 @@ from tidewake.llm.bpe import library_encoder
 from tidewake.llm.shared import small_batches, written
 
 WINDOW = 1024
-#: Tokens of a bin of tail lengths, the most tails of a combination, and buckets by which tails are ranked.
-BIN, DEPTH, BUCKETS = 4, 3, 256
+#: Tokens of a bin of tail lengths, the most tails of a combination, and documents of a bucket by which tails are ranked
+#: (on average; there are 256 buckets at least).
+BIN, DEPTH, BUCKET_ROWS = 4, 3, 1 << 16
 
 TAILS = "uid long, doc_id long, doc_tokens long, full array<long>, tail int, tail_crc32 long, tail_ids binary"
 
@@ -143,11 +144,12 @@ def packed(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW) ->
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(texts.mapInArrow(partial(_tokenised, path=path, end_id=end_id, window=window), TAILS), "packing-tails")
+    buckets = max(256, rows.count() // BUCKET_ROWS)  # the count is of a written table
     ranked = rows.select(
         "uid", "doc_id", "doc_tokens", "tail", "tail_crc32",
         F.ceil(F.col("tail") / BIN).cast("int").alias("bin"),
         F.size("full").cast("long").alias("n_full"),
-        F.pmod(F.xxhash64("uid"), F.lit(BUCKETS)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64("uid"), F.lit(buckets)).cast("int").alias("bucket"),
     )
     sums = ranked.groupBy("bin", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_full").alias("f"), F.sum("tail").alias("t"))
     sums = written(sums, "packing-sums")
@@ -197,13 +199,13 @@ def packed(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW) ->
     in_order = Window.partitionBy("sequence_id").orderBy("units").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = filled.withColumn("offset", F.sum("length").over(in_order) - F.col("length")).select(*names)
 
-    rest = _rest(ranked.where("tail > 0 AND rank >= used"), rows, window, fulls + made.sequences)
+    rest = _rest(ranked.where("tail > 0 AND rank >= used"), rows, window, fulls + made.sequences, buckets)
     return whole.unionByName(filled).unionByName(rest.select(*names))
 
 
-def _rest(tails: DataFrame, rows: DataFrame, window: int, first: int) -> DataFrame:
+def _rest(tails: DataFrame, rows: DataFrame, window: int, first: int, buckets: int) -> DataFrame:
     """Tails that no combination took, strung together by bucket and cut at the windows' ends."""
-    tails = tails.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(BUCKETS)).cast("int"))
+    tails = tails.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)).cast("int"))
     sums = tails.groupBy("bucket").agg(F.sum("tail").alias("t"))
     before = sums.select("bucket", (F.sum("t").over(Window.orderBy("bucket")) - F.col("t")).alias("base"))
     own = F.sum("tail").over(Window.partitionBy("bucket").orderBy(F.desc("tail"), "uid").rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -9,7 +9,7 @@ expression over the statistics.
 Cases: a null or empty text has no words and fails the base rule; extra columns of the input never
 enter (only ``doc_id`` and ``text`` are read); repeated rows each get their own result; no labels, or
 labels of one class alone, give an empty list that keeps what passes the base rule; label rows whose
-class is null are left out.
+class is null are left out; texts of any length are judged whole, as one row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.shared import written
+from tidewake.llm.shared import as_row, written
 
 #: Characters that separate words: space, tab, LF, VT, FF, CR.
 SPACES = " \t\n\x0b\x0c\r"
@@ -114,10 +114,14 @@ class DecisionList:
 
 
 def labelled_sample(labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """At most ``bound`` label rows, picked by a hash of doc_id, so that they can be broadcast."""
+    """At most ``bound`` label rows, the first in the order of a hash of doc_id, so that they can be broadcast."""
     rows = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where("_id IS NOT NULL AND _label IS NOT NULL")
-    share = min(1.0, 0.95 * bound / max(1, rows.count()))
-    return rows.where(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)).limit(bound)
+    n = rows.count()
+    if n <= bound:
+        return rows
+    # Well over the bound are let through before they are ordered; the hash is the same in both steps.
+    rows = rows.withColumn("_order", F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 40)))
+    return rows.where(F.col("_order") <= int(min(1.0, 1.2 * bound / n) * (1 << 40))).orderBy("_order", "_id", "_label").limit(bound).drop("_order")
 
 
 def learn(
@@ -232,5 +236,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that base rule and decision list keep, with all their columns."""
     rules = learn(docs, labels)
     # The row rides through as a struct in the place of its id.
-    held = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+    held = docs.select(as_row(docs).alias("doc_id"), "text")
     return judged(held, rules).where("kept").select("doc_id.*")

@@ -6,31 +6,53 @@ costs only the tasks that were running, and the lineage above is cut.
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch: long texts would make batches of the default 10,000 rows too large.
 BATCH_ROWS = "1024"
 
 
-@functools.cache
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+#: Tables that this process has written, by application.
+_PATHS: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine), a new temporary one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which executors share as well."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/written").rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table of its own in the shared folder, and read from it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """``df`` written as a table of its own in the shared folder, and read from it (as ``schema``, if its types have
+    another view of the same data)."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables that this application's calls of ``written`` left, once no result is read from them any more;
+    how many there were."""
+    paths = _PATHS.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns as one struct, within which no name can clash with an operator's own."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
 
 
 def small_batches(spark: SparkSession) -> None:

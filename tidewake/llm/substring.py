@@ -9,8 +9,9 @@ for the first documents of those spans alone whose anchor other spans share, at
 of full windows, so the doubling ends there, and it ends before wherever no candidate is left.
 
 Cases: a null text has no words; a null doc_id counts as the largest one; rows of one doc_id are judged
-each by its own text, and never against each other; texts shorter than the window stay; columns other
-than doc_id and text never enter; an empty table gives an empty result.
+each by its own text, and never against each other, so repeated rows are cut alike; texts shorter than the window stay;
+texts of any length are read whole; columns other than doc_id and text never enter, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,21 +24,16 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
-from tidewake.llm.shared import small_batches, written
+from tidewake.llm.shared import as_row, small_batches, written
 from tidewake.llm.words import UNIT_BASES, Spans, Units, rounds, signed
 
 WINDOW = 50
 LAST_ID = (1 << 63) - 1
 
-ANCHORS = "anchor long, span long, id long, part int, start int, length int"
-WINDOWS = "x1 long, x2 long, id long, part int, start int"
-
-
-def _parts(words: Units, one: Spans, two: Spans) -> np.ndarray:
-    """What tells rows of one doc_id apart: 31 bits of a hash of each text's words."""
-    whole = one.hashes(words.before[:-1], words.before[1:]) ^ two.hashes(words.before[:-1], words.before[1:])
-    return (whole >> np.uint64(33)).astype(np.int32)
+ANCHORS = "anchor long, span long, id long, th long, start int, length int"
+WINDOWS = "x1 long, x2 long, id long, th long, start int"
 
 
 def _spans(words: Units) -> tuple[Spans, Spans]:
@@ -51,11 +47,10 @@ def _batch(names: str, *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
 def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     half = window // 2
     for batch in batches:
-        ids = batch.column("id").to_numpy()
+        ids, th = batch.column("id").to_numpy(), batch.column("th").to_numpy()
         for a, _, data, offsets in rounds(batch):
             words = Units(data, offsets)
             one, two = _spans(words)
-            parts = _parts(words, one, two)
             first = np.arange(max(0, len(words.first) - half + 1))
             halves = one.hashes(first, first + half)
             found = []
@@ -70,7 +65,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
                 continue
             d, anchor, start, length = map(np.concatenate, zip(*found, strict=True))
             yield _batch(
-                ANCHORS, signed(halves[anchor]), signed(two.hashes(start, start + length)), ids[a + d], parts[d],
+                ANCHORS, signed(halves[anchor]), signed(two.hashes(start, start + length)), ids[a + d], th[a + d],
                 (start - words.before[d]).astype(np.int32), length.astype(np.int32),
             )
 
@@ -78,14 +73,13 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Both hashes of each full window in the listed spans."""
     for batch in batches:
-        ids, lists = batch.column("id").to_numpy(), batch.column("spans").to_pylist()
+        ids, th, lists = batch.column("id").to_numpy(), batch.column("th").to_numpy(), batch.column("spans").to_pylist()
         for a, b, data, offsets in rounds(batch):
             words = Units(data, offsets)
             one, two = _spans(words)
-            parts = _parts(words, one, two)
             rows, starts = [], []
             for d in range(b - a):
-                own = [np.arange(s["start"], s["start"] + s["length"] - window + 1) for s in lists[a + d] if s["part"] == parts[d]]
+                own = [np.arange(s["start"], s["start"] + s["length"] - window + 1) for s in lists[a + d]]
                 if own:
                     at = np.unique(np.concatenate(own))
                     rows.append(np.full(len(at), d))
@@ -94,7 +88,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
                 d, at = np.concatenate(rows), np.concatenate(starts)
                 first = words.before[d] + at
                 yield _batch(
-                    WINDOWS, signed(one.hashes(first, first + window)), signed(two.hashes(first, first + window)), ids[a + d], parts[d], at.astype(np.int32)
+                    WINDOWS, signed(one.hashes(first, first + window)), signed(two.hashes(first, first + window)), ids[a + d], th[a + d], at.astype(np.int32)
                 )
 
 
@@ -102,16 +96,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists, counts = batch.column("spans").to_pylist(), []
         for a, b, data, offsets in rounds(batch):
-            words = Units(data, offsets)
-            parts = _parts(words, *_spans(words)) if any(lists[a:b]) else None
             text = data.tobytes()
             for d in range(b - a):
                 own = text[offsets[d] : offsets[d + 1]].split()  # at the same six characters
                 n, change = len(own), np.zeros(len(own) + 1, np.int32)
                 for s in lists[a + d] or ():
-                    if s["part"] == parts[d]:
-                        change[s["start"]] += 1
-                        change[s["start"] + s["length"]] -= 1
+                    change[s["start"]] += 1
+                    change[s["start"] + s["length"]] -= 1
                 gone = np.cumsum(change[:-1]) > 0 if change.any() else None
                 kept = own if gone is None else [own[k] for k in np.flatnonzero(~gone).tolist()]
                 counts.append((n, n - len(kept), b" ".join(kept).decode()))
@@ -125,9 +116,22 @@ def key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
 
 
+def keyed(docs: DataFrame, with_row: bool = False) -> DataFrame:
+    """id, th, text, and with it the whole row. Rows are found again by id and a hash of the text, so many rows of one
+    id (null ones above all) don't meet; a null text and an empty one are alike."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = [as_row(docs).alias("row")] if with_row else []
+    return docs.select(*row, key().alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def cut_schema(df: DataFrame, units: str) -> StructType:
+    return StructType([df.schema["row"]]).add(units, LongType()).add("n_removed", LongType()).add("kept", StringType())
+
+
 def removable(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """id and spans (part, start, length, in words) that earlier documents have."""
-    texts = docs.select(key().alias("id"), F.col("text").cast("string").alias("text"))
+    """id, th (what tells rows of one id apart: a hash of the text) and spans (start, length, in words) that earlier
+    documents have."""
+    texts = keyed(docs)
     small_batches(docs.sparkSession)
     # Level one.
     anchors = texts.mapInArrow(partial(_anchors, window=window), ANCHORS)
@@ -138,25 +142,23 @@ def removable(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # Level two.
     spans = left.groupBy("anchor", "span").agg(F.min("id").alias("first"))
     spans = written(spans, "substring-spans")
-    whole = left.join(spans, ["anchor", "span"]).where("id > first").select("id", "part", "start", "length")
+    whole = left.join(spans, ["anchor", "span"]).where("id > first").select("id", "th", "start", "length")
     # Level three.
     several = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     several = written(several, "substring-several")
     opened = written(spans.join(several, "anchor", "left_semi").withColumnRenamed("first", "id"), "substring-opened")
     # A document can have a span at several places, and no earlier one has settled any of them.
     open_ = left.join(opened, ["anchor", "span", "id"], "left_semi")
-    open_ = open_.groupBy("id").agg(F.collect_set(F.struct("part", "start", "length")).alias("spans"))
-    windows = written(texts.join(open_, "id").mapInArrow(partial(_windows, window=window), WINDOWS), "substring-windows")
+    open_ = open_.groupBy("id", "th").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    windows = written(texts.join(open_, ["id", "th"]).mapInArrow(partial(_windows, window=window), WINDOWS), "substring-windows")
     early = windows.groupBy("x1", "x2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("x1", "x2", "low")
     early = written(early, "substring-early")
-    single = windows.join(early, ["x1", "x2"]).where("id > low").select("id", "part", "start", F.lit(window).alias("length"))
-    return whole.unionByName(single).groupBy("id").agg(F.collect_set(F.struct("part", "start", "length")).alias("spans"))
+    single = windows.join(early, ["x1", "x2"]).where("id > low").select("id", "th", "start", F.lit(window).alias("length"))
+    return whole.unionByName(single).groupBy("id", "th").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``), n_words, n_removed and kept, the kept words joined by a space."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key().alias("id"), F.col("text").cast("string").alias("text"))
-    cut = rows.join(removable(docs, window), "id", "left").select("row", "text", "spans")
-    kind = cut.schema["row"].dataType.simpleString()
-    return cut.mapInArrow(_cut, f"row {kind}, n_words long, n_removed long, kept string")
+    cut = keyed(docs, with_row=True).join(removable(docs, window), ["id", "th"], "left").select("row", "text", "spans")
+    return cut.mapInArrow(_cut, cut_schema(cut, "n_words"))

@@ -10,7 +10,8 @@ other work is over all rows. The fitted model is at most ``features`` buckets an
 
 Cases: a null or empty text has no n-gram and is scored by the intercept; texts of any length are read
 whole; label rows without class or doc_id are left out; without labels of both classes every score is the
-smoothed share of toxic labels; repeated rows each get a row; other columns never enter.
+smoothed share of toxic labels; of features that stand out equally the one of least bucket is taken; repeated rows each get
+a row; other columns never enter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewake.llm.quality import labelled_sample
 from tidewake.llm.shared import small_batches, written
@@ -125,11 +127,18 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, feature
             for owner, bucket in _grams(texts, wanted):
                 for d, k in zip(owner.tolist(), np.searchsorted(names, bucket).tolist(), strict=True):
                     lists[d].append(k)
-            yield pa.RecordBatch.from_arrays([batch.column("_label").cast(pa.float64()), pa.array(lists, pa.list_(pa.int32()))], ["label", "present"])
-
-    vector = F.udf(lambda own: Vectors.sparse(wide, own, ratios[own].tolist()), VectorUDT())
-    rows = known.mapInArrow(present, "label double, present array<int>")
-    rows = written(rows, "toxic-features").select("label", vector("present").alias("features"))
+            # A sparse vector as Spark ML stores it: kind 0, size, places and values.
+            n = len(texts)
+            parts = [
+                pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, wide, np.int32)), pa.array([sorted(own) for own in lists], pa.list_(pa.int32())),
+                pa.array([ratios[sorted(own)].tolist() for own in lists], pa.list_(pa.float64())),
+            ]
+            features_ = pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column("_label").cast(pa.float64()), features_], ["label", "features"])
+
+    plain = StructType([StructField("label", DoubleType()), StructField("features", VectorUDT.sqlType())])
+    vectors = StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])
+    rows = written(known.mapInArrow(present, plain), "toxic-features", vectors)
     fitted = LogisticRegression(maxIter=60, regParam=3e-4, standardization=False).fit(rows)
     return Model(buckets, tuple((fitted.coefficients.toArray() * ratios).tolist()), float(fitted.intercept))
 
