@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.functions.stats import newcombe, share
@@ -179,3 +179,27 @@ def verdicts(train: DataFrame, held: DataFrame, bound: float, least: int) -> Dat
         .otherwise("inconclusive")
     )
     return t.join(h, "feature", "left").select("feature", "b_train", "b_held", verdict.alias("verdict"))
+
+
+def stability(fits: DataFrame, over: str) -> DataFrame:
+    """Each feature's effects under several settings (``over``): their range, and whether sign and significance stay."""
+    significant = F.abs("z") >= 1.96
+    return fits.groupBy("feature").agg(
+        F.count("b").alias("n_fits"), F.min("b").alias("least_b"), F.max("b").alias("greatest_b"),
+        (F.countDistinct(F.signum("b")) == 1).alias("same_sign"), (F.countDistinct(significant) == 1).alias("same_significance"),
+    )
+
+
+def flips(fits: DataFrame, by: str, first: str, second: str) -> DataFrame:
+    """Effects in two classes side by side: a model in which everything, the groups' effects too, differs by class."""
+    a = fits.where(F.col(by) == first).select("feature", F.col("b").alias("b_first"), F.col("se").alias("_s1"))
+    b = fits.where(F.col(by) == second).select("feature", F.col("b").alias("b_second"), F.col("se").alias("_s2"))
+    out = a.join(b, "feature").withColumn("difference", F.col("b_first") - F.col("b_second"))
+    z = F.col("difference") / F.nullif(F.sqrt(F.col("_s1") * F.col("_s1") + F.col("_s2") * F.col("_s2")), F.lit(0.0))
+    return out.select("feature", "b_first", "b_second", "difference", z.alias("z"), (F.signum("b_first") != F.signum("b_second")).alias("sign_flips"), (F.abs(z) >= 1.96).alias("significant"))
+
+
+def sender_cohorts(frame: DataFrame, least: int, marks: Column, share_: float) -> DataFrame:
+    """sender and cohort, from independent evidence: how many rows are seen of it, and how many of those carry a mark."""
+    seen = frame.groupBy("sender").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(marks, F.lit(False)).cast("int")).alias("marked"))
+    return seen.select("sender", F.when(F.col("n") < least, "too few").when(F.col("marked") >= share_, "mostly").otherwise("partly").alias("cohort"))

@@ -65,5 +65,9 @@ def trough(smooth: DataFrame, low: int = 3, high: int = 60) -> DataFrame:
     return smooth.where(F.col("unit").between(low, high)).agg(F.min(F.struct("smooth", "unit")).alias("m")).select("m.unit", "m.smooth")
 
 
+def micros_of(ts: Column) -> Column:
+    return F.unix_micros(ts)
+
+
 def micros(name: str) -> Column:
     return F.unix_micros(name).alias(name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,10 +17,11 @@ def nested(spark: SparkSession, path: str, properties: list[str], partitions: in
     return df.repartition(partitions, "id") if partitions else df
 
 
-def flat(df: DataFrame) -> DataFrame:
-    """The properties as columns; missing ones are empty strings."""
+def flat(df: DataFrame, lowered: tuple[str, ...] = ()) -> DataFrame:
+    """The properties as columns; missing ones are empty strings, and those of ``lowered`` lower case and trimmed."""
     names = df.schema["properties"].dataType.fieldNames()
-    return df.select("id", *[F.coalesce(F.col(f"properties.{n}"), F.lit("")).alias(n) for n in names])
+    value = {n: F.coalesce(F.col(f"properties.{n}"), F.lit("")) for n in names}
+    return df.select("id", *[(F.lower(F.trim(v)) if n in lowered else v).alias(n) for n, v in value.items()])
 
 
 def batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -52,7 +53,14 @@ def owners(spark: SparkSession, path: str) -> DataFrame:
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("id")).where("id != ''").distinct()
+    """Distinct ids with the place (file and line) of their first line, by which ``by_line`` orders them."""
+    lines = spark.read.text(path).select(F.trim("value").alias("id"), F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line")).alias("at"))
+    return lines.where("id != ''").groupBy("id").agg(F.min("at").alias("at"))
+
+
+def by_line() -> WindowSpec:
+    """The order of an id list (which is small: what a person or a query has listed)."""
+    return Window.orderBy("at")
 
 
 def instant(c: Column) -> Column:
@@ -96,6 +104,18 @@ def write_result(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_run(df: DataFrame, path: str, **run: str) -> None:
+    """A result as JSON below ``path``, in a folder that names every parameter of its run: other runs stay as they are."""
+    where = "/".join(f"{k}={v}" for k, v in run.items())
+    df.write.mode("overwrite").json(f"{path}/{where}")
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType, run: list[str]) -> DataFrame:
+    """All runs' results with their parameters as columns."""
+    whole = T.StructType([*schema.fields, *[T.StructField(k, T.StringType()) for k in run]])
+    return spark.read.schema(whole).json(path)
+
+
 def append_missing(incoming: DataFrame, path: str, on: str) -> None:
     """Appends the rows whose key the table at ``path`` doesn't have yet."""
     from tidewake.operators.frame import missing
