@@ -61,6 +61,8 @@ TILE, ENTRIES = 512, 1 << 19
 
 #: Cells of the table of counts (2 ** CELL_BITS), how many of them make a row of it, and rows of a column that are still paired.
 CELL_BITS, CHUNK, HOT = 20, 1 << 16, 32
+#: Tasks over which the rows of one block are spread where they are joined with a fact on it.
+SALTS = 128
 
 SETS = "id long, th long, n long, print long, chunk int, cells binary"
 COLUMNS = "column long, print long, n int"
@@ -334,6 +336,18 @@ def _tiles(rows: DataFrame, tile: int) -> DataFrame:
     return rows.groupBy("block").agg(F.ceil(F.greatest(rows_, entries)).cast("int").alias("tiles"))
 
 
+def _by_block(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """The rows with what is known of their block. Rows of a block go to many tasks, to each of which its fact is sent."""
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("print", F.lit("salt")), F.lit(SALTS)).cast("int")).join(salted, ["block", "salt"], how).drop("salt")
+
+
+def _tiled(rows: DataFrame, tile: int) -> DataFrame:
+    """The rows with ``tiles`` of their block. Only blocks of several are joined, of which there are few."""
+    wide = _tiles(rows, tile).where("tiles > 1")
+    return _by_block(rows, wide, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+
+
 def _own(tiles: str = "tiles") -> Column:
     return F.pmod(F.xxhash64("print"), F.col(tiles)).cast("int")
 
@@ -353,7 +367,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _found(full: DataFrame, threshold: Threshold, tile: int) -> DataFrame:
     """node and label of all rows (block, print, n, text) that link to others."""
-    dealt = full.join(_tiles(full, tile), "block").withColumns({"own": _own(), "label": F.col("print"), "search": F.lit(True)})
+    dealt = _tiled(full, tile).withColumns({"own": _own(), "label": F.col("print"), "search": F.lit(True)})
     links = written(_links(dealt, ["block", "own"], threshold), "jaccard-links")
     labels = propagated(links, "jaccard-classes")
     wide = dealt.where("tiles > 1")
@@ -361,7 +375,7 @@ def _found(full: DataFrame, threshold: Threshold, tile: int) -> DataFrame:
         return labels
     # The least row of each class of each tile against those of the other tiles.
     heads_ = _labelled(wide, labels).where("label = print")
-    pairs = _paired(heads_.drop("tiles").join(_tiles(heads_, tile), "block"))
+    pairs = _paired(_tiled(heads_.drop("tiles"), tile))
     links = links.unionByName(written(_links(pairs, ["block", "i", "j"], threshold), "jaccard-heads"))
     labels = propagated(links, "jaccard-classes")
     # What is apart still: all rows but those of the largest class, against all rows.
@@ -371,7 +385,7 @@ def _found(full: DataFrame, threshold: Threshold, tile: int) -> DataFrame:
     apart = counts.join(largest, "block").where("label != largest").groupBy("block").agg(
         F.first("largest").alias("largest"), F.ceil(F.greatest(F.sum("rows") / tile, F.sum("n") / ENTRIES)).cast("int").alias("parts")
     )
-    wide = written(wide.join(apart, "block").withColumn("search", F.col("label") != F.col("largest")), "jaccard-apart")
+    wide = written(_by_block(wide, apart).withColumn("search", F.col("label") != F.col("largest")), "jaccard-apart")
     if wide.isEmpty():
         return labels
     searched = wide.where("search").select("block", _own("parts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j"), "print", "text", "label", "search", "own")
