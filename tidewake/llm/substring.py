@@ -1,12 +1,17 @@
 """Substring dedup by level-wise doubling: words covered by long windows that an earlier document has.
 
-Level one looks at windows of half the final length. Of the half windows that begin in one full
-window, only the one of least hash is an anchor: equal full windows have equal anchors, so nothing is
-lost, and about one place in thirteen is an anchor. Anchors that only one document has are done.
-Level two doubles what is left: each anchor is extended to its span, all full windows that it stands
-for. Equal spans settle every document but the first at once. Level three compares single full windows,
-for the first documents of those spans alone whose anchor other spans share, at all places where they have them. Longer repeats are unions
-of full windows, so the doubling ends there, and it ends before wherever no candidate is left.
+Lengths double from a quarter of the final one (13, 26 and 50 words), and only what is repeated at one length is
+looked at with the next:
+
+1. Windows of a quarter. Of those that begin in one full window only the one of least hash is taken: equal full
+   windows have equal least ones, so nothing is lost. Those that only one document has are done, with all full windows
+   around them.
+2. Windows of a half: each survivor is extended to twice its length, forward for the full windows in which that fits
+   and backward for the others. Full windows whose half only one document has are done.
+3. Full windows. Those that are left around a survivor are looked at together first, as one span: equal spans settle every document
+   but the first at once. Single full windows are compared only for the first documents of spans whose
+   survivor other spans share, at all places where they have them. Longer repeats are unions of full windows, so the
+   doubling ends there, and it ends before wherever no candidate is left.
 
 Cases: a null text has no words; a null doc_id counts as the largest one; rows of one doc_id are judged
 each by its own text, and never against each other, so repeated rows are cut alike; texts shorter than the window stay;
@@ -32,7 +37,7 @@ from tidewake.llm.words import UNIT_BASES, Spans, Units, rounds, signed
 WINDOW = 50
 LAST_ID = (1 << 63) - 1
 
-ANCHORS = "anchor long, span long, id long, th long, start int, length int"
+ANCHORS = "anchor long, right long, left long, id long, th long, start int, cut int, length int, span long, span_right long, span_left long"
 WINDOWS = "x1 long, x2 long, id long, th long, start int"
 
 
@@ -44,32 +49,65 @@ def _batch(names: str, *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [x.split()[0] for x in names.split(", ")])
 
 
+def _lengths(window: int) -> tuple[int, int]:
+    """A quarter of the window, rounded up, and twice that."""
+    quarter = -(-window // 4)
+    return quarter, min(window, 2 * quarter)
+
+
 def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    half = window // 2
+    """The least quarter of each run of full windows that share it, its extension forward and backward, and the span of
+    those windows: whole, and what of it each extension stands for (``cut`` windows backward, the others forward)."""
+    quarter, half = _lengths(window)
     for batch in batches:
         ids, th = batch.column("id").to_numpy(), batch.column("th").to_numpy()
         for a, _, data, offsets in rounds(batch):
             words = Units(data, offsets)
             one, two = _spans(words)
-            first = np.arange(max(0, len(words.first) - half + 1))
-            halves = one.hashes(first, first + half)
+            first = np.arange(max(0, len(words.first) - quarter + 1))
+            quarters = one.hashes(first, first + quarter)
             found = []
             for d in np.flatnonzero(np.diff(words.before) >= window).tolist():
                 low, high = words.before[d], words.before[d + 1]
-                views = sliding_window_view(halves[low : high - half + 1], window - half + 1)
+                views = sliding_window_view(quarters[low : high - quarter + 1], window - quarter + 1)
                 least = views.argmin(1) + np.arange(len(views))  # the leftmost of the least, for each window
                 turn = np.flatnonzero(np.diff(least)) + 1
                 start, last = np.append(0, turn), np.append(turn, len(least)) - 1
-                found.append((np.full(len(start), d), low + least[start], low + start, last - start + window))
+                found.append((np.full(len(start), d), low + least[start], low + start, low + last))
             if not found:
                 continue
-            d, anchor, start, length = map(np.concatenate, zip(*found, strict=True))
+            d, at, start, last = map(np.concatenate, zip(*found, strict=True))
+            forward = np.maximum(start, at - (window - half))  # the first full window in which the extension forward fits
+            cut = np.minimum(forward, last + 1) - start
+            ahead, behind = start + cut <= last, cut > 0
+            right = np.where(ahead, one.hashes(at, np.minimum(at + half, len(words.first))).view(np.int64), 0)
+            left = np.where(behind, one.hashes(np.maximum(at + quarter - half, 0), at + quarter).view(np.int64), 0)
+            stop = last + window
             yield _batch(
-                ANCHORS, signed(halves[anchor]), signed(two.hashes(start, start + length)), ids[a + d], th[a + d],
-                (start - words.before[d]).astype(np.int32), length.astype(np.int32),
+                ANCHORS, signed(quarters[at]), pa.array(right, mask=~ahead), pa.array(left, mask=~behind), ids[a + d], th[a + d],
+                (start - words.before[d]).astype(np.int32), cut.astype(np.int32), (stop - start).astype(np.int32),
+                signed(two.hashes(start, stop)), signed(two.hashes(np.minimum(start + cut, last), stop)), signed(two.hashes(start, np.maximum(start + cut - 1, start) + window)),
             )
 
 
+def _doubled(left: DataFrame, window: int) -> DataFrame:
+    """Level two: of each survivor the full windows whose half other documents have too, as (anchor, span, id, th, start,
+    length)."""
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("right").alias("half")), F.struct(F.lit(1).alias("side"), F.col("left").alias("half")))
+    halves = left.select("id", F.inline(sides)).where("half IS NOT NULL").groupBy("side", "half").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    halves = written(halves.where("low < high").select("side", "half"), "substring-halves")
+    for side, name in ((0, "right"), (1, "left")):
+        known = halves.where(F.col("side") == side).select(F.col("half").alias(name), F.lit(True).alias(f"{name}_too"))
+        left = left.join(known, name, "left")
+    forward, backward = F.coalesce("right_too", F.lit(False)), F.coalesce("left_too", F.lit(False))
+    # What falls away at the one side is the windows that only the other extension stands for.
+    whole = (forward | F.isnull("right")) & (backward | F.isnull("left"))
+    start = F.when(whole | backward, F.col("start")).otherwise(F.col("start") + F.col("cut"))
+    length = F.when(whole, F.col("length")).when(backward, F.col("cut") + (window - 1)).otherwise(F.col("length") - F.col("cut"))
+    span = F.when(whole, F.col("span")).when(backward, F.col("span_left")).otherwise(F.col("span_right"))
+    return left.where(forward | backward).select("anchor", span.alias("span"), "id", "th", start.alias("start"), length.alias("length"))
+
+
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Both hashes of each full window in the listed spans."""
     for batch in batches:
@@ -138,12 +176,13 @@ def removable(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
     # Written, so that the join's sides are plain shuffles, of which Spark can split a hot key's rows.
     shared = written(shared, "substring-shared")
-    left = written(anchors.join(shared, "anchor", "left_semi"), "substring-anchors")
+    left = written(anchors.join(shared, "anchor", "left_semi"), "substring-quarters")
     # Level two.
+    left = written(_doubled(left, window), "substring-anchors")
+    # Level three.
     spans = left.groupBy("anchor", "span").agg(F.min("id").alias("first"))
     spans = written(spans, "substring-spans")
     whole = left.join(spans, ["anchor", "span"]).where("id > first").select("id", "th", "start", "length")
-    # Level three.
     several = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     several = written(several, "substring-several")
     opened = written(spans.join(several, "anchor", "left_semi").withColumnRenamed("first", "id"), "substring-opened")
