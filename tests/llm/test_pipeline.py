@@ -47,3 +47,38 @@ def test_near_duplicates_keep_one_row_of_null_and_repeated_ids(spark):
     rows = [(None, a), (None, a), (None, a + " x"), (7, b), (7, b)]
     left = pipeline.near_duplicates(spark, documents(spark, rows), "").collect()
     assert sorted((str(r.doc_id), r.text[0]) for r in left) == [("7", "b"), ("None", "a")]
+
+
+def odd(spark):
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"long{k}" for k in range(40_000))
+    plain = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, None), (2, ""), (3, plain), (3, plain), (None, plain), (None, None), (4, long), (5, long + " more"), (6, "one\ntwo\nthree " * 1), (7, plain.upper())]
+    df = documents(spark, rows)
+    for name in ("row", "id", "th", "kept", "a.b", "a b", "_key", "text_", "n_removed", "late", "spans"):
+        df = df.withColumn(name, F.lit(99))
+    return df
+
+
+def test_stages_on_odd_rows(spark):
+    df = odd(spark)
+    none = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").limit(0)
+    good = quality.keep_good(df, none)
+    assert good.columns == df.columns and sorted(str(r.doc_id) for r in good.collect()) == ["3", "3", "4", "5", "7", "None"]
+    cut = pipeline.line_dedup(spark, df, "")
+    assert cut.columns == df.columns and cut.count() == df.count() and all(r["a.b"] == 99 and r["row"] == 99 for r in cut.collect())
+    one = pipeline.near_duplicates(spark, df, "")
+    assert one.columns == df.columns and sorted((str(r.doc_id), r.text is None) for r in one.collect()) == [("1", True), ("2", False), ("3", False), ("4", False), ("6", False), ("None", True)]
+    sub = pipeline.substring_dedup(spark, df, "").collect()
+    assert {str(r.doc_id): len((r.text or "").split()) for r in sub} == {"1": 0, "2": 0, "3": 60, "4": 40_000, "5": 1, "6": 3, "7": 60, "None": 0}
+    pieces = pipeline.pack(spark, df, "")
+    assert pieces.where("doc_id = 1").count() == 1 and pieces.select("sequence_id", "offset").distinct().count() == pieces.count()
+
+
+def test_stages_on_an_empty_table(spark):
+    df = odd(spark).limit(0)
+    none = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").limit(0)
+    for out in (quality.keep_good(df, none), pipeline.line_dedup(spark, df, ""), pipeline.near_duplicates(spark, df, ""), pipeline.substring_dedup(spark, df, "")):
+        assert out.columns == df.columns and out.count() == 0
+    assert pipeline.pack(spark, df, "").count() == 0

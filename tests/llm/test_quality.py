@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -77,3 +78,70 @@ def test_kept_rows_come_with_all_their_columns(spark):
 def test_no_python_runs_on_the_executors(spark):
     plan = quality.judged(docs(spark, [(1, "x")]), quality.DecisionList())._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def plain_rules(rows, names, bins, most_rules, most, precision, share):
+    """Sequential covering by counting rows, one threshold after the other."""
+    edges = {}
+    for n in names:
+        values = sorted(r[n] for r in rows)
+        cuts = sorted({values[max(0, math.ceil(i / bins * len(values)) - 1)] for i in range(1, bins)})
+        edges[n] = sorted({*cuts, *((a + b) / 2 for a, b in zip(cuts, cuts[1:], strict=False))})
+    holds = lambda rule, r: all((r[n] > e) if above else (r[n] <= e) for n, above, e in rule)
+    total = sum(r["low"] and not r["prune"] for r in rows)
+    found = []
+    while total and len(found) < most_rules:
+        left = [r for r in rows if not any(holds(rule, r) for rule in found)]
+        grown, seen = [], [r for r in left if not r["prune"]]
+        while len(grown) < most:
+            now = [r for r in seen if holds(grown, r)]
+            p0 = sum(r["low"] for r in now)
+            n0 = len(now) - p0
+            if not p0 or not n0:
+                break
+            best, gain = None, 1e-9
+            for n in names:
+                last = None
+                for e in edges[n]:
+                    for above in (False, True):
+                        hit = [r for r in now if (r[n] > e) == above]
+                        p = sum(r["low"] for r in hit)
+                        if p >= max(5, share * total):
+                            g = p * (math.log2(p / len(hit)) - math.log2(p0 / len(now)))
+                            if g > gain or (above and last is not None and best == (n, True, last) and g == gain):
+                                best, gain = (n, above, e), g
+                    last = e
+            if best is None:
+                break
+            grown.append(best)
+        fresh = [r for r in left if r["prune"]]
+        scored = []
+        for k in range(1, len(grown) + 1):
+            hit = [r for r in fresh if holds(grown[:k], r)]
+            p = sum(r["low"] for r in hit)
+            scored.append(((2 * p - len(hit)) / len(hit) if p else -1.0, -k))
+        if not scored or (1 + max(scored)[0]) / 2 < precision:
+            break
+        found.append(grown[: -max(scored)[1]])
+    return found
+
+
+def test_rules_equal_a_plain_twin(spark):
+    rng = random.Random(8)
+    texts = []
+    for i in range(500):
+        w = [f"{rng.choice('abcdefgh')}{rng.randint(0, 99)}" for _ in range(rng.randint(12, 50))]
+        bad = rng.random() < 0.4
+        texts.append((i, " ".join((x + "##" if bad and rng.random() < 0.6 else x.upper() if rng.random() < 0.1 else x) for x in w), int(not bad)))
+    df = docs(spark, [(i, t) for i, t, _ in texts])
+    names = list(quality.FEATURES)
+    label = {i: q for i, _, q in texts}
+    stats = quality.statistics(df).where(~quality.base_failed()).select(
+        "doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(3)) == 0).alias("prune"), *[F.expr(e).cast("double").alias(n) for n, e in quality.FEATURES.items()]
+    )
+    rows = [{**r.asDict(), "low": label[r.doc_id] == 0} for r in stats.collect()]
+    found = quality.learn(df, labels(spark, [(i, q, 0) for i, q in label.items()]), bins=10, max_rules=3)
+    want = plain_rules(rows, names, 10, 3, 3, 0.9, 0.01)
+    assert want and [[(c.feature, c.above, c.threshold) for c in rule] for rule in found.rules] == want
+    kept = {r.doc_id: r.kept for r in quality.judged(df, found).where("NOT base_failed").collect()}
+    assert kept == {r["doc_id"]: not any(all((r[n] > e) if a else (r[n] <= e) for n, a, e in rule) for rule in want) for r in rows}
