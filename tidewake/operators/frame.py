@@ -142,6 +142,21 @@ def ranked(df: DataFrame, by: list[str], part: Column, order: list[Column], name
     return parted.join(before, [*by, "_part"]).withColumn(name, nth).drop("_part", "_before")
 
 
+def with_previous(df: DataFrame, by: str, key: str, value: str, name: str, parts: int = 4096) -> DataFrame:
+    """``name``: the value of the row before (by a numeric key) among those that agree in ``by``.
+
+    The key's span is cut into ranges. Only the rows of a range are sorted together; the first of each takes the last
+    value of the ranges before, of which there is one row each."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    width = max(1, ((high or 0) - (low or 0)) // parts + 1)
+    ranged = df.withColumn("_range", F.floor((F.col(key) - F.lit(low or 0)) / width))
+    lasts = ranged.groupBy(by, "_range").agg(F.max_by(value, key).alias("_own"))
+    lasts = lasts.select(by, "_range", F.lag("_own").over(Window.partitionBy(by).orderBy("_range")).alias("_last"))
+    order = Window.partitionBy(by, "_range").orderBy(key)
+    found = ranged.withColumns({name: F.lag(value).over(order), "_nth": F.row_number().over(order)}).join(lasts, [by, "_range"])
+    return found.withColumn(name, F.when(F.col("_nth") == 1, F.col("_last")).otherwise(F.col(name))).drop("_range", "_nth", "_last")
+
+
 def numbered(df: DataFrame, key: str, parts: int = 4096) -> DataFrame:
     """``nth`` (from 0) in order of a numeric key: its span is cut into that many ranges, which are counted first."""
     low, high = df.agg(F.min(key), F.max(key)).first()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewake.functions import text as tx
 from tidewake.operators import frame as fr
 from tidewake.operators import redaction as red
-from tidewake.sources.tables import load
+from tidewake.sources.tables import load, spread
 
 WORDS = ["the", "de", "der"]
 PATTERNS = {"address": r"[A-Za-z0-9._%+\-']+@[A-Za-z0-9.\-]+", "number": r"[0-9]{4,}", "symbols": r"[#*$%&|<>]{3,}", "greeting": r"(?i)\b(hi|hey|hello|dear)\b"}
@@ -20,7 +20,7 @@ TOOLS = ["tool", "log"]
 
 
 def _messages(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents")
+    d = spread(load(spark, sf, "documents").select("doc_id", "source", "lang", "text"))
     return d.select(
         "doc_id", "source", "lang", "text", F.substring_index("text", "\n", 1).alias("subject"),
         tx.norm_name(F.regexp_extract("text", r"[A-Za-z]{3,}", 0)).alias("first"), tx.norm_name(F.regexp_extract("text", r"[A-Za-z]{6,}", 0)).alias("company"),

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import text as tx
+from tidewake.operators import frame as fr
 from tidewake.operators import redaction as red
-from tidewake.sources.tables import load
+from tidewake.plans import messages
+from tidewake.sources.tables import load, spread
 
 SUBJECT = F.substring_index
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents")
+    d = spread(load(spark, sf, "documents").select("doc_id", "source", "lang", "text"))
     return d.select("doc_id", "source", "lang", "text", F.substring_index("text", "\n", 1).alias("subject"))
 
 
@@ -61,8 +63,7 @@ def subject_norm_match(spark: SparkSession, sf: str) -> DataFrame:
     from tidewake.operators.attribution import subjects_match
 
     d = _docs(spark, sf).withColumn("norm", tx.norm_subject(F.concat(F.lit("Re: [x] FW: "), F.col("subject"))))
-    before = F.lag("norm").over(Window.partitionBy("source").orderBy("doc_id"))
-    return d.select("doc_id", "norm", "source", before.alias("before")).select(
+    return fr.with_previous(d.select("doc_id", "norm", "source"), "source", "doc_id", "norm", "before").select(
         "doc_id", "norm", subjects_match(F.col("norm"), F.array(F.coalesce("before", F.lit("")))).alias("tied")
     )
 
@@ -85,7 +86,7 @@ def vocab_pruning(spark: SparkSession, sf: str) -> DataFrame:
     return red.pruned(_docs(spark, sf), "doc_id", "text", vocabulary(spark, sf))
 
 
-WORDS = ["the", "de", "der", "and the"]
+WORDS = ["the", "de", "der"]
 
 
 def _redacted(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,9 +94,9 @@ def _redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def redacted_docs(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.col("shown")
+    s = F.col("shown")  # a vocabulary of several words, longest first, is in the tests; here it is single words, as in SQL
     count = lambda name: F.regexp_count(s, F.lit(rf"\[{name}\]"))
-    return _redacted(spark, sf).select("doc_id", count("EMAIL").alias("emails"), count("LINK").alias("links"), count("YEAR").alias("years"), count("DATE").alias("dates"))
+    return _redacted(spark, sf).select("doc_id", count("EMAIL").alias("emails"), count("LINK").alias("links"), count("YEAR").alias("years"), count("DATE").alias("dates"), F.md5(s).alias("text"))
 
 
 def over_redaction(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,16 +120,17 @@ def html_formatting_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def strip_quoted(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", F.length(tx.without_quotes(F.concat("text", F.lit("\n> quoted\nOn Monday someone\nwrote:\nold")))).alias("n_chars"))
+    own = tx.without_quotes(F.concat("text", F.lit("\n> quoted\nOn Monday someone\nwrote:\nold")))
+    return _docs(spark, sf).select("doc_id", F.md5(own).alias("own"), F.length(own).alias("n_chars"))
 
 
 def signature_split(spark: SparkSession, sf: str) -> DataFrame:
     signed = F.concat("text", F.lit("\nBest regards,\nSomeone\nPhone: 1"))
-    return _docs(spark, sf).select("doc_id", tx.signature(signed).alias("s")).select("doc_id", F.length("s.body").alias("body_chars"), F.length("s.signature").alias("signature_chars"))
+    return _docs(spark, sf).select("doc_id", tx.signature(signed).alias("s")).select("doc_id", F.md5("s.body").alias("body"), F.md5("s.signature").alias("signature"))
 
 
 def unwrapped_text(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", F.length(tx.unwrapped(F.col("text"))).alias("n_chars"))
+    return _docs(spark, sf).select("doc_id", F.md5(tx.unwrapped(F.col("text"))).alias("unwrapped"))
 
 
 NAMES = (
@@ -179,12 +181,24 @@ SQL = {
     + """, seen AS (SELECT token, CAST(sum(low) AS BIGINT) AS n_lower, count(*) AS n_any FROM words GROUP BY 1)
           SELECT token, coalesce(n_lower, 0) AS n_lower, coalesce(n_any, 0) AS n_any, coalesce(n_lower >= 3 AND n_lower / n_any >= 0.2, false) AS ordinary
           FROM vocab LEFT JOIN seen USING (token)""",
-    "redacted_docs": """WITH a AS (SELECT doc_id, regexp_replace(text, '(?i)(https?://|www\\.)[^\\s<>\\)\\]]+', '[LINK]', 'g') AS t FROM documents),
-        b AS (SELECT doc_id, regexp_replace(t, '[A-Za-z0-9._%+\\-'']+@[A-Za-z0-9.\\-]+', '[EMAIL]', 'g') AS t FROM a),
-        c AS (SELECT doc_id, regexp_replace(t, '\\b20\\d\\d[-/]\\d\\d[-/]\\d\\d\\b', '[DATE]', 'g') AS t FROM b),
-        e AS (SELECT doc_id, regexp_replace(t, '\\b20[12]\\d\\b', '[YEAR]', 'g') AS t FROM c)
-        SELECT doc_id, CAST(len(regexp_extract_all(t, '\\[EMAIL\\]')) AS INTEGER) AS emails, CAST(len(regexp_extract_all(t, '\\[LINK\\]')) AS INTEGER) AS links,
-               CAST(len(regexp_extract_all(t, '\\[YEAR\\]')) AS INTEGER) AS years, CAST(len(regexp_extract_all(t, '\\[DATE\\]')) AS INTEGER) AS dates FROM e""",
+    "redacted_docs": messages._M
+    + ","
+    + messages._redaction("text", False)
+    + """ SELECT doc_id, CAST(len(regexp_extract_all(t, '\\[EMAIL\\]')) AS INTEGER) AS emails, CAST(len(regexp_extract_all(t, '\\[LINK\\]')) AS INTEGER) AS links,
+               CAST(len(regexp_extract_all(t, '\\[YEAR\\]')) AS INTEGER) AS years, CAST(len(regexp_extract_all(t, '\\[DATE\\]')) AS INTEGER) AS dates, md5(t) AS text FROM z""",
+    "ratable": messages._M
+    + ","
+    + messages._redaction("text", False)
+    + """ SELECT len(regexp_extract_all(regexp_replace(t, '\\[(NAME|COMPANY|LINK|EMAIL|DATE|YEAR|SENDER)\\]', ' ', 'g'), '[A-Za-z]{2,}')) >= 8 AS ratable, count(*) AS n FROM z GROUP BY 1""",
+    "strip_quoted": messages._M
+    + ","
+    + messages.unquoted_sql("text || chr(10) || '> quoted' || chr(10) || 'On Monday someone' || chr(10) || 'wrote:' || chr(10) || 'old'")
+    + " SELECT doc_id, md5(q) AS own, CAST(length(q) AS INTEGER) AS n_chars FROM q",
+    "signature_split": messages._M
+    + ", f AS (SELECT doc_id, text || chr(10) || 'Best regards,' || chr(10) || 'Someone' || chr(10) || 'Phone: 1' AS t FROM m),"
+    + messages.signed_sql("t", "f")
+    + " SELECT doc_id, md5(body) AS body, md5(signature) AS signature FROM g",
+    "unwrapped_text": f"SELECT doc_id, md5({messages.unwrapped_sql('text')}) AS unwrapped FROM documents",
     "over_redaction": """WITH s AS (SELECT doc_id, regexp_replace(text, '[A-Za-z]+e ', '[SENDER] ', 'g') AS t FROM documents),
         n AS (SELECT doc_id, CAST(len(regexp_extract_all(t, '\\[(NAME|COMPANY|LINK|EMAIL|DATE|YEAR|SENDER)\\]')) AS INTEGER) AS placeholders,
                      CAST(len(regexp_extract_all(t, '\\S+')) AS INTEGER) AS tokens FROM s)

@@ -15,6 +15,12 @@ RESPONSE_TYPES = ("purchase", "signup")
 SENDERS = 20
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of one single file dealt to all cores: it may hold one row group, which one task would read and work on
+    alone. Tables of more files stay as they lie."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
