@@ -72,3 +72,14 @@ def test_added_tokens_get_the_ids_of_a_fresh_library_model(spark):
         want.append((i, start, len(ids), crc(ids.tobytes())))
         start += len(ids)
     assert sorted(map(tuple, idfile.read(idfile.write(docs(spark, rows), PATH, 2)).collect())) == want
+
+
+def test_shards_of_texts_are_smaller_than_their_ids(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shards = idfile.write(texts, PATH, 2).collect()
+    ids = sum(r.n_tokens for r in shards)
+    # Plain ids of this vocabulary take two bytes each.
+    assert sum(len(r.data) for r in shards) < 0.85 * 2 * ids
+    for r in shards:
+        block = idfile.Shard(bytes(r.data))
+        assert (block.lengths[block.size :] == [len(block.expanded(np.array([block.size + k], np.uint32))) for k in range(len(block.rules))]).all()

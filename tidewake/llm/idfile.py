@@ -3,8 +3,9 @@
 Documents are sorted by doc_id over range partitions, encoded, closed with an end id and collected into
 shards of bounded size. In each shard frequent adjacent pairs of ids are replaced by nonterminals, round after
 round, until no pair is frequent; pairs never span two documents. A shard holds, little-endian: a magic word,
-the counts (of documents, of those that have a doc_id, of rules and symbols, and the ids below them), the doc_ids, the number of symbols before each document, the two sides of each rule, the length of each
-rule's expansion, and the symbols. Expansion lengths say which symbols hold a range of ids, so any range is decoded alone.
+the counts (of documents, of those that have a doc_id, and of the ids below the rules), the doc_ids, the number of symbols
+before each document, the two sides of each rule, the length of each rule's expansion, and the symbols; numbers have 16
+bits and planes for the bits above. Expansion lengths say which symbols hold a range of ids, so any range is decoded alone.
 
 Shards are rows of a Parquet table in a shared folder, which Spark writes and reads wherever it lies.
 
@@ -30,7 +31,7 @@ from tidewake.llm.shared import small_batches, written
 
 #: Ids of one shard, pairs replaced in a round, and times that a pair must occur.
 SHARD, PAIRS, LEAST = 1 << 18, 1 << 11, 8
-MAGIC = b"RPAIR\0\1\0"
+MAGIC = b"RPAIR\0\2\0"
 SHARDS = "part int, nth int, n_tokens long, data binary"
 ROWS = "part int, nth int, doc_id long, inner long, n_tokens long, ids_crc32 long"
 #: Letters of a text by which rows of one doc_id are dealt to ranges; their order within is by whole texts.
@@ -106,6 +107,25 @@ def expansion_lengths(rules: np.ndarray, size: int) -> np.ndarray:
     return out[size:]
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers as their count, how many bits they have above the lowest 16, the lowest 16 bits of each, and a plane of
+    bits for each further one."""
+    more = max(0, int(values.max(initial=0)).bit_length() - 16)
+    planes = [np.packbits((values >> np.uint32(16 + k) & np.uint32(1)).astype(np.uint8)).tobytes() for k in range(more)]
+    return np.array([len(values), more], "<i8").tobytes() + b"".join([(values & np.uint32(0xFFFF)).astype("<u2").tobytes(), *planes])
+
+
+def _unpacked(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    """The numbers packed at a place, and the place after them."""
+    n, more = np.frombuffer(data, "<i8", 2, at).tolist()
+    values, at = np.frombuffer(data, "<u2", n, at + 16).astype(np.uint32), at + 16 + 2 * n
+    for k in range(more):
+        plane = np.frombuffer(data, np.uint8, -(-n // 8), at)
+        values |= np.unpackbits(plane, count=n).astype(np.uint32) << np.uint32(16 + k)
+        at += len(plane)
+    return values, at
+
+
 class Shard:
     """A shard that is read; ``ids`` decodes a document, ``range`` any ids of the shard. The first ``known`` documents
     have a doc_id, the others a null one."""
@@ -113,13 +133,13 @@ class Shard:
     def __init__(self, data: bytes) -> None:
         if data[:8] != MAGIC:
             raise ValueError("not a shard")
-        docs, self.known, rules, symbols, self.size = np.frombuffer(data, "<i8", 5, 8).tolist()
-        at = 48
-        self.doc_ids = np.frombuffer(data, "<i8", docs, at)
-        self.before = np.frombuffer(data, "<i8", docs + 1, at := at + 8 * docs)
-        self.rules = np.frombuffer(data, "<u4", 2 * rules, at := at + 8 * (docs + 1)).reshape(-1, 2)
-        lengths = np.frombuffer(data, "<u4", rules, at := at + 8 * rules)
-        self.symbols = np.frombuffer(data, "<u4", symbols, at + 4 * rules)
+        docs, self.known, self.size = np.frombuffer(data, "<i8", 3, 8).tolist()
+        self.doc_ids, at = np.frombuffer(data, "<i8", docs, 32), 32 + 8 * docs
+        self.before, at = _unpacked(data, at)
+        rules, at = _unpacked(data, at)
+        self.rules = rules.reshape(-1, 2)
+        lengths, at = _unpacked(data, at)
+        self.symbols, _ = _unpacked(data, at)
         self.lengths = np.append(np.ones(self.size, np.int64), lengths)
 
     def expanded(self, symbols: np.ndarray) -> np.ndarray:
@@ -152,9 +172,9 @@ def shard(doc_ids: list[int | None], ids: list[bytes], size: int) -> bytes:
     ends = np.cumsum([len(x) // 4 for x in ids])
     symbols, before, rules = compressed(np.frombuffer(b"".join(ids), "<u4"), ends, size)
     known = [i for i in doc_ids if i is not None]
-    counts = np.array([len(doc_ids), len(known), len(rules), len(symbols), size], "<i8")
-    parts = [counts, np.array(known + [0] * (len(doc_ids) - len(known)), "<i8"), before.astype("<i8"), rules.astype("<u4"), expansion_lengths(rules, size).astype("<u4"), symbols.astype("<u4")]
-    return MAGIC + b"".join(p.tobytes() for p in parts)
+    counts = np.array([len(doc_ids), len(known), size, *known, *[0] * (len(doc_ids) - len(known))], "<i8")
+    parts = [before, rules.ravel(), expansion_lengths(rules, size), symbols]
+    return MAGIC + counts.tobytes() + b"".join(_packed(p.astype(np.uint32)) for p in parts)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
