@@ -56,7 +56,7 @@ def test_the_curve_equals_the_loop(spark):
         replies += [(s, 1, (int(START.replace(tzinfo=dt.UTC).timestamp()) + 3600 * r) * 1_000_000)] if r is not None else []
     sessions = spark.createDataFrame(rows, "entity long, session_no long, touch_no int, channel string, sender long, ts timestamp")
     stages = funnel.stage_records(sessions, spark.createDataFrame(replies, "entity long, session_no long, response_us long"))
-    got = {r.touch_no: (r.at_risk, r.sent, r.replied, r.stopped) for r in funnel.follow_up_curve(spark, stages, sessions).collect()}
+    got = {r.touch_no: (r.at_risk, r.sent, r.replied, r.stopped) for r in funnel.follow_up_curve(spark, stages).collect()}
     risk, want = list(per), {}
     for n in range(1, 9):
         # A session that was answered before its touch n leaves silently.

@@ -27,7 +27,7 @@ def stage_records(sessions: DataFrame, replies: DataFrame) -> DataFrame:
     )
 
 
-def follow_up_curve(spark: SparkSession, stages: DataFrame, n_sessions: DataFrame, most: int = MOST) -> DataFrame:
+def follow_up_curve(spark: SparkSession, stages: DataFrame, most: int = MOST) -> DataFrame:
     """For touches 1 to ``most``: at risk, sent, replied, rate with its interval, and stopped before it."""
     per = stages.groupBy("touch_no").agg(
         F.count(F.lit(1)).alias("sent"), F.count_if("replied").alias("replied"), F.count_if(F.col("still_silent") & ~F.col("got_next")).alias("ended")

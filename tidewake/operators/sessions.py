@@ -29,6 +29,16 @@ def sessionized(touches: DataFrame, limit_us: int) -> DataFrame:
     return numbered.withColumn("touch_no", F.row_number().over(_by_time("entity", "session_no")))
 
 
+def session_family(touches: DataFrame, limits_us: dict[int, int], name: str) -> DataFrame:
+    """Sizes of sessions under several limits at once, with the limit's number as a column: one window gives the session
+    number of each limit, and the rows are told apart only when they are grouped."""
+    run = _by_time("entity").rowsBetween(Window.unboundedPreceding, 0)
+    starts = {k: F.sum(F.when(F.col("gap_us").isNull() | (F.col("gap_us") >= v), 1).otherwise(0)).over(run) for k, v in limits_us.items()}
+    numbered = gaps(touches).select("entity", "ts", *[s.alias(f"_{k}") for k, s in starts.items()])
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias(name), F.col(f"_{k}").alias("session_no")) for k in limits_us]))
+    return numbered.select("entity", "ts", each).groupBy(name, "entity", "session_no").agg(F.count(F.lit(1)).alias("n_touches"))
+
+
 def session_heads(sessions: DataFrame) -> DataFrame:
     """The first touch of each session, with ``next_start`` of the entity's next one."""
     heads = sessions.where("touch_no = 1")

@@ -49,7 +49,7 @@ def cross_correlation(spark: SparkSession, sf: str) -> DataFrame:
 
 def pc1_share(spark: SparkSession, sf: str) -> DataFrame:
     share, mean = ag.first_component(_rated(spark, sf), ["n_chars", "n_words", "quality", "toxic"])
-    return spark.createDataFrame([(share, mean, share >= 0.6 or mean >= 0.5)], "pc1_share double, mean_abs_r double, collapsed boolean")
+    return _rounded(spark.createDataFrame([(share, mean, share >= 0.6 or mean >= 0.5)], "pc1_share double, mean_abs_r double, collapsed boolean"), "pc1_share", "mean_abs_r")
 
 
 def _batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -131,6 +131,20 @@ SQL = {
     + f", c AS (SELECT {_COUNTS} FROM r) SELECT 'quality' AS gate, round({_KAPPA}, 6) AS value, CAST(0.6 AS DOUBLE) AS threshold, coalesce({_KAPPA} >= 0.6, false) AS passed FROM c",
     "correlation_matrix": _r([(a, b) for i, a in enumerate(c) for b in c[i + 1 :]] if (c := ["n_chars", "n_words", "quality", "toxic"]) else []),
     "cross_correlation": _r([(a, b) for a in ("quality", "toxic") for b in ("n_chars", "n_words", "grade")], ", abs(corr({a}, {b})) >= 0.35 AS strong"),
+    # The largest eigenvalue of the correlation matrix by power iteration.
+    "pc1_share": _R.replace("WITH r", "WITH RECURSIVE r")
+    + """, c AS (SELECT corr(n_chars, n_words) AS ab, corr(n_chars, quality) AS ac, corr(n_chars, toxic) AS ad, corr(n_words, quality) AS bc, corr(n_words, toxic) AS bd, corr(quality, toxic) AS cd
+                 FROM r WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+          step AS (
+            SELECT 0 AS k, 1.0::DOUBLE AS a, 0.9::DOUBLE AS b, 0.3::DOUBLE AS c, 0.1::DOUBLE AS d, 1.0::DOUBLE AS size
+            UNION ALL
+            SELECT k + 1, a2 / s, b2 / s, c2 / s, d2 / s, s FROM (
+                SELECT k, a2, b2, c2, d2, sqrt(a2 * a2 + b2 * b2 + c2 * c2 + d2 * d2) AS s FROM (
+                    SELECT k, a + ab * b + ac * step.c + ad * d AS a2, ab * a + b + bc * step.c + bd * d AS b2, ac * a + bc * b + step.c + cd * d AS c2, ad * a + bd * b + cd * step.c + d AS d2
+                    FROM step, c WHERE k < 400))),
+          last AS (SELECT size / 4 AS share FROM step WHERE k = 400)
+          SELECT round(share, 6) AS pc1_share, round((abs(ab) + abs(ac) + abs(ad) + abs(bc) + abs(bd) + abs(cd)) / 6, 6) AS mean_abs_r,
+                 share >= 0.6 OR (abs(ab) + abs(ac) + abs(ad) + abs(bc) + abs(bd) + abs(cd)) / 6 >= 0.5 AS collapsed FROM last, c""",
     "label_coverage": _BATCHES
     + """, j AS (SELECT coalesce(s.batch, g.batch) AS batch, s.id AS s, g.id AS g, quality + toxic <= 1 AS legal FROM sent s FULL JOIN got g ON s.batch = g.batch AND s.id = g.id),
           c AS (SELECT batch, count(s) AS sent, count(g) AS got, count(*) FILTER (WHERE g IS NULL) AS missing, count(*) FILTER (WHERE s IS NULL) AS extra,

@@ -29,7 +29,11 @@ def _answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stages(spark: SparkSession, sf: str) -> DataFrame:
-    return funnel.stage_records(_sessions(spark, sf), _answers(spark, sf).where("response_us IS NOT NULL"))
+    """Heads, and so the answers, come from the same sessions: one plan, of which Spark reuses the shuffle by entity."""
+    sessions = _sessions(spark, sf)
+    heads = ses.session_heads(sessions)
+    answers = att.attributed(heads, att.candidates(heads, responses(spark, sf), ANSWER, "entity", "entity", 0))
+    return funnel.stage_records(sessions, answers.where("response_us IS NOT NULL"))
 
 
 def gap_histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,13 +58,9 @@ def _orders(days: int):
 
 
 def session_family(spark: SparkSession, sf: str) -> DataFrame:
-    """One table for several gaps, with the gap as a column."""
-    out = None
-    for days in (21, 30, 45):
-        sizes = ses.session_sizes(ses.sessionized(order_touches(spark, sf), days * ses.DAY))
-        one = sizes.groupBy(F.lit(days).alias("gap_days")).agg(F.count(F.lit(1)).alias("sessions"), F.sum("n_touches").alias("touches"), F.max("n_touches").alias("longest"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """One table for several gaps, with the gap as a column; the touches are read and sorted once."""
+    sizes = ses.session_family(order_touches(spark, sf), {d: d * ses.DAY for d in (21, 30, 45)}, "gap_days")
+    return sizes.groupBy("gap_days").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n_touches").alias("touches"), F.max("n_touches").alias("longest"))
 
 
 def sessions_events_24h(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,7 +112,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def followup_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(funnel.follow_up_curve(spark, _stages(spark, sf), _heads(spark, sf)), "rate", "low", "high")
+    return _rounded(funnel.follow_up_curve(spark, _stages(spark, sf)), "rate", "low", "high")
 
 
 def followup_curve_single_channel(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,12 +120,12 @@ def followup_curve_single_channel(spark: SparkSession, sf: str) -> DataFrame:
     sessions = _sessions(spark, sf)
     whole = sessions.groupBy(*KEY).agg(F.bool_and(F.col("channel") == "view").alias("own")).where("own").select(*KEY)
     stages = _stages(spark, sf).join(whole, KEY, "left_semi")
-    return _rounded(funnel.follow_up_curve(spark, stages, whole), "rate", "low", "high")
+    return _rounded(funnel.follow_up_curve(spark, stages), "rate", "low", "high")
 
 
 def followup_cumulative(spark: SparkSession, sf: str) -> DataFrame:
     heads = _heads(spark, sf)
-    return _rounded(funnel.cumulative(funnel.follow_up_curve(spark, _stages(spark, sf), heads), heads), "cumulative_share")
+    return _rounded(funnel.cumulative(funnel.follow_up_curve(spark, _stages(spark, sf)), heads), "cumulative_share")
 
 
 def stage_records(spark: SparkSession, sf: str) -> DataFrame:
