@@ -180,7 +180,8 @@ def _cell_ranks(sets: DataFrame) -> bytes:
 
 
 def _leading(batches: Iterator[pa.RecordBatch], threshold: Threshold, ranks: bytes) -> Iterator[pa.RecordBatch]:
-    """The leading columns of each distinct set."""
+    """The leading columns of each distinct set. Of a column that is hot in a round already as many rows go on as show
+    that it is; all its rows are told to be left over, by a column of their own with a size of -1."""
     rank, seen = np.frombuffer(ranks, np.uint32), set()  # bounded, as it only saves work
     for batch in batches:
         for _, _, data, offsets in rounds(batch):
@@ -195,7 +196,18 @@ def _leading(batches: Iterator[pa.RecordBatch], threshold: Threshold, ranks: byt
             n = sizes[own]
             lead = threshold.lead(n)
             first = [sets[d][np.argsort(rank[_cells(sets[d])], kind="stable")[:q]] for d, q in zip(own.tolist(), lead.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([signed(np.concatenate(first)), pa.array(np.repeat(prints[own], lead)), pa.array(np.repeat(n, lead).astype(np.int32))], ["column", "print", "n"])
+            columns, owner, size = np.concatenate(first), np.repeat(prints[own], lead), np.repeat(n, lead).astype(np.int32)
+            order = np.argsort(columns, kind="stable")
+            begins = np.flatnonzero(np.append(True, columns[order[1:]] != columns[order[:-1]]))
+            counts = np.diff(np.append(begins, len(order)))
+            nth = np.arange(len(order)) - np.repeat(begins, counts)
+            over = np.unique(owner[order[np.repeat(counts > HOT, counts)]])
+            go = np.sort(order[nth <= HOT])
+            arrays = [
+                signed(np.concatenate([columns[go], mixed(over.view(np.uint64) ^ MIX_2)])), pa.array(np.concatenate([owner[go], over])),
+                pa.array(np.concatenate([size[go], np.full(len(over), -1, np.int32)])),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["column", "print", "n"])
 
 
 def _band_hashes(sets: list[np.ndarray], threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
@@ -414,8 +426,8 @@ def _paired_columns(leading: DataFrame, threshold: Threshold) -> tuple[DataFrame
     # Members of a column stand in parts of bounded size: the first holds all of them, unless the column is hot.
     parts = leading.repartition("column").dropDuplicates(["column", "print"]).withColumn("part", F.floor((nth - 1) / (HOT + 1)))
     parts = parts.groupBy("column", "part").agg(F.sort_array(F.collect_list(F.struct("print", "n"))).alias("rows"))
-    parts = written(parts.where("part > 0 OR size(rows) > 1").drop("column"), "jaccard-columns")
-    hot = F.expr(f"part > 0 OR size(rows) > {HOT}")
+    parts = written(parts.where("part > 0 OR size(rows) > 1 OR rows[0].n < 0").drop("column"), "jaccard-columns")
+    hot = F.expr(f"part > 0 OR size(rows) > {HOT} OR rows[0].n < 0")
     over = written(parts.where(hot).select(F.explode("rows.print").alias("print")).distinct(), "jaccard-over")
     one = parts.where(~hot).select("rows", F.posexplode("rows").alias("k", "x"))
     two = one.select("x", F.explode(F.slice("rows", F.col("k") + 2, F.lit(HOT))).alias("y")).select(F.col("x.print").alias("a"), F.col("y.print").alias("b"), F.col("x.n").cast("long").alias("na"), F.col("y.n").cast("long").alias("nb"))
