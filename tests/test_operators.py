@@ -231,3 +231,58 @@ def test_dealing_anew_keeps_each_groups_outcomes(spark):
     out = con.permuted(df, "s").collect()
     assert len(out) == 60 and sorted((r.sender, r.y) for r in out) == sorted((k % 3, k % 2) for k in range(60))
     assert [r.y for r in sorted(out, key=lambda r: r.event_id)] != [k % 2 for k in range(60)]
+
+
+def test_ranks_and_previous_rows_equal_plain_windows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), int(rng.integers(0, 3)), int(rng.integers(0, 100))) for k in rng.choice(100_000, 300, replace=False)]
+    df = spark.createDataFrame(rows, "id long, g int, v int")
+    ranks = {r.id: r.nth for r in fr.ranked(df, ["g"], F.floor(F.col("id") / 1000), [F.col("id")], "nth").collect()}
+    before = {r.id: r.before for r in fr.with_previous(df, "g", "id", "v", "before", 7).collect()}
+    for g in range(3):
+        own = sorted(r for r in rows if r[1] == g)
+        assert [ranks[r[0]] for r in own] == list(range(len(own)))
+        assert [before[r[0]] for r in own] == [None, *(r[2] for r in own[:-1])]
+
+
+def test_subsets_are_compared_with_their_source(spark):
+    source = spark.createDataFrame([(k, f"t{k}") for k in range(6)], "id int, text string")
+    sent = spark.createDataFrame([(0, "a", "t0"), (1, "a", "changed"), (2, "b", "t2"), (9, "b", "t9")], "id int, part string, text string")
+    got = {r.part: (r.n, r.changed, r.unknown) for r in fr.content_identity(sent, source, "id", ["text"], "part").collect()}
+    assert got == {"a": (2, 1, 0), "b": (2, 0, 1)}
+    assert fr.common(sent, source, "id").first().n_common == 3
+    both = fr.distinct_union([sent.select("id", "text"), source], "id").collect()
+    assert sorted((r.id, r.text, r.n_frames) for r in both)[:2] == [(0, "t0", 2), (1, "changed", 2)] and len(both) == 7
+
+
+def test_examples_shares_and_top_values(spark):
+    df = spark.createDataFrame([(k, k % 3, "x" if k % 4 else "y") for k in range(400)], "id int, g int, v string")
+    assert sorted(r.g for r in fr.examples(df, "id", "g", "s", 2).collect()) == [0, 0, 1, 1, 2, 2]
+    assert {r.id for r in fr.examples(df, "id", "g", "s", 2).collect()} == {r.id for r in fr.examples(df.repartition(7), "id", "g", "s", 2).collect()}
+    assert 20 <= fr.share_of(df, "id", "s", 0.1).count() <= 60
+    assert [tuple(r)[1:] for r in fr.top_values(df, ["v"], 1).collect()] == [("x", 300, 1)]
+
+
+def test_agreement_of_constant_and_perfect_raters(spark):
+    a = spark.createDataFrame([(k, k % 5 + 1, 1, k % 2 == 0) for k in range(40)], "id int, s int, c int, f boolean")
+    b = a.where("id < 30")
+    got = {r.dimension: r for r in ag.rating_agreement(a, b, "id", ["s", "c"], ["f"]).collect()}
+    assert got["s"].n == 30 and got["s"].exact == 1 and got["s"].kappa == 1 and got["s"].verdict == "good"
+    assert got["c"].kappa is None and got["c"].verdict == "unknown" and got["f"].within_one is None and got["f"].kappa == 1
+    other = ag.rating_agreement(a, b.withColumn("s", 6 - F.col("s")), "id", ["s"])
+    assert ag.self_against_cross(ag.rating_agreement(a, b, "id", ["s"]), other).first().lost > 0.5
+
+
+def test_first_or_last_result_set_wins(spark):
+    one, two = (spark.createDataFrame(rows, "id int, label string") for rows in ([(1, "a"), (2, "a")], [(2, "b"), (3, "b")]))
+    for first, want in ((False, ["a", "b", "b"]), (True, ["a", "a", "b"])):
+        assert [r.label for r in sorted(ag.overlaid([one, two], first_wins=first).collect(), key=lambda r: r.id)] == want
+
+
+def test_candidates_cross_stretches_of_time(spark):
+    us = 1_000_000
+    heads = spark.createDataFrame([(1, 0, at(0), None), (1, 1, at(50), None)], "entity long, session_no long, ts timestamp, next_start timestamp")
+    answers = spark.createDataFrame([(k, 1, at(h)) for k, h in enumerate((0, 1, 9.5, 10, 10.5, 49, 60, 61))], "event_id long, entity long, ts timestamp")
+    got = att.candidates(heads, answers, 10 * 3600 * us, "entity", "e", 0).collect()
+    assert sorted((r.session_no, r.response_id) for r in got) == [(0, 1), (0, 2), (0, 3), (1, 6)]
+    assert sorted(r.session_no for r in att.looked_back(heads, answers, 3600 * us).collect()) == [1]
