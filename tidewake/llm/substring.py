@@ -97,9 +97,11 @@ def _doubled(left: DataFrame, window: int) -> DataFrame:
     halves = left.select("id", F.inline(sides)).where("half IS NOT NULL").groupBy("side", "half").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     halves = written(halves.where("low < high").select("side", "half"), "substring-halves")
     for side, name in ((0, "right"), (1, "left")):
-        known = halves.where(F.col("side") == side).select(F.col("half").alias(name), F.lit(True).alias(f"{name}_too"))
-        left = left.join(known, name, "left")
-    forward, backward = F.coalesce("right_too", F.lit(False)), F.coalesce("left_too", F.lit(False))
+        known = halves.where(F.col("side") == side).select(F.col("half").alias("key"), F.lit(True).alias(f"{name}_too"))
+        # Rows without this side would all have one key; they get any of their own.
+        left = left.withColumn("key", F.coalesce(name, F.xxhash64("id", "th", "start"))).join(known, "key", "left").drop("key")
+    forward = F.isnotnull("right") & F.coalesce("right_too", F.lit(False))
+    backward = F.isnotnull("left") & F.coalesce("left_too", F.lit(False))
     # What falls away at the one side is the windows that only the other extension stands for.
     whole = (forward | F.isnull("right")) & (backward | F.isnull("left"))
     start = F.when(whole | backward, F.col("start")).otherwise(F.col("start") + F.col("cut"))
