@@ -39,6 +39,13 @@ def kappa(both: Column, a: Column, b: Column, n: Column) -> Column:
     return F.when((n > 0) & (chance < 1), (agree - chance) / (1 - chance))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r as an aggregate; null where one of them is constant, or there are no pairs."""
+    x, y = x.cast("double"), y.cast("double")
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def two_sided_p(z: float | None) -> float | None:
     return None if z is None else math.erfc(abs(z) / math.sqrt(2))
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.functions.stats import kappa
+from tidewake.functions.stats import correlation, kappa
 
 
 def coverage(sent: DataFrame, got: DataFrame, legal: Column) -> DataFrame:
@@ -82,7 +82,7 @@ def rating_agreement(a: DataFrame, b: DataFrame, key: str, scales: list[str], fl
     out = known.groupBy("dimension").agg(
         F.count(F.lit(1)).alias("n"), share(x == y).alias("exact"), F.avg(F.when(F.col("scaled"), (F.abs(x - y) <= 1).cast("int"))).alias("within_one"),
         share(F.col("top_a") == F.col("top_b")).alias("top_agree"), F.count_if(F.col("top_a") & F.col("top_b")).alias("_yy"), F.count_if("top_a").alias("_na"), F.count_if("top_b").alias("_nb"),
-        F.corr(F.when(F.col("scaled"), x), F.when(F.col("scaled"), y)).alias("r"),
+        correlation(F.when(F.col("scaled"), x), F.when(F.col("scaled"), y)).alias("r"),
     )
     out = out.withColumn("kappa", kappa(F.col("_yy"), F.col("_na"), F.col("_nb"), F.col("n")))
     verdict = F.when(F.col("kappa").isNull(), "unknown").when(F.col("kappa") < 0.4, "flagged").when(F.col("kappa") < 0.6, "moderate").otherwise("good")
@@ -153,7 +153,7 @@ def require(verdict: DataFrame) -> None:
 def correlations(df: DataFrame, left: list[str], right: list[str] | None = None) -> DataFrame:
     """Pearson's r of pairs of columns, all in one aggregate."""
     pairs = [(a, b) for i, a in enumerate(left) for b in (right if right is not None else left[i + 1 :])]
-    one = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    one = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])))
 
 

@@ -149,8 +149,8 @@ def overdispersion(frame: DataFrame, group: str, least: int) -> DataFrame:
     expected = F.col("n") * F.col("p")
     return g.agg(
         F.count(F.lit(1)).alias("groups"), F.avg((F.col("k") == 0).cast("int")).alias("zero_seen"), F.avg(F.pow(1 - F.col("p"), F.col("n"))).alias("zero_expected"),
-        F.sum((F.col("k") - expected) * (F.col("k") - expected) / (expected * (1 - F.col("p")))).alias("chi2"), (F.count(F.lit(1)) - 1).alias("df"),
-        (F.var_samp(F.col("k") / F.col("n")) / F.avg(F.col("p") * (1 - F.col("p")) / F.col("n"))).alias("ratio"),
+        F.sum((F.col("k") - expected) * (F.col("k") - expected) / F.nullif(expected * (1 - F.col("p")), F.lit(0.0))).alias("chi2"), (F.count(F.lit(1)) - 1).alias("df"),
+        (F.var_samp(F.col("k") / F.col("n")) / F.nullif(F.avg(F.col("p") * (1 - F.col("p")) / F.col("n")), F.lit(0.0))).alias("ratio"),
     )
 
 

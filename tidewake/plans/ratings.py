@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import text as tx
+from tidewake.functions.stats import correlation
 from tidewake.operators import agreement as ag
 from tidewake.operators import attribution as att
 from tidewake.operators import contrast as con
@@ -156,7 +157,7 @@ def corpus_membership(spark: SparkSession, sf: str) -> DataFrame:
 def policy_correlations(spark: SparkSession, sf: str) -> DataFrame:
     """Over senders: how answer rates go with mean depth and with the share that reaches four touches."""
     out = funnel.sender_policy(time._stages(spark, sf), 20)
-    one = out.agg(F.count(F.lit(1)).alias("senders"), F.corr("mean_touches", "rate").alias("r_depth"), F.corr("share_reaching_4", "rate").alias("r_reach"))
+    one = out.agg(F.count(F.lit(1)).alias("senders"), correlation(F.col("mean_touches"), F.col("rate")).alias("r_depth"), correlation(F.col("share_reaching_4"), F.col("rate")).alias("r_reach"))
     return _rounded(one, "r_depth", "r_reach")
 
 
