@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import chat, codec, idfile, jaccard, lines, media, packing, quality, substring, toxicity
+from tidewake.llm import chat, codec, fim, idfile, jaccard, lines, media, packing, quality, spelling, substring, toxicity, warc
 from tidewake.llm.shared import small_batches, table
 
 
@@ -84,6 +84,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(rows, path), path)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_rows(warc.records(spark, warc.archived(table(spark, sf_dir, "pages"))))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transformed(fim.stored(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -95,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_warc": op11_warc,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
@@ -120,4 +135,37 @@ SQL: dict[str, str] = {
         SELECT doc_id, count(*) FILTER (WHERE is_solid) AS n_lines, count(*) FILTER (WHERE is_gone) AS n_removed,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT is_gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op11_warc": """
+        WITH raw AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        summed AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY sha1(html)) AS latest FROM raw),
+        nibbles AS (SELECT *, list_transform(range(1, 41), lambda k: strpos('0123456789abcdef', substr(hex, k, 1)) - 1) AS half FROM summed)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+                   (((half[5 * k // 4 + 1] * 16 + half[5 * k // 4 + 2]) >> (3 - 5 * k % 4)) & 31)::BIGINT, 1)), '') AS payload_digest,
+               CASE WHEN page_id IS NOT DISTINCT FROM latest THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM latest THEN latest END AS refers_to
+        FROM nibbles""",
+    "op13_fill_in_middle": """
+        WITH raw AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS hex FROM documents),
+        cut AS (
+            SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units,
+                   ('0x' || hex[1:8])::UBIGINT AS h1, ('0x' || hex[9:16])::UBIGINT AS h2,
+                   ('0x' || hex[17:24])::UBIGINT AS h3, ('0x' || hex[25:32])::UBIGINT AS h4
+            FROM raw),
+        placed AS (
+            SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1))::BIGINT AS a,
+                   greatest(h1 % (len(units) + 1), h2 % (len(units) + 1))::BIGINT AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM cut),
+        parts AS (
+            SELECT doc_id, n, form, text, array_to_string(list_slice(units, 1, a), '') AS prefix,
+                   array_to_string(list_slice(units, a + 1, b), '') AS middle, array_to_string(list_slice(units, b + 1, n), '') AS suffix
+            FROM placed)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts""",
 }

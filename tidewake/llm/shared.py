@@ -21,17 +21,25 @@ _PATHS: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which executors share as well."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/written").rstrip("/")
+    """The folder in ``spark.checkpoint.dir``; where that is unset and all runs on one machine, one in the warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/written").rstrip("/")
+
+
+def keep_path(spark: SparkSession, path: str) -> str:
+    """Notes a path that ``drop_written`` deletes."""
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """``df`` written as a table of its own in the shared folder, and read from it (as ``schema``, if its types have
     another view of the same data)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = keep_path(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
