@@ -1,9 +1,12 @@
+import random
 import tempfile
 
 from pyspark.sql import functions as F
 
+from tidewake.operators import attribution as att
 from tidewake.operators import sessions as ses
 from tidewake.sources.tables import responses, touches
+from tidewake.streaming import attribution as streamed
 from tidewake.streaming import twins
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +81,55 @@ def test_streamed_attribution_equals_batch(spark):
     on = F.expr("h.entity = r.entity AND r.ts > h.ts AND r.ts <= h.ts + INTERVAL 3 DAYS")
     want = h.join(r, on, "left").select(F.col("h.event_id"), F.col("r.event_id").alias("response_id"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+LOG = "event_id long, entity long, ts timestamp, touch boolean"
+
+
+def log_files(spark, batches):
+    """A file for each batch of (event_id, entity, hour, touch) rows, in order; a far row moves the watermark on."""
+    path = fresh()
+    start = F.lit("2024-01-01").cast("timestamp")
+    for rows in [*batches, [(-1, -1, 1e6, True)], [(-2, -1, 1e6 + 1, True)]]:
+        df = spark.createDataFrame(rows, "event_id long, entity long, hour double, touch boolean")
+        df = df.select("event_id", "entity", F.timestamp_micros((F.unix_micros(start) + F.col("hour") * 3_600_000_000).cast("long")).alias("ts"), "touch")
+        df.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def streamed_heads(spark, path, late):
+    stream = twins.stream(spark, path, spark.read.parquet(path).schema)
+    found = streamed.attributed(stream, F.col("touch"), ses.DAY, 3 * ses.DAY, late)
+    out = fresh()
+    twins.ingest(found, out + "/rows", out + "/checkpoint").awaitTermination()
+    return sorted(tuple(r) for r in spark.read.schema(streamed.ROWS).parquet(out + "/rows").where("entity >= 0").collect())
+
+
+def batch_heads(rows):
+    heads = ses.session_heads(ses.sessionized(rows.where("touch"), ses.DAY))
+    found = att.attributed(heads, att.candidates(heads, rows.where("NOT touch"), 3 * ses.DAY, "entity", "entity", 0))
+    return sorted(tuple(r) for r in found.select("event_id", "entity", "session_no", "response_id", "response_us", "n_candidates").collect())
+
+
+def test_streamed_heads_equal_batch_whatever_the_order(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(6), float(rng.randrange(600)), rng.random() < 0.6) for k in range(700)]  # whole hours: many ties
+    in_time = sorted(rows, key=lambda r: r[2] + rng.uniform(0, 100))  # up to 100 hours late
+    path = log_files(spark, [in_time[k * 140 : (k + 1) * 140] for k in range(5)])
+    want = batch_heads(spark.read.parquet(path).where("entity >= 0"))
+    assert streamed_heads(spark, path, "101 hours") == want
+    assert any(r[3] is None for r in want) and any(r[5] > 1 for r in want)
+
+
+def test_a_deadline_is_the_next_head_included(spark):
+    # Head 1 at 0; head 3 at 48 and response 2 at the same time, which is the first head's; 4 at 121 is out of 3's window of 72 hours.
+    rows = [(1, 7, 0.0, True), (2, 7, 48.0, False), (3, 7, 48.0, True), (4, 7, 120.5, False), (5, 8, 5.0, True), (6, 8, 5.0, False)]
+    got = streamed_heads(spark, log_files(spark, [rows]), "1 hour")
+    us = lambda h: int(1704067200_000_000 + h * 3_600_000_000)
+    assert got == [(1, 7, 1, 2, us(48), 1), (3, 7, 2, None, None, 0), (5, 8, 1, None, None, 0)]
+
+
+def test_rows_behind_the_watermark_are_lost_and_heads_come_as_soon_as_settled(spark):
+    batches = [[(1, 7, 0.0, True), (9, 9, 200.0, True)], [(10, 9, 201.0, True)], [(2, 7, 10.0, False), (3, 7, 199.5, True)]]
+    got = streamed_heads(spark, log_files(spark, batches), "1 hour")
+    assert [(r[0], r[3]) for r in got] == [(1, None), (3, None), (9, None)]

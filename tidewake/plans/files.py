@@ -11,7 +11,8 @@ from tidewake.operators import sessions as ses
 from tidewake.plans import time
 from tidewake.sources import records
 from tidewake.sources.scratch import folder
-from tidewake.sources.tables import load, responses, touches
+from tidewake.sources.tables import TOUCH_TYPES, load, responses, touches
+from tidewake.streaming import attribution as streamed
 from tidewake.streaming import twins
 
 
@@ -118,11 +119,25 @@ def result_files(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b.select(F.lit("batch").alias("kind"), F.col("batch").cast("string").alias("name"), "n"))
 
 
-def _replayed(spark: SparkSession, sf: str, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows as a stream of files, and a folder for what comes of it."""
+SLICES = 4
+
+
+def _replayed(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows as a stream of several batches in order of time, and a folder for what comes of it. One row in twenty
+    comes a slice of time late."""
     source = folder(spark, f"{name}-in")
-    df.write.parquet(source)
-    return twins.stream(spark, source, df.schema, 1000), folder(spark, f"{name}-out")
+    us = F.unix_micros("ts")
+    cuts = df.select(us.alias("us")).approxQuantile("us", [k / SLICES for k in range(1, SLICES)], 0.01)
+    own = sum((F.when(us > c, 1).otherwise(0) for c in cuts), F.lit(0)) + F.when(F.pmod(F.xxhash64("event_id"), F.lit(20)) == 0, 1).otherwise(0)
+    for k in range(SLICES + 1):  # files are read in the order in which they were written
+        df.where(own == k).coalesce(1).write.mode("append").parquet(source)
+    return twins.stream(spark, source, df.schema), folder(spark, f"{name}-out")
+
+
+def _with_end(df: DataFrame) -> DataFrame:
+    """A row far in the future, which is no result, moves the watermark past all others."""
+    more = [F.lit(-1).cast(t).alias(c) if c in ("event_id", "entity") else F.lit("2100-01-01" if c == "ts" else None).cast(t).alias(c) for c, t in df.dtypes]
+    return df.unionByName(df.sparkSession.range(1).select(*more))
 
 
 def _run(spark: SparkSession, stream: DataFrame, out: str) -> DataFrame:
@@ -132,7 +147,7 @@ def _run(spark: SparkSession, stream: DataFrame, out: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Events taken in by a stream that is started twice: nothing is missing and nothing comes twice."""
-    stream, out = _replayed(spark, sf, load(spark, sf, "events").select("event_id", "event_type", "ts"), "ingest")
+    stream, out = _replayed(spark, load(spark, sf, "events").select("event_id", "event_type", "ts"), "ingest")
     _run(spark, stream, out)
     return _run(spark, stream, out).select("event_id", "event_type")
 
@@ -140,26 +155,23 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Events that come twice, each kept once by a stream with a watermark."""
     t = load(spark, sf, "events").select("event_id", "event_type", "ts")
-    stream, out = _replayed(spark, sf, t.unionByName(t), "dedup")
+    stream, out = _replayed(spark, t.unionByName(t), "dedup")
     return _run(spark, twins.deduplicated(stream, ["event_id"], "60 days"), out).select("event_id", "event_type")
 
 
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions by a stream. A row far in the future, which is no result, moves the watermark past all others."""
-    t = touches(spark, sf).select("event_id", "entity", "ts")
-    last = spark.createDataFrame([(-1, -1)], "event_id long, entity long").withColumn("ts", F.lit("2100-01-01").cast("timestamp"))
-    stream, out = _replayed(spark, sf, t.unionByName(last), "sessions")
+    """Sessions by a stream."""
+    stream, out = _replayed(spark, _with_end(touches(spark, sf).select("event_id", "entity", "ts")), "sessions")
     found = _run(spark, twins.sessions(stream, 86_400, "60 days"), out).where("entity >= 0")
     return found.select("entity", "n_touches", ses.micros("start"), ses.micros("end"))
 
 
 def stream_attribution(spark: SparkSession, sf: str) -> DataFrame:
-    """Heads and answers joined by streams within three days; what the watermark has not passed is left to the next run,
-    so matched pairs are given."""
-    heads = time._heads(spark, sf).select("event_id", "entity", "ts")
-    a, out = _replayed(spark, sf, heads, "heads")
-    b, _ = _replayed(spark, sf, responses(spark, sf).select("event_id", "entity", "ts"), "answers")
-    return _run(spark, twins.attributed(a, b, "3 DAYS", "60 days"), out).where("response_id IS NOT NULL").select("event_id", "entity", "response_id")
+    """Sessions, their heads and the heads' answers within three days or up to the next head, by a stream over all events."""
+    log = touches(spark, sf).unionByName(responses(spark, sf)).select("event_id", "entity", "ts", "channel")
+    stream, out = _replayed(spark, _with_end(log), "attribution")
+    found = streamed.attributed(stream, F.col("channel").isin(*TOUCH_TYPES), ses.DAY, 3 * ses.DAY, "60 days")
+    return _run(spark, found, out).where("entity >= 0")
 
 
 NAMES = (
@@ -187,5 +199,5 @@ SQL = {
     "stream_ingest": "SELECT event_id, event_type FROM events",
     "stream_dedup": "SELECT event_id, event_type FROM events",
     "stream_sessions": "WITH" + time._LOG + " SELECT entity, count(*) AS n_touches, min(us) AS \"start\", max(us) AS \"end\" FROM sessions GROUP BY entity, session_no",
-    "stream_attribution": "WITH" + time._LOG + " SELECT h.event_id, h.entity, a.event_id AS response_id FROM heads h JOIN answers a ON a.entity = h.entity AND a.us > h.us AND a.us <= h.us + 259200000000",
+    "stream_attribution": "WITH" + time._LOG + " SELECT event_id, entity, session_no, response_id, response_us, n_candidates FROM found",
 }

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tidewake.streaming.attribution import PROVIDER
+
 
 def stream(spark: SparkSession, path: str, schema: StructType, files_at_once: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
@@ -15,6 +17,7 @@ def stream(spark: SparkSession, path: str, schema: StructType, files_at_once: in
 
 def ingest(source: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Appends what is new in the source and stops; what a checkpoint has seen isn't read again."""
+    source.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     return source.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
