@@ -1,7 +1,10 @@
 """Gaps between the touches of an entity, sessions cut at long gaps, and gap statistics.
 
-An event whose gap to the one before is at least the limit starts a session, so equality cuts. All of it is
-one window per entity, ordered by time and event id.
+An event whose gap to the one before is at least the limit starts a session, so equality cuts. Events are in the order of
+time and event id. Entities of ordinary size are one window each. Those of very many events (``LARGE`` at least, and among
+the ``HOT`` largest, so any that holds over a 4096th of all events) are cut into slices of time with about equal numbers of
+events: each slice is a window of its own, its summary (first and last time, events, sessions begun, place of the last
+beginning) is combined with those before it, and what they carry over is added to the slice's rows.
 """
 
 from __future__ import annotations
@@ -10,39 +13,95 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
+#: Events from which an entity may be cut, how many entities are at most, and the coarse and fine parts of one.
+LARGE, HOT, PARTS = 1 << 20, 4096, 16
 
 
 def _by_time(*keys: str):
     return Window.partitionBy(*keys).orderBy("ts", "event_id")
 
 
+def _before(*keys: str):
+    return Window.partitionBy(*keys).orderBy("slice")
+
+
+def sliced(touches: DataFrame) -> DataFrame:
+    """``slice``: the slice of time of an event of a large entity; null for all other entities.
+
+    At most HOT rows of PARTS ** 2 times are broadcast, however many events there are."""
+    counts = touches.groupBy("entity").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= LARGE)
+    large = counts.orderBy(F.desc("_n"), "entity").limit(HOT).select("entity")
+    us = F.unix_micros("ts")
+    shares = [k / PARTS**2 for k in range(1, PARTS**2)]
+    own = touches.select("entity", us.alias("_us")).join(F.broadcast(large), "entity", "left_semi")
+    cuts = own.groupBy("entity").agg(F.percentile_approx("_us", shares, 10_000).alias("_cuts"))
+    found = touches.join(F.broadcast(cuts), "entity", "left")
+    # The number of cuts up to a time, first among each PARTS-th of them, then among the few in between.
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(PARTS), F.lit(PARTS**2 - 1), F.lit(PARTS)), lambda k: F.element_at("_cuts", k)), lambda c: c <= us))
+    fine = F.size(F.filter(F.slice("_cuts", coarse * PARTS + 1, F.lit(PARTS - 1)), lambda c: c <= us))
+    return found.withColumn("slice", F.when(F.col("_cuts").isNotNull(), coarse * PARTS + fine)).drop("_cuts")
+
+
+def _with_carried(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    """Rows with what the slices before theirs carry over: a row for each slice of a large entity, so HOT * PARTS ** 2."""
+    return rows.join(F.broadcast(carried.withColumnRenamed("entity", "_e").withColumnRenamed("slice", "_s")), (F.col("entity") == F.col("_e")) & (F.col("slice") == F.col("_s")), "left").drop("_e", "_s")
+
+
+def _gapped(touches: DataFrame) -> DataFrame:
+    us = F.unix_micros("ts")
+    local = sliced(touches).withColumn("gap_us", us - F.lag(us).over(_by_time("entity", "slice")))
+    last = local.where("slice IS NOT NULL").groupBy("entity", "slice").agg(F.max(us).alias("_last"))
+    last = last.select("entity", "slice", F.lag("_last").over(_before("entity")).alias("_last"))
+    return _with_carried(local, last).withColumn("gap_us", F.coalesce("gap_us", us - F.col("_last"))).drop("_last")
+
+
 def gaps(touches: DataFrame) -> DataFrame:
     """``gap_us`` since the entity's touch before; null for the first."""
-    us = F.unix_micros("ts")
-    return touches.withColumn("gap_us", us - F.lag(us).over(_by_time("entity")))
+    return _gapped(touches).drop("slice")
 
 
 def sessionized(touches: DataFrame, limit_us: int) -> DataFrame:
-    """``session_no`` (from 1) and ``touch_no`` within it."""
-    starts = F.when(F.col("gap_us").isNull() | (F.col("gap_us") >= limit_us), 1).otherwise(0)
-    numbered = gaps(touches).withColumn("session_no", F.sum(starts).over(_by_time("entity").rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.withColumn("touch_no", F.row_number().over(_by_time("entity", "session_no")))
+    """``session_no`` (from 1) and ``touch_no`` within it, with ``gap_us`` and ``slice``."""
+    gapped = _gapped(touches)
+    run = _by_time("entity", "slice").rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.col("gap_us").isNull() | (F.col("gap_us") >= limit_us)
+    # Sessions begun so far, events so far, and at which of them the last session began: within the slice.
+    local = gapped.withColumn("_nth", F.row_number().over(_by_time("entity", "slice"))).withColumn("_begun", F.sum(F.when(begins, 1).otherwise(0)).over(run))
+    local = local.withColumn("_began", F.max(F.when(begins, F.col("_nth"))).over(run))
+    sums = local.where("slice IS NOT NULL").groupBy("entity", "slice").agg(F.max("_nth").alias("_nth"), F.max("_begun").alias("_begun"), F.max("_began").alias("_began"))
+    past = _before("entity").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("entity", "slice", F.sum("_nth").over(past).alias("_rows"), F.sum("_begun").over(past).alias("_sessions"), "_began")
+    sums = sums.select("entity", "slice", "_rows", "_sessions", F.max(F.coalesce("_rows", F.lit(0)) + F.col("_began")).over(past).alias("_start"))
+    found = _with_carried(local, sums)
+    rows = F.coalesce("_rows", F.lit(0))
+    start = F.coalesce(rows + F.col("_began"), "_start")
+    return found.select(
+        *touches.columns, "gap_us", (F.coalesce("_sessions", F.lit(0)) + F.col("_begun")).alias("session_no"),
+        (rows + F.col("_nth") - start + 1).cast("int").alias("touch_no"), "slice",
+    )
 
 
 def session_family(touches: DataFrame, limits_us: dict[int, int], name: str) -> DataFrame:
     """Sizes of sessions under several limits at once, with the limit's number as a column: one window gives the session
     number of each limit, and the rows are told apart only when they are grouped."""
-    run = _by_time("entity").rowsBetween(Window.unboundedPreceding, 0)
-    starts = {k: F.sum(F.when(F.col("gap_us").isNull() | (F.col("gap_us") >= v), 1).otherwise(0)).over(run) for k, v in limits_us.items()}
-    numbered = gaps(touches).select("entity", "ts", *[s.alias(f"_{k}") for k, s in starts.items()])
-    each = F.inline(F.array(*[F.struct(F.lit(k).alias(name), F.col(f"_{k}").alias("session_no")) for k in limits_us]))
-    return numbered.select("entity", "ts", each).groupBy(name, "entity", "session_no").agg(F.count(F.lit(1)).alias("n_touches"))
+    run = _by_time("entity", "slice").rowsBetween(Window.unboundedPreceding, 0)
+    begun = {f"_{k}": F.sum(F.when(F.col("gap_us").isNull() | (F.col("gap_us") >= v), 1).otherwise(0)).over(run) for k, v in limits_us.items()}
+    local = _gapped(touches).select("entity", "ts", "slice", *[s.alias(k) for k, s in begun.items()])
+    sums = local.where("slice IS NOT NULL").groupBy("entity", "slice").agg(*[F.max(k).alias(k) for k in begun])
+    past = _before("entity").rowsBetween(Window.unboundedPreceding, -1)
+    found = _with_carried(local, sums.select("entity", "slice", *[F.sum(k).over(past).alias(f"{k}_past") for k in begun]))
+    numbers = {k: F.col(f"_{k}") + F.coalesce(f"_{k}_past", F.lit(0)) for k in limits_us}
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias(name), n.alias("session_no")) for k, n in numbers.items()]))
+    return found.select("entity", "ts", each).groupBy(name, "entity", "session_no").agg(F.count(F.lit(1)).alias("n_touches"))
 
 
 def session_heads(sessions: DataFrame) -> DataFrame:
-    """The first touch of each session, with ``next_start`` of the entity's next one."""
-    heads = sessions.where("touch_no = 1")
-    return heads.withColumn("next_start", F.lead("ts").over(Window.partitionBy("entity").orderBy("session_no")))
+    """The first touch of each session, with ``next_start`` of the entity's next one. ``sessions`` has slices, so that
+    the heads of a large entity are not one window either."""
+    heads = sessions.where("touch_no = 1").withColumn("next_start", F.lead("ts").over(Window.partitionBy("entity", "slice").orderBy("session_no")))
+    first = heads.where("slice IS NOT NULL").groupBy("entity", "slice").agg(F.min("ts").alias("_next"))
+    first = first.select("entity", "slice", F.lead("_next").over(_before("entity")).alias("_next"))
+    return _with_carried(heads, first).withColumn("next_start", F.coalesce("next_start", "_next")).drop("_next", "slice")
 
 
 def session_sizes(sessions: DataFrame) -> DataFrame:
