@@ -77,7 +77,12 @@ def _ratio(t: Column, tables: tuple[tuple[float, ...], tuple[float, ...]]) -> Co
 
 
 def erfc(x: Column) -> Column:
-    """The complementary error function of x >= 0, in double precision, also far out in the tail."""
+    """The complementary error function of x >= 0, in double precision, also far out in the tail. The argument, which
+    the approximations read some forty times, is worked out once."""
+    return F.get(F.transform(F.array(x.cast("double")), _erfc), F.lit(0))
+
+
+def _erfc(x: Column) -> Column:
     small = 1 - x * _ratio(x * x, ERF_SMALL)
     middle = F.exp(-x * x) * _ratio(x, ERFC_MIDDLE)
     inverse = 1 / (x * x)

@@ -154,15 +154,16 @@ def overdispersion(frame: DataFrame, group: str, least: int) -> DataFrame:
     )
 
 
-def permuted(frame: DataFrame, seed: str, group: str = "sender", key: str = "event_id") -> DataFrame:
-    """The frame with y dealt anew within each group: ranks by key meet ranks by a seeded hash of it.
+def permuted(frame: DataFrame, seeds: list[str], group: str = "sender", key: str = "event_id", outcomes: tuple[str, ...] = ("y",)) -> DataFrame:
+    """A copy of the frame for each ``seed``, with the outcomes of a row dealt anew (together) within each group: ranks by
+    key meet ranks by a seeded hash of it. All seeds are one plan; the ranks by key are taken once.
 
     Ranks are taken in parts of a group, so that a group of very many rows is not one task."""
-    own = hashed(key, "own")
-    new = hashed(key, seed)
-    left = ranked(frame.drop("y"), [group], hash_part(own), [own, F.col(key)], "_r")
-    right = ranked(frame.select(group, key, "y"), [group], hash_part(new), [new, F.col(key)], "_r").select(group, "_r", "y")
-    return left.join(right, [group, "_r"]).drop("_r")
+    each = F.explode(F.array(*map(F.lit, seeds))).alias("seed")
+    own, new = hashed(key, "own"), hashed(key, F.col("seed"))
+    left = ranked(frame.drop(*outcomes), [group], hash_part(own), [own, F.col(key)], "_r").select("*", each)
+    right = ranked(frame.select(group, key, *outcomes, each), ["seed", group], hash_part(new), [new, F.col(key)], "_r")
+    return left.join(right.select("seed", group, "_r", *outcomes), ["seed", group, "_r"]).drop("_r")
 
 
 def verdicts(train: DataFrame, held: DataFrame, bound: float, least: int) -> DataFrame:

@@ -164,7 +164,7 @@ def numbered(df: DataFrame, key: str, parts: int = 4096) -> DataFrame:
     return ranked(df, [], F.floor((F.col(key) - F.lit(low or 0)) / width), [F.col(key)], "nth")
 
 
-def hashed(key: str, seed: str) -> Column:
+def hashed(key: str, seed: str | Column) -> Column:
     return F.md5(F.concat_ws("#", F.col(key).cast("string"), F.lit(seed)))
 
 

@@ -12,96 +12,127 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewake.sources.scratch import written
+
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 #: Events from which an entity may be cut, how many entities are at most, and the coarse and fine parts of one.
 LARGE, HOT, PARTS = 1 << 20, 4096, 16
+#: Large entities by what was asked. An old answer gives the same numbers, as it only says which entities are cut.
+_FOUND: dict[tuple, list] = {}
 
 
-def _by_time(*keys: str):
-    return Window.partitionBy(*keys).orderBy("ts", "event_id")
+def large_entities(touches: DataFrame) -> list:
+    """The entities to cut, at most HOT of them: a count by entity, which runs when it is asked for."""
+    key = (touches.sparkSession.sparkContext.applicationId, touches.semanticHash(), LARGE, HOT)
+    if key not in _FOUND:
+        counts = touches.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {LARGE} AND entity IS NOT NULL")
+        _FOUND[key] = [r.entity for r in counts.orderBy(F.desc("n"), "entity").limit(HOT).select("entity").collect()]
+    return _FOUND[key]
 
 
-def _before(*keys: str):
-    return Window.partitionBy(*keys).orderBy("slice")
+def _parted(touches: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The touches of ordinary entities, and those of large ones, if there are any, with their slices."""
+    found = large_entities(touches)
+    if not found:
+        return touches, None
+    ids = F.broadcast(touches.sparkSession.createDataFrame([(x,) for x in found], touches.select("entity").schema))
+    return touches.join(ids, "entity", "left_anti"), sliced(touches.join(ids, "entity", "left_semi"))
 
 
 def sliced(touches: DataFrame) -> DataFrame:
-    """``slice``: the slice of time of an event of a large entity; null for all other entities.
-
-    At most HOT rows of PARTS ** 2 times are broadcast, however many events there are."""
-    counts = touches.groupBy("entity").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= LARGE)
-    large = counts.orderBy(F.desc("_n"), "entity").limit(HOT).select("entity")
+    """``slice``: one of PARTS ** 2 slices of an entity's time, each with about as many of its events. A row of cuts for
+    each entity is broadcast, so this is for HOT entities at most."""
     us = F.unix_micros("ts")
     shares = [k / PARTS**2 for k in range(1, PARTS**2)]
-    own = touches.select("entity", us.alias("_us")).join(F.broadcast(large), "entity", "left_semi")
-    cuts = own.groupBy("entity").agg(F.percentile_approx("_us", shares, 10_000).alias("_cuts"))
-    found = touches.join(F.broadcast(cuts), "entity", "left")
+    cuts = written(touches.groupBy("entity").agg(F.percentile_approx(us, shares, 10_000).alias("_cuts")), "cuts")
     # The number of cuts up to a time, first among each PARTS-th of them, then among the few in between.
-    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(PARTS), F.lit(PARTS**2 - 1), F.lit(PARTS)), lambda k: F.element_at("_cuts", k)), lambda c: c <= us))
+    steps = F.sequence(F.lit(PARTS), F.lit(PARTS**2 - 1), F.lit(PARTS))
+    coarse = F.size(F.filter(F.transform(steps, lambda k: F.element_at("_cuts", k)), lambda c: c <= us))
     fine = F.size(F.filter(F.slice("_cuts", coarse * PARTS + 1, F.lit(PARTS - 1)), lambda c: c <= us))
-    return found.withColumn("slice", F.when(F.col("_cuts").isNotNull(), coarse * PARTS + fine)).drop("_cuts")
+    return touches.join(F.broadcast(cuts), "entity").withColumn("slice", F.greatest(F.lit(0), coarse * PARTS + fine)).drop("_cuts")
 
 
-def _with_carried(rows: DataFrame, carried: DataFrame) -> DataFrame:
-    """Rows with what the slices before theirs carry over: a row for each slice of a large entity, so HOT * PARTS ** 2."""
-    return rows.join(F.broadcast(carried.withColumnRenamed("entity", "_e").withColumnRenamed("slice", "_s")), (F.col("entity") == F.col("_e")) & (F.col("slice") == F.col("_s")), "left").drop("_e", "_s")
+def _by_time(*keys: str):
+    return Window.partitionBy(*keys).orderBy("ts", "event_id")
 
 
-def _gapped(touches: DataFrame) -> DataFrame:
+def _plain_gaps(touches: DataFrame, *keys: str) -> DataFrame:
     us = F.unix_micros("ts")
-    local = sliced(touches).withColumn("gap_us", us - F.lag(us).over(_by_time("entity", "slice")))
-    last = local.where("slice IS NOT NULL").groupBy("entity", "slice").agg(F.max(us).alias("_last"))
-    last = last.select("entity", "slice", F.lag("_last").over(_before("entity")).alias("_last"))
-    return _with_carried(local, last).withColumn("gap_us", F.coalesce("gap_us", us - F.col("_last"))).drop("_last")
+    return touches.withColumn("gap_us", us - F.lag(us).over(_by_time(*keys)))
+
+
+def _sliced_gaps(touches: DataFrame) -> DataFrame:
+    """Gaps within slices; the first of a slice goes back to the last time of the slices before."""
+    us, key = F.unix_micros("ts"), ["entity", "slice"]
+    local = written(_plain_gaps(touches, *key), "gaps")
+    last = local.groupBy(*key).agg(F.max(us).alias("_last"))
+    last = last.select(*key, F.lag("_last").over(Window.partitionBy("entity").orderBy("slice")).alias("_last"))
+    return local.join(F.broadcast(last), key).withColumn("gap_us", F.coalesce("gap_us", us - F.col("_last"))).drop("_last")
 
 
 def gaps(touches: DataFrame) -> DataFrame:
     """``gap_us`` since the entity's touch before; null for the first."""
-    return _gapped(touches).drop("slice")
+    ordinary, large = _parted(touches)
+    found = _plain_gaps(ordinary, "entity")
+    return found if large is None else found.unionByName(_sliced_gaps(large).drop("slice"))
+
+
+def _begins(limit_us: int) -> Column:
+    return F.col("gap_us").isNull() | (F.col("gap_us") >= limit_us)
+
+
+def _plain_sessions(touches: DataFrame, limit_us: int) -> DataFrame:
+    run = _by_time("entity").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = _plain_gaps(touches, "entity").withColumn("session_no", F.sum(F.when(_begins(limit_us), 1).otherwise(0)).over(run))
+    return numbered.withColumn("touch_no", F.row_number().over(_by_time("entity", "session_no")))
+
+
+def _sliced_sessions(gapped: DataFrame, limit_us: int) -> DataFrame:
+    key, order = ["entity", "slice"], _by_time("entity", "slice")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.when(_begins(limit_us), 1).otherwise(0)
+    # Events so far, sessions begun so far, and at which event the last of those began: within the slice.
+    local = gapped.withColumns({"_nth": F.row_number().over(order), "_begun": F.sum(begins).over(run)})
+    local = written(local.withColumn("_began", F.max(F.when(_begins(limit_us), F.col("_nth"))).over(run)), "sessions")
+    sums = local.groupBy(*key).agg(F.max("_nth").alias("_rows"), F.max("_begun").alias("_sessions"), F.max("_began").alias("_began"))
+    past = Window.partitionBy("entity").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(past), F.lit(0))
+    sums = sums.select(*key, before("_rows").alias("_rows"), before("_sessions").alias("_sessions"), "_began")
+    carried = sums.select(*key, "_rows", "_sessions", F.max(F.col("_rows") + F.col("_began")).over(past).alias("_start"))
+    start = F.coalesce(F.col("_rows") + F.col("_began"), "_start")
+    return local.join(F.broadcast(carried), key).select(
+        *[c for c in gapped.columns if c != "slice"], (F.col("_sessions") + F.col("_begun")).alias("session_no"), (F.col("_rows") + F.col("_nth") - start + 1).cast("int").alias("touch_no")
+    )
 
 
 def sessionized(touches: DataFrame, limit_us: int) -> DataFrame:
-    """``session_no`` (from 1) and ``touch_no`` within it, with ``gap_us`` and ``slice``."""
-    gapped = _gapped(touches)
-    run = _by_time("entity", "slice").rowsBetween(Window.unboundedPreceding, 0)
-    begins = F.col("gap_us").isNull() | (F.col("gap_us") >= limit_us)
-    # Sessions begun so far, events so far, and at which of them the last session began: within the slice.
-    local = gapped.withColumn("_nth", F.row_number().over(_by_time("entity", "slice"))).withColumn("_begun", F.sum(F.when(begins, 1).otherwise(0)).over(run))
-    local = local.withColumn("_began", F.max(F.when(begins, F.col("_nth"))).over(run))
-    sums = local.where("slice IS NOT NULL").groupBy("entity", "slice").agg(F.max("_nth").alias("_nth"), F.max("_begun").alias("_begun"), F.max("_began").alias("_began"))
-    past = _before("entity").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("entity", "slice", F.sum("_nth").over(past).alias("_rows"), F.sum("_begun").over(past).alias("_sessions"), "_began")
-    sums = sums.select("entity", "slice", "_rows", "_sessions", F.max(F.coalesce("_rows", F.lit(0)) + F.col("_began")).over(past).alias("_start"))
-    found = _with_carried(local, sums)
-    rows = F.coalesce("_rows", F.lit(0))
-    start = F.coalesce(rows + F.col("_began"), "_start")
-    return found.select(
-        *touches.columns, "gap_us", (F.coalesce("_sessions", F.lit(0)) + F.col("_begun")).alias("session_no"),
-        (rows + F.col("_nth") - start + 1).cast("int").alias("touch_no"), "slice",
-    )
+    """``session_no`` (from 1) and ``touch_no`` within it."""
+    ordinary, large = _parted(touches)
+    found = _plain_sessions(ordinary, limit_us)
+    return found if large is None else found.unionByName(_sliced_sessions(_sliced_gaps(large), limit_us))
 
 
 def session_family(touches: DataFrame, limits_us: dict[int, int], name: str) -> DataFrame:
     """Sizes of sessions under several limits at once, with the limit's number as a column: one window gives the session
     number of each limit, and the rows are told apart only when they are grouped."""
-    run = _by_time("entity", "slice").rowsBetween(Window.unboundedPreceding, 0)
-    begun = {f"_{k}": F.sum(F.when(F.col("gap_us").isNull() | (F.col("gap_us") >= v), 1).otherwise(0)).over(run) for k, v in limits_us.items()}
-    local = _gapped(touches).select("entity", "ts", "slice", *[s.alias(k) for k, s in begun.items()])
-    sums = local.where("slice IS NOT NULL").groupBy("entity", "slice").agg(*[F.max(k).alias(k) for k in begun])
-    past = _before("entity").rowsBetween(Window.unboundedPreceding, -1)
-    found = _with_carried(local, sums.select("entity", "slice", *[F.sum(k).over(past).alias(f"{k}_past") for k in begun]))
-    numbers = {k: F.col(f"_{k}") + F.coalesce(f"_{k}_past", F.lit(0)) for k in limits_us}
-    each = F.inline(F.array(*[F.struct(F.lit(k).alias(name), n.alias("session_no")) for k, n in numbers.items()]))
-    return found.select("entity", "ts", each).groupBy(name, "entity", "session_no").agg(F.count(F.lit(1)).alias("n_touches"))
+    ordinary, large = _parted(touches)
+    run = _by_time("entity").rowsBetween(Window.unboundedPreceding, 0)
+    starts = {k: F.sum(F.when(_begins(v), 1).otherwise(0)).over(run) for k, v in limits_us.items()}
+    numbered = _plain_gaps(ordinary, "entity").select("entity", *[s.alias(f"_{k}") for k, s in starts.items()])
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias(name), F.col(f"_{k}").alias("session_no")) for k in limits_us]))
+    rows = numbered.select("entity", each)
+    if large is not None:
+        gapped = _sliced_gaps(large)
+        for k, limit in limits_us.items():
+            rows = rows.unionByName(_sliced_sessions(gapped, limit).select("entity", "session_no", F.lit(k).alias(name)))
+    return rows.groupBy(name, "entity", "session_no").agg(F.count(F.lit(1)).alias("n_touches"))
 
 
 def session_heads(sessions: DataFrame) -> DataFrame:
-    """The first touch of each session, with ``next_start`` of the entity's next one. ``sessions`` has slices, so that
-    the heads of a large entity are not one window either."""
-    heads = sessions.where("touch_no = 1").withColumn("next_start", F.lead("ts").over(Window.partitionBy("entity", "slice").orderBy("session_no")))
-    first = heads.where("slice IS NOT NULL").groupBy("entity", "slice").agg(F.min("ts").alias("_next"))
-    first = first.select("entity", "slice", F.lead("_next").over(_before("entity")).alias("_next"))
-    return _with_carried(heads, first).withColumn("next_start", F.coalesce("next_start", "_next")).drop("_next", "slice")
+    """The first touch of each session, with ``next_start`` of the entity's next one. An entity's heads are at least a gap
+    apart, so there are never more than its time has gaps."""
+    heads = sessions.where("touch_no = 1")
+    return heads.withColumn("next_start", F.lead("ts").over(Window.partitionBy("entity").orderBy("session_no")))
 
 
 def session_sizes(sessions: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from tidewake.functions.stats import benjamini_hochberg, detectable, normal_tail
 from tidewake.operators import contrast as con
 from tidewake.operators import sessions as ses
 from tidewake.plans import time
+from tidewake.sources.scratch import written
 
 FEATURES = {
     "is view": "channel = 'view'",
@@ -27,13 +28,13 @@ FAMILY = {"is view": "content", "high value": "content", "low value": "content",
 BUCKETS = ([0.0, 2.0, 5.0, 10.0, 20.0, 1e9], ["(0,2]", "(2,5]", "(5,10]", "(10,20]", "over 20"])
 
 
-def frame(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per session head: event_id, sender, y and what the features read."""
+def frame(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """One row per session head: event_id, sender, y, what the features read, and more columns of the attribution."""
     heads = time._answers(spark, sf)
     same_day = F.count(F.lit(1)).over(Window.partitionBy("sender", F.to_date("ts")))
     return heads.select(
         "event_id", "entity", "sender", "channel", "value", "ts", F.hour("ts").alias("hour"), F.dayofmonth("ts").alias("day"),
-        F.col("response_id").isNotNull().cast("int").alias("y"), same_day.alias("same_day"),
+        F.col("response_id").isNotNull().cast("int").alias("y"), same_day.alias("same_day"), *more,
     )
 
 
@@ -103,12 +104,10 @@ def burst_volume(spark: SparkSession, sf: str) -> DataFrame:
 
 def placebo_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Share of features that look significant when outcomes are dealt anew within senders, over five seeds."""
-    f, out = frame(spark, sf), None
-    for seed in range(5):
-        rows = con.long_form(con.permuted(f, str(seed)), FEATURES, ["sender", "y"])
-        one = con.fixed_effect(rows).select(F.lit(seed).alias("seed"), "feature", (F.abs("z") >= 1.96).alias("hit"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("seed").agg(F.count("hit").alias("tests"), F.count_if("hit").alias("hits"))
+    dealt = con.permuted(written(frame(spark, sf), "frame"), [str(k) for k in range(5)])
+    fits = con.fixed_effect(con.long_form(dealt, FEATURES, ["seed", "sender", "y"]), "seed", "feature")
+    hit = F.abs("z") >= 1.96
+    return fits.groupBy(F.col("seed").cast("int").alias("seed")).agg(F.count(hit).alias("tests"), F.count_if(hit).alias("hits"))
 
 
 def overdispersion(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,16 +133,14 @@ def holdout_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def robustness_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """The effects with other clusters, and with one head for each entity."""
-    rows = _long(spark, sf)
-    first = Window.partitionBy("feature", "entity").orderBy("event_id")
-    one = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    specs = [("sender", rows, "sender"), ("entity clusters", rows, "entity"), ("one each", one, "sender")]
-    out = None
-    for name, r, cluster in specs:
-        got = con.fixed_effect(r, cluster=cluster).select(F.lit(name).alias("spec"), "feature", "b", "se")
-        out = got if out is None else out.unionByName(got)
-    return _rounded(out, "b", "se")
+    """The effects with other clusters, and with one head for each entity: one frame, each of its rows in every
+    specification that takes it."""
+    first = F.col("event_id") == F.min("event_id").over(Window.partitionBy("entity"))
+    specs = [("sender", "sender", F.lit(True)), ("entity clusters", "entity", F.lit(True)), ("one each", "sender", F.col("_first"))]
+    each = F.inline(F.array(*[F.struct(F.lit(n).alias("spec"), F.col(c).cast("long").alias("cluster"), t.alias("taken")) for n, c, t in specs]))
+    rows = con.long_form(frame(spark, sf).withColumn("_first", first), FEATURES, ["sender", "entity", "y", "_first"])
+    rows = rows.select("feature", "x", "y", "sender", each).where("taken")
+    return _rounded(con.fixed_effect(rows, "spec", "feature", cluster="cluster").select("spec", "feature", "b", "se"), "b", "se")
 
 
 def flag_overlap(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewake.operators import attribution as att
 from tidewake.operators import contrast as con
-
 from tidewake.operators import sessions as ses
 from tidewake.plans import contrast, time
+from tidewake.sources.scratch import written
 from tidewake.sources.tables import responses, touches
 
 HOURS = (12, 24, 36)
@@ -97,8 +97,7 @@ def followup_timing(spark: SparkSession, sf: str) -> DataFrame:
 def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """The frame with the outcome of three days and that of one."""
     soon = (F.col("response_us") - F.unix_micros("ts") <= ses.DAY).cast("int")
-    one = time._answers(spark, sf).select("event_id", F.coalesce(soon, F.lit(0)).alias("y_day"))
-    return contrast.frame(spark, sf).join(one, "event_id")
+    return contrast.frame(spark, sf, "response_us").withColumn("y_day", F.coalesce(soon, F.lit(0))).drop("response_us")
 
 
 def shorter_outcome(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,14 +109,12 @@ def shorter_outcome(spark: SparkSession, sf: str) -> DataFrame:
 
 def placebo_battery(spark: SparkSession, sf: str) -> DataFrame:
     """Features that look significant when outcomes are dealt anew within senders: seeds times outcomes."""
-    f, out = _outcomes(spark, sf), None
-    for outcome in ("y", "y_day"):
-        base = f.drop("y").withColumnRenamed("y_day", "y") if outcome == "y_day" else f.drop("y_day")
-        for seed in range(2):
-            rows = con.long_form(con.permuted(base, str(seed)), contrast.FEATURES, ["sender", "y"])
-            one = con.fixed_effect(rows).select(F.lit(outcome).alias("outcome"), (F.abs("z") >= 1.96).alias("hit"))
-            out = one if out is None else out.unionByName(one)
-    out = out.groupBy("outcome").agg(F.count("hit").alias("tests"), F.count_if("hit").alias("hits"))
+    both = ("y", "y_day")
+    dealt = con.permuted(written(_outcomes(spark, sf), "outcomes"), ["0", "1"], outcomes=both)
+    rows = con.long_form(dealt, contrast.FEATURES, ["seed", "sender", *both])
+    rows = rows.select("seed", "sender", "feature", "x", F.inline(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("y")) for o in both])))
+    hit = F.abs("z") >= 1.96
+    out = con.fixed_effect(rows, "seed", "outcome", "feature").groupBy("outcome").agg(F.count(hit).alias("tests"), F.count_if(hit).alias("hits"))
     return out.withColumn("share", F.round(F.col("hits") / F.col("tests"), 6))
 
 
