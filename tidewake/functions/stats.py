@@ -96,15 +96,13 @@ def normal_tail(z: Column) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, family: str) -> DataFrame:
-    """``q`` within each family, over rows that have a p."""
-    known = df.where(F.col(p).isNotNull())
-    rank = Window.partitionBy(family).orderBy(p, *[c for c in df.columns if c not in (p, family)][:1])
-    whole = Window.partitionBy(family)
-    raw = F.col(p) * F.count(F.lit(1)).over(whole) / F.row_number().over(rank)
-    known = known.withColumn("_raw", raw).withColumn("_rank", F.row_number().over(rank))
+    """``q`` within each family, over rows that have a p; the others get none."""
+    known = F.col(p).isNotNull()
+    order = Window.partitionBy(family).orderBy(F.asc_nulls_last(p), *[c for c in df.columns if c not in (p, family)][:1])
+    n = F.count(p).over(Window.partitionBy(family))
+    ranked = df.withColumn("_rank", F.row_number().over(order)).withColumn("_raw", F.when(known, F.col(p) * n / F.col("_rank")))
     down = Window.partitionBy(family).orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
-    known = known.withColumn("q", F.least(F.lit(1.0), F.min("_raw").over(down))).drop("_raw", "_rank")
-    return known.unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+    return ranked.withColumn("q", F.when(known, F.least(F.lit(1.0), F.min("_raw").over(down)))).drop("_raw", "_rank")
 
 
 def detectable(n1: Column, n2: Column, base: Column, power_z: float = 0.8416212, alpha_z: float = 1.959964) -> Column:

@@ -61,7 +61,10 @@ def fixed_effect(rows: DataFrame, *by: str, group: str = "sender", cluster: str
         F.sum("xy").alias("sxy"), F.sum("xx").alias("sxx"), F.sum(F.col("xy") * F.col("xy")).alias("uu"), F.sum(F.col("xy") * F.col("xx")).alias("uv"),
         F.sum(F.col("xx") * F.col("xx")).alias("vv"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"),
     )
-    out = out.join(cells.groupBy(*by).agg(F.countDistinct("_g").alias("groups")), list(by))
+    if group == cluster:
+        out = out.withColumn("groups", F.col("clusters"))
+    else:
+        out = out.join(cells.groupBy(*by).agg(F.countDistinct("_g").alias("groups")), list(by))
     g, n = F.col("clusters"), F.col("n")
     k = 1 + F.col("groups")
     fits = (g > 1) & (F.col("groups") > 1) & (F.col("sxx") > 1e-12) & (n > k)
