@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewake.operators.quantiles import with_quantiles
+from tidewake.sources.scratch import written
 from tidewake.functions.stats import share, wilson
 
 KEY = ["entity", "session_no"]
@@ -92,8 +94,10 @@ def route_classes(sessions: DataFrame, channel: str) -> DataFrame:
 
 
 def depth_stats(sizes: DataFrame) -> DataFrame:
-    n = F.col("n_touches")
-    return sizes.agg(
-        F.count(F.lit(1)).alias("sessions"), F.median(n).alias("median_touches"), F.avg(n).alias("mean_touches"),
+    """Sizes of sessions: how many, their median and mean, and the shares of one touch and of four and more."""
+    n, sizes = F.col("n_touches"), written(sizes, "sizes")
+    out = sizes.agg(
+        F.count(F.lit(1)).alias("sessions"), F.avg(n).alias("mean_touches"),
         F.avg((n == 1).cast("int")).alias("share_one"), F.avg((n >= 4).cast("int")).alias("share_four"),
     )
+    return with_quantiles(out, sizes, [], {"median_touches": (n, 0.5)})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewake.operators import attribution as att
 from tidewake.operators import contrast as con
 from tidewake.operators import sessions as ses
+from tidewake.operators.quantiles import with_quantiles
 from tidewake.plans import contrast, time
 from tidewake.sources.scratch import written
 from tidewake.sources.tables import responses, touches
@@ -41,8 +42,10 @@ def difference_of_differences(spark: SparkSession, sf: str) -> DataFrame:
 
 def profile_medians(spark: SparkSession, sf: str) -> DataFrame:
     """Medians and daily volumes of the heads in each half of the month."""
-    f = contrast.frame(spark, sf).withColumn("period", F.when(F.col("day") <= 15, "early").otherwise("late"))
-    out = f.groupBy("period").agg(F.median("value").alias("median_value"), F.median("same_day").alias("median_volume"), (F.count(F.lit(1)) / F.countDistinct("day")).alias("per_day"))
+    f = contrast.frame(spark, sf).select("day", "value", "same_day", F.when(F.col("day") <= 15, "early").otherwise("late").alias("period"))
+    f = written(f, "periods")
+    out = f.groupBy("period").agg((F.count(F.lit(1)) / F.countDistinct("day")).alias("per_day"))
+    out = with_quantiles(out, f, ["period"], {"median_value": (F.col("value"), 0.5), "median_volume": (F.col("same_day"), 0.5)})
     return _rounded(out, "median_value", "median_volume", "per_day")
 
 
@@ -64,9 +67,9 @@ def gap_stability(spark: SparkSession, sf: str) -> DataFrame:
 
 def latency_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     """Quantiles of the time to an answer in days, and the share that a one-day window keeps."""
-    days = (F.col("response_us") - F.unix_micros("ts")) / ses.DAY
-    found = time._answers(spark, sf).where("response_us IS NOT NULL").groupBy("channel")
-    out = found.agg(*[F.percentile(days, F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.5, 0.9, 0.99)], F.avg((days <= 1).cast("int")).alias("within_a_day"))
+    found, days = time.latencies(spark, sf), F.col("days")
+    out = found.groupBy("channel").agg(F.avg((days <= 1).cast("int")).alias("within_a_day"))
+    out = with_quantiles(out, found, ["channel"], {f"q{int(q * 100)}": (days, q) for q in (0.5, 0.9, 0.99)})
     return _rounded(out, "q50", "q90", "q99", "within_a_day")
 
 

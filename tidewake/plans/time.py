@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidewake.operators import attribution as att
 from tidewake.operators import funnel
 from tidewake.operators import sessions as ses
+from tidewake.operators.quantiles import with_quantiles
+from tidewake.sources.scratch import written
 from tidewake.sources.tables import event_log, order_touches, responses, touches
 
 #: The event binding: sessions end after a day without a touch, answers count for three.
@@ -156,10 +158,16 @@ def touch_depth_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(funnel.depth_stats(sizes), "median_touches", "mean_touches", "share_one", "share_four")
 
 
-def response_latency(spark: SparkSession, sf: str) -> DataFrame:
+def latencies(spark: SparkSession, sf: str) -> DataFrame:
+    """Days from head to answer by channel, as a table."""
     days = (F.col("response_us") - F.unix_micros("ts")) / ses.DAY
-    found = _answers(spark, sf).where("response_us IS NOT NULL").groupBy("channel")
-    out = found.agg(F.count(F.lit(1)).alias("answers"), F.median(days).alias("median_days"), F.avg((days <= 1).cast("int")).alias("share_in_a_day"))
+    return written(_answers(spark, sf).where("response_us IS NOT NULL").select("channel", days.alias("days")), "latencies")
+
+
+def response_latency(spark: SparkSession, sf: str) -> DataFrame:
+    found, days = latencies(spark, sf), F.col("days")
+    out = found.groupBy("channel").agg(F.count(F.lit(1)).alias("answers"), F.avg((days <= 1).cast("int")).alias("share_in_a_day"))
+    out = with_quantiles(out, found, ["channel"], {"median_days": (days, 0.5)})
     return _rounded(out, "median_days", "share_in_a_day")
 
 
