@@ -1,13 +1,81 @@
-"""Leak scans, over-redaction and vocabulary pruning: texts are tokenised once and joined to the vocabulary."""
+"""Redaction by a vocabulary table, leak scans, over-redaction and vocabulary pruning: texts are tokenised and joined to
+the vocabulary, which may have any number of terms."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.functions import text as tx
 
 
+SENDER = "[SENDER]"
+
+
+def _pieces(c: Column) -> Column:
+    """A text as its words and what stands between them, in order: joined, they are the text again."""
+    return F.regexp_extract_all(c, F.lit(r"(?U)(\w+|\W+)"), 0)
+
+
+def _lowered(pieces: Column) -> Column:
+    return F.transform(pieces, F.lower)
+
+
+def terms_of(vocabulary: DataFrame, term: str) -> DataFrame:
+    """first and pieces of each term, in lower case. A term begins and ends with a word; others never stand between word
+    boundaries."""
+    found = vocabulary.select(_lowered(_pieces(F.col(term))).alias("pieces")).where("size(pieces) > 0").distinct()
+    word = lambda k: F.rlike(F.element_at("pieces", k), F.lit(r"(?U)^\w"))
+    return found.where(word(1) & word(-1)).select(F.element_at("pieces", 1).alias("first"), "pieces")
+
+
+def _rebuilt(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[pa.RecordBatch]:
+    """Texts with a mark for each term: from left to right, at each word the longest term that begins there."""
+    for batch in batches:
+        texts = []
+        for own, low, terms in zip(*(batch.column(c).to_pylist() for c in ("own", "low", "terms")), strict=True):
+            known: dict[str, dict[int, set[tuple[str, ...]]]] = {}
+            for t in terms:
+                known.setdefault(t[0], {}).setdefault(len(t), set()).add(tuple(t))
+            sizes = {first: sorted(by_size, reverse=True) for first, by_size in known.items()}
+            out, k = [], 0
+            while k < len(own):
+                n = next((n for n in sizes.get(low[k], ()) if tuple(low[k : k + n]) in known[low[k]][n]), 0)
+                out.append(mark if n else own[k])
+                k += n or 1
+            texts.append("".join(out))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["key", "shown"])
+
+
+def by_vocabulary(docs: DataFrame, key: str, text: str, vocabulary: DataFrame, term: str = "token", mark: str = SENDER) -> DataFrame:
+    """``docs`` (one row for each ``key``) with a mark in place of each term of the vocabulary, in whatever case, that
+    stands between word boundaries; of terms that begin at one word the longest.
+
+    The distinct words of each text meet the first words of the terms in a join, of which Spark broadcasts the smaller side
+    only if it is small. A text gets only its own candidates back, and only texts with some are rebuilt. Null texts stay."""
+    pieces = _pieces(F.col(text))
+    words = docs.select(F.col(key).alias("key"), F.explode(F.array_distinct(_lowered(pieces))).alias("first"))
+    hits = words.join(terms_of(vocabulary, term), "first").groupBy("key").agg(F.collect_list("pieces").alias("terms"))
+    own = docs.select(F.col(key).alias("key"), pieces.alias("own"), _lowered(pieces).alias("low")).join(hits, "key")
+    kind = docs.schema[key].dataType.simpleString()
+    shown = own.mapInArrow(partial(_rebuilt, mark=mark), f"key {kind}, shown string")
+    found = docs.join(shown.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key"), "left")
+    return found.withColumn(text, F.coalesce("shown", text)).select(*docs.columns)
+
+
+def redacted_by(
+    docs: DataFrame, key: str, text: str, vocabulary: DataFrame, term: str = "token",
+    first: Column | None = None, company: Column | None = None, domains: list[str] = (),
+) -> DataFrame:
+    """What ``text.redacted`` does, with the vocabulary as a table."""
+    rows = docs.withColumn(text, tx.without_identifiers(F.col(text), first, company, domains))
+    return by_vocabulary(rows, key, text, vocabulary, term).withColumn(text, tx.stripped(tx.senders_joined(F.col(text))))
+
+
 def tokens(docs: DataFrame, key: str, text: str, pattern: str = "[^A-Za-z]+") -> DataFrame:
     """Distinct tokens of each document: token (lower case) and whether it occurs in lower case."""
     parts = docs.select(key, F.explode(F.array_distinct(F.split(text, pattern, -1))).alias("_t")).where("_t != ''")

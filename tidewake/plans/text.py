@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import text as tx
@@ -38,8 +38,9 @@ def _hashed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def template_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.count(F.lit(1)).over(Window.partitionBy("hash"))
-    out = _hashed(spark, sf).withColumn("repeats", n)
+    hashed = _hashed(spark, sf)
+    counts = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("repeats"))  # then a join, of which Spark can split a hot hash
+    out = hashed.join(counts, "hash")
     return out.select("doc_id", "hash", "hash_length", "repeats", ((F.col("repeats") >= 3) & (F.col("hash_length") >= 40)).alias("is_template"))
 
 
@@ -99,6 +100,13 @@ def redacted_docs(spark: SparkSession, sf: str) -> DataFrame:
     return _redacted(spark, sf).select("doc_id", count("EMAIL").alias("emails"), count("LINK").alias("links"), count("YEAR").alias("years"), count("DATE").alias("dates"), F.md5(s).alias("text"))
 
 
+def redacted_by_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts without identifiers and without the terms of a vocabulary table, whatever its size."""
+    d = _docs(spark, sf).select("doc_id", "text")
+    shown = red.redacted_by(d, "doc_id", "text", vocabulary(spark, sf))
+    return shown.select("doc_id", F.regexp_count("text", F.lit(r"\[SENDER\]")).alias("marks"), F.md5("text").alias("text"))
+
+
 def over_redaction(spark: SparkSession, sf: str) -> DataFrame:
     shown = _docs(spark, sf).select("doc_id", F.regexp_replace("text", "[A-Za-z]+e ", "[SENDER] ").alias("shown"))
     return red.over_redaction(shown, "doc_id", "shown").withColumn("share", F.round("share", 6))
@@ -135,7 +143,7 @@ def unwrapped_text(spark: SparkSession, sf: str) -> DataFrame:
 
 NAMES = (
     "text_counts subject_features template_repeats template_kinds name_mentions subject_norm_match dedup_subjects leak_scan vocab_pruning "
-    "redacted_docs over_redaction ratable html_text html_formatting_counts strip_quoted signature_split unwrapped_text"
+    "redacted_docs redacted_by_vocabulary over_redaction ratable html_text html_formatting_counts strip_quoted signature_split unwrapped_text"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
@@ -186,6 +194,17 @@ SQL = {
     + messages._redaction("text", False)
     + """ SELECT doc_id, CAST(len(regexp_extract_all(t, '\\[EMAIL\\]')) AS INTEGER) AS emails, CAST(len(regexp_extract_all(t, '\\[LINK\\]')) AS INTEGER) AS links,
                CAST(len(regexp_extract_all(t, '\\[YEAR\\]')) AS INTEGER) AS years, CAST(len(regexp_extract_all(t, '\\[DATE\\]')) AS INTEGER) AS dates, md5(t) AS text FROM z""",
+    "redacted_by_vocabulary": messages._M
+    + ","
+    + messages._redaction("text", False)
+    + ","
+    + _TOKENS
+    + """, known AS (SELECT list(token) AS tokens FROM vocab),
+          p AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_]+'),
+                   lambda x: CASE WHEN length(x) >= 9 AND list_contains(tokens, lower(x)) THEN '[SENDER]' ELSE x END), '') AS t FROM r8, known),
+          """
+    + f"""q AS (SELECT doc_id, {messages._strip("regexp_replace(t, '(\\[SENDER\\][\\s,|]*){2,}', '[SENDER] ', 'g')")} AS t FROM p)
+          SELECT doc_id, CAST(len(regexp_extract_all(t, '\\[SENDER\\]')) AS INTEGER) AS marks, md5(t) AS text FROM q""",
     "ratable": messages._M
     + ","
     + messages._redaction("text", False)
