@@ -203,7 +203,7 @@ class Encoder:
     different ones that collide) make all slices of their round be merged anew. The cache starts anew when it is full.
     """
 
-    most = 700_000
+    most = 350_000
 
     def __init__(self) -> None:
         self._clear()

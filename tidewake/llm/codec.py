@@ -10,6 +10,7 @@ the input are left out; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -35,17 +36,24 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(partial(_encode, path=path), "doc_id long, ids binary, offsets binary")
 
 
-def _decode(batches: Iterator[pa.RecordBatch], path: str, offsets: bool) -> Iterator[pa.RecordBatch]:
+def _decoded(batch: pa.RecordBatch, path: str) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
+    """ids, bytes and places of each row. Offsets that came with the ids have to agree with what is decoded."""
     encoder = rank_encoder(path)
+    kept = batch.column("offsets") if "offsets" in batch.schema.names else [None] * len(batch)
+    for x, own in zip(batch.column("ids"), kept, strict=True):
+        ids = np.frombuffer(x.as_py(), "<u4")
+        text, at = encoder.decode(ids.astype(np.int64))
+        if own is not None and not np.array_equal(np.frombuffer(own.as_py(), "<u4"), at[:-1]):
+            raise ValueError("offsets and ids are not of one text")
+        yield ids, text, at[:-1]
+
+
+def _decode(batches: Iterator[pa.RecordBatch], path: str, offsets: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        all_ids, texts, places = batch.column("ids").to_pylist(), [], []
-        kept = batch.column("offsets").to_pylist() if "offsets" in batch.schema.names else [None] * len(all_ids)
-        for x, own in zip(all_ids, kept, strict=True):
-            text, at = encoder.decode(np.frombuffer(x, "<u4").astype(np.int64))
-            if own is not None and not np.array_equal(np.frombuffer(own, "<u4"), at[:-1]):
-                raise ValueError("offsets and ids are not of one text")
+        texts, places = [], []
+        for _, text, at in _decoded(batch, path):
             texts.append(text)
-            places.append(at[:-1].tolist() if offsets else None)
+            places.append(at.tolist() if offsets else None)
         columns = [batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())]
         more = [pa.array(places, pa.list_(pa.int64()))] if offsets else []
         yield pa.RecordBatch.from_arrays([*columns, *more], ["doc_id", "ids", "decoded", *(["offsets"] if offsets else [])])
@@ -56,3 +64,20 @@ def decode(encoded: DataFrame, path: str, offsets: bool = False) -> DataFrame:
     the ids have to agree with what is decoded."""
     kind = "doc_id long, ids binary, decoded binary" + ", offsets array<long>" * offsets
     return encoded.mapInArrow(partial(_decode, path=path, offsets=offsets), kind)
+
+
+def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [
+            (len(ids), hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest(), hashlib.sha256(text).hexdigest())
+            for ids, text, _ in _decoded(batch, path)
+        ]
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        kinds = [pa.int64(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns, kinds)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def digests(encoded: DataFrame, path: str) -> DataFrame:
+    """What ``decode`` gives, as counts and digests: of the ids (in decimal, joined by commas) and of the decoded bytes.
+    One Python process for each task does both, as a third would have the memory of an executor."""
+    return encoded.mapInArrow(partial(_digests, path=path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Callable
 
-import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,25 +51,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.stored(table(spark, sf_dir, "documents")))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array(map(len, ids), pa.int64()),
-                pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids], pa.string()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()], pa.string()),
-            ],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     small_batches(spark)
-    encoded = codec.encode(table(spark, sf_dir, "documents"), path)
-    return codec.decode(encoded, path).mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return codec.digests(codec.encode(table(spark, sf_dir, "documents"), path), path)
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
