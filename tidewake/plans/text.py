@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewake.functions import html
 from tidewake.functions import text as tx
 from tidewake.operators import frame as fr
 from tidewake.operators import redaction as red
@@ -119,7 +120,7 @@ def ratable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_text(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "pages").select("page_id", tx.tidied(tx.rendered(F.col("html"))["text"]).alias("text"))
+    return load(spark, sf, "pages").select("page_id", tx.tidied(html.text_of(F.col("html"))).alias("text"))
 
 
 def html_formatting_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,6 +218,7 @@ SQL = {
     + ", f AS (SELECT doc_id, text || chr(10) || 'Best regards,' || chr(10) || 'Someone' || chr(10) || 'Phone: 1' AS t FROM m),"
     + messages.signed_sql("t", "f")
     + " SELECT doc_id, md5(body) AS body, md5(signature) AS signature FROM g",
+    "html_text": f"SELECT page_id, {messages.tidied_sql(messages.page_sql('html'))} AS text FROM pages",
     "unwrapped_text": f"SELECT doc_id, md5({messages.unwrapped_sql('text')}) AS unwrapped FROM documents",
     "over_redaction": """WITH s AS (SELECT doc_id, regexp_replace(text, '[A-Za-z]+e ', '[SENDER] ', 'g') AS t FROM documents),
         n AS (SELECT doc_id, CAST(len(regexp_extract_all(t, '\\[(NAME|COMPANY|LINK|EMAIL|DATE|YEAR|SENDER)\\]')) AS INTEGER) AS placeholders,
