@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions.stats import newcombe, share
 from tidewake.operators.frame import hash_part, hashed, ranked
+from tidewake.sources.scratch import written
 
 
 def long_form(frame: DataFrame, features: dict[str, str], keep: list[str]) -> DataFrame:
@@ -115,6 +116,39 @@ def fixed_effects(frame: DataFrame, columns: list[str], group: str = "sender", c
     return [(c, float(b[i]), float(se[i])) for i, c in enumerate(columns)]
 
 
+def logit_effect(rows: DataFrame, *by: str, group: str = "sender", steps: int = 8) -> DataFrame:
+    """b, se and z of a 0/1 column x in a logit of y with an effect for each group, errors clustered by group.
+
+    Sizes and hits of both arms by group are all that is needed, and they are written. For a given b a group's own effect is
+    the positive root of a quadratic (its hits are those that the model expects), so only b is left to Newton's steps: each
+    is one sum over groups, from the Mantel-Haenszel estimate on. Groups without variation of y say nothing of b and are
+    left out; b is null where an arm has no hits, or no misses, in the rest."""
+    by = by or ("feature",)
+    with_, y = F.col("x") == 1, F.col("y") == 1
+    cells = rows.groupBy(*by, F.col(group).alias("_g")).agg(
+        F.count_if(with_).alias("n1"), F.count_if(with_ & y).alias("k1"), F.count_if(~with_).alias("n0"), F.count_if(~with_ & y).alias("k0")
+    )
+    n1, k1, n0, k0 = (F.col(c).cast("double") for c in ("n1", "k1", "n0", "k0"))
+    n, k = n1 + n0, k1 + k0
+    cells = written(cells.where("k1 + k0 > 0 AND k1 + k0 < n1 + n0"), "logit-cells")
+    fit = cells.groupBy(*by).agg(F.ln(F.sum(k1 * (n0 - k0) / n) / F.nullif(F.sum(k0 * (n1 - k1) / n), F.lit(0.0))).alias("b"))
+
+    def at(fit: DataFrame) -> DataFrame:
+        e = F.exp("b")
+        half = n0 + n1 * e - k * (1 + e)
+        odds = cells.join(fit, list(by)).withColumn("_u", 2 * k / (half + F.sqrt(half * half + 4 * e * (n - k) * k)))
+        p1, p0 = F.col("_u") * e / (1 + F.col("_u") * e), F.col("_u") / (1 + F.col("_u"))
+        w1, w0 = n1 * p1 * (1 - p1), n0 * p0 * (1 - p0)
+        return odds.select(*by, "b", n.alias("n"), (k1 - n1 * p1).alias("score"), (w1 * w0 / (w1 + w0)).alias("info"))
+
+    for _ in range(steps):
+        fit = at(fit).groupBy(*by).agg((F.first("b") + F.sum("score") / F.nullif(F.sum("info"), F.lit(0.0))).alias("b"))
+    g = F.count(F.lit(1))
+    meat = F.sum(F.col("score") * F.col("score")) * (g / F.nullif(g - 1, F.lit(0))) * ((F.sum("n") - 1) / F.nullif(F.sum("n") - 1 - g, F.lit(0.0)))
+    out = at(fit).groupBy(*by).agg(F.first("b").alias("b"), (F.sqrt(meat) / F.sum("info")).alias("se"), F.sum("n").cast("long").alias("n"), g.alias("groups"))
+    return out.select(*by, "b", "se", (F.col("b") / F.nullif("se", F.lit(0.0))).alias("z"), "n", "groups")
+
+
 def sign_panel(rows: DataFrame, least: int, group: str = "sender") -> DataFrame:
     """Groups that have enough rows in both arms: how many, and in how many the gap is positive."""
     arms = two_arms(rows, "feature", group).where((F.col("n1") >= least) & (F.col("n0") >= least))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.sources.scratch import written
+
 BUCKET_SECONDS = 7200
-#: Doublings of a bucket's width that range_chunks looks at.
-LEVELS = 20
 
 
 def time_bucket(ts: Column | str, seconds: int = BUCKET_SECONDS) -> Column:
@@ -119,8 +119,12 @@ def range_chunks(df: DataFrame, bucket: Column, period: Column, most: int) -> Da
     2 ** level buckets, and a range stays where it is small enough and its double is not.
     """
     fine = df.groupBy(period.alias("period"), bucket.cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
-    sums = fine.select("period", "bucket", "n", levels.alias("level")).withColumn("part", F.expr("shiftright(bucket, level)"))
+    # As many doublings as the buckets of a period need to lie in one range.
+    apart = F.col("_low").bitwiseXOR(F.col("_high"))
+    top = fine.groupBy("period").agg(F.min("bucket").alias("_low"), F.max("bucket").alias("_high"))
+    top = top.select("period", F.least(F.lit(62), F.when(apart == 0, 0).otherwise(F.length(F.bin(apart)))).alias("_top"))
+    levels = F.explode(F.sequence(F.lit(0), F.coalesce("_top", F.lit(0))))
+    sums = fine.join(top, "period", "left").select("period", "bucket", "n", levels.alias("level")).withColumn("part", F.expr("shiftright(bucket, level)"))
     sums = sums.groupBy("period", "level", "part").agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"), F.sum("n").alias("n"))
     fits = (F.col("n") <= most) | (F.col("level") == 0)
     above = sums.select("period", (F.col("level") - 1).alias("level"), F.col("part").alias("whole"), (F.col("n") <= most).alias("covered"))
@@ -142,14 +146,18 @@ def ranked(df: DataFrame, by: list[str], part: Column, order: list[Column], name
     return parted.join(before, [*by, "_part"]).withColumn(name, nth).drop("_part", "_before")
 
 
-def with_previous(df: DataFrame, by: str, key: str, value: str, name: str, parts: int = 4096) -> DataFrame:
-    """``name``: the value of the row before (by a numeric key) among those that agree in ``by``.
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """``_range``: the range of the order that a row lies in. Spark samples the bounds, so ranges have about as many rows
+    each, however uneven the keys are; the rows are written, as another sample could draw other bounds."""
+    return written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def with_previous(df: DataFrame, by: str, key: str, value: str, name: str) -> DataFrame:
+    """``name``: the value of the row before (by a key) among those that agree in ``by``.
 
-    The key's span is cut into ranges. Only the rows of a range are sorted together; the first of each takes the last
-    value of the ranges before, of which there is one row each."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = max(1, ((high or 0) - (low or 0)) // parts + 1)
-    ranged = df.withColumn("_range", F.floor((F.col(key) - F.lit(low or 0)) / width))
+    Only the rows of a range of keys are sorted together; the first of each takes the last value of the ranges before, of
+    which there is one row each."""
+    ranged = in_ranges(df, key)
     lasts = ranged.groupBy(by, "_range").agg(F.max_by(value, key).alias("_own"))
     lasts = lasts.select(by, "_range", F.lag("_own").over(Window.partitionBy(by).orderBy("_range")).alias("_last"))
     order = Window.partitionBy(by, "_range").orderBy(key)
@@ -157,11 +165,9 @@ def with_previous(df: DataFrame, by: str, key: str, value: str, name: str, parts
     return found.withColumn(name, F.when(F.col("_nth") == 1, F.col("_last")).otherwise(F.col(name))).drop("_range", "_nth", "_last")
 
 
-def numbered(df: DataFrame, key: str, parts: int = 4096) -> DataFrame:
-    """``nth`` (from 0) in order of a numeric key: its span is cut into that many ranges, which are counted first."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = max(1, ((high or 0) - (low or 0)) // parts + 1)
-    return ranked(df, [], F.floor((F.col(key) - F.lit(low or 0)) / width), [F.col(key)], "nth")
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """``nth`` (from 0) in order of a key, whose ranges are counted first."""
+    return ranked(in_ranges(df, key), [], F.col("_range"), [F.col(key)], "nth").drop("_range")
 
 
 def hashed(key: str, seed: str | Column) -> Column:

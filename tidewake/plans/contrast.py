@@ -30,12 +30,14 @@ BUCKETS = ([0.0, 2.0, 5.0, 10.0, 20.0, 1e9], ["(0,2]", "(2,5]", "(5,10]", "(10,2
 
 def frame(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     """One row per session head: event_id, sender, y, what the features read, and more columns of the attribution."""
-    heads = time._answers(spark, sf)
-    same_day = F.count(F.lit(1)).over(Window.partitionBy("sender", F.to_date("ts")))
-    return heads.select(
+    heads = written(time._answers(spark, sf).select(
         "event_id", "entity", "sender", "channel", "value", "ts", F.hour("ts").alias("hour"), F.dayofmonth("ts").alias("day"),
-        F.col("response_id").isNotNull().cast("int").alias("y"), same_day.alias("same_day"), *more,
-    )
+        F.col("response_id").isNotNull().cast("int").alias("y"), F.to_date("ts").alias("_date"), *more,
+    ), "frame")
+    # Counted and joined, so that a sender's day is no window of one task.
+    volume = heads.groupBy(F.col("sender").alias("_sender"), F.col("_date").alias("_day")).agg(F.count(F.lit(1)).alias("same_day"))
+    found = heads.join(volume, F.col("sender").eqNullSafe(F.col("_sender")) & F.col("_date").eqNullSafe(F.col("_day")))
+    return found.drop("_sender", "_day", "_date")
 
 
 def _long(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,7 +106,7 @@ def burst_volume(spark: SparkSession, sf: str) -> DataFrame:
 
 def placebo_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Share of features that look significant when outcomes are dealt anew within senders, over five seeds."""
-    dealt = con.permuted(written(frame(spark, sf), "frame"), [str(k) for k in range(5)])
+    dealt = con.permuted(frame(spark, sf), [str(k) for k in range(5)])
     fits = con.fixed_effect(con.long_form(dealt, FEATURES, ["seed", "sender", "y"]), "seed", "feature")
     hit = F.abs("z") >= 1.96
     return fits.groupBy(F.col("seed").cast("int").alias("seed")).agg(F.count(hit).alias("tests"), F.count_if(hit).alias("hits"))

@@ -10,7 +10,6 @@ from tidewake.operators import contrast as con
 from tidewake.operators import sessions as ses
 from tidewake.operators.quantiles import with_quantiles
 from tidewake.plans import contrast, time
-from tidewake.sources.scratch import written
 from tidewake.sources.tables import responses, touches
 
 HOURS = (12, 24, 36)
@@ -43,7 +42,6 @@ def difference_of_differences(spark: SparkSession, sf: str) -> DataFrame:
 def profile_medians(spark: SparkSession, sf: str) -> DataFrame:
     """Medians and daily volumes of the heads in each half of the month."""
     f = contrast.frame(spark, sf).select("day", "value", "same_day", F.when(F.col("day") <= 15, "early").otherwise("late").alias("period"))
-    f = written(f, "periods")
     out = f.groupBy("period").agg((F.count(F.lit(1)) / F.countDistinct("day")).alias("per_day"))
     out = with_quantiles(out, f, ["period"], {"median_value": (F.col("value"), 0.5), "median_volume": (F.col("same_day"), 0.5)})
     return _rounded(out, "median_value", "median_volume", "per_day")
@@ -113,7 +111,7 @@ def shorter_outcome(spark: SparkSession, sf: str) -> DataFrame:
 def placebo_battery(spark: SparkSession, sf: str) -> DataFrame:
     """Features that look significant when outcomes are dealt anew within senders: seeds times outcomes."""
     both = ("y", "y_day")
-    dealt = con.permuted(written(_outcomes(spark, sf), "outcomes"), ["0", "1"], outcomes=both)
+    dealt = con.permuted(_outcomes(spark, sf), ["0", "1"], outcomes=both)
     rows = con.long_form(dealt, contrast.FEATURES, ["seed", "sender", *both])
     rows = rows.select("seed", "sender", "feature", "x", F.inline(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("y")) for o in both])))
     hit = F.abs("z") >= 1.96

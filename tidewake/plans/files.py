@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewake.operators import frame as fr
 from tidewake.operators import sessions as ses
+from tidewake.operators import sketches as sk
 from tidewake.plans import time
 from tidewake.sources import records
 from tidewake.sources.scratch import folder
@@ -40,6 +42,10 @@ def outside_recipients(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("recipient").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Objects of one shard.
+SHARD = 1000
+
+
 def batch_files(spark: SparkSession, sf: str) -> DataFrame:
     """Labels in files of JSON arrays, a file for each batch; read back with the name of the file."""
     path = folder(spark, "batches")
@@ -52,10 +58,10 @@ def batch_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def association_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders of each customer as shards of JSON objects, read as rows with their place."""
+    """Orders of each customer as shards of JSON objects (of a thousand customers each), read as rows with their place."""
     path = folder(spark, "associations")
     o = load(spark, sf, "orders").groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string")).alias("others"))
-    shards = o.groupBy(F.pmod(F.xxhash64("o_custkey"), F.lit(64)).alias("shard")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("o_custkey").cast("string"), "others"))).alias("pairs"))
+    shards = o.groupBy(F.floor(F.col("o_custkey") / SHARD).alias("shard")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("o_custkey").cast("string"), "others"))).alias("pairs"))
     shards.repartition("shard").select("shard", F.to_json("pairs").alias("value")).write.partitionBy("shard").text(path)
     return records.associations(spark, path).select(F.col("id").cast("long").alias("id"), "place", F.col("other").cast("long").alias("other"))
 
@@ -74,7 +80,7 @@ def owner_teams(spark: SparkSession, sf: str) -> DataFrame:
     teams = li.groupBy("l_suppkey").agg(F.collect_list(F.struct(F.col("team").alias("id"), F.concat(F.lit("t"), F.col("team")).alias("name"))).alias("teams"))
     s = load(spark, sf, "supplier").join(teams, F.col("s_suppkey") == F.col("l_suppkey"), "left")
     people = s.select(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.col("s_name"), F.lit("@Ours.example")).alias("email"), "teams", F.when(F.col("s_acctbal") < 0, True).alias("archived"))
-    people.groupBy(F.spark_partition_id()).agg(F.to_json(F.collect_list(F.struct("id", "email", "teams", "archived"))).alias("value")).select("value").write.text(path)
+    people.groupBy(F.floor(F.col("id").cast("long") / SHARD)).agg(F.to_json(F.collect_list(F.struct("id", "email", "teams", "archived"))).alias("value")).select("value").write.text(path)
     return records.owners(spark, path)
 
 
@@ -82,8 +88,8 @@ def listed_ids(spark: SparkSession, sf: str) -> DataFrame:
     """A list of ids with repeats and blanks in text files, as distinct ids in the order of their first line."""
     path = folder(spark, "ids")
     c = load(spark, sf, "customer").select("c_custkey", F.concat(F.lit(" "), F.col("c_nationkey").cast("string")).alias("value"))
-    c.orderBy("c_custkey").select("value").coalesce(1).write.text(path)
-    return records.id_list(spark, path).select("id", F.row_number().over(records.by_line()).alias("nth"))
+    c.orderBy("c_custkey").select("value").write.text(path)
+    return fr.numbered(records.id_list(spark, path), "at").select("id", (F.col("nth") + 1).cast("int").alias("nth"))
 
 
 def results_by_run(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,6 +113,28 @@ def appended_shards(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(n.schema).parquet(path)
 
 
+def keyed_appends(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders that come in three parts which overlap, each appended to a bucketed table with filters."""
+    path = folder(spark, "keyed")
+    o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", F.pmod(F.xxhash64("o_orderkey"), F.lit(3)).alias("part"))
+    for part in range(3):
+        records.append_keyed(o.where(F.col("part").isin(part, (part + 1) % 3)).drop("part"), path, "o_orderkey")
+    return records.keyed_table(spark, path, o.drop("part").schema)
+
+
+def sketched_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities by day as stored sketches, merged into weeks and into all: whether the estimates lie within four standard
+    errors of the exact numbers, which stand beside them."""
+    path, day = folder(spark, "sketches"), F.dayofmonth("ts")
+    e = load(spark, sf, "events").select("user_id", day.alias("day"), F.floor(day / 7).cast("int").alias("week"))
+    sk.sketches(e, ["day", "week"], "user_id").write.parquet(path)
+    stored = spark.read.parquet(path)
+    exact = e.groupBy("week").agg(F.countDistinct("user_id").alias("entities")).unionByName(e.agg(F.lit(-1).alias("week"), F.countDistinct("user_id").alias("entities")))
+    merged = sk.merged(stored, ["week"]).unionByName(sk.merged(stored.withColumn("week", F.lit(-1)), ["week"]))
+    off = F.abs(F.col("estimate") - F.col("entities")) <= 4 * sk.ERROR * F.col("entities")
+    return exact.join(merged, "week").select("week", "entities", off.alias("within"))
+
+
 def result_files(spark: SparkSession, sf: str) -> DataFrame:
     """A small result as one CSV file, and batches of a fixed size as JSON; rows of each as read back."""
     one, many = folder(spark, "result"), folder(spark, "numbered")
@@ -175,7 +203,7 @@ def stream_attribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 NAMES = (
-    "nested_records outside_recipients batch_files association_rows csv_dimension owner_teams listed_ids results_by_run appended_shards result_files "
+    "nested_records outside_recipients batch_files association_rows csv_dimension owner_teams listed_ids results_by_run appended_shards keyed_appends sketched_entities result_files "
     "stream_ingest stream_dedup stream_sessions stream_attribution"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
@@ -194,6 +222,9 @@ SQL = {
     "results_by_run": """SELECT o_orderstatus, count(*) AS n, 'all' AS year, 'status' AS spec FROM orders GROUP BY 1
         UNION ALL SELECT o_orderstatus, count(*), CAST(year(o_orderdate) AS VARCHAR), 'status' FROM orders WHERE year(o_orderdate) IN (1995, 1996) GROUP BY 1, 3""",
     "appended_shards": "SELECT n_nationkey, n_name FROM nation",
+    "keyed_appends": "SELECT o_orderkey, o_custkey FROM orders",
+    "sketched_entities": """SELECT CAST(day(ts) // 7 AS INTEGER) AS week, count(DISTINCT user_id) AS entities, true AS within FROM events GROUP BY 1
+        UNION ALL SELECT -1, count(DISTINCT user_id), true FROM events""",
     "result_files": """SELECT 'result' AS kind, o_orderpriority AS name, count(*) AS n FROM orders GROUP BY 2
         UNION ALL SELECT 'batch', CAST(r_regionkey // 2 AS VARCHAR), count(*) FROM region GROUP BY 2""",
     "stream_ingest": "SELECT event_id, event_type FROM events",

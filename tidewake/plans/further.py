@@ -59,25 +59,26 @@ def relabel_asymmetry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def logit_effect(spark: SparkSession, sf: str) -> DataFrame:
-    """A logit of the answer on a feature with an effect for each sender; senders without variation are left out."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-
-    f = contrast.frame(spark, sf).select("sender", F.col("y").cast("double").alias("label"), (F.col("channel") == "view").cast("double").alias("is_view"))
-    varied = f.groupBy("sender").agg(F.avg("label").alias("m")).where("m > 0 AND m < 1").select("sender")
-    kept = f.join(varied, "sender", "left_semi").withColumn("sender", F.col("sender").cast("int"))
-    model = Pipeline(stages=[
-        OneHotEncoder(inputCol="sender", outputCol="who"), VectorAssembler(inputCols=["is_view", "who"], outputCol="features"),
-        LogisticRegression(regParam=1e-6, maxIter=100, tol=1e-9),
-    ]).fit(kept)
-    b = float(model.stages[-1].coefficients[0])
-    return spark.createDataFrame([("is_view", b)], "term string, b double")
+    """Logits of the answer on each feature with an effect for each sender; senders without variation are left out."""
+    return _rounded(con.logit_effect(contrast._long(spark, sf)), "b", "se", "z")
 
 
 NAMES = "profile_by_period latency_truncation finding_grade explained_share relabel_asymmetry logit_effect".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
+LOGIT_STEPS = 14
+
+
+def _newton(k: int) -> str:
+    """A step of Newton's from b = 0: scores and weights of groups at b, and what follows from them."""
+    return f"""
+          u{k} AS (SELECT *, exp(b) AS e, 2 * (k1 + k0) / ((n0 + n1 * exp(b) - (k1 + k0) * (1 + exp(b))) + sqrt((n0 + n1 * exp(b) - (k1 + k0) * (1 + exp(b))) ** 2
+                  + 4 * exp(b) * (n1 + n0 - k1 - k0) * (k1 + k0))) AS u FROM cells JOIN b{k} USING (feature)),
+          p{k} AS (SELECT *, u * e / (1 + u * e) AS p1, u / (1 + u) AS p0 FROM u{k}),
+          s{k} AS (SELECT feature, b, n1 + n0 AS n, k1 - n1 * p1 AS score, n1 * p1 * (1 - p1) * n0 * p0 * (1 - p0) / (n1 * p1 * (1 - p1) + n0 * p0 * (1 - p0)) AS info FROM p{k}),
+          b{k + 1} AS (SELECT feature, first(b) + sum(score) / sum(info) AS b FROM s{k} GROUP BY 1)"""
+
+
 SQL = {
     "profile_by_period": contrast._FRAME
     + f""", long AS ({contrast._sql_long()})
@@ -106,4 +107,13 @@ SQL = {
           SELECT round(raw, 6) AS raw, round(c, 6) AS controlled, round(1 - c / raw, 6) AS explained FROM b""",
     "relabel_asymmetry": f"""WITH u AS ({agreement._CONDITIONAL})
         SELECT label_first, count(*) AS n, count(*) FILTER (WHERE label <> label_first) AS moved, round(count(*) FILTER (WHERE label <> label_first) / count(*), 6) AS share FROM u GROUP BY 1""",
+    "logit_effect": contrast._FRAME
+    + f""", long AS ({contrast._sql_long()}), cells AS (
+            SELECT feature, sender, CAST(sum(x) AS DOUBLE) AS n1, CAST(sum(x * y) AS DOUBLE) AS k1, CAST(count(*) - sum(x) AS DOUBLE) AS n0, CAST(sum(y) - sum(x * y) AS DOUBLE) AS k0
+            FROM long GROUP BY 1, 2 HAVING sum(y) > 0 AND sum(y) < count(*)),
+          b0 AS (SELECT feature, 0.0::DOUBLE AS b FROM cells GROUP BY 1),"""
+    + ",".join(_newton(k) for k in range(LOGIT_STEPS + 1))
+    + f""" SELECT feature, round(first(b), 6) AS b, round(sqrt(sum(score * score) * (count(*) / (count(*) - 1)) * ((sum(n) - 1) / (sum(n) - 1 - count(*)))) / sum(info), 6) AS se,
+                 round(first(b) / (sqrt(sum(score * score) * (count(*) / (count(*) - 1)) * ((sum(n) - 1) / (sum(n) - 1 - count(*)))) / sum(info)), 6) AS z,
+                 CAST(sum(n) AS BIGINT) AS n, count(*) AS groups FROM s{LOGIT_STEPS} GROUP BY 1""",
 }

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import html
 from tidewake.functions import text as tx
+from tidewake.operators import agreement as ag
 from tidewake.operators import frame as fr
 from tidewake.operators import redaction as red
-from tidewake.sources.tables import load, spread
+from tidewake.sources.tables import load, load_optional, spread
 
 WORDS = ["the", "de", "der"]
 PATTERNS = {"address": r"[A-Za-z0-9._%+\-']+@[A-Za-z0-9.\-]+", "number": r"[0-9]{4,}", "symbols": r"[#*$%&|<>]{3,}", "greeting": r"(?i)\b(hi|hey|hello|dear)\b"}
@@ -124,6 +125,36 @@ def subset_identity(spark: SparkSession, sf: str) -> DataFrame:
     return fr.content_identity(sent, d.select("doc_id", tx.stripped(F.col("text")).alias("text")), "doc_id", ["text"], "lang")
 
 
+def strict_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies and signatures as blinding needs them, with each message's own names: a sign-off in another language with a
+    clause after it, or nothing but a line with the name."""
+    off = F.when(F.col("doc_id") % 2 == 0, F.lit("\nMit freundlichen Grüßen aus dem Norden")).otherwise(F.lit(""))
+    signed = F.concat("text", off, F.lit("\n"), F.initcap("first"), F.lit("\nFin"))
+    names = F.filter(F.array("first"), lambda x: x != "")
+    d = _messages(spark, sf).select("doc_id", tx.strict_signature(signed, names).alias("s"))
+    return d.select("doc_id", F.md5("s.body").alias("body"), F.md5("s.signature").alias("signature"))
+
+
+def listed_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The subject's words as a comma list: how many parts have something in them, whether any is a known word, and whether
+    all are of two letters and more."""
+    words = F.replace("subject", F.lit(" "), F.lit(","))
+    return _messages(spark, sf).select(
+        "doc_id", F.size(tx.listed(words)).alias("parts"), tx.any_listed(words, lambda x: F.lower(x).isin(*WORDS)).alias("any_known"),
+        tx.all_listed(words, lambda x: F.length(x) >= 2).alias("all_long"),
+    )
+
+
+def optional_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages with the labels of a table that is there and of one that isn't (yet); the labels' ids are held to be known."""
+    d = _messages(spark, sf).select("doc_id", "lang")
+    labels = load_optional(spark, sf, "labels")
+    found = fr.optional(fr.optional(d, labels, ["doc_id"]), load_optional(spark, sf, "second_labels"), ["doc_id"])
+    checks = ag.invariants(labels.withColumnRenamed("doc_id", "id"), d.withColumnRenamed("doc_id", "id"), {"quality": (0, 1), "toxic": (0, 1)})
+    ag.hold(checks.where("check <> 'missing'"))
+    return found
+
+
 def marker_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Flags by a marker in any spelling, by the beginning, and by any of several markers; and the subject without its tool's mark."""
     s = F.col("subject")
@@ -137,7 +168,7 @@ def marker_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 NAMES = (
     "clean_bodies page_bodies bodies_for_ids message_features redacted_messages ratable_items sender_vocabulary forbidden_patterns worst_redacted "
-    "redaction_summary reading_examples rescore_subset subset_identity marker_flags"
+    "redaction_summary reading_examples rescore_subset subset_identity marker_flags strict_signatures listed_words optional_inputs"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
@@ -225,6 +256,20 @@ def signed_sql(column: str, table: str) -> str:
                  CASE WHEN pos IS NULL THEN '' ELSE {_strip("array_to_string(l[pos + 1 :], chr(10))")} END AS signature FROM g2)"""
 
 
+def strict_sql(column: str, table: str) -> str:
+    """As ``signed_sql``, from the second line or three tenths on, with longer sign-offs and lines that are only ``first``."""
+    line = _strip("l[i + 1]")
+    words = f"list_filter(regexp_split_to_array(lower(regexp_replace({line}, '[^A-Za-z\\s''\\-]', '', 'g')), '\\s+'), lambda w: w <> '')"
+    return f"""
+    g1 AS (SELECT *, string_split({column}, chr(10)) AS l FROM {table}),
+    g2 AS (SELECT *, list_min(list_filter(range(len(l)), lambda i: i >= greatest(1, CAST(floor(len(l) * 0.3::DOUBLE) AS INTEGER)) AND {line} <> ''
+            AND (regexp_matches({line}, '^\\s*(--+|__+|—+)\\s*$') OR regexp_matches({line}, '{_CONTACT}')
+                 OR (regexp_matches({line}, '(?i)^({_OFF}|{tx.MORE_SIGN_OFFS})($|{_NW})') AND len(regexp_extract_all({line}, '\\S+')) <= 8)
+                 OR (len({words}) BETWEEN 1 AND 3 AND len(list_filter({words}, lambda w: w <> first OR first = '')) = 0)))) AS pos FROM g1),
+    g AS (SELECT *, {_strip("array_to_string(CASE WHEN pos IS NULL THEN l ELSE l[1 : pos] END, chr(10))")} AS body,
+                 CASE WHEN pos IS NULL THEN '' ELSE {_strip("array_to_string(l[pos + 1 :], chr(10))")} END AS signature FROM g2)"""
+
+
 def unwrapped_sql(column: str) -> str:
     line = f"CASE WHEN regexp_matches(x, '^([•*\\-]|\\d+[.)])\\s+') THEN chr(10) || x ELSE x END"
     own = f"list_transform(list_filter(list_transform(string_split(p, chr(10)), lambda y: {_strip('y')}), lambda y: y <> ''), lambda x: {line})"
@@ -307,4 +352,14 @@ SQL = {
     "marker_flags": """WITH m AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS subject FROM documents)
         SELECT doc_id, contains(regexp_replace(lower(text), '[\\s\\-_]+', '', 'g'), 'inthe') AS squeezed_marker, regexp_matches(subject, '(?i)^(the|le|der|el)\\b') AS begins_so,
                regexp_matches(lower(text), 'licen|copyright|%\\)') AS any_marker, regexp_replace(subject, '^\\s+', '') AS own_subject FROM m""",
+    "strict_signatures": _M
+    + """, f AS (SELECT doc_id, first, translate(text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Mit freundlichen Grüßen aus dem Norden' ELSE '' END
+                || chr(10) || upper(first[1]) || first[2:] || chr(10) || 'Fin', '’‘“”–—' || chr(160), '''''""-- ') AS t FROM m),"""
+    + strict_sql("t", "f")
+    + " SELECT doc_id, md5(body) AS body, md5(signature) AS signature FROM g",
+    "listed_words": _M
+    + """, w AS (SELECT doc_id, list_filter(string_split(replace(subject, ' ', ','), ','), lambda x: x <> '') AS parts FROM m)
+        SELECT doc_id, CAST(len(parts) AS INTEGER) AS parts, len(list_filter(parts, lambda x: lower(x) IN ('the', 'de', 'der'))) > 0 AS any_known,
+               len(list_filter(parts, lambda x: length(x) < 2)) = 0 AS all_long FROM w""",
+    "optional_inputs": "SELECT d.doc_id, lang, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id)",
 }

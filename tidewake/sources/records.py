@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewake.sources.scratch import written
+
 ADDRESS = r"[A-Za-z0-9._%+\-']+@[A-Za-z0-9.\-]+"
 TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd HH:mm:ss")
 
@@ -53,16 +55,11 @@ def owners(spark: SparkSession, path: str) -> DataFrame:
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct ids with the place (file and line) of their first line, by which ``by_line`` orders them."""
+    """Distinct ids with the place (file and line) of their first line, which orders them."""
     lines = spark.read.text(path).select(F.trim("value").alias("id"), F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line")).alias("at"))
     return lines.where("id != ''").groupBy("id").agg(F.min("at").alias("at"))
 
 
-def by_line() -> WindowSpec:
-    """The order of an id list (which is small: what a person or a query has listed)."""
-    return Window.orderBy("at")
-
-
 def instant(c: Column) -> Column:
     """A time in UTC from any of the known formats or from epoch milliseconds; null otherwise."""
     tries = [F.try_to_timestamp(c, F.lit(f)) for f in TIME_FORMATS]
@@ -122,3 +119,58 @@ def append_missing(incoming: DataFrame, path: str, on: str) -> None:
 
     existing = incoming.sparkSession.read.schema(incoming.schema).parquet(path)
     missing(incoming, existing, on).write.mode("append").parquet(path)
+
+
+#: Buckets of a keyed table, bits of a filter chunk (which Spark's bitmaps have), and numbers that a key sets.
+BUCKETS, BITS, HASHES = 64, 32768, 4
+
+
+def _keyed(df: DataFrame, on: str) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(on), F.lit(BUCKETS)).cast("int"))
+
+
+def _marks(keyed: DataFrame, on: str, chunks: int) -> DataFrame:
+    """The bits that each key sets in its bucket's filter: a chunk and a bit in it, for each of HASHES numbers."""
+    numbers = F.array(*[F.pmod(F.xxhash64(F.lit(k), on), F.lit(chunks * BITS)) for k in range(HASHES)])
+    marks = keyed.select("bucket", on, F.explode(numbers).alias("_at"))
+    return marks.select("bucket", on, F.floor(F.col("_at") / BITS).cast("int").alias("chunk"), (F.col("_at") % BITS).alias("bit"))
+
+
+def append_keyed(incoming: DataFrame, path: str, on: str, chunks: int = 16) -> list[int]:
+    """Appends the rows whose key the table at ``path`` doesn't have yet, one of each key; the buckets that had to be read.
+
+    The table lies in buckets by a hash of the key. Beside it is a Bloom filter of each bucket, as bitmaps of the keys that
+    each append brought. Keys that a filter has never seen are new without a look at the table; only the buckets of the
+    others are read, and only those others are compared. ``chunks`` (of 32768 bits for each bucket) stays the same for a table;
+    a fuller filter costs reads and no rows. Rows without a key are left out."""
+    spark = incoming.sparkSession
+    table, filters = f"{path}/table", f"{path}/filters"
+    rows = written(_keyed(incoming.where(F.col(on).isNotNull()).dropDuplicates([on]), on), "incoming")
+    marks = _marks(rows, on, chunks)
+    met: list[int] = []
+    fresh = rows
+    if exists(spark, filters):
+        seen = spark.read.schema("bucket int, chunk int, bits binary").parquet(filters).groupBy("bucket", "chunk").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
+        byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        is_set = F.coalesce(F.expr("shiftright(_byte, cast(bit % 8 as int)) & 1") == 1, F.lit(False))
+        looked = marks.join(seen, ["bucket", "chunk"], "left").withColumn("_byte", byte).groupBy("bucket", on).agg(F.bool_and(is_set).alias("maybe"))
+        maybe = written(looked.where("maybe").select("bucket", on), "maybe")
+        met = sorted(r.bucket for r in maybe.select("bucket").distinct().collect())  # BUCKETS of them at most
+        if met:
+            schema = T.StructType([f for f in rows.schema.fields if f.name != "bucket"] + [T.StructField("bucket", T.IntegerType())])
+            there = spark.read.schema(schema).parquet(table).where(F.col("bucket").isin(met)).select(on)
+            fresh = rows.join(maybe.join(there, on, "left_semi").select(on), on, "left_anti")
+    fresh = written(fresh, "fresh")
+    fresh.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(table)
+    new = _marks(fresh, on, chunks).groupBy("bucket", "chunk").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
+    new.write.mode("append").parquet(filters)
+    return met
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def keyed_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/table").drop("bucket")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewake.sources.records import exists
+
 TOUCH_TYPES = ("view", "click")
 RESPONSE_TYPES = ("purchase", "signup")
 #: Senders of the bound event table: the number in its properties, modulo this.
@@ -26,6 +28,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
 
 
+def load_optional(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    """A table that may not have been made yet; None then."""
+    return load(spark, sf_dir, name) if exists(spark, f"{sf_dir}/{name}.parquet") else None
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events with entity, sender and thread (one for each entity and day)."""
     e = load(spark, sf_dir, "events")
