@@ -203,7 +203,7 @@ class Encoder:
     different ones that collide) make all slices of their round be merged anew. The cache starts anew when it is full.
     """
 
-    most = 350_000
+    most = 700_000
 
     def __init__(self) -> None:
         self._clear()
@@ -256,7 +256,7 @@ class Encoder:
         if len(self.index) > self.most:
             self._clear()
         keys, checks = _keys(slices.data, slices.first, slices.after)
-        distinct, place, which = np.unique(keys, return_index=True, return_inverse=True)
+        distinct, place, which = _distinct(keys)
         known = self.index.get
         entry = np.array([known(k, -1) for k in distinct.tolist()], np.int64)
         new = np.flatnonzero(entry < 0)
@@ -272,6 +272,17 @@ class Encoder:
         return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], counts
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, a place of each, and which of them each key is (any place will do, so the sort need
+    not be stable)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(keys))))
+    return ordered[begins], order[begins], which
+
+
 def _taken(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Stretches of a pool, one after the other."""
     before = np.cumsum(counts) - counts
@@ -291,7 +302,9 @@ def _rounds(texts: list[str]) -> Iterator[list[str]]:
 
 
 class RankEncoder(Encoder):
-    """Pair merging by the ranks of a .tiktoken file."""
+    """Pair merging by the ranks of a .tiktoken file. Its dictionaries of ranks leave room for a smaller cache."""
+
+    most = 350_000
 
     def __init__(self, path: str) -> None:
         super().__init__()

@@ -53,8 +53,9 @@ def compressed(ids: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray
     while len(at := np.flatnonzero(open_)):  # a round shortens the symbols, or is the last
         pairs = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
         # A table of counts by hash tells which pairs can be frequent; only those are sorted.
-        slot = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
-        likely = (np.bincount(slot, minlength=1 << 18) >= LEAST)[slot]
+        bits = min(18, len(pairs).bit_length() + 1)
+        slot = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+        likely = (np.bincount(slot, minlength=1 << bits) >= LEAST)[slot]
         open_[at[~likely]] = False
         at, pairs = at[likely], pairs[likely]
         order = np.argsort(pairs)
@@ -69,14 +70,13 @@ def compressed(ids: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray
         chosen = found[best]
         number = np.full(len(found), -1)
         number[best] = np.arange(len(best))
-        which = np.repeat(np.arange(len(found)), counts)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = number[which]
-        rare = np.empty(len(order), bool)
-        rare[order] = ~frequent[which]
-        open_[at[rare]] = False
+        # In the order of pairs: rare ones are closed, those replaced are put back in the order of their places.
+        open_[at[order[np.repeat(~frequent, counts)]]] = False
+        rank = np.repeat(number, counts)
         hit = rank >= 0
-        at, rank = at[hit], rank[hit]
+        at, rank = at[order[hit]], rank[hit]
+        back = np.argsort(at)
+        at, rank = at[back], rank[back]
         # Of places that overlap, every other one from the left is replaced.
         begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         run = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
@@ -85,7 +85,7 @@ def compressed(ids: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray
         last[at] |= last[at + 1]
         kept = np.ones(len(symbols), bool)
         kept[at + 1] = False
-        now = np.cumsum(kept)[at] - 1
+        now = at - np.arange(len(at))  # one symbol less for each place before
         symbols, last, open_ = symbols[kept], last[kept], open_[kept]
         open_[now] = True
         open_[np.maximum(now - 1, 0)] = True
