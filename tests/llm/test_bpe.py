@@ -97,5 +97,12 @@ def test_query_equals_the_library_on_whole_texts(spark, library):
         assert tuple(got[r.doc_id]) == (r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(r.text))
 
 
+def test_odd_rows_have_digests(spark):
+    rows = [(None, "a null id"), (None, None), (1, ""), (2, "é" * 70_000), (2, "é" * 70_000), (2**63 - 1, "x")]
+    out = codec.digests(codec.encode(clashing(docs(spark, rows)), RANKS), RANKS).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.decoded_sha256) for r in out) == sorted(((i is None, i or 0), sha(t or "")) for i, t in rows)
+    assert codec.digests(codec.encode(docs(spark, []), RANKS), RANKS).count() == 0
+
+
 def test_an_empty_table(spark):
     assert codec.decode(codec.encode(docs(spark, []), RANKS), RANKS).count() == 0

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import clashing, docs
+from tests.oracle import compare, connection
 from tidewake.llm import spelling
-from tidewake.llm.queries import QUERIES
+from tidewake.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -148,6 +149,10 @@ def test_roots_follow_long_chains(spark):
     assert found == {**{f"w{k:02}": "w21" for k in range(21)}, "a": "b", "c": "b"}
 
 
+def test_query_equals_its_sql(spark):
+    assert compare(spark, connection(SF), QUERIES["op12_spelling_variants"], SQL["op12_spelling_variants"], SF) is None
+
+
 def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = expected(rows)

@@ -93,6 +93,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
+
+
+def _crc_table() -> list[int]:
+    """The 256 remainders of CRC-32, by its polynomial (a fixed value, its bits reversed)."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
 SQL: dict[str, str] = {
     "op5_line_dedup": r"""
         WITH pieces AS (
@@ -149,4 +161,33 @@ SQL: dict[str, str] = {
                       ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
                sha256(text) AS restored_sha256
         FROM parts""",
+    "op12_spelling_variants": f"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+        per AS (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY 1, 2),
+        raw AS (
+            SELECT run, k, flatten(list_transform(regexp_extract_all(coalesce(doc_id::VARCHAR, 'null') || ':' || run, '.'),
+                       lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)) AS bytes FROM per),
+        hashed AS (
+            SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes),
+                       lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[1 + (xor(c, b) & 255)])), 4294967295::BIGINT) AS h FROM raw),
+        changed AS (
+            SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+        words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM changed WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+        places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+        wild AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS pattern FROM places),
+        less AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS shorter FROM places),
+        pairs AS (
+            SELECT a.word, b.word AS near, b.n AS near_n FROM wild a JOIN wild b ON a.pattern = b.pattern AND a.word <> b.word
+            UNION ALL SELECT less.word, words.word, words.n FROM less JOIN words ON words.word = shorter
+            UNION ALL SELECT words.word, less.word, less.n FROM less JOIN words ON words.word = shorter),
+        best AS (
+            SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY 1),
+        formed AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+            FROM words LEFT JOIN best USING (word)),
+        chain AS (
+            SELECT word, word AS at_word, form AS next_word FROM formed
+            UNION ALL SELECT chain.word, formed.word, formed.form FROM chain JOIN formed ON formed.word = next_word)
+        SELECT formed.word, form, at_word AS root, n, n_near, form_n FROM formed JOIN chain ON chain.word = formed.word AND next_word IS NULL""",
 }
