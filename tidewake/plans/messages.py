@@ -219,18 +219,20 @@ def _redaction(source: str, names: bool) -> str:
     r2 AS (SELECT * REPLACE (regexp_replace(t, '[A-Za-z0-9._%+\\-'']+@[A-Za-z0-9.\\-]+', '[EMAIL]', 'g') AS t) FROM r1),
     r3 AS (SELECT * REPLACE (regexp_replace(t, '\\b20\\d\\d[-/]\\d\\d[-/]\\d\\d\\b', '[DATE]', 'g') AS t) FROM r2),
     r4 AS (SELECT * REPLACE (regexp_replace(t, '\\b20[12]\\d\\b', '[YEAR]', 'g') AS t) FROM r3),{who if names else " r6 AS (SELECT * FROM r4),"}
-    r7 AS (SELECT * REPLACE (regexp_replace(t, '(?im)^([ \\t]*(?:hi|hey|hello|dear|hiya|bonjour|salut|hallo|guten tag|ciao|hola|good morning|good afternoon)[ \\t]+)(there|all|team|folks|everyone|both|guys|again|and)\\b', '\\1' || chr(1) || '\\2', 'g') AS t) FROM r6),
-    r8 AS (SELECT * REPLACE (replace(regexp_replace(t, '(?im)^([ \\t]*(?:hi|hey|hello|dear|hiya|bonjour|salut|hallo|guten tag|ciao|hola|good morning|good afternoon)[ \\t]+)[A-Z][A-Za-z''\\-]{{1,20}}', '\\1[NAME]', 'g'), chr(1), '') AS t) FROM r7),
+    r7 AS (SELECT * REPLACE (regexp_replace(t, '(?im){_GREETED}({tx.GREETED_STOP})\\b', '\\1' || chr(1) || '\\2', 'g') AS t) FROM r6),
+    r8 AS (SELECT * REPLACE (replace(regexp_replace(t, '(?im){_GREETED}[A-Z][A-Za-z''\\-]{{1,20}}', '\\1[NAME]', 'g'), chr(1), '') AS t) FROM r7),
     r9 AS (SELECT * REPLACE ({sender} AS t) FROM r8),
     z AS (SELECT * REPLACE ({_strip("regexp_replace(t, '(\\[SENDER\\][\\s,|]*){2,}', '[SENDER] ', 'g')")} AS t) FROM r9)"""
 
 
-_OFF = (
-    "best|best regards|kind regards|regards|thanks|thank you|many thanks|cheers|warm regards|all the best|sincerely|thanks so much|"
-    "br|rgds|speak soon|chat soon|talk soon|looking forward|hope all''?s well|hope this helps|appreciate it|much appreciated|yours|warmly|thx"
-)
-_CONTACT = "(?i)^\\s*(email|e-mail|website|web|address|linkedin|phone|tel|telephone|mobile|cell|book a (call|meeting)|calendar|schedule a call)\\s*[:|]"
-_TRAIL = "(?i)^On .{5,120}(wrote|écrit)\\s*:\\s*$|^-{2,}\\s*Original Message\\s*-{2,}|^-{2,}\\s*Forwarded message\\s*-{2,}|^Von:\\s*.+|^De\\s*:\\s*.+"
+def _re2(pattern: str) -> str:
+    """A pattern of the text functions as a SQL literal's inside: the other engine has no switch for Unicode."""
+    return pattern.replace("(?iU)", "(?i)").replace("'", "''")
+
+
+_OFF, _CONTACT, _FOOTER, _ROLE = map(_re2, (tx.SIGN_OFFS, tx.CONTACT, tx.FOOTER, tx.ROLE_WORDS))
+_TRAIL = "(?i)" + "|".join(_re2(p).replace("(?i)", "") for p in tx.TRAIL_LINES[:5])
+_GREETED = _re2(tx.GREETED).replace("(?imU)^", "^").replace("\\b[ \\t]+)", "[ \\t]+)")
 
 
 def unquoted_sql(source: str) -> str:
@@ -277,7 +279,6 @@ def unwrapped_sql(column: str) -> str:
     return f"array_to_string(list_filter(list_transform(regexp_split_to_array({column}, '\\n\\s*\\n'), lambda p: {joined}), lambda p: p <> ''), chr(10) || chr(10))"
 
 
-_FOOTER = "(?is)(is this email not relevant to you|prefer fewer emails from me|this email and any files transmitted with it are confidential).*"
 _SIGNED = "text || chr(10) || chr(10) || 'Unsubscribe here?' || chr(10) || 'Best regards,' || chr(10) || 'Someone' || chr(10) || 'Phone: 1' || chr(10) || chr(10) || 'On Monday someone' || chr(10) || 'wrote:' || chr(10) || 'old'"
 _TIDY = _strip(f"regexp_replace(regexp_replace({_SIGNED}, '[ \\t]+', ' ', 'g'), '\\n\\s*\\n\\s*\\n+', chr(10) || chr(10), 'g')")
 
@@ -291,13 +292,8 @@ def _has_company(text: str) -> str:
 
 
 _QUESTIONS = """list_filter(list_transform(string_split(regexp_replace(body, '([.!?])\\s', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)),
-    lambda x: suffix(x, '?') AND length(x) > 2 AND NOT regexp_matches(x, '(?i)(unsubscribe|not relevant to you|opt.?out|stop receiving|manage preferences)'))"""
-_GREET = "lower(regexp_extract(body, '(?i)^\\s*(hi|hey|hello|dear|good (?:morning|afternoon|evening)|greetings|howdy)\\b', 1))"
-_ROLE = (
-    "(?i)\\b(your (role|team|work|research|pipeline|projects?|models?)|as (an?|the) "
-    "(head|lead|director|vp|manager|engineer|scientist|founder|cto|ceo|cpo))\\b"
-)
-
+    lambda x: suffix(x, '?') AND length(x) > 2 AND NOT regexp_matches(x, '""" + tx.FOOTER_QUESTION + """'))"""
+_GREET = "lower(regexp_extract(body, '" + _re2(tx.GREETING) + "', 1))"
 SQL = {
     "clean_bodies": _M
     + ", m2 AS (SELECT * REPLACE ("
