@@ -2,23 +2,31 @@ import random
 
 import duckdb
 
-from tests.llm.helpers import SPACES, clashing, docs, sha
+from tests.llm.helpers import SPACES, clashing, docs, sha, words
 from tidewake.llm import lines
 from tidewake.llm.queries import QUERIES, SQL
 
 
-def expected(rows, run):
+def expected(rows, run, least=50):
+    """A run counts from ``run`` lines on, or with fewer lines from ``least`` words on."""
+
+    def runs(own):
+        for size in range(1, run + 1):
+            for k in range(len(own) - size + 1):
+                x = tuple(own[k : k + size])
+                if size == run or sum(len(words(y)) for y in x) >= least:
+                    yield k, x
+
     first, texts = {}, []
     for i, t in rows:
         i = lines_key(i)
         own = [x for x in (t or "").split("\n") if SPACES.sub("", x)]
         texts.append((i, own))
-        for k in range(len(own) - run + 1):
-            x = tuple(own[k : k + run])
+        for k, x in runs(own):
             first[x] = min(first.get(x, (i, k)), (i, k))
     out = []
     for (i, own), (real, t) in zip(texts, rows, strict=True):
-        gone = {j for k in range(len(own) - run + 1) if first[tuple(own[k : k + run])] < (i, k) for j in range(k, k + run)}
+        gone = {j for k, x in runs(own) if first[x] < (i, k) for j in range(k, k + len(x))}
         kept, n = [], 0
         for x in (t or "").split("\n"):
             solid = bool(SPACES.sub("", x))
@@ -38,12 +46,32 @@ def found(df, **more):
 
 
 def test_equals_brute_force(spark):
-    for seed, noise, guarantee, words in ((1, 2, 3, "abcdefgh"), (2, 1, 3, "abc"), (3, 3, 6, "ab"), (4, 2, 2, "abcd")):
+    for seed, noise, guarantee, letters in ((1, 2, 3, "abcdefgh"), (2, 1, 3, "abc"), (3, 3, 6, "ab"), (4, 2, 2, "abcd")):
         rng = random.Random(seed)
-        rows = [(i, "\n".join(rng.choice([*words, "", " "]) for _ in range(rng.randint(0, 14)))) for i in rng.sample(range(500), 60)]
+        rows = [(i, "\n".join(rng.choice([*letters, "", " "]) for _ in range(rng.randint(0, 14)))) for i in rng.sample(range(500), 60)]
         assert found(docs(spark, rows), noise=noise, guarantee=guarantee) == expected(rows, guarantee)
 
 
+def test_few_lines_of_many_words_equal_brute_force(spark):
+    for seed, guarantee, least in ((5, 3, 4), (6, 2, 3), (7, 4, 5)):
+        rng = random.Random(seed)
+        line = [" ".join(rng.choice("ab") for _ in range(k % 5)) + rng.choice(["", "\t", " \r"]) for k in range(12)]
+        rows = [(i, "\n".join(rng.choice(line) for _ in range(rng.randint(0, 5)))) for i in rng.sample(range(500), 80)]
+        got = found(docs(spark, rows), guarantee=guarantee, words=least)
+        assert got == expected(rows, guarantee, least) and got != expected(rows, guarantee, 99)
+
+
+def test_a_line_and_a_pair_of_fifty_words(spark):
+    def said(k, x):
+        return " ".join(f"{x}{j}" for j in range(k))
+
+    long, short, half, rest = said(50, "l"), said(49, "s"), said(30, "h"), said(20, "r")
+    rows = [(1, f"{long}\n{short}\n{half}\n{rest}"), (2, long), (3, short), (4, f"{half}\n \n{rest}\nnew"), (5, f"{half}\nnew\n{rest}"), (None, long), (6, f"{long}\nb")]
+    left = {i: kept for i, _, _, kept in found(docs(spark, rows))}
+    assert left == {1: rows[0][1], 2: "", 3: short, 4: " \nnew", 5: rows[4][1], None: "", 6: "b"}
+    assert found(docs(spark, rows)) == expected(rows, 3)
+
+
 def test_odd_rows(spark):
     block = "one line\ntwo\nthree"
     rows = [

@@ -1,16 +1,17 @@
 """Line dedup by winnowing: later occurrences of runs of lines are deleted.
 
 Units are the lines that have a word, compared exactly; blank lines are neither counted nor deleted.
-Any run of ``guarantee`` lines that also occurs earlier (in a document of smaller doc_id, or further up
-in the same one) is deleted; runs are judged on the input. Hashes of ``noise`` neighbouring lines are
-winnowed: of those within a run, the leftmost least one is its fingerprint, so every repeated run has
-a fingerprint in common with its first occurrence. Fingerprints that occur once go; the places of the
+Any run of ``guarantee`` lines, or of ``words`` words in fewer lines, that also occurs earlier (in a document of
+smaller doc_id, or further up in the same one) is deleted; runs are judged on the input. Hashes of ``noise``
+neighbouring lines are winnowed: of those within a run of ``guarantee`` lines, the leftmost least one is its
+fingerprint, so every repeated run has a fingerprint in common with its first occurrence. A shorter run with enough
+words is a fingerprint of its own. Fingerprints that occur once go; the places of the
 others are joined, each extended by the lines left and right of it that its runs reach to, and the runs
 that begin later than their first occurrence are deleted. Overlapping runs merge into maximal ones.
 
 Cases: a null text has no lines; a null doc_id counts as the largest one; repeated rows (same doc_id and
-text) are judged alike, so one never deletes the other; texts of fewer lines than a run stay; texts of any length are read
-whole; other columns never enter, whatever their names; an empty table gives an empty result.
+text) are judged alike, so one never deletes the other; texts of fewer lines and words than a run stay; texts of any
+length are read whole; other columns never enter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,22 +21,36 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.llm.shared import small_batches, written
 from tidewake.llm.substring import cut_schema, keyed
-from tidewake.llm.words import UNIT_BASES, Spans, Units, rounds
+from tidewake.llm.words import UNIT_BASES, Spans, Units, rounds, signed
 
-NOISE, GUARANTEE = 2, 3
+NOISE, GUARANTEE, WORDS = 2, 3, 50
 
-PRINTS = "print long, id long, th long, runs array<struct<at: int, x1: long, x2: long>>"
+PRINTS = "print long, id long, th long, runs array<struct<at: int, size: int, x1: long, x2: long>>"
 
 
-def _prints(batches: Iterator[pa.RecordBatch], noise: int, guarantee: int) -> Iterator[pa.RecordBatch]:
+def _short_runs(lines: Units, guarantee: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First lines and sizes of the runs of fewer lines that have enough words, none across two texts."""
+    owner = np.repeat(np.arange(len(lines.before) - 1), np.diff(lines.before))
+    total = np.append(0, np.cumsum(lines.words))
+    firsts, sizes = [], []
+    for size in range(1, guarantee):
+        at = np.arange(max(0, len(owner) - size + 1))
+        at = at[(total[at + size] - total[at] >= words) & (owner[at] == owner[at + size - 1])]
+        firsts.append(at)
+        sizes.append(np.full(len(at), size))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *firsts]), np.concatenate([none, *sizes])
+
+
+def _prints(batches: Iterator[pa.RecordBatch], noise: int, guarantee: int, words: int) -> Iterator[pa.RecordBatch]:
     """The fingerprints of each text, with the runs around them that they stand for."""
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("x1", pa.int64()), ("x2", pa.int64())]))
     for batch in batches:
         ids, th = batch.column("id").to_numpy(), batch.column("th").to_numpy()
         for a, _, data, offsets in rounds(batch):
@@ -43,33 +58,35 @@ def _prints(batches: Iterator[pa.RecordBatch], noise: int, guarantee: int) -> It
             one, two = (Spans(lines.hashes(k), UNIT_BASES[k]) for k in (0, 1))
             at = np.arange(max(0, len(lines.first) - noise + 1))
             grams = one.hashes(at, at + noise)
-            owner, print_, place, base = [], [], [], []
+            least_, runs_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for d in np.flatnonzero(np.diff(lines.before) >= guarantee).tolist():
                 low, high = lines.before[d], lines.before[d + 1]
                 views = sliding_window_view(grams[low : high - noise + 1], guarantee - noise + 1)
-                least = views.argmin(1) + np.arange(len(views))
-                owner.append(np.full(len(least), d))
-                print_.append(low + least)
-                place.append(np.arange(len(least), dtype=np.int32))
-                base.append(np.full(len(least), low))
-            if not owner:
+                least_.append(low + np.arange(len(views)) + views.argmin(1))
+                runs_.append(low + np.arange(len(views)))
+            least, first = np.concatenate(least_), np.concatenate(runs_)
+            short, sizes = _short_runs(lines, guarantee, words)
+            # Runs of one winnowed fingerprint stand together; each short run stands alone.
+            turn = np.append(np.flatnonzero(np.append(True, np.diff(least) != 0)[: len(least)]), np.arange(len(least), len(least) + len(short)))
+            size = np.append(np.full(len(first), guarantee), sizes)
+            first = np.append(first, short)
+            if not len(first):
                 continue
-            d, g, at, low = map(np.concatenate, (owner, print_, place, base))
-            first = low + at
-            x1, x2 = (s.hashes(first, first + guarantee).view(np.int64) for s in (one, two))
-            turn = np.append(0, np.flatnonzero(np.diff(g)) + 1)  # runs of one fingerprint stand together
-            runs = pa.StructArray.from_arrays([pa.array(at), pa.array(x1), pa.array(x2)], fields=list(kind.value_type))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(turn, len(g)).astype(np.int32)), runs)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[g[turn]].view(np.int64)), pa.array(ids[a + d[turn]]), pa.array(th[a + d[turn]]), lists], ["print", "id", "th", "runs"]
-            )
-
-
-def deletable(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
-    """id, th and the places (in lines that have a word) of the runs that occur earlier."""
+            x1, x2 = (s.hashes(first, first + size) for s in (one, two))
+            print_ = np.append(grams[least], x2[len(least) :])[turn]
+            d = np.searchsorted(lines.before, first, "right") - 1
+            at = (first - lines.before[d]).astype(np.int32)
+            runs = pa.StructArray.from_arrays([pa.array(at), pa.array(size.astype(np.int32)), signed(x1), signed(x2)], names=["at", "size", "x1", "x2"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(turn, len(first)).astype(np.int32)), runs)
+            own = a + d[turn]
+            yield pa.RecordBatch.from_arrays([signed(print_), pa.array(ids[own]), pa.array(th[own]), lists], ["print", "id", "th", "runs"])
+
+
+def deletable(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE, words: int = WORDS) -> DataFrame:
+    """id, th and the places and sizes (in lines that have a word) of the runs that occur earlier."""
     small_batches(docs.sparkSession)
     texts = keyed(docs)
-    prints = written(texts.mapInArrow(partial(_prints, noise=noise, guarantee=guarantee), PRINTS), "line-prints")
+    prints = written(texts.mapInArrow(partial(_prints, noise=noise, guarantee=guarantee, words=words), PRINTS), "line-prints")
     places = prints.select("print", F.struct("id", "th", F.col("runs")[0]["at"].alias("at")).alias("place"))
     # Written, so that the join's sides are plain shuffles, of which Spark can split a hot key's rows.
     again = places.groupBy("print").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high").select("print")
@@ -79,21 +96,23 @@ def deletable(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE) -
     first = runs.groupBy("x1", "x2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("x1", "x2", "low")
     first = written(first, "line-first")
     late = runs.join(first, ["x1", "x2"]).where("struct(id, at) > struct(low.id, low.at)")
-    return late.groupBy("id", "th").agg(F.collect_set("at").alias("late"))
+    return late.groupBy("id", "th").agg(F.collect_set(F.struct("at", "size")).alias("late"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], guarantee: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists, found = batch.column("late").to_pylist(), []
+        late, found = batch.column("late"), []
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(late), 0).to_numpy()))
+        places, sizes = (late.flatten().field(name).to_numpy() for name in ("at", "size"))
         for a, b, data, offsets in rounds(batch):
             lines = Units(data, offsets, lines=True)
             text, counts = data.tobytes(), np.diff(lines.before)
             for d in range(b - a):
                 own, low = text[offsets[d] : offsets[d + 1]], lines.before[d]
                 change = np.zeros(counts[d] + 1, np.int32)
-                for at in lists[a + d] or ():
-                    change[at] += 1
-                    change[at + guarantee] -= 1
+                those = slice(ends[a + d], ends[a + d + 1])
+                np.add.at(change, places[those], 1)
+                np.add.at(change, places[those] + sizes[those], -1)
                 gone = np.flatnonzero(np.cumsum(change[:-1]) > 0)
                 if len(gone):
                     all_lines = own.split(b"\n")
@@ -107,8 +126,8 @@ def _cut(batches: Iterator[pa.RecordBatch], guarantee: int) -> Iterator[pa.Recor
         )
 
 
-def deduplicated(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
+def deduplicated(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE, words: int = WORDS) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``), n_lines, n_removed and kept, the text without those lines."""
     small_batches(docs.sparkSession)
-    cut = keyed(docs, with_row=True).join(deletable(docs, noise, guarantee), ["id", "th"], "left").select("row", "text", "late")
-    return cut.mapInArrow(partial(_cut, guarantee=guarantee), cut_schema(cut, "n_lines"))
+    cut = keyed(docs, with_row=True).join(deletable(docs, noise, guarantee, words), ["id", "th"], "left").select("row", "text", "late")
+    return cut.mapInArrow(_cut, cut_schema(cut, "n_lines"))

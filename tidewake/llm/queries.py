@@ -112,16 +112,21 @@ SQL: dict[str, str] = {
                    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k
             FROM documents),
         solid AS (
-            SELECT doc_id, line, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n
+            SELECT doc_id, line, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n,
+                   len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
             FROM pieces WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-        runs AS (
-            SELECT doc_id, n, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS run
+        following AS (
+            SELECT doc_id, n, line, words, lead(line, 1) OVER w AS line_2, lead(line, 2) OVER w AS line_3, lead(words, 1) OVER w AS words_2
             FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+        runs AS (
+            SELECT doc_id, n, 3 AS size, line || chr(10) || line_2 || chr(10) || line_3 AS run FROM following
+            UNION ALL SELECT doc_id, n, 2, line || chr(10) || line_2 FROM following WHERE words + words_2 >= 50
+            UNION ALL SELECT doc_id, n, 1, line FROM following WHERE words >= 50),
         late AS (
-            SELECT doc_id, n FROM (
-                SELECT doc_id, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, n) AS nth FROM runs WHERE run IS NOT NULL)
+            SELECT doc_id, n, size FROM (
+                SELECT doc_id, n, size, row_number() OVER (PARTITION BY size, run ORDER BY doc_id, n) AS nth FROM runs WHERE run IS NOT NULL)
             WHERE nth > 1),
-        gone AS (SELECT DISTINCT doc_id, n + j AS n FROM late, range(3) AS t(j)),
+        gone AS (SELECT DISTINCT doc_id, n + j AS n FROM late, range(3) AS t(j) WHERE j < size),
         marked AS (
             SELECT p.doc_id, p.k, p.line, s.n IS NOT NULL AS is_solid, g.n IS NOT NULL AS is_gone
             FROM pieces p LEFT JOIN solid s USING (doc_id, k) LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.n = s.n)

@@ -67,13 +67,16 @@ _BYTES = [mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(b)) for b in BYTE
 
 
 class Units:
-    """Words (or lines with a word) of some texts: byte spans, and the number of units before each text."""
+    """Words (or lines with a word, and how many words they have) of some texts: byte spans, and the number of units before
+    each text."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lines: bool = False) -> None:
         self.data, self.offsets = data, offsets
         solid = ~_SPACE[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
+        word = solid.copy()
+        word[1:] &= ~solid[:-1] | edge[1:-1]
         if lines:
             cut = data == LINE_END
             begins, stops = np.ones(len(data), bool), np.ones(len(data), bool)
@@ -85,11 +88,12 @@ class Units:
             count = np.append(0, np.cumsum(solid))
             kept = count[after] > count[first]
             self.first, self.after = first[kept], after[kept]
+            count = np.append(0, np.cumsum(word))
+            self.words = count[self.after] - count[self.first]
         else:
-            begins, stops = solid.copy(), solid.copy()
-            begins[1:] &= ~solid[:-1] | edge[1:-1]
+            stops = solid.copy()
             stops[:-1] &= ~solid[1:] | edge[1:-1]
-            self.first, self.after = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+            self.first, self.after = np.flatnonzero(word), np.flatnonzero(stops) + 1
         self.before = np.searchsorted(self.first, offsets)
 
     def hashes(self, which: int) -> np.ndarray:
