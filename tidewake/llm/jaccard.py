@@ -465,10 +465,12 @@ def _classes(docs: DataFrame, threshold: Threshold, tile: int) -> tuple[DataFram
     leading = texts.select("text").mapInArrow(partial(_leading, threshold=threshold, ranks=_cell_ranks(all_)), COLUMNS)
     pairs, over = _paired_columns(leading, threshold)
     left = written(_own_texts(texts, rows.join(over, "print", "left_semi")).select("text"), "jaccard-left-over")
-    bands = left.mapInArrow(partial(_bands, threshold=threshold), BANDS)
-    # One shuffle of the bands: within a band each row meets the least one, in a window that spills.
-    low = F.first("print").over(Window.partitionBy("band").orderBy("print"))
-    edges = bands.withColumn("low", low).where("low < print").select(F.col("low").alias("a"), F.col("print").alias("b")).distinct()
+    bands = written(left.mapInArrow(partial(_bands, threshold=threshold), BANDS), "jaccard-bands")
+    # Each row meets the least one of its band. Least ones are combined before they are shuffled, and the join's sides
+    # are plain shuffles, so that Spark can split the rows of a band that very many share.
+    low = bands.groupBy("band").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low < high").drop("high")
+    low = written(low, "jaccard-lows")
+    edges = bands.join(low.hint("merge"), "band").where("low < print").select(F.col("low").alias("a"), F.col("print").alias("b")).distinct()
     blocks = propagated(pairs.unionByName(edges), "jaccard-blocks").select(F.col("node").alias("print"), F.col("label").alias("block"))
 
     full = written(_own_texts(texts, rows.join(blocks, "print")).select("block", "print", "n", "text"), "jaccard-texts")
