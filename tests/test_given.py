@@ -29,3 +29,8 @@ def test_a_beginning_ends_before_a_letter_with_an_accent(spark):
     path, con = documents(spark, ["Leètre x", "le chat", "LE", "Lex", "the_x", "der.", "Eĺ x", "der x", "le9"])
     assert compare(spark, con, QUERIES["marker_flags"], SQL["marker_flags"], path) is None
     assert {r.doc_id for r in QUERIES["marker_flags"](spark, path).where("begins_so").collect()} == {0, 1, 2, 5, 6, 7}
+
+
+def test_every_array_of_a_task_is_read_back(spark, monkeypatch):
+    monkeypatch.setattr(files, "SHARD", 3)  # more arrays than tasks
+    assert compare(spark, connection(SF), QUERIES["owner_teams"], SQL["owner_teams"], SF) is None

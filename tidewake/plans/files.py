@@ -80,7 +80,8 @@ def owner_teams(spark: SparkSession, sf: str) -> DataFrame:
     teams = li.groupBy("l_suppkey").agg(F.collect_list(F.struct(F.col("team").alias("id"), F.concat(F.lit("t"), F.col("team")).alias("name"))).alias("teams"))
     s = load(spark, sf, "supplier").join(teams, F.col("s_suppkey") == F.col("l_suppkey"), "left")
     people = s.select(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.col("s_name"), F.lit("@Ours.example")).alias("email"), "teams", F.when(F.col("s_acctbal") < 0, True).alias("archived"))
-    people.groupBy(F.floor(F.col("id").cast("long") / SHARD)).agg(F.to_json(F.collect_list(F.struct("id", "email", "teams", "archived"))).alias("value")).select("value").write.text(path)
+    shards = people.groupBy(F.floor(F.col("id").cast("long") / SHARD).alias("shard")).agg(F.to_json(F.collect_list(F.struct("id", "email", "teams", "archived"))).alias("value"))
+    shards.write.partitionBy("shard").text(path)  # a file for each array, as a reader of JSON files takes one value from each
     return records.owners(spark, path)
 
 
