@@ -3,10 +3,10 @@
 import tempfile
 
 import duckdb
-import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import compare, connection
+from tidewake.functions import text as tx
 from tidewake.plans import QUERIES, SQL, files
 
 SF = "/root/testdata/sf0.01"
@@ -34,3 +34,31 @@ def test_a_beginning_ends_before_a_letter_with_an_accent(spark):
 def test_every_array_of_a_task_is_read_back(spark, monkeypatch):
     monkeypatch.setattr(files, "SHARD", 3)  # more arrays than tasks
     assert compare(spark, connection(SF), QUERIES["owner_teams"], SQL["owner_teams"], SF) is None
+
+
+TEMPLATES = [
+    "Hi a.b@c.de, see HTTP://x.y/z?q=1) 12 at Acme", "hi  f@g.h see https://q 7-at acme", "no sign: x@ y@@z 'k'@m.n.", "", " ", "\n\t 12  ", "a b  c\n\nd", "É é://u x", "a1b a b",
+    "https://", "://@ x", "A.\tB", "K@x ſ@y",
+]
+
+
+def test_template_texts_as_step_by_step(spark):
+    def by_steps(t):
+        t = F.lower(t)
+        for pattern in (tx.URL, tx.LOWER_EMAIL, r"\d+", r"[^a-z ]"):
+            t = F.regexp_replace(t, pattern, " ")
+        return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+    rows = spark.createDataFrame([(t,) for t in [*TEMPLATES, None]], "text string").select("text", by_steps(F.col("text")).alias("want"), tx.template_text(F.col("text")).alias("got")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+
+
+def hashes(df):
+    """How often the texts are hashed in a plan."""
+    return df._jdf.queryExecution().executedPlan().toString().count("md5(")
+
+
+def test_texts_are_hashed_before_the_plan_that_counts_them(spark):
+    path, con = documents(spark, [*TEMPLATES, *TEMPLATES[:4], "one two three four five six seven eight nine ten"] * 3)
+    assert hashes(QUERIES["template_repeats"](spark, path)) == 0
+    assert compare(spark, con, QUERIES["template_repeats"], SQL["template_repeats"], path) is None

@@ -10,6 +10,7 @@ from tidewake.functions import text as tx
 from tidewake.operators import frame as fr
 from tidewake.operators import redaction as red
 from tidewake.plans import messages
+from tidewake.sources.scratch import written
 from tidewake.sources.tables import load, spread
 
 SUBJECT = F.substring_index
@@ -39,7 +40,7 @@ def _hashed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def template_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    hashed = _hashed(spark, sf)
+    hashed = written(_hashed(spark, sf), "hashed")  # used twice, and a join asks for its key once more: texts are hashed once
     counts = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("repeats"))  # then a join, of which Spark can split a hot hash
     out = hashed.join(counts, "hash")
     return out.select("doc_id", "hash", "hash_length", "repeats", ((F.col("repeats") >= 3) & (F.col("hash_length") >= 40)).alias("is_template"))
