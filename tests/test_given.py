@@ -3,11 +3,12 @@
 import tempfile
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import compare, connection
 from tidewake.functions import text as tx
-from tidewake.plans import QUERIES, SQL, files
+from tidewake.plans import QUERIES, SQL, files, ratings
 
 SF = "/root/testdata/sf0.01"
 
@@ -62,3 +63,18 @@ def test_texts_are_hashed_before_the_plan_that_counts_them(spark):
     path, con = documents(spark, [*TEMPLATES, *TEMPLATES[:4], "one two three four five six seven eight nine ten"] * 3)
     assert hashes(QUERIES["template_repeats"](spark, path)) == 0
     assert compare(spark, con, QUERIES["template_repeats"], SQL["template_repeats"], path) is None
+
+
+@pytest.mark.parametrize("name", ["score_depth"])
+def test_graded_texts_are_read_once(spark, name):
+    assert hashes(QUERIES[name](spark, SF)) == 0 and "text#" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_that_repeat_count_as_often_and_leave_templates_as_they_are(spark):
+    texts = ["one two three four " * 12] * 3 + ["five six seven eight nine " * 20] * 2 + ["ten"]
+    path, con_ = documents(spark, texts)
+    labels = [(k, k % 2, 0) for k in range(5)] + [(0, 1, 1), (77, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{path}/labels.parquet")
+    con_.sql(f"create view labels as select * from read_parquet('{path}/labels.parquet/*.parquet')")
+    got = ratings._graded(spark, path).collect()
+    assert sorted((r.doc_id, r.repeats) for r in got) == [(0, 3), (0, 3), (1, 3), (2, 3), (3, 2), (4, 2)]

@@ -17,7 +17,8 @@ from tidewake.operators import frame as fr
 from tidewake.operators import funnel
 from tidewake.operators import sessions as ses
 from tidewake.plans import time
-from tidewake.sources.tables import event_log, load, responses, touches
+from tidewake.sources.scratch import written
+from tidewake.sources.tables import event_log, load, responses, spread, touches
 
 SCALES, FLAGS = ["depth", "clean"], ["apt"]
 MEANING = {"purchase": True, "signup": True, "error": False, "view": None}
@@ -161,19 +162,29 @@ def policy_correlations(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(one, "r_depth", "r_reach")
 
 
-def _graded(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents with a score from 0 to 5, rivals of it, and whether they are one of several of a template."""
-    hashed = load(spark, sf, "documents").select("doc_id", "source", "lang", "text", "n_chars", F.md5(tx.template_text(F.col("text"))).alias("hash"))
-    repeats = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("repeats"))
-    d = hashed.join(repeats, "hash").join(load(spark, sf, "labels"), "doc_id")
+def _graded(spark: SparkSession, sf: str, *counted: str) -> DataFrame:
+    """Labelled documents with a score from 0 to 5, rivals of it, and whether they are one of several of a template; with
+    those of the other counted features that are asked for. Texts are read once: what is worked out of them is written,
+    and texts meet no shuffle but that of the labels' ids where Spark doesn't broadcast those. Only labelled texts are counted."""
+    t = F.col("text")
     words = F.regexp_count("text", F.lit(r"\S+"))
-    score = F.least(F.lit(5), F.floor(words / 40)).cast("int")
-    return d.select(
-        "doc_id", F.col("source").alias("sender"), "lang", F.col("quality").alias("y"), "toxic", "repeats", score.alias("score"), (F.col("repeats") >= 2).cast("int").alias("x"),
-        F.log10(F.col("n_chars") + 1).alias("log_chars"), F.regexp_count("text", F.lit(r"[#*$%&|<>]")).alias("symbols"), words.alias("words"),
-        tx.n_paragraphs(F.col("text")).alias("paragraphs"), tx.n_bullets(F.col("text")).alias("bullets"), tx.n_links(F.col("text")).alias("links"),
-        tx.first_question_words(F.col("text")).alias("first_question"), tx.n_sentences(F.col("text")).alias("sentences"),
+    features = {
+        "paragraphs": lambda: tx.n_paragraphs(t), "bullets": lambda: tx.n_bullets(t), "links": lambda: tx.n_links(t),
+        "first_question": lambda: tx.first_question_words(t), "sentences": lambda: tx.n_sentences(t),
+    }
+    labels = load(spark, sf, "labels")
+    asked = labels.select("doc_id").distinct().withColumn("_asked", F.lit(True))
+    d = spread(load(spark, sf, "documents").select("doc_id", "source", "lang", "text", "n_chars")).join(asked, "doc_id", "left")
+    own = {"words": words, "symbols": F.regexp_count("text", F.lit(r"[#*$%&|<>]"))} | {n: features[n]() for n in counted}
+    hashed = d.select("doc_id", "source", "lang", "n_chars", "_asked", F.md5(tx.template_text(t)).alias("hash"), *[F.when(F.col("_asked"), c).alias(n) for n, c in own.items()])
+    hashed = written(hashed, "graded-texts")
+    repeats = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("repeats"))
+    rows = hashed.where("_asked").join(repeats, "hash").join(labels, "doc_id")
+    graded = rows.select(
+        "doc_id", F.col("source").alias("sender"), "lang", F.col("quality").alias("y"), "toxic", "repeats", F.least(F.lit(5), F.floor(F.col("words") / 40)).cast("int").alias("score"),
+        (F.col("repeats") >= 2).cast("int").alias("x"), F.log10(F.col("n_chars") + 1).alias("log_chars"), *own,
     )
+    return written(graded, "graded")  # several fits read it
 
 
 def score_discriminance(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,7 +229,7 @@ TABLES = {
 
 def bucket_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Rates of the outcome by buckets of each counted feature, from one read of the texts."""
-    g = _graded(spark, sf)
+    g = _graded(spark, sf, "paragraphs", "bullets", "links", "first_question", "sentences")
     return _rounded(con.bucket_tables(g, TABLES), "rate")
 
 
