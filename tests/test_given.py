@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import compare, connection
 from tidewake.functions import text as tx
+from tidewake.operators import contrast as con
 from tidewake.plans import QUERIES, SQL, files, ratings
 
 SF = "/root/testdata/sf0.01"
@@ -70,6 +71,15 @@ def test_graded_texts_are_read_once(spark, name):
     assert hashes(QUERIES[name](spark, SF)) == 0 and "text#" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_fits_read_what_was_graded(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(tx, "template_text", lambda c, f=tx.template_text: made.append(1) or f(c))
+    frames = []
+    monkeypatch.setattr(con, "fixed_effects", lambda frame, columns, f=con.fixed_effects: frames.append(hashes(frame)) or f(frame, columns))
+    assert compare(spark, connection(SF), QUERIES["score_discriminance"], SQL["score_discriminance"], SF) is None
+    assert len(made) == 1 and frames == [0, 0, 0, 0]
+
+
 def test_labels_that_repeat_count_as_often_and_leave_templates_as_they_are(spark):
     texts = ["one two three four " * 12] * 3 + ["five six seven eight nine " * 20] * 2 + ["ten"]
     path, con_ = documents(spark, texts)
