@@ -66,7 +66,7 @@ def test_texts_are_hashed_before_the_plan_that_counts_them(spark):
     assert compare(spark, con, QUERIES["template_repeats"], SQL["template_repeats"], path) is None
 
 
-@pytest.mark.parametrize("name", ["score_depth", "repeat_dose"])
+@pytest.mark.parametrize("name", ["score_depth", "repeat_dose", "bucket_tables"])
 def test_graded_texts_are_read_once(spark, name):
     assert hashes(QUERIES[name](spark, SF)) == 0 and "text#" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
