@@ -98,3 +98,24 @@ def test_the_end_of_a_body_is_not_sought_at_each_image(spark):
     page_ = spark.createDataFrame([(page,)], "html string").select(tx.rendered(F.col("html")).alias("page"))
     (got,) = page_.select(tx.clean_body(F.lit(""), F.col("page")).alias("c")).select("c.formatting.*").collect()
     assert got.n_images == 0 and clock.perf_counter() - began < 20  # all images begin where the body ends
+
+
+QUOTED = [
+    "a\n > b\nc>\n>d", "a\nOn some day, Ann écrit :\nb", "a\n  -- original message --\nb", "a\n---forwarded MESSAGE---\nb", "a\nvon: x\nb", "a\nDE : x\nb", "a\n____________\t\nb",
+    "a\nFrom: x\nTo: y\nb", "a\nfrom: x\ny\nz\nDate: w", "a\nFrom: x\nplain\nb", "a\r\nOn b\rc\x0bDe Von From:", "From: x\nSent: y", "", "\n\n", "a　\n　>b\n\tOn the way wrote:", "a\nOn x\nDear", None,
+]
+
+
+def test_quotes_are_cut_as_line_by_line(spark):
+    def plain(text):
+        text = re.sub("\r\n|[\n\x0b\f\r\x1c-\x1e\x85  ]", "\n", re.split(r"(?is)\n[^\S\n]*On .{0,200}?\bwrote\s*:", text or "", maxsplit=1)[0])
+        own = text.split("\n")
+        patterns = [(p.replace("(?iU)", ""), re.I if "(?iU)" in p else 0) for p in tx.TRAIL_LINES]
+        old = lambda k: any(re.search(p, own[k].strip(), f) for p, f in patterns) or (
+            re.search("(?i)^From:\\s*.+", own[k].strip()) and re.search(tx.AFTER_FROM.replace("(?iU)", "(?i)"), " ".join(x.strip() for x in own[k + 1 : k + 4])))
+        own = own[: next((k for k in range(len(own)) if old(k)), None)]
+        return re.sub(r"\n\s*\n\s*\n+", "\n\n", "\n".join(x for x in own if not x.strip().startswith(">"))).strip()
+
+    rows = spark.createDataFrame([(t,) for t in QUOTED], "text string").select("text", tx.without_quotes(F.col("text")).alias("got"))
+    assert [r.got for r in rows.collect()] == [plain(t) for t in QUOTED]
+    assert rows._jdf.queryExecution().executedPlan().toString().count("array_min(") == 1  # lines are looked through once
