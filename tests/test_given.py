@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tests.oracle import compare, connection
 from tidewake.functions import text as tx
 from tidewake.operators import contrast as con
+from tidewake.operators import redaction as red
 from tidewake.plans import QUERIES, SQL, files, ratings
 
 SF = "/root/testdata/sf0.01"
@@ -119,3 +120,11 @@ def test_quotes_are_cut_as_line_by_line(spark):
     rows = spark.createDataFrame([(t,) for t in QUOTED], "text string").select("text", tx.without_quotes(F.col("text")).alias("got"))
     assert [r.got for r in rows.collect()] == [plain(t) for t in QUOTED]
     assert rows._jdf.queryExecution().executedPlan().toString().count("array_min(") == 1  # lines are looked through once
+
+
+def test_identifiers_are_taken_out_once_and_texts_meet_one_join(spark):
+    docs = spark.createDataFrame([(1, "a@b.c Ann Lee, ann", 7), (2, None, 8), (3, "none", 9)], "id long, text string, other int")
+    out = red.redacted_by(docs, "id", "text", spark.createDataFrame([("ann lee",), ("ann",)], "token string"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join LeftOuter") == 1 and "[EMAIL]" not in plan
+    assert sorted(map(tuple, out.collect())) == [(1, "[EMAIL] [SENDER]", 7), (2, "", 8), (3, "none", 9)]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.functions import text as tx
-
+from tidewake.sources.scratch import written
 
 SENDER = "[SENDER]"
 
@@ -33,11 +33,16 @@ def terms_of(vocabulary: DataFrame, term: str) -> DataFrame:
     return found.where(word(1) & word(-1)).select(F.element_at("pieces", 1).alias("first"), "pieces")
 
 
-def _rebuilt(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[pa.RecordBatch]:
-    """Texts with a mark for each term: from left to right, at each word the longest term that begins there."""
+def _rebuilt(batches: Iterator[pa.RecordBatch], text: str, mark: str) -> Iterator[pa.RecordBatch]:
+    """Rows with a mark for each term in their text: from left to right, at each word the longest term that begins there.
+    Rows without terms stay as they are."""
     for batch in batches:
+        names = batch.schema.names[:-3]
         texts = []
-        for own, low, terms in zip(*(batch.column(c).to_pylist() for c in ("own", "low", "terms")), strict=True):
+        for kept, own, low, terms in zip(*(batch.column(c).to_pylist() for c in (text, "_own", "_low", "_terms")), strict=True):
+            if terms is None:
+                texts.append(kept)
+                continue
             known: dict[str, dict[int, set[tuple[str, ...]]]] = {}
             for t in terms:
                 known.setdefault(t[0], {}).setdefault(len(t), set()).add(tuple(t))
@@ -48,7 +53,7 @@ def _rebuilt(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[pa.Record
                 out.append(mark if n else own[k])
                 k += n or 1
             texts.append("".join(out))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["key", "shown"])
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names)
 
 
 def by_vocabulary(docs: DataFrame, key: str, text: str, vocabulary: DataFrame, term: str = "token", mark: str = SENDER) -> DataFrame:
@@ -56,15 +61,15 @@ def by_vocabulary(docs: DataFrame, key: str, text: str, vocabulary: DataFrame, t
     stands between word boundaries; of terms that begin at one word the longest.
 
     The distinct words of each text meet the first words of the terms in a join, of which Spark broadcasts the smaller side
-    only if it is small. A text gets only its own candidates back, and only texts with some are rebuilt. Null texts stay."""
-    pieces = _pieces(F.col(text))
-    words = docs.select(F.col(key).alias("key"), F.explode(F.array_distinct(_lowered(pieces))).alias("first"))
-    hits = words.join(terms_of(vocabulary, term), "first").groupBy("key").agg(F.collect_list("pieces").alias("terms"))
-    own = docs.select(F.col(key).alias("key"), pieces.alias("own"), _lowered(pieces).alias("low")).join(hits, "key")
-    kind = docs.schema[key].dataType.simpleString()
-    shown = own.mapInArrow(partial(_rebuilt, mark=mark), f"key {kind}, shown string")
-    found = docs.join(shown.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key"), "left")
-    return found.withColumn(text, F.coalesce("shown", text)).select(*docs.columns)
+    only if it is small. A text gets only its own candidates back, in one join, and only texts with some are cut into pieces
+    and rebuilt. Null texts stay. ``docs`` is read twice."""
+    found = F.regexp_extract_all(F.col(text), F.lit(r"(?U)\w+"), 0)  # a term begins with a word
+    words = docs.select(F.col(key).alias("_key"), F.explode(F.array_distinct(_lowered(found))).alias("first"))
+    hits = words.join(terms_of(vocabulary, term), "first").groupBy("_key").agg(F.collect_list("pieces").alias("_terms"))
+    met = docs.join(hits, F.col(key) == F.col("_key"), "left")
+    own = F.when(F.col("_terms").isNotNull(), _pieces(F.col(text)))
+    cut = met.select(*docs.columns, own.alias("_own"), _lowered(own).alias("_low"), "_terms")
+    return cut.mapInArrow(partial(_rebuilt, text=text, mark=mark), docs.schema)
 
 
 def redacted_by(
@@ -72,7 +77,7 @@ def redacted_by(
     first: Column | None = None, company: Column | None = None, domains: list[str] = (),
 ) -> DataFrame:
     """What ``text.redacted`` does, with the vocabulary as a table."""
-    rows = docs.withColumn(text, tx.without_identifiers(F.col(text), first, company, domains))
+    rows = written(docs.withColumn(text, tx.without_identifiers(F.col(text), first, company, domains)), "redacted")  # used twice
     return by_vocabulary(rows, key, text, vocabulary, term).withColumn(text, tx.stripped(tx.senders_joined(F.col(text))))
 
 
