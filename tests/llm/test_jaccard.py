@@ -82,6 +82,27 @@ def test_columns_of_many_rows_lose_no_link(spark, monkeypatch):
         assert found(docs(spark, rows), **more) == expected(rows, more.get("words", 3), more.get("num", 90), more.get("den", 100))
 
 
+def test_rows_left_over_are_ordered_anew_without_loss(spark, monkeypatch):
+    """The first order tells nothing of a column's rarity, as on large inputs: of the rows left over most find their links by an
+    order of their own, and few go to bands."""
+    given = []
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    ranks = jaccard._cell_ranks
+    monkeypatch.setattr(jaccard, "_cell_ranks", lambda sets: ranks(sets) if given[-1][0] == "jaccard-left-over" else bytes(4 << jaccard.CELL_BITS))
+    monkeypatch.setattr(jaccard, "written", lambda df, name, *a, f=jaccard.written: given.append((name, f(df, name, *a))) or given[-1][1])
+    monkeypatch.setattr(jaccard, "drop", lambda *tables: None)
+    for seed, more in ((21, {}), (22, {"words": 5, "num": 80, "den": 100})):
+        rows = near_copies(random.Random(seed), 200, 120, [f"w{k}" for k in range(3000)])
+        rows = [(i, t + " p q r s t u v" if k % 10 == 0 else t) for k, (i, t) in enumerate(rows)]
+        sizes = {}
+        for again in (10**9, 0):
+            monkeypatch.setattr(jaccard, "AGAIN", again)
+            given.clear()
+            assert found(docs(spark, rows), **more) == expected(rows, more.get("words", 3), more.get("num", 90), more.get("den", 100))
+            sizes[again] = [df.count() for name, df in given if name == "jaccard-left-over"]
+        assert len(sizes[0]) > 1 and sizes[0][0] == sizes[10**9][0] > sizes[0][-1]
+
+
 def test_leading_columns_are_shared_by_all_that_link():
     import numpy as np
 

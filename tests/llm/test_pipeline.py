@@ -2,7 +2,7 @@ import corpus_pipeline as pipeline
 from tests.llm import test_jaccard, test_lines, test_packing, test_substring
 from tests.llm.helpers import docs as documents
 from tests.llm.helpers import words
-from tidewake.llm import quality
+from tidewake.llm import quality, shared
 from tidewake.llm.shared import written
 
 
@@ -84,3 +84,10 @@ def test_stages_on_an_empty_table(spark):
     for out in (quality.keep_good(df, none), pipeline.line_dedup(spark, df, ""), pipeline.near_duplicates(spark, df, ""), pipeline.substring_dedup(spark, df, "")):
         assert out.columns == df.columns and out.count() == 0
     assert pipeline.pack(spark, df, "").count() == 0
+
+
+def test_run_holds_one_stage_at_a_time(spark):
+    shared.drop_written(spark)
+    out = pipeline.run(spark, "/root/testdata/sf0.001")
+    left = [p.rpartition("/")[2].rpartition("-")[0] for p in shared._PATHS[spark.sparkContext.applicationId]]
+    assert [n for n in left if not n.startswith("packing")] == ["pipeline-substring-dedup"] and out.count() > 100

@@ -14,7 +14,9 @@ taken in blocks only:
    different sizes, are discarded. A column of more than ``HOT`` rows isn't paired; its rows are left over.
    As a linked pair with a row that isn't left over has a leading column of that row in common, only links between two
    rows that are left over are open.
-4. Those come from bands: a linked pair's sets differ by a share of both sizes, at most D elements. Columns are dealt by
+   Where these are many, the same is done among them alone, with an order by their own counts: the larger the input, the less
+   the fixed table tells of a column's rarity, and the more rows would be left over that have rare columns enough.
+4. What is left then comes from bands: a linked pair's sets differ by a share of both sizes, at most D elements. Columns are dealt by
    hash into more than D bands, so the pair is equal in at least one. Sizes are cut into classes so that a pair lies in one
    or in two adjacent ones, and each row gives a hash of each of its bands for both. A band in which a row has no
    column says nothing and is left out; that is safe while at least D + 1 bands of the row are in use. A row with
@@ -51,7 +53,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.llm.quality import SPACES
-from tidewake.llm.shared import as_row, small_batches, written
+from tidewake.llm.shared import as_row, cleaned, drop, small_batches, written
 from tidewake.llm.words import UNIT_BASES, MIX_1, MIX_2, Spans, Units, mixed, rounds, signed
 
 #: Dealings of columns into bands that are tried before empty bands count.
@@ -61,10 +63,13 @@ TILE, ENTRIES = 512, 1 << 19
 
 #: Cells of the table of counts (2 ** CELL_BITS), how many of them make a row of it, and rows of a column that are still paired.
 CELL_BITS, CHUNK, HOT = 20, 1 << 16, 32
+#: Rows left over from which on another order is tried among them, as long as each leaves less than three quarters of them.
+AGAIN = 20_000
 #: Tasks over which the rows of one block are spread where they are joined with a fact on it.
 SALTS = 128
 
 SETS = "id long, th long, n long, print long, chunk int, cells binary"
+CELLS = "chunk int, cells binary"
 COLUMNS = "column long, print long, n int"
 BANDS = "band long, print long"
 LINKS = "a long, b long"
@@ -144,6 +149,25 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
+def _counted(counts: np.ndarray, sets: list[np.ndarray]) -> None:
+    counts += np.bincount(_cells(np.concatenate(sets)), minlength=len(counts)).astype(np.uint32)
+
+
+def _chunks(counts: np.ndarray) -> list[pa.Array]:
+    """A task's counts by cell, as chunks and cells."""
+    chunks = counts.reshape(-1, CHUNK)
+    some = np.flatnonzero(chunks.any(1))
+    return [pa.array(some.astype(np.int32)), pa.array([zlib.compress(chunks[k].tobytes(), 1) for k in some], pa.binary())]
+
+
+def _counts(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << CELL_BITS, np.uint32)
+    for batch in batches:
+        for _, _, data, offsets in rounds(batch):
+            _counted(counts, _round_sets(data, offsets, threshold))
+    yield pa.RecordBatch.from_arrays(_chunks(counts), ["chunk", "cells"])
+
+
 def _prints(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the task's counts of columns by cell, in chunks."""
     names, counts = [x.split()[0] for x in SETS.split(", ")], np.zeros(1 << CELL_BITS, np.uint32)
@@ -151,15 +175,12 @@ def _prints(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator
         for a, b, data, offsets in rounds(batch):
             sets = _round_sets(data, offsets, threshold)
             sizes, prints = _prints_of(sets)
-            counts += np.bincount(_cells(np.concatenate(sets)), minlength=len(counts)).astype(np.uint32)
+            _counted(counts, sets)
             own = batch.slice(a, b - a)
             none = [pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())]
             yield pa.RecordBatch.from_arrays([own.column("id"), own.column("th"), pa.array(sizes), pa.array(prints, mask=sizes == 0), *none], names)
-    chunks = counts.reshape(-1, CHUNK)
-    some = np.flatnonzero(chunks.any(1))
-    none = [pa.nulls(len(some), pa.int64())] * 4
-    packed = pa.array([zlib.compress(chunks[k].tobytes(), 1) for k in some], pa.binary())
-    yield pa.RecordBatch.from_arrays([*none, pa.array(some.astype(np.int32)), packed], names)
+    chunk, cells = _chunks(counts)
+    yield pa.RecordBatch.from_arrays([*[pa.nulls(len(chunk), pa.int64())] * 4, chunk, cells], names)
 
 
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
@@ -172,7 +193,9 @@ def _cell_ranks(sets: DataFrame) -> bytes:
     # A task's chunk counts occurrences in fewer than 2 ** 32 documents; sums are wider.
     summed = sets.where("chunk IS NOT NULL").select("chunk", "cells").groupBy("chunk").applyInPandas(_summed, "chunk int, cells binary")
     counts = np.zeros((1 << CELL_BITS) // CHUNK * CHUNK, np.uint64).reshape(-1, CHUNK)
-    for row in summed.collect():  # one for each chunk
+    with cleaned(sets.sparkSession):
+        found = summed.collect()  # one for each chunk
+    for row in found:
         counts[row["chunk"]] = np.frombuffer(zlib.decompress(row["cells"]), "<u8")
     ranks = np.empty(1 << CELL_BITS, np.uint32)
     ranks[np.argsort(counts.ravel(), kind="stable")] = np.arange(1 << CELL_BITS, dtype=np.uint32)
@@ -419,9 +442,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _paired_columns(leading: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of rows that can link by what their leading columns say, and the rows (print) that are left over."""
+def _paired_columns(texts: DataFrame, threshold: Threshold, ranks: bytes) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) of rows that can link by what their leading columns say, the rows (print) that are left over, and the
+    table that the pairs are read from."""
     num, den = threshold.num, threshold.den
+    leading = texts.select("text").mapInArrow(partial(_leading, threshold=threshold, ranks=ranks), COLUMNS)
     nth = F.row_number().over(Window.partitionBy("column").orderBy("print"))
     # Members of a column stand in parts of bounded size: the first holds all of them, unless the column is hot.
     parts = leading.repartition("column").dropDuplicates(["column", "print"]).withColumn("part", F.floor((nth - 1) / (HOT + 1)))
@@ -439,7 +464,7 @@ def _paired_columns(leading: DataFrame, threshold: Threshold) -> tuple[DataFrame
         """How many columns of its leading part a row must share: it can miss no more than its size less the overlap."""
         return F.expr(f"{n} - ({num} * {n} + {den - 1}) div {den} + 1") - (F.col(n) - overlap)
 
-    return met.where(F.col("both") >= F.least(least("na"), least("nb"))).select("a", "b"), over
+    return met.where(F.col("both") >= F.least(least("na"), least("nb"))).select("a", "b"), over, parts
 
 
 def _own_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -462,19 +487,31 @@ def _classes(docs: DataFrame, threshold: Threshold, tile: int) -> tuple[DataFram
     row = F.struct(F.isnull("id").alias("late"), "id", "th")
     rows = sets.where("print IS NOT NULL").groupBy("print").agg(F.min(row).alias("first"), F.min("n").alias("n"))
 
-    leading = texts.select("text").mapInArrow(partial(_leading, threshold=threshold, ranks=_cell_ranks(all_)), COLUMNS)
-    pairs, over = _paired_columns(leading, threshold)
-    left = written(_own_texts(texts, rows.join(over, "print", "left_semi")).select("text"), "jaccard-left-over")
-    bands = written(left.mapInArrow(partial(_bands, threshold=threshold), BANDS), "jaccard-bands")
+    pairs, over, parts = _paired_columns(texts, threshold, _cell_ranks(all_))
+    read, n = [parts], over.count()
+    left = written(_own_texts(texts, rows.join(over, "print", "left_semi")).select("print", "text"), "jaccard-left-over")
+    fewer = True
+    while fewer and n >= AGAIN:
+        ranks = _cell_ranks(left.select("text").mapInArrow(partial(_counts, threshold=threshold), CELLS))
+        more, over, parts = _paired_columns(left, threshold, ranks)
+        read, pairs, before, n = [*read, parts], pairs.unionByName(more), n, over.count()
+        fewer = 4 * n < 3 * before
+        if n < before:
+            old, left = left, written(left.join(over.hint("merge"), "print", "left_semi"), "jaccard-left-over")
+            drop(old)
+    bands = written(left.select("text").mapInArrow(partial(_bands, threshold=threshold), BANDS), "jaccard-bands")
+    drop(left)
     # Each row meets the least one of its band. Least ones are combined before they are shuffled, and the join's sides
     # are plain shuffles, so that Spark can split the rows of a band that very many share.
     low = bands.groupBy("band").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low < high").drop("high")
     low = written(low, "jaccard-lows")
     edges = bands.join(low.hint("merge"), "band").where("low < print").select(F.col("low").alias("a"), F.col("print").alias("b")).distinct()
     blocks = propagated(pairs.unionByName(edges), "jaccard-blocks").select(F.col("node").alias("print"), F.col("label").alias("block"))
+    drop(bands, low, *read)
 
     full = written(_own_texts(texts, rows.join(blocks, "print")).select("block", "print", "n", "text"), "jaccard-texts")
     found = _found(full, threshold, tile)
+    drop(full)
     return sets, rows.join(found.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("label", "print").alias("label"))
 
 
@@ -494,8 +531,10 @@ def heads(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, lower:
     first = written(classes.groupBy("label").agg(F.min("first").alias("head")).select("head.id", "head.th"), "jaccard-kept")
     text = F.col("text").cast("string")
     # Names of the input stay within a struct, so that none can clash with these.
-    rows = docs.select(as_row(docs).alias("row"), F.xxhash64(text).alias("row_th"), F.col("doc_id").cast("long").alias("row_id"), F.coalesce(F.btrim(text, F.lit(SPACES)), F.lit("")).alias("words"))
-    met = (F.col("row_th") == F.col("th")) & F.col("row_id").eqNullSafe(F.col("id"))
-    one = rows.where("words != ''").drop("words").join(first.hint("merge"), met, "left_semi")
-    one = one.groupBy("row_id", "row_th").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), as_row(docs).alias("row"), F.coalesce(F.btrim(text, F.lit(SPACES)), F.lit("")).alias("words"))
+    some = rows.where("words != ''").select("id", "th", "row", F.xxhash64("row").alias("place"), F.lit(False).alias("head"))
+    # Heads meet the rows in one grouping, as a row without a place: texts are shuffled once, copies of a row combined before.
+    none = F.lit(None)
+    both = some.unionByName(first.select("id", "th", none.cast(rows.schema["row"].dataType).alias("row"), none.cast("long").alias("place"), F.lit(True).alias("head")))
+    one = both.groupBy("id", "th").agg(F.min_by("row", "place").alias("row"), F.max("head").alias("head")).where("head").select("row")
     return one.unionByName(rows.where("words = ''").select("row")).select("row.*")

@@ -26,8 +26,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.shared import small_batches, written
-from tidewake.llm.substring import cut_schema, keyed
+from tidewake.llm.shared import drop, small_batches, written
+from tidewake.llm.substring import cut_schema, keyed, with_found
 from tidewake.llm.words import UNIT_BASES, Spans, Units, rounds, signed
 
 NOISE, GUARANTEE, WORDS = 2, 3, 50
@@ -96,7 +96,9 @@ def deletable(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE, w
     first = runs.groupBy("x1", "x2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("x1", "x2", "low")
     first = written(first, "line-first")
     late = runs.join(first, ["x1", "x2"]).where("struct(id, at) > struct(low.id, low.at)")
-    return late.groupBy("id", "th").agg(F.collect_set(F.struct("at", "size")).alias("late"))
+    late = written(late.groupBy("id", "th").agg(F.collect_set(F.struct("at", "size")).alias("late")), "line-late")
+    drop(prints, again, first)
+    return late
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,5 +131,5 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicated(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE, words: int = WORDS) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``), n_lines, n_removed and kept, the text without those lines."""
     small_batches(docs.sparkSession)
-    cut = keyed(docs, with_row=True).join(deletable(docs, noise, guarantee, words), ["id", "th"], "left").select("row", "text", "late")
+    cut = with_found(docs, deletable(docs, noise, guarantee, words), "late")
     return cut.mapInArrow(_cut, cut_schema(cut, "n_lines"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from tidewake.llm.shared import as_row, small_batches, written
+from tidewake.llm.shared import as_row, drop, small_batches, written
 from tidewake.llm.words import UNIT_BASES, Spans, Units, rounds, signed
 
 WINDOW = 50
@@ -156,12 +156,20 @@ def key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
 
 
+def _text(of: Column) -> Column:
+    return F.coalesce(of.cast("string"), F.lit(""))
+
+
 def keyed(docs: DataFrame, with_row: bool = False) -> DataFrame:
-    """id, th, text, and with it the whole row. Rows are found again by id and a hash of the text, so many rows of one
+    """id, th and text or the whole row. Rows are found again by id and a hash of the text, so many rows of one
     id (null ones above all) don't meet; a null text and an empty one are alike."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = [as_row(docs).alias("row")] if with_row else []
-    return docs.select(*row, key().alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    text = _text(F.col("text"))
+    return docs.select(key().alias("id"), F.xxhash64(text).alias("th"), as_row(docs).alias("row") if with_row else text.alias("text"))
+
+
+def with_found(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """row, text and what was found by id and th, as ``name``. The text is taken out of the row after the join, so that it is shuffled once."""
+    return keyed(docs, with_row=True).join(found, ["id", "th"], "left").select("row", _text(F.col("row")["text"]).alias("text"), name)
 
 
 def cut_schema(df: DataFrame, units: str) -> StructType:
@@ -178,9 +186,10 @@ def removable(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
     # Written, so that the join's sides are plain shuffles, of which Spark can split a hot key's rows.
     shared = written(shared, "substring-shared")
-    left = written(anchors.join(shared, "anchor", "left_semi"), "substring-quarters")
+    quarters = written(anchors.join(shared, "anchor", "left_semi"), "substring-quarters")
     # Level two.
-    left = written(_doubled(left, window), "substring-anchors")
+    left = written(_doubled(quarters, window), "substring-anchors")
+    drop(shared, quarters)
     # Level three.
     spans = left.groupBy("anchor", "span").agg(F.min("id").alias("first"))
     spans = written(spans, "substring-spans")
@@ -195,11 +204,14 @@ def removable(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     early = windows.groupBy("x1", "x2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("x1", "x2", "low")
     early = written(early, "substring-early")
     single = windows.join(early, ["x1", "x2"]).where("id > low").select("id", "th", "start", F.lit(window).alias("length"))
-    return whole.unionByName(single).groupBy("id", "th").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    found = whole.unionByName(single).groupBy("id", "th").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    found = written(found, "substring-removable")
+    drop(left, spans, several, opened, windows, early)
+    return found
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``), n_words, n_removed and kept, the kept words joined by a space."""
     small_batches(docs.sparkSession)
-    cut = keyed(docs, with_row=True).join(removable(docs, window), ["id", "th"], "left").select("row", "text", "spans")
+    cut = with_found(docs, removable(docs, window), "spans")
     return cut.mapInArrow(_cut, cut_schema(cut, "n_words"))
